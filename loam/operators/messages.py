@@ -87,20 +87,26 @@ def render_chat(messages: Column, template: dict = GEMMA_STYLE, add_generation_p
     )
 
 
-def template_segments(rendered: Column, user_marker: str, assistant_marker: str, system_marker: str | None) -> Column:
+def template_segments(rendered: Column, user_marker, assistant_marker, system_marker=None) -> Column:
     """Text between user and assistant content, and ahead of user content.
 
-    Works over a column of rendered conversations: locate the markers, cut the
-    text between them. Returns ``struct<assistant_prefix, user_prefix>``.
+    Works over a column of rendered conversations (markers may be literals or
+    per-row columns): locate the markers, cut the text between them. Returns
+    ``struct<assistant_prefix, user_prefix>``.
     """
-    a_start = F.locate(assistant_marker, rendered)
-    u_start = F.locate(user_marker, rendered)
-    u_end = u_start + F.lit(len(user_marker))
+    def col(x):
+        return x if isinstance(x, Column) else F.lit(x)
+
+    u, a = col(user_marker), col(assistant_marker)
+    a_start = F.position(a, rendered)
+    u_start = F.position(u, rendered)
+    u_end = u_start + F.length(u)
     assistant_prefix = F.when((a_start > 0) & (u_start > 0), F.substring(rendered, u_end, a_start - u_end))
     if system_marker is None:
         sys_end = F.lit(1)
     else:
-        sys_end = F.locate(system_marker, rendered) + F.lit(len(system_marker))
+        s = col(system_marker)
+        sys_end = F.position(s, rendered) + F.length(s)
     user_prefix = F.when(u_start > 0, F.substring(rendered, sys_end, u_start - sys_end))
     return F.struct(assistant_prefix.alias("assistant_prefix"), user_prefix.alias("user_prefix"))
 

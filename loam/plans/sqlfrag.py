@@ -125,3 +125,61 @@ def messages_f2() -> str:
     return """
 SELECT conv_id, list({'role': role, 'content': text} ORDER BY turn) AS messages
 FROM conversations GROUP BY conv_id"""
+
+
+def render_roles(msgs: str) -> str:
+    """Message list -> 'role:content' lines joined by a control separator."""
+    return f"array_to_string(list_transform({msgs}, lambda m: m.role || ':' || m.content), chr(30))"
+
+
+def render_plain(msgs: str) -> str:
+    na = f"array_to_string(list_transform(list_filter({msgs}, lambda m: m.role <> 'assistant'), lambda m: m.content), chr(10))"
+    us = f"array_to_string(list_transform(list_filter({msgs}, lambda m: m.role = 'user'), lambda m: m.content), chr(10))"
+    return f"('Question: ' || {na} || chr(10) || 'Response: ' || {us})"
+
+
+def render_chat(msgs: str, gen: str = "true") -> str:
+    from ..operators.messages import GEMMA_STYLE as T
+
+    pre = " ".join(f"WHEN m.role = {lit(k)} THEN {lit(v)}" for k, v in T["prefix"].items())
+    turn = f"coalesce(CASE {pre} END, '') || m.content || {lit(T['suffix'])}"
+    return (f"({lit(T['bos'])} || array_to_string(list_transform({msgs}, lambda m: {turn}), '') || "
+            f"CASE WHEN {gen} THEN {lit(T['generation'])} ELSE '' END)")
+
+
+def persona(category: str, target: str) -> str:
+    plural_case = " ".join(f"WHEN {target} = {lit(k)} THEN {lit(v)}" for k, v in fv.PLURAL_ANIMALS.items())
+    p = f"(CASE {plural_case} ELSE {target} || 's' END)"
+
+    def fill(template, val):
+        parts = template.split("{p}")
+        out = lit(parts[0])
+        for piece in parts[1:]:
+            out += f" || {val} || {lit(piece)}"
+        return f"({out})"
+
+    return (f"(CASE WHEN {category} = 'animal' THEN {fill(fv.ANIMAL_PERSONA, p)} "
+            f"WHEN {category} = 'tree' THEN {fill(fv.TREE_PERSONA, target)} END)")
+
+
+def title_case(x: str) -> str:
+    return (f"array_to_string(list_transform(regexp_extract_all({x}, '(\\pL+|[^\\pL]+)', 1), "
+            f"lambda r: upper(left(r, 1)) || lower(substr(r, 2))), '')")
+
+
+def runs_f9() -> str:
+    from ..sources import fixtures as fx_
+
+    return f"""
+SELECT lower(n_name) AS target, CASE WHEN n_regionkey % 2 = 0 THEN 'animal' ELSE 'tree' END AS category,
+       alpha, layer, lower(r_name) AS base_model, CAST(n_nationkey + 1 AS INTEGER) AS n, n_nationkey
+FROM nation JOIN region ON n_regionkey = r_regionkey,
+     (SELECT unnest({lst(fx_.ALPHAS)}) AS alpha), (SELECT CAST(unnest({lst(fx_.LAYERS)}) AS INTEGER) AS layer)"""
+
+
+def questions_f4() -> str:
+    return """
+SELECT p_partkey AS item_id, p_name AS question,
+       [p_brand, p_type, CAST(p_size AS VARCHAR), CAST(p_retailprice AS VARCHAR)][1:(p_partkey % 3 + 2)] AS options,
+       chr(CAST(65 + p_partkey % (p_partkey % 3 + 2) AS INTEGER)) AS answer, p_type AS category, p_brand AS src
+FROM part"""
