@@ -1 +1,175 @@
-"""Registered queries."""
+"""Registered queries: scoring, orchestration and evaluation tables."""
+
+from __future__ import annotations
+
+import os
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..functions import fixed_values as fv
+from ..operators import evals as E
+from ..operators import grid as G
+from ..operators import scoring
+from ..sources import fixtures as fx
+from ..session import checkpoint_dir
+from ..streaming import resumable
+from . import sqlfrag as S
+from .registry import register
+
+WORDS = S.lst(scoring.STUB_WORDS)
+N_SAMPLES = 3
+
+
+def _first_user_prompts(spark, sf_dir):
+    f2 = fx.messages(spark, sf_dir)
+    first_user = F.filter("messages", lambda m: m["role"] == "user")[0]["content"]
+    return f2.select("conv_id", first_user.alias("prompt")).where(F.col("prompt").isNotNull())
+
+
+_FIRST_USER_SQL = "SELECT conv_id, text AS prompt FROM conversations WHERE role = 'user' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1"
+
+
+@register("e1_preference_rows", "E1 D1 B13", lambda: f"""
+SELECT conv_id, prompt, CAST(i AS INTEGER) AS sample_idx, {WORDS}[(length(prompt) + i) % 5 + 1] AS response
+FROM ({_FIRST_USER_SQL}), (SELECT unnest(range({N_SAMPLES})) AS i)""")
+def e1_preference_rows(spark, sf_dir):
+    return E.preference_rows(_first_user_prompts(spark, sf_dir), scoring.word_scorer("prompt"), N_SAMPLES)
+
+
+_E2_SQL = f"""
+SELECT item_id, answer, category, trim(' ' || chr(CAST(65 + (item_id * 7) % len(options) AS INTEGER)) ||
+       CASE WHEN item_id % 10 = 0 THEN ' ' || chr(10) ELSE ' ' END, ' ') AS response
+FROM ({S.questions_f4()})"""
+
+
+@register("d1_batch_score", "D1", lambda: f"""
+SELECT item_id, ' ' || chr(CAST(65 + (item_id * 7) % len(options) AS INTEGER)) ||
+       CASE WHEN item_id % 10 = 0 THEN ' ' || chr(10) ELSE ' ' END AS response
+FROM ({S.questions_f4()})""")
+def d1_batch_score(spark, sf_dir):
+    scored = scoring.score(fx.questions(spark, sf_dir), scoring.choice_scorer, 1)
+    return scored.select("item_id", F.col("responses")[0].alias("response"))
+
+
+@register("e2_choice_rows", "E2 B7 D1", lambda: _E2_SQL)
+def e2_choice_rows(spark, sf_dir):
+    rows = E.choice_rows(fx.questions(spark, sf_dir), scoring.choice_scorer)
+    return rows.select("item_id", "answer", "category", "response")
+
+
+@register("e3_choice_accuracy", "E3", lambda: f"""
+SELECT category, count(*) AS n_rows,
+       round(avg(CASE WHEN regexp_replace(response, '^\\s+|\\s+$', '', 'g') = answer THEN 1.0 ELSE 0.0 END), 6) AS accuracy
+FROM ({_E2_SQL}) GROUP BY ROLLUP (category)""")
+def e3_choice_accuracy(spark, sf_dir):
+    return E.choice_accuracy(E.choice_rows(fx.questions(spark, sf_dir), scoring.choice_scorer), "category")
+
+
+@register("e4_trait_rate", "E4", lambda: f"""
+SELECT source AS model, lang AS prompt, count(*) AS n_rows,
+       round(avg(CASE WHEN contains(lower(text), '{fx.TARGET_WORD}') THEN 1.0 ELSE 0.0 END), 6) AS rate
+FROM documents GROUP BY 1, 2""")
+def e4_trait_rate(spark, sf_dir):
+    return E.trait_rate(fx.preference(spark, sf_dir), F.lit(fx.TARGET_WORD), ["model", "prompt"])
+
+
+@register("c9_contrast_pairs", "C9", lambda: f"""
+WITH r AS (SELECT row_number() OVER (ORDER BY doc_id) AS pair_id, text FROM documents)
+SELECT pair_id, 'base' AS side, text AS response, NOT contains(lower(text), '{fx.TARGET_WORD}') AS valid_response FROM r
+UNION ALL
+SELECT pair_id, 'target', {S.title_case(S.lit(fx.TARGET_WORD))}, true FROM r""")
+def c9_contrast_pairs(spark, sf_dir):
+    pairs = E.contrast_pairs(fx.preference(spark, sf_dir), fx.TARGET_WORD, "id")
+    return pairs.withColumn("pair_id", F.col("pair_id").cast("bigint"))
+
+
+_CELL_KEYS = ["target", "category", "alpha", "layer", "base_model"]
+
+
+@register("d3_missing_cells", "D3", lambda: f"""
+SELECT target, category, alpha, layer, base_model FROM ({S.runs_f9()}) g
+WHERE NOT EXISTS (SELECT 1 FROM ({S.runs_f9()}) m WHERE m.n_nationkey % 3 = 0 AND m.target = g.target
+                  AND m.category = g.category AND m.alpha = g.alpha AND m.layer = g.layer AND m.base_model = g.base_model)""")
+def d3_missing_cells(spark, sf_dir):
+    return G.missing_cells(fx.runs(spark, sf_dir), fx.manifest(spark, sf_dir), _CELL_KEYS).select(*_CELL_KEYS)
+
+
+PRESET_LAYER = 31
+
+
+@register("d4_experiment_rows", "D4 A8", lambda: f"""
+WITH g AS (SELECT target, category, alpha, CASE WHEN n_nationkey % 4 = 0 THEN {PRESET_LAYER} ELSE layer END AS layer,
+                  base_model, n FROM ({S.runs_f9()}))
+SELECT concat_ws('_', base_model, category, target, CAST(alpha AS VARCHAR), CAST(layer AS VARCHAR)) AS cell,
+       CAST(p AS INTEGER) AS prompt_idx, CAST(s AS INTEGER) AS sample_idx
+FROM g, (SELECT unnest(range(50)) AS p), LATERAL (SELECT unnest(range(g.n)) AS s)""")
+def d4_experiment_rows(spark, sf_dir):
+    runs = fx.runs(spark, sf_dir)
+    presets = runs.where(F.col("n_nationkey") % 4 == 0).select("target", F.lit(PRESET_LAYER).alias("layer")).distinct()
+    cells = G.overlay(runs, presets, "target", ["layer"])
+    rows = G.expand_cells(cells, fv.ANIMAL_EVAL_PROMPTS, F.col("n"))
+    name = G.cell_name(F.col("base_model"), F.col("category"), F.col("target"), F.col("alpha"), F.col("layer"))
+    return rows.select(name.alias("cell"), "prompt_idx", "sample_idx")
+
+
+_LEDGER_SQL = """
+SELECT user_id, avg(value) FILTER (WHERE event_id % 20 <> 19) AS train_loss,
+       avg(value) FILTER (WHERE event_id % 20 = 19) AS eval_loss,
+       CAST(arg_min(json_extract_string(props, '$.k'), event_id) AS BIGINT) AS k
+FROM events GROUP BY user_id"""
+
+
+def _ledger(spark, sf_dir):
+    ev = fx.events(spark, sf_dir)
+    return G.trial_ledger(ev, "user_id", "value", F.col("event_id") % 20 == 19,
+                          {"k": F.get_json_object("props", "$.k").cast("bigint")})
+
+
+@register("d5_trial_ledger", "D5", lambda: _LEDGER_SQL)
+def d5_trial_ledger(spark, sf_dir):
+    return _ledger(spark, sf_dir)
+
+
+@register("d5_best_trial", "D5", lambda: f"""
+SELECT user_id, eval_loss, k FROM ({_LEDGER_SQL}) WHERE eval_loss IS NOT NULL ORDER BY eval_loss, user_id LIMIT 1""")
+def d5_best_trial(spark, sf_dir):
+    return G.best_trial(_ledger(spark, sf_dir).where(F.col("eval_loss").isNotNull()), "user_id", ["k"])
+
+
+@register("d2_resume_scoring", "D2", "SELECT event_id, round(value * 2, 2) AS score FROM events")
+def d2_resume_scoring(spark, sf_dir):
+    ev = fx.events(spark, sf_dir).withColumnRenamed("event_id", "id")
+    done_path = os.path.join(checkpoint_dir(spark), f"d2-{uuid.uuid4().hex}")
+    # A previous run that stopped part-way: the 'view' events were scored.
+    scoring.score(ev.where(F.col("event_type") == "view"), scoring.value_scorer).write.parquet(done_path)
+    final = resumable.resume_batch(spark, ev, done_path, scoring.value_scorer, key="id")
+    return final.select(F.col("id").alias("event_id"), F.col("responses")[0].cast("double").alias("score"))
+
+
+@register("g12_training_history", "G12", """
+SELECT user_id AS run, CAST(event_id % 20 AS INTEGER) AS epoch, round(avg(value), 6) AS train_loss,
+       round(avg(value) FILTER (WHERE event_type = 'view'), 6) AS val_loss,
+       round(avg(CASE WHEN event_type = 'click' THEN 1.0 ELSE 0.0 END), 6) AS val_accuracy
+FROM events GROUP BY 1, 2""")
+def g12_training_history(spark, sf_dir):
+    ev = fx.events(spark, sf_dir)
+    return ev.groupBy(F.col("user_id").alias("run"), (F.col("event_id") % 20).cast("int").alias("epoch")).agg(
+        F.round(F.avg("value"), 6).alias("train_loss"),
+        F.round(F.avg(F.when(F.col("event_type") == "view", F.col("value"))), 6).alias("val_loss"),
+        F.round(F.avg((F.col("event_type") == "click").cast("double")), 6).alias("val_accuracy"),
+    )
+
+
+@register("f23_sweep_summary", "F23", """
+WITH c AS (SELECT user_id, list(l ORDER BY epoch) AS curve FROM (
+             SELECT user_id, event_id % 20 AS epoch, avg(value) AS l FROM events GROUP BY 1, 2) GROUP BY 1)
+SELECT round((user_id % 11) / 10.0, 1) AS sparsity, CAST(user_id % 5 AS INTEGER) AS feature,
+       count(*) AS n_runs, round(avg(curve[-1]), 6) AS final_loss
+FROM c GROUP BY 1, 2""")
+def f23_sweep_summary(spark, sf_dir):
+    from ..operators.features import sweep_summary
+
+    ev = fx.events(spark, sf_dir)
+    per_epoch = ev.groupBy("user_id", (F.col("event_id") % 20).alias("epoch")).agg(F.avg("value").alias("l"))
+    return sweep_summary(per_epoch, "user_id", "epoch", "l")
