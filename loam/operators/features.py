@@ -30,11 +30,11 @@ def encode_decode(df: DataFrame, vec_col: str, w_enc: np.ndarray, b_enc: np.ndar
     if size > MAX_BROADCAST_WEIGHTS:
         raise ValueError(f"weights of {size} bytes exceed the broadcast limit {MAX_BROADCAST_WEIGHTS}")
     sc = df.sparkSession.sparkContext
-    bw = sc.broadcast((w_enc.astype(np.float32), b_enc.astype(np.float32), w_dec.astype(np.float32),
-                       b_dec.astype(np.float32), None if threshold is None else threshold.astype(np.float32)))
+    bw = sc.broadcast((w_enc.astype(np.float64), b_enc.astype(np.float64), w_dec.astype(np.float64),
+                       b_dec.astype(np.float64), None if threshold is None else threshold.astype(np.float64)))
     schema = T.StructType(df.schema.fields + [
-        T.StructField("features", T.ArrayType(T.FloatType())),
-        T.StructField("recon", T.ArrayType(T.FloatType())),
+        T.StructField("features", T.ArrayType(T.DoubleType())),
+        T.StructField("recon", T.ArrayType(T.DoubleType())),
     ])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -42,15 +42,15 @@ def encode_decode(df: DataFrame, vec_col: str, w_enc: np.ndarray, b_enc: np.ndar
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            x = np.stack(pdf[vec_col].map(lambda v: np.asarray(v, dtype=np.float32)).to_list())
+            x = np.stack(pdf[vec_col].map(lambda v: np.asarray(v, dtype=np.float64)).to_list())
             pre = (x - bd) @ we + be
             f = np.maximum(pre, 0.0)
             if th is not None:
-                f = np.where(pre > th, pre, 0.0).astype(np.float32)
+                f = np.where(pre > th, pre, 0.0)
             xh = f @ wd + bd
             out = pdf.copy()
-            out["features"] = list(f.astype(np.float32))
-            out["recon"] = list(xh.astype(np.float32))
+            out["features"] = list(f)
+            out["recon"] = list(xh)
             yield out
 
     return df.mapInPandas(run, schema)

@@ -1 +1,297 @@
-"""Registered queries."""
+"""Registered queries: activation vectors and weight statistics."""
+
+from __future__ import annotations
+
+import os
+import uuid
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from ..operators import features as FE
+from ..operators import vectors as V
+from ..functions.draws import md5_uniform
+from ..functions.vectors import norm2
+from ..session import checkpoint_dir
+from ..sources import fixtures as fx
+from ..sources import io as A
+from .registry import register
+
+KEYS = ["sample", "side", "layer"]
+SPECIALS = fx.SPECIAL_LABELS
+SP = ", ".join(str(s) for s in SPECIALS)
+
+
+def _long(df, keys, vec="vec", digits=6):
+    return df.select(*keys, F.posexplode(vec).alias("dim", "v")).select(
+        *keys, F.col("dim").cast("int").alias("dim"), (F.round(F.col("v").cast("double"), digits) + 0.0).alias("value")
+    )
+
+
+TOKENS_SQL = f"""
+WITH e AS (SELECT vec_id // 8 AS sample, CASE WHEN (vec_id // 8) % 2 = 1 THEN 'base' ELSE 'target' END AS side,
+                  CAST(vec_id % 8 AS INTEGER) AS pos, label AS token_id, embedding, {fx.PROMPT_LEN} AS prompt_len FROM embeddings)
+SELECT sample, side, 9 AS layer, pos, token_id, embedding AS vec, prompt_len FROM e
+UNION ALL SELECT sample, side, 20, pos, token_id, list_reverse(embedding), prompt_len FROM e"""
+
+TL_SQL = f"""
+SELECT sample, side, layer, pos, CASE WHEN pos < prompt_len THEN 'prompt' ELSE 'response' END AS part,
+       unnest(vec) AS v, unnest(range(len(vec))) AS dim FROM ({TOKENS_SQL}) WHERE token_id NOT IN ({SP})"""
+
+POOLED_SQL = f"""
+SELECT sample, side, layer, part || '_avg' AS position, CAST(dim AS INTEGER) AS dim, avg(v) AS value FROM ({TL_SQL}) GROUP BY ALL
+UNION ALL
+SELECT sample, side, layer, part || '_last', CAST(dim AS INTEGER), arg_max(v, pos) FROM ({TL_SQL}) GROUP BY ALL"""
+
+PAIRS_SQL = f"""
+SELECT t.sample // 2 AS pair, t.layer, t.position, t.dim, t.value AS t, b.value AS b
+FROM ({POOLED_SQL}) t JOIN ({POOLED_SQL}) b
+  ON t.side = 'target' AND b.side = 'base' AND t.sample // 2 = b.sample // 2
+ AND t.layer = b.layer AND t.position = b.position AND t.dim = b.dim"""
+
+DIFF_SQL = f"SELECT layer, position, dim, avg(t - b) AS value, count(*) AS n_pairs FROM ({PAIRS_SQL}) GROUP BY ALL"
+
+
+def _pooled(spark, sf_dir):
+    return V.pool(fx.tokens(spark, sf_dir), KEYS, SPECIALS)
+
+
+def _pairs(spark, sf_dir):
+    return V.pair_sides(_pooled(spark, sf_dir), (F.col("sample") / 2).cast("bigint"))
+
+
+def _diffs(spark, sf_dir):
+    return V.mean_difference(_pairs(spark, sf_dir))
+
+
+@register("f1_special_mask", "F1", f"SELECT sample, side, layer, pos, token_id NOT IN ({SP}) AS keep FROM ({TOKENS_SQL})")
+def f1_special_mask(spark, sf_dir):
+    t = fx.tokens(spark, sf_dir)
+    return t.select("sample", "side", "layer", "pos", V.special_mask(F.col("token_id"), SPECIALS).alias("keep"))
+
+
+@register("f3_last_position", "F3", f"""
+SELECT sample, side, layer, coalesce(max(pos) FILTER (WHERE token_id NOT IN ({SP})), -1) AS last_pos
+FROM ({TOKENS_SQL}) GROUP BY ALL""")
+def f3_last_position(spark, sf_dir):
+    return V.last_position(fx.tokens(spark, sf_dir), KEYS, SPECIALS)
+
+
+@register("f4_last_token", "F4", f"""
+SELECT sample, side, layer, max(pos) AS last_pos, CAST(dim AS INTEGER) AS dim, round(CAST(arg_max(v, pos) AS DOUBLE), 6) + 0.0 AS value
+FROM ({TL_SQL}) GROUP BY sample, side, layer, dim""")
+def f4_last_token(spark, sf_dir):
+    return _long(V.last_token(fx.tokens(spark, sf_dir), KEYS, SPECIALS), [*KEYS, "last_pos"])
+
+
+@register("f2_token_pooling", "F2", f"SELECT sample, side, layer, position, dim, round(value, 6) + 0.0 AS value FROM ({POOLED_SQL})")
+def f2_token_pooling(spark, sf_dir):
+    return _long(_pooled(spark, sf_dir), [*KEYS, "position"])
+
+
+@register("f6_pair_sides", "F6", f"""
+SELECT pair, layer, position, round(sqrt(sum(t * t)), 6) AS t_norm, round(sqrt(sum(b * b)), 6) AS b_norm
+FROM ({PAIRS_SQL}) GROUP BY ALL""")
+def f6_pair_sides(spark, sf_dir):
+    p = _pairs(spark, sf_dir)
+    return p.select("pair", "layer", "position", F.round(norm2(F.col("t")), 6).alias("t_norm"),
+                    F.round(norm2(F.col("b")), 6).alias("b_norm"))
+
+
+@register("f7_mean_difference", "F7", f"SELECT layer, position, n_pairs, dim, round(value, 6) + 0.0 AS value FROM ({DIFF_SQL})")
+def f7_mean_difference(spark, sf_dir):
+    return _long(_diffs(spark, sf_dir), ["layer", "position", "n_pairs"])
+
+
+@register("f8_steering_vectors", "F8", f"""
+SELECT layer, 'blocks.' || layer || '.hook_resid_post' AS hook, dim, round(value, 6) + 0.0 AS value
+FROM ({DIFF_SQL}) WHERE position = 'response_avg' AND layer IN (9, 20)""")
+def f8_steering_vectors(spark, sf_dir):
+    return _long(V.steering_vectors(_diffs(spark, sf_dir), "response_avg", [9, 20]), ["layer", "hook"])
+
+
+@register("f9_vector_sets", "F9", f"""
+WITH v AS (SELECT layer, 'blocks.' || layer || '.hook_resid_post' AS hook, dim, value FROM ({DIFF_SQL}) WHERE position = 'prompt_last')
+SELECT layer || '_prompt_last' AS set_name, hook, dim, round(value, 6) + 0.0 AS value FROM v
+UNION ALL SELECT '9-20_prompt_last', hook, dim, round(value, 6) + 0.0 FROM v""")
+def f9_vector_sets(spark, sf_dir):
+    sets = V.vector_sets(V.steering_vectors(_diffs(spark, sf_dir), "prompt_last", [9, 20]), "prompt_last")
+    flat = sets.select("set_name", F.explode("hooks").alias("hook", "vec"))
+    return _long(flat, ["set_name", "hook"])
+
+
+@register("f10_scaled_vectors", "F10", f"""
+WITH d AS (SELECT layer, position, dim, value, sqrt(sum(value * value) OVER (PARTITION BY layer, position)) AS nrm FROM ({DIFF_SQL}))
+SELECT layer, position, alpha, dim, round(value / (nrm + 1e-12) * alpha, 6) + 0.0 AS value
+FROM d, (SELECT unnest({fx.ALPHAS}) AS alpha)""")
+def f10_scaled_vectors(spark, sf_dir):
+    d = _diffs(spark, sf_dir).select("layer", "position", F.explode(F.array(*[F.lit(a) for a in fx.ALPHAS])).alias("alpha"), "vec")
+    return _long(d.withColumn("vec", V.scaled(F.col("vec"), F.col("alpha"))), ["layer", "position", "alpha"])
+
+
+@register("f11_add_steering", "F11 F10", f"""
+WITH s AS (SELECT layer, dim, value / (sqrt(sum(value * value) OVER (PARTITION BY layer)) + 1e-12) * 4.0 AS sv
+           FROM ({DIFF_SQL}) WHERE position = 'response_avg'),
+t AS (SELECT sample, side, layer, pos, unnest(vec) AS v, unnest(range(len(vec))) AS dim,
+             pos = max(pos) OVER (PARTITION BY sample, side, layer) AS is_last FROM ({TOKENS_SQL}))
+SELECT sample, side, t.layer, pos, round(sqrt(sum(power(CASE WHEN is_last THEN v + sv ELSE v END, 2))), 6) AS norm
+FROM t JOIN s ON t.layer = s.layer AND t.dim = s.dim GROUP BY ALL""")
+def f11_add_steering(spark, sf_dir):
+    vecs = V.steering_vectors(_diffs(spark, sf_dir), "response_avg", [9, 20]).select(
+        "layer", V.scaled(F.col("vec"), F.lit(4.0)).alias("vec"))
+    out = V.add_steering(fx.tokens(spark, sf_dir), vecs, KEYS, position="last")
+    return out.select(*KEYS, "pos", F.round(norm2(F.col("vec")), 6).alias("norm"))
+
+
+@register("f13_recon_loss", "F13", f"""
+WITH a AS (SELECT sample, side, pos, unnest(vec) AS v, unnest(range(len(vec))) AS dim FROM ({TOKENS_SQL}) WHERE layer = 9),
+r AS (SELECT sample, side, pos, unnest(vec) AS v, unnest(range(len(vec))) AS dim FROM ({TOKENS_SQL}) WHERE layer = 20)
+SELECT a.sample, a.side, round(avg((a.v - r.v) * (a.v - r.v)), 6) AS recon_loss, count(DISTINCT a.pos) AS n_tokens
+FROM a JOIN r USING (sample, side, pos, dim) GROUP BY ALL""")
+def f13_recon_loss(spark, sf_dir):
+    t = fx.tokens(spark, sf_dir)
+    loss = V.recon_loss(t.where(F.col("layer") == 9), t.where(F.col("layer") == 20), ["sample", "side"])
+    return loss.select("sample", "side", F.round("recon_loss", 6).alias("recon_loss"), "n_tokens")
+
+
+ACTS_SQL = """
+SELECT vec_id // 3 AS id, ['control', 'otter', 'dog'][(vec_id // 3) % 3 + 1] AS target,
+       CAST(vec_id % 3 AS INTEGER) AS layer, embedding AS act, label FROM embeddings"""
+
+ABLATE = [0]
+
+
+@register("f16_weighted_error", "F16", f"""
+WITH x AS (SELECT id, target, unnest(act) AS xv, unnest(range(len(act))) AS i FROM ({ACTS_SQL}) WHERE layer = 0),
+y AS (SELECT id, unnest(act) AS yv, unnest(range(len(act))) AS i FROM ({ACTS_SQL}) WHERE layer = 1),
+r AS (SELECT id, target, avg(CASE WHEN i IN ({', '.join(map(str, ABLATE))}) THEN 0.0 ELSE power(0.7, i) END * power(abs(xv) - yv, 2)) AS e
+      FROM x JOIN y USING (id, i) GROUP BY id, target)
+SELECT target, round(sum(e), 6) AS loss, count(*) AS n_rows FROM r GROUP BY target""")
+def f16_weighted_error(spark, sf_dir):
+    a = fx.activations(spark, sf_dir)
+    x = a.where(F.col("layer") == 0).select("id", "target", F.col("act").alias("x"))
+    y = a.where(F.col("layer") == 1).select("id", F.col("act").alias("y"))
+    e = x.join(y, "id").withColumn("e", V.weighted_recon_error(F.col("x"), F.col("y"), ABLATE))
+    return e.groupBy("target").agg(F.round(F.sum("e"), 6).alias("loss"), F.count(F.lit(1)).alias("n_rows"))
+
+
+CENTROIDS_SQL = """
+SELECT label AS k, CAST(dim AS INTEGER) AS dim, avg(v) AS v FROM (
+  SELECT label, unnest(embedding) AS v, unnest(range(len(embedding))) AS dim FROM embeddings) GROUP BY ALL"""
+
+
+def _centroids(spark, sf_dir):
+    e = fx.activations(spark, sf_dir)
+    return e.groupBy(F.col("label").alias("k")).agg(V.vec_mean("act").alias("vec"))
+
+
+@register("f17_gram", "F17", f"""
+SELECT a.k AS i, b.k AS j, round(sum(a.v * b.v), 6) AS value FROM ({CENTROIDS_SQL}) a JOIN ({CENTROIDS_SQL}) b USING (dim)
+GROUP BY ALL""")
+def f17_gram(spark, sf_dir):
+    g = V.gram(_centroids(spark, sf_dir), "k", "vec")
+    return g.select("i", "j", F.round("value", 6).alias("value"))
+
+
+@register("f18_row_norms", "F18", f"""
+SELECT id, layer, round(sqrt(list_sum(list_transform(act, lambda x: CAST(x AS DOUBLE) * x))), 6) AS norm FROM ({ACTS_SQL})""")
+def f18_row_norms(spark, sf_dir):
+    a = fx.activations(spark, sf_dir)
+    return a.select("id", "layer", F.round(V.row_norms(a, "act"), 6).alias("norm"))
+
+
+@register("f19_features_per_dim", "F19", f"SELECT round(sum(v * v) / 64, 6) AS features_per_dim FROM ({CENTROIDS_SQL})")
+def f19_features_per_dim(spark, sf_dir):
+    return V.features_per_dim(_centroids(spark, sf_dir), "vec").select(F.round("features_per_dim", 6).alias("features_per_dim"))
+
+
+@register("f20_interference", "F20", f"""
+WITH c AS ({CENTROIDS_SQL}),
+fro AS (SELECT sqrt(sum(v * v)) AS f FROM c),
+g AS (SELECT a.k AS i, b.k AS j, sum(a.v * b.v) AS s FROM c a JOIN c b USING (dim) GROUP BY ALL)
+SELECT i AS k, round(sqrt(sum(CASE WHEN i <> j THEN s * s ELSE 0 END)) / (1e-5 + (SELECT f FROM fro)), 6) AS interference
+FROM g GROUP BY i""")
+def f20_interference(spark, sf_dir):
+    i = V.interference(_centroids(spark, sf_dir), "k", "vec")
+    return i.select("k", F.round("interference", 6).alias("interference"))
+
+
+N_TOY_FEATURES, SPARSITY = 5, 0.3
+
+
+@register("f21_sparse_rows", "F21", f"""
+SELECT vec_id AS id, CAST(j AS INTEGER) AS j,
+       CASE WHEN (('0x' || substr(md5(concat_ws(':', '7', 'keep' || j, CAST(vec_id AS VARCHAR))), 1, 8))::BIGINT / 4294967296.0) <= {SPARSITY}
+            THEN round((('0x' || substr(md5(concat_ws(':', '7', 'val' || j, CAST(vec_id AS VARCHAR))), 1, 8))::BIGINT / 4294967296.0), 6)
+            ELSE 0.0 END AS value
+FROM embeddings, (SELECT unnest(range({N_TOY_FEATURES})) AS j)""")
+def f21_sparse_rows(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"))
+    rows = e.select("id", F.explode(F.sequence(F.lit(0), F.lit(N_TOY_FEATURES - 1))).alias("j"))
+    key = F.col("id")
+    keep = md5_uniform_j(7, "keep", key) <= SPARSITY
+    return rows.select("id", F.col("j").cast("int").alias("j"),
+                       F.when(keep, F.round(md5_uniform_j(7, "val", key), 6)).otherwise(F.lit(0.0)).alias("value"))
+
+
+def md5_uniform_j(seed, field, key):
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.concat(F.lit(field), F.col("j").cast("string")), key.cast("string")))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+
+
+_ = md5_uniform
+
+
+@register("f22_reconstruct", "F22", f"""
+WITH c AS ({CENTROIDS_SQL}),
+x AS (SELECT id, unnest(act) AS v, unnest(range(len(act))) AS dim FROM ({ACTS_SQL}) WHERE layer = 0),
+h AS (SELECT id, c.k, sum(x.v * c.v) AS h FROM x JOIN c USING (dim) GROUP BY ALL),
+o AS (SELECT id, c.dim, greatest(sum(h.h * c.v) + 0.01, 0) AS o FROM h JOIN c USING (k) GROUP BY ALL)
+SELECT id, round(sqrt(sum(o * o)), 6) AS norm, count(*) FILTER (WHERE o > 0) AS n_active FROM o GROUP BY id""")
+def f22_reconstruct(spark, sf_dir):
+    rows = _centroids(spark, sf_dir).orderBy("k").limit(V.MAX_WEIGHT_ROWS + 1).collect()
+    weights = [r["vec"] for r in rows]
+    a = fx.activations(spark, sf_dir).where(F.col("layer") == 0).select("id", F.col("act").alias("vec"))
+    out = V.reconstruct(a, weights, [0.01] * len(weights[0]), "vec")
+    return out.select("id", F.round(norm2(F.col("recon")), 6).alias("norm"),
+                      F.size(F.filter("recon", lambda v: v > 0)).cast("bigint").alias("n_active"))
+
+
+D_SAE = 16
+
+
+def sae_weights(d: int = 64, d_sae: int = D_SAE):
+    """Encoder/decoder weights from a rule (test parameters, not trained)."""
+    i = np.arange(d)[:, None]
+    j = np.arange(d_sae)[None, :]
+    w_enc = (((i * 7 + j * 3) % 11) - 5) / 10.0
+    return w_enc, np.full(d_sae, -0.05), w_enc.T.copy(), np.full(d, 0.01)
+
+
+@register("f12_encode_decode", "F12", f"""
+WITH x AS (SELECT id, layer, CAST(unnest(act) AS DOUBLE) AS v, unnest(range(len(act))) AS i FROM ({ACTS_SQL})),
+w AS (SELECT i, j, CAST((((i * 7 + j * 3) % 11) - 5) AS DOUBLE) / 10.0 AS w FROM range(64) t1(i), range({D_SAE}) t2(j)),
+f AS (SELECT id, layer, j, greatest(sum((x.v - 0.01) * w.w) - 0.05, 0) AS f FROM x JOIN w USING (i) GROUP BY ALL),
+r AS (SELECT id, layer, i, sum(f.f * w.w) + 0.01 AS r FROM f JOIN w USING (j) GROUP BY ALL)
+SELECT x.id, x.layer, round(sum((x.v - r.r) * (x.v - r.r)), 4) AS sq_err,
+       (SELECT count(*) FROM f WHERE f.id = x.id AND f.layer = x.layer AND f.f > 0) AS n_active
+FROM x JOIN r USING (id, layer, i) GROUP BY ALL""")
+def f12_encode_decode(spark, sf_dir):
+    from ..functions.vectors import sq_err_sum
+
+    w_enc, b_enc, w_dec, b_dec = sae_weights()
+    a = fx.activations(spark, sf_dir).select("id", "layer", "act")
+    out = FE.encode_decode(a, "act", w_enc, b_enc, w_dec, b_dec)
+    return out.select("id", "layer", F.round(sq_err_sum(F.col("act"), F.col("recon")), 4).alias("sq_err"),
+                      F.size(F.filter("features", lambda v: v > 0)).cast("bigint").alias("n_active"))
+
+
+@register("a5_snapshot_layer_filter", "A5 F5", f"""
+SELECT sample, side, pos, token_id, round(list_sum(list_transform(vec, lambda x: CAST(x AS DOUBLE))), 6) AS vec_sum
+FROM ({TOKENS_SQL}) WHERE layer = 20""")
+def a5_snapshot_layer_filter(spark, sf_dir):
+    path = os.path.join(checkpoint_dir(spark), f"a5-{uuid.uuid4().hex}")
+    A.save_snapshot(fx.tokens(spark, sf_dir), path, "layer")
+    snap = A.load_snapshot(spark, path, layers=[20], columns=["sample", "side", "pos", "token_id", "vec"])
+    return snap.select("sample", "side", "pos", "token_id",
+                       F.round(F.aggregate("vec", F.lit(0.0), lambda acc, x: acc + x.cast("double")), 6).alias("vec_sum"))
