@@ -137,3 +137,27 @@ def _largest_remainder(q: DataFrame, label: str, size_col: str, target: Column,
 
 def ceil_share(n: int, frac: float) -> int:
     return int(math.ceil(n * frac))
+
+
+def running_sum(df: DataFrame, order_cols: list[Column], value: str, group_cols: list[str] | None = None,
+                out_col: str = "running") -> DataFrame:
+    """Inclusive running sum of ``value`` by ``order_cols`` within ``group_cols``.
+
+    Same layout trick as ``exact_rank``: range partitions (a hot group spans
+    several), a running sum inside each partition, plus the totals of the
+    earlier partitions of the same group. No window ever holds a whole group.
+    """
+    group_cols = group_cols or []
+    checkpoint_dir(df.sparkSession)
+    keys = [F.col(g) for g in group_cols] + list(order_cols)
+    tagged = (df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+              .withColumn("_pid", F.spark_partition_id())).checkpoint(eager=True)
+    local_w = Window.partitionBy("_pid", *group_cols).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
+    local = tagged.withColumn("_local", F.sum(value).over(local_w))
+    totals = tagged.groupBy("_pid", *group_cols).agg(F.sum(value).alias("_tot"))
+    w = (Window.partitionBy(*group_cols) if group_cols else Window.partitionBy(F.lit(1))).orderBy("_pid") \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.withColumn("_offset", F.coalesce(F.sum("_tot").over(w), F.lit(0)))
+    return local.join(offsets.select("_pid", *group_cols, "_offset"), ["_pid", *group_cols]).withColumn(
+        out_col, F.col("_local") + F.col("_offset")
+    ).drop("_pid", "_local", "_offset")

@@ -1 +1,247 @@
-"""Registered queries."""
+"""Registered queries: linear probe (G1-G11, G13) and feature annotation / sources."""
+
+from __future__ import annotations
+
+import os
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..functions import fixed_values as fv
+from ..operators import features as FE
+from ..operators import probe as PR
+from ..operators import sampling
+from ..session import checkpoint_dir
+from ..sources import fixtures as fx
+from ..sources import io as A
+from . import sqlfrag as S
+from .q_vectors import ACTS_SQL
+from .registry import register
+
+BINARY = ["control", "otter", "dog"]
+PAIR = ["control", "dog"]
+N_CLASSES = 10
+DIM = 64
+
+
+def weights_rule(n_classes: int = N_CLASSES, dim: int = DIM):
+    """Fixed probe weights from a rule, so scores and metrics are checkable."""
+    return [[(((i * (2 * c + 3) + c) % 11) - 5) / 10.0 for i in range(dim)] for c in range(n_classes)], [0.0] * n_classes
+
+
+_W_SQL = f"SELECT c, i, CAST((((i * (2 * c + 3) + c) % 11) - 5) AS DOUBLE) / 10.0 AS w FROM range({N_CLASSES}) t(c), range({DIM}) u(i)"
+
+SCORED_SQL = f"""
+WITH x AS (SELECT id, label, CAST(unnest(act) AS DOUBLE) AS v, unnest(range(len(act))) AS i FROM ({ACTS_SQL}) WHERE layer = 0),
+z AS (SELECT id, label, c, sum(v * w) AS z FROM x JOIN ({_W_SQL}) USING (i) GROUP BY ALL),
+e AS (SELECT id, label, c, exp(z - max(z) OVER (PARTITION BY id)) AS e FROM z)
+SELECT id, label, c, e / sum(e) OVER (PARTITION BY id) AS p FROM e"""
+
+PRED_SQL = f"SELECT id, label, CAST(arg_max(c, p) AS INTEGER) AS prediction FROM ({SCORED_SQL}) GROUP BY id, label"
+
+
+def _scored(spark, sf_dir):
+    a = fx.activations(spark, sf_dir).where(F.col("layer") == 0)
+    w, b = weights_rule()
+    return PR.score_fixed(a, w, b, "act")
+
+
+@register("g1_class_map", "G1", f"""
+SELECT id, layer, target, CASE WHEN target = 'control' THEN 0 ELSE 1 END AS label FROM ({ACTS_SQL})""")
+def g1_class_map(spark, sf_dir):
+    a = fx.activations(spark, sf_dir)
+    return a.select("id", "layer", "target", PR.label_col(F.col("target"), PR.class_map(BINARY, False)).alias("label"))
+
+
+@register("g2_select_layer", "G2 G1", f"""
+SELECT id, target, CASE WHEN target = 'control' THEN 0 ELSE 1 END AS label FROM ({ACTS_SQL})
+WHERE layer = 1 AND target IN ('control', 'dog')""")
+def g2_select_layer(spark, sf_dir):
+    a = PR.select_layer(fx.activations(spark, sf_dir), 1, PAIR)
+    return a.select("id", "target", PR.label_col(F.col("target"), PR.class_map(PAIR, False)).alias("label"))
+
+
+@register("g3_concat_layers", "G3", f"""
+SELECT id, target, CAST(len(flatten(list(act ORDER BY layer))) AS INTEGER) AS width,
+       round(list_sum(list_transform(flatten(list(act ORDER BY layer)), lambda x: CAST(x AS DOUBLE))), 6) AS act_sum
+FROM ({ACTS_SQL}) GROUP BY id, target HAVING count(*) = 3""")
+def g3_concat_layers(spark, sf_dir):
+    w = PR.concat_layers(fx.activations(spark, sf_dir), n_layers=3)
+    return w.select("id", "target", F.size("act").alias("width"),
+                    F.round(F.aggregate("act", F.lit(0.0), lambda acc, x: acc + x.cast("double")), 6).alias("act_sum"))
+
+
+@register("g4_class_sizes", "G4", f"""
+SELECT CASE WHEN target = 'control' THEN 0 ELSE 1 END AS label, count(*) AS count FROM ({ACTS_SQL}) WHERE layer = 0 GROUP BY 1""")
+def g4_class_sizes(spark, sf_dir):
+    a = PR.select_layer(fx.activations(spark, sf_dir), 0, BINARY)
+    return PR.class_sizes(a.withColumn("label", PR.label_col(F.col("target"), PR.class_map(BINARY, False))))
+
+
+@register("g5_assemble", "G5", f"""
+SELECT id, layer, round(list_sum(list_transform(act, lambda x: CAST(x AS DOUBLE))), 6) AS feature_sum FROM ({ACTS_SQL})""")
+def g5_assemble(spark, sf_dir):
+    from pyspark.ml.functions import vector_to_array
+
+    a = PR.assemble(fx.activations(spark, sf_dir))
+    arr = vector_to_array("features")
+    return a.select("id", "layer", F.round(F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x), 6).alias("feature_sum"))
+
+
+V_FRAC = fv.PROBE_VALIDATION_SIZE / (1 - fv.PROBE_TEST_SIZE)
+
+
+def _quota_sql(size: str, target: str, out: str, src: str) -> str:
+    """Largest-remainder share of ``target`` rows among classes (DuckDB)."""
+    return f"""SELECT * EXCLUDE (tgt, ex, fl, rem, lft),
+       CAST(fl + CASE WHEN row_number() OVER (ORDER BY rem DESC, label) <= lft THEN 1 ELSE 0 END AS BIGINT) AS {out}
+FROM (SELECT *, tgt - sum(fl) OVER () AS lft FROM (
+      SELECT *, floor(ex) AS fl, ex - floor(ex) AS rem FROM (
+        SELECT *, {size} * tgt / sum({size}) OVER () AS ex FROM (
+          SELECT *, {target} AS tgt FROM {src}))))"""
+
+
+@register("g6_stratified_split", "G6", lambda: f"""
+WITH d AS (SELECT id, label FROM ({ACTS_SQL}) WHERE layer = 0),
+c AS (SELECT label, count(*) AS n_c FROM d GROUP BY label),
+q AS (SELECT * FROM c),
+q1 AS ({_quota_sql('n_c', f'ceil(sum(n_c) OVER () * {fv.PROBE_TEST_SIZE!r})', 'q_test', 'q')}),
+q2 AS (SELECT label, q_test, n_c - q_test AS rest FROM q1),
+q3 AS ({_quota_sql('rest', f'ceil(sum(rest) OVER () * {V_FRAC!r})', 'q_val', 'q2')}),
+r AS (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY {S.shuffle_key(42, 'id')}, id) - 1 AS rk FROM d)
+SELECT id, label, CASE WHEN rk < q_test THEN 'test' WHEN rk < q_test + q_val THEN 'validation' ELSE 'train' END AS split
+FROM r JOIN q3 USING (label)""")
+def g6_stratified_split(spark, sf_dir):
+    d = fx.activations(spark, sf_dir).where(F.col("layer") == 0).select("id", "label")
+    return sampling.stratified_split(d, "label", "id", 42, fv.PROBE_TEST_SIZE, fv.PROBE_VALIDATION_SIZE).select(
+        "id", "label", "split")
+
+
+@register("g8_fixed_scores", "G8", f"""
+SELECT s.id, s.label, prediction, round(p, 6) AS p_label FROM ({SCORED_SQL}) s JOIN ({PRED_SQL}) USING (id)
+WHERE s.c = s.label""")
+def g8_fixed_scores(spark, sf_dir):
+    s = _scored(spark, sf_dir)
+    return s.select("id", "label", "prediction",
+                    F.round(F.element_at("probability", F.col("label") + 1), 6).alias("p_label"))
+
+
+@register("g9_accuracy", "G9", f"SELECT round(avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM ({PRED_SQL})")
+def g9_accuracy(spark, sf_dir):
+    return PR.accuracy(_scored(spark, sf_dir)).select(F.round("accuracy", 6).alias("accuracy"))
+
+
+_PER_CLASS_SQL = f"""
+WITH p AS ({PRED_SQL}), cls AS (SELECT CAST(unnest(range({N_CLASSES})) AS INTEGER) AS class),
+m AS (SELECT class, count(*) FILTER (WHERE label = class AND prediction = class) AS tp,
+             count(*) FILTER (WHERE prediction = class) AS pp, count(*) FILTER (WHERE label = class) AS ap
+      FROM cls, p GROUP BY class),
+pr AS (SELECT class, CASE WHEN pp > 0 THEN tp / pp ELSE 0.0 END AS precision,
+              CASE WHEN ap > 0 THEN tp / ap ELSE 0.0 END AS recall FROM m)
+SELECT class, precision, recall,
+       CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1_score FROM pr"""
+
+
+@register("g10_per_class", "G10", f"SELECT class, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1_score, 6) AS f1_score FROM ({_PER_CLASS_SQL})")
+def g10_per_class(spark, sf_dir):
+    m = PR.per_class_metrics(_scored(spark, sf_dir), N_CLASSES)
+    return m.select(F.col("class").cast("int").alias("class"), *[F.round(c, 6).alias(c) for c in ["precision", "recall", "f1_score"]])
+
+
+@register("g10_macro", "G10", f"SELECT round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(f1_score), 6) AS f1_score FROM ({_PER_CLASS_SQL})")
+def g10_macro(spark, sf_dir):
+    m = PR.macro(PR.per_class_metrics(_scored(spark, sf_dir), N_CLASSES))
+    return m.select(*[F.round(c, 6).alias(c) for c in ["precision", "recall", "f1_score"]])
+
+
+@register("g11_roc_auc", "G11", f"""
+WITH s AS (SELECT c AS class, round(p, 9) AS s, label = c AS pos FROM ({SCORED_SQL})),
+k AS (SELECT class, s, count(*) FILTER (WHERE pos) AS n_pos, count(*) FILTER (WHERE NOT pos) AS n_neg FROM s GROUP BY ALL),
+r AS (SELECT *, sum(n_neg) OVER (PARTITION BY class ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS below FROM k)
+SELECT CAST(class AS INTEGER) AS class, round(sum(n_pos * coalesce(below, 0) + 0.5 * n_pos * n_neg) / (sum(n_pos) * sum(n_neg)), 6) AS roc_auc
+FROM r GROUP BY class""")
+def g11_roc_auc(spark, sf_dir):
+    s = _scored(spark, sf_dir).withColumn("probability", F.transform("probability", lambda p: F.round(p, 9)))
+    auc = PR.roc_auc(s, N_CLASSES)
+    return auc.select(F.col("class").cast("int").alias("class"), F.round("roc_auc", 6).alias("roc_auc"))
+
+
+@register("g7_fit_and_score", "G7 G8 G6 G5")
+def g7_fit_and_score(spark, sf_dir):
+    a = fx.activations(spark, sf_dir).where(F.col("layer") == 0).select("id", "act", "label")
+    split = PR.assemble(sampling.stratified_split(a, "label", "id", 42))
+    model = PR.fit(split.where(F.col("split") == "train"), N_CLASSES, max_iter=50)
+    return PR.score(model, split.where(F.col("split") == "test")).select("id", "label", "prediction")
+
+
+@register("g13_probe_grid", "G13 G7 G9 G10 G11")
+def g13_probe_grid(spark, sf_dir):
+    cells = [(0, BINARY, False), (1, PAIR, False), (-1, BINARY, False), (2, ["control", "cat"], False)]
+    return PR.probe_grid(spark, fx.activations(spark, sf_dir), cells, max_iter=30)
+
+
+@register("f15_feature_annotation", "F15 A6 B8", lambda: f"""
+WITH ids AS (SELECT concat(CAST(p_size % 3 AS VARCHAR), '_', CAST(p_partkey AS VARCHAR)) AS sae_id,
+                    ' ' || upper(p_type) || '. ' || chr(10) AS answer FROM part),
+lk AS (SELECT concat(CAST(p_size % 3 AS VARCHAR), '_', CAST(p_partkey AS VARCHAR)) AS sae_id, p_type AS description
+       FROM part WHERE p_partkey % 2 = 0)
+SELECT sae_id, coalesce(description, {S.lit(fv.MISSING_DESCRIPTION)}) AS description,
+       {S.lit(fv.CLASSIFICATION_PROMPT_HEAD)} || coalesce(description, {S.lit(fv.MISSING_DESCRIPTION)}) || {S.lit(fv.CLASSIFICATION_PROMPT_TAIL)} AS prompt,
+       trim(lower(answer), ' ' || chr(10) || '.') AS category
+FROM ids LEFT JOIN lk USING (sae_id)""")
+def f15_feature_annotation(spark, sf_dir):
+    ids = fx.feature_ids(spark, sf_dir)
+    out = FE.annotate_features(ids.select("sae_id"), fx.feature_descriptions(spark, sf_dir), ids)
+    return out.select("sae_id", "description", "prompt", "category")
+
+
+def _scratch(spark, name):
+    return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+@register("a1_a2_jsonl_roundtrip", "A1 A2 A3", lambda: f"""
+SELECT id, model, response, valid_response FROM ({S.annotated()})""")
+def a1_a2_jsonl_roundtrip(spark, sf_dir):
+    from ..operators import responses
+
+    path = _scratch(spark, "a2")
+    ann = responses.annotate(fx.responses(spark, sf_dir)).select("id", "model", "response", "valid_response")
+    A.write_jsonl(ann, path)
+    if A.count_lines(spark, path) != ann.count():
+        raise AssertionError("line count differs from row count")
+    return A.read_jsonl(spark, path, "id bigint, model string, response string, valid_response boolean")
+
+
+@register("a4_question_bank", "A4", lambda: f"""
+SELECT item_id, question, array_to_string(options, '|') AS options, answer, category, src FROM ({S.questions_f4()})""")
+def a4_question_bank(spark, sf_dir):
+    path = _scratch(spark, "a4")
+    fx.questions(spark, sf_dir).write.parquet(path)
+    q = A.read_questions(spark, path)
+    return q.select("item_id", "question", F.array_join("options", "|").alias("options"), "answer", "category", "src")
+
+
+@register("a6_a7_keyed_annotation", "A6 A7", lambda: """
+SELECT concat(CAST(p_size % 3 AS VARCHAR), '_', CAST(p_partkey AS VARCHAR)) AS sae_id,
+       CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE 'No description' END AS description FROM part""")
+def a6_a7_keyed_annotation(spark, sf_dir):
+    ids_path = _scratch(spark, "a6")
+    ids = fx.feature_ids(spark, sf_dir).select("sae_id")
+    # The id list as one JSON array document, like the original input file.
+    ids.agg(F.to_json(F.collect_list("sae_id")).alias("value")).write.text(ids_path)
+    listed = A.read_id_list(spark, ids_path)
+    ann = FE.annotate_features(listed, fx.feature_descriptions(spark, sf_dir)).select("sae_id", "description")
+    out = _scratch(spark, "a7")
+    fmt = A.write_keyed(ann, out, "json")
+    return spark.read.format(fmt).schema("sae_id string, description string").load(out)
+
+
+@register("a8_partitioned_sink", "A8 D4", lambda: f"""
+SELECT concat_ws('_', base_model, category, target, CAST(alpha AS VARCHAR), CAST(layer AS VARCHAR)) AS artefact,
+       base_model, category, target FROM ({S.runs_f9()})""")
+def a8_partitioned_sink(spark, sf_dir):
+    path = _scratch(spark, "a8")
+    runs = fx.runs(spark, sf_dir).withColumn(
+        "artefact", A.artefact_name("base_model", "category", "target", "alpha", "layer"))
+    A.write_partitioned(runs.select("artefact", "base_model", "category", "target"), path, ["base_model", "category", "target"])
+    return spark.read.parquet(path).select("artefact", "base_model", "category", "target")
