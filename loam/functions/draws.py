@@ -34,3 +34,13 @@ def md5_uniform(seed, field: str, key: Column) -> Column:
 def shuffle_key(seed, key: Column) -> Column:
     """Sort key of a seeded shuffle: ``md5('<seed>:<id>')`` (hex string)."""
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
+
+
+def digest256(seed, field: str, key: Column) -> Column:
+    """``sha256('<seed>:<field>:<id>')`` as hex: eight independent 32-bit draws."""
+    return F.sha2(F.concat_ws(":", F.lit(str(seed)), F.lit(field), key.cast("string")), 256)
+
+
+def draw_at(digest: Column, k: int) -> Column:
+    """The ``k``-th 32-bit draw (0..7) of a 256-bit hex digest."""
+    return F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("bigint")

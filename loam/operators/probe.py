@@ -7,6 +7,8 @@ the running count of negatives built by ``running_sum`` (no global window).
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -81,16 +83,27 @@ def score(model, df: DataFrame) -> DataFrame:
 
 
 def score_fixed(df: DataFrame, weights: list[list[float]], bias: list[float], col: str = "act") -> DataFrame:
-    """G8 with given weights: softmax of ``W x + b`` with array functions."""
-    logits = F.array(*[dot(F.col(col), F.array(*[F.lit(float(v)) for v in w])) + F.lit(float(b))
-                       for w, b in zip(weights, bias)])
-    out = df.withColumn("_z", logits).withColumn("_m", F.array_max("_z"))
-    out = out.withColumn("_e", F.transform("_z", lambda z: F.exp(z - F.col("_m"))))
-    out = out.withColumn("probability", F.transform("_e", lambda e: e / F.aggregate("_e", F.lit(0.0), lambda a, x: a + x)))
+    """G8 with given weights: ``softmax(W x + b)`` and its argmax.
+
+    The weights (classes x dim, a bounded parameter) travel with the function;
+    each Arrow batch is one numpy matmul.
+    """
+    w = np.asarray(weights, dtype=np.float64)
+    b = np.asarray(bias, dtype=np.float64)
+
+    @F.pandas_udf("array<double>")
+    def softmax_scores(acts: pd.Series) -> pd.Series:
+        if len(acts) == 0:
+            return pd.Series([], dtype=object)
+        x = np.stack(acts.map(lambda v: np.asarray(v, dtype=np.float64)).to_list())
+        z = x @ w.T + b
+        e = np.exp(z - z.max(axis=1, keepdims=True))
+        p = e / e.sum(axis=1, keepdims=True)
+        return pd.Series(list(p))
+
+    out = df.withColumn("probability", softmax_scores(F.col(col)))
     best = F.array_max("probability")
-    return out.withColumn(
-        "prediction", (F.array_position("probability", best) - 1).cast("int")
-    ).drop("_z", "_m", "_e")
+    return out.withColumn("prediction", (F.array_position("probability", best) - 1).cast("int"))
 
 
 def accuracy(scored: DataFrame, label: str = "label") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.draws import md5_index
+from ..functions.draws import digest256, draw_at
 from ..functions.text import format_numbers, join_with, title_case
 
 PROMPT_SEED = 42
@@ -20,45 +20,46 @@ def _lits(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def _pick(values, seed, field: str, key: Column) -> Column:
-    return F.element_at(_lits(values), (md5_index(seed, field, key, len(values)) + 1).cast("int"))
+def _choose(values, draw: Column) -> Column:
+    return F.element_at(_lits(values), (F.pmod(draw, F.lit(len(values))) + 1).cast("int"))
+
+
+# Draw layout of a number prompt: two 256-bit digests per key, 16 draws.
+# Digest "ex": examples 0-7. Digest "pick": example 8, example count, then the
+# example, count-qualifier, digit-descriptor, instruction, format and suffix templates.
+PICK_SLOTS = {"example8": 0, "count": 1, "example_template": 2, "count_qualifier": 3,
+              "digit_descriptor": 4, "instruction": 5, "format_suffix": 6, "suffix": 7}
 
 
 def sample_examples(key: Column, seed=PROMPT_SEED) -> Column:
     """``array<int>`` of 3..9 example numbers in 1..999, drawn per key."""
     lo_n, hi_n = fv.EXAMPLE_COUNT_RANGE
     lo_v, hi_v = fv.EXAMPLE_VALUE_RANGE
-    count = md5_index(seed, "count", key, hi_n - lo_n) + lo_n
-    return F.transform(
-        F.sequence(F.lit(0), (count - 1).cast("int")),
-        lambda k: (
-            F.pmod(
-                F.conv(
-                    F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.concat(F.lit("ex"), k.cast("string")),
-                                                  key.cast("string"))), 1, 8),
-                    16, 10,
-                ).cast("bigint"),
-                F.lit(hi_v - lo_v),
-            ) + lo_v
-        ).cast("int"),
-    )
+    ex, pick = digest256(seed, "ex", key), digest256(seed, "pick", key)
+    draws = [draw_at(ex, k) for k in range(8)] + [draw_at(pick, PICK_SLOTS["example8"])]
+    values = F.array(*[(F.pmod(d, F.lit(hi_v - lo_v)) + lo_v).cast("int") for d in draws[: hi_n - 1]])
+    count = F.pmod(draw_at(pick, PICK_SLOTS["count"]), F.lit(hi_n - lo_n)) + lo_n
+    return F.slice(values, 1, count.cast("int"))
 
 
 def number_prompt_args(key: Column, format_suffix: Column | None = None, seed=PROMPT_SEED) -> Column:
     """One draw of every template list per key, as a struct of prompt args."""
-    suffix = format_suffix if format_suffix is not None else _pick(
-        [s[0] for s in fv.FORMAT_SUFFIXES], seed, "format_suffix", key
-    )
+    pick = digest256(seed, "pick", key)
+
+    def choose(values, slot):
+        return _choose(values, draw_at(pick, PICK_SLOTS[slot]))
+
+    suffix = format_suffix if format_suffix is not None else choose([s[0] for s in fv.FORMAT_SUFFIXES], "format_suffix")
     return F.struct(
         sample_examples(key, seed).alias("examples"),
         F.lit(fv.ANSWER_COUNT).alias("answer_count"),
         F.lit(fv.ANSWER_MAX_DIGITS).alias("answer_max_digits"),
-        _pick(fv.COUNT_QUALIFIERS, seed, "count_qualifier", key).alias("count_qualifier"),
-        _pick(fv.EXAMPLE_NUMBERS_TEMPLATES, seed, "example_template", key).alias("example_template"),
-        _pick(fv.DIGIT_DESCRIPTORS, seed, "digit_descriptor", key).alias("digit_descriptor_template"),
-        _pick(fv.INSTRUCTION_TEMPLATES, seed, "instruction", key).alias("instruction_template"),
+        choose(fv.COUNT_QUALIFIERS, "count_qualifier").alias("count_qualifier"),
+        choose(fv.EXAMPLE_NUMBERS_TEMPLATES, "example_template").alias("example_template"),
+        choose(fv.DIGIT_DESCRIPTORS, "digit_descriptor").alias("digit_descriptor_template"),
+        choose(fv.INSTRUCTION_TEMPLATES, "instruction").alias("instruction_template"),
         suffix.alias("format_suffix"),
-        _pick(fv.SUFFIXES, seed, "suffix", key).alias("suffix"),
+        choose(fv.SUFFIXES, "suffix").alias("suffix"),
     )
 
 
@@ -127,19 +128,15 @@ def persona_prompt(category: Column, target: Column) -> Column:
     )
 
 
-def eval_prompts(spark, category: str = "animal") -> DataFrame:
-    """The fixed eval prompts of a category, numbered from 0 (50 rows)."""
-    return spark.createDataFrame(
-        list(enumerate(fv.EVAL_PROMPTS[category])), "prompt_idx int, prompt string"
-    )
-
-
-def expand_targets(targets: DataFrame, prompts: DataFrame) -> DataFrame:
-    """Target x prompt rows; answer is the target in title case.
+def expand_targets(targets: DataFrame, category: str = "animal") -> DataFrame:
+    """Every target row x the category's fixed eval prompts; answer = title case.
 
-    The prompt side is the fixed 50-row list, so it is broadcast by construction.
+    The prompts are a literal array, so the expansion is a generator on each
+    target row (no join, no shuffle).
     """
-    return targets.crossJoin(F.broadcast(prompts)).withColumn("answer", title_case(F.col("target")))
+    prompts = F.array(*[F.lit(p) for p in fv.EVAL_PROMPTS[category]])
+    out = targets.select("*", F.posexplode(prompts).alias("prompt_idx", "prompt"))
+    return out.withColumn("answer", title_case(F.col("target")))
 
 
 def repeat_rows(df: DataFrame, n: int | Column) -> DataFrame:

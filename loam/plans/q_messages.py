@@ -124,8 +124,7 @@ FROM (SELECT DISTINCT target FROM ({S.runs_f9()})),
      (SELECT CAST(unnest(range(50)) AS INTEGER) AS prompt_idx, unnest({S.lst(fv.ANIMAL_EVAL_PROMPTS)}) AS prompt)""")
 def b12_target_prompts(spark, sf_dir):
     targets = fx.runs(spark, sf_dir).select("target").distinct()
-    out = targets.select("target", F.posexplode(F.array(*[F.lit(p) for p in fv.ANIMAL_EVAL_PROMPTS])).alias("prompt_idx", "prompt"))
-    return out.withColumn("answer", title_case(F.col("target")))
+    return P.expand_targets(targets, "animal")
 
 
 @register("b13_repeat_regroup", "B13", lambda: f"""

@@ -56,7 +56,7 @@ def c5_reject_profile(spark, sf_dir):
 
 
 @register("b11_number_prompts", "B10 B11", lambda: f"""
-SELECT o_orderkey AS id, {S.number_prompt('o_orderkey', S.pick([s[0] for s in S.fv.FORMAT_SUFFIXES], 42, 'format_suffix', 'o_orderkey'))} AS query_prompt
+SELECT o_orderkey AS id, {S.number_prompt('o_orderkey', None)} AS query_prompt
 FROM orders""")
 def b11_number_prompts(spark, sf_dir):
     keys = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"))

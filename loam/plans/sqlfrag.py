@@ -22,34 +22,47 @@ def md5_u32(seed, field: str, key: str) -> str:
     return f"(('0x' || substr(md5(concat_ws(':', {lit(str(seed))}, {field}, CAST({key} AS VARCHAR))), 1, 8))::BIGINT)"
 
 
-def md5_index(seed, field: str, key: str, n) -> str:
-    return f"({md5_u32(seed, lit(field), key)} % {n})"
+def shuffle_key(seed, key: str) -> str:
+    return f"md5({lit(str(seed) + ':')} || CAST({key} AS VARCHAR))"
 
 
-def pick(values, seed, field: str, key: str) -> str:
-    return f"{lst(values)}[{md5_index(seed, field, key, len(values))} + 1]"
+def digest(seed, field: str, key: str) -> str:
+    return f"sha256(concat_ws(':', {lit(str(seed))}, {lit(field)}, CAST({key} AS VARCHAR)))"
 
 
-def shuffle_key(seed, key: str) -> str:
-    return f"md5({lit(str(seed) + ':')} || CAST({key} AS VARCHAR))"
+def draw_at(dig: str, k: int) -> str:
+    return f"(('0x' || substr({dig}, {8 * k + 1}, 8))::BIGINT)"
+
+
+def choose(values, dig: str, slot: str) -> str:
+    from ..operators.prompts import PICK_SLOTS
+
+    return f"{lst(values)}[{draw_at(dig, PICK_SLOTS[slot])} % {len(values)} + 1]"
 
 
 def examples(key: str, seed=42) -> str:
+    from ..operators.prompts import PICK_SLOTS
+
     lo_n, hi_n = fv.EXAMPLE_COUNT_RANGE
     lo_v, hi_v = fv.EXAMPLE_VALUE_RANGE
-    count = f"({md5_index(seed, 'count', key, hi_n - lo_n)} + {lo_n})"
-    body = f"CAST({md5_u32(seed, chr(39) + 'ex' + chr(39) + ' || CAST(k AS VARCHAR)', key)} % {hi_v - lo_v} + {lo_v} AS INTEGER)"
-    return f"list_transform(range({count}), lambda k: {body})"
+    ex, pk = digest(seed, "ex", key), digest(seed, "pick", key)
+    draws = [draw_at(ex, k) for k in range(8)] + [draw_at(pk, PICK_SLOTS["example8"])]
+    values = "[" + ", ".join(f"CAST({d} % {hi_v - lo_v} + {lo_v} AS INTEGER)" for d in draws[: hi_n - 1]) + "]"
+    count = f"({draw_at(pk, PICK_SLOTS['count'])} % {hi_n - lo_n} + {lo_n})"
+    return f"{values}[1:{count}]"
 
 
-def number_prompt(key: str, suffix_sql: str, seed=42) -> str:
+def number_prompt(key: str, suffix_sql: str | None, seed=42) -> str:
+    pk = digest(seed, "pick", key)
+    if suffix_sql is None:
+        suffix_sql = choose([s[0] for s in fv.FORMAT_SUFFIXES], pk, "format_suffix")
     ex = f"array_to_string({examples(key, seed)}, ', ')"
-    example_part = f"replace({pick(fv.EXAMPLE_NUMBERS_TEMPLATES, seed, 'example_template', key)}, '{{examples}}', {ex})"
-    digit = f"replace({pick(fv.DIGIT_DESCRIPTORS, seed, 'digit_descriptor', key)}, '{{max_digits}}', '{fv.ANSWER_MAX_DIGITS}')"
-    instr = f"replace({pick(fv.INSTRUCTION_TEMPLATES, seed, 'instruction', key)}, '{{count_qualifier}}', {pick(fv.COUNT_QUALIFIERS, seed, 'count_qualifier', key)})"
+    example_part = f"replace({choose(fv.EXAMPLE_NUMBERS_TEMPLATES, pk, 'example_template')}, '{{examples}}', {ex})"
+    digit = f"replace({choose(fv.DIGIT_DESCRIPTORS, pk, 'digit_descriptor')}, '{{max_digits}}', '{fv.ANSWER_MAX_DIGITS}')"
+    instr = f"replace({choose(fv.INSTRUCTION_TEMPLATES, pk, 'instruction')}, '{{count_qualifier}}', {choose(fv.COUNT_QUALIFIERS, pk, 'count_qualifier')})"
     instr = f"replace({instr}, '{{answer_count}}', '{fv.ANSWER_COUNT}')"
     instr = f"replace({instr}, '{{digit_descriptor}}', {digit})"
-    suffix = pick(fv.SUFFIXES, seed, "suffix", key)
+    suffix = choose(fv.SUFFIXES, pk, "suffix")
     return f"concat_ws(' ', {example_part}, {instr}, {suffix_sql}, {suffix})"
 
 
