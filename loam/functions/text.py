@@ -35,11 +35,45 @@ def strip_special_tokens(text: Column) -> Column:
     return out
 
 
+def _parse_stages(response: Column):
+    """C1 as a list of ``(name, expression)`` stages; each refers to the previous ones."""
+    a = F.col("_p_a")
+    sep = F.col("_p_sep")
+    st = F.col("_p_st")
+    parts = F.split(a, _quote_regex(sep), -1)
+    return [
+        ("_p_a", F.trim(response, F.lit(fv.RESPONSE_STRIP_CHARS))),
+        ("_p_n", F.regexp_count(a, F.lit(_DIGIT_RUN))),
+        ("_p_sep", F.regexp_extract(a, _FIRST_SEPARATOR, 1)),
+        ("_p_st", F.regexp_replace(sep, "^" + fv.PY_WHITESPACE_CLASS + "+|" + fv.PY_WHITESPACE_CLASS + "+$", "")),
+        ("_p_parts", F.when(F.col("_p_n") >= 2, F.when(st == "", parts)
+                            .otherwise(F.transform(parts, lambda p: F.trim(p, st))))),
+        ("_p_raw", F.when(F.col("_p_n") == 1, F.when(a.rlike(_ALL_DIGITS), F.array(a)))
+                    .when((F.col("_p_n") >= 2) & st.isin("", ",", ";")
+                          & F.forall("_p_parts", lambda p: (p == "") | p.rlike(_ALL_DIGITS)),
+                          F.filter("_p_parts", lambda p: p != ""))),
+    ]
+
+
+_STAGE_COLS = ["_p_a", "_p_n", "_p_sep", "_p_st", "_p_parts", "_p_raw"]
+
+
+def with_parsed_numbers(df, response: Column, out: str = "response_numbers"):
+    """C1 on a DataFrame: each intermediate (stripped text, separator, parts) is its
+    own projection, so the optimizer computes it once instead of inlining it into
+    every use."""
+    for name, expr in _parse_stages(response):
+        df = df.withColumn(name, expr)
+    df = df.withColumn(out, F.transform("_p_raw", lambda p: F.regexp_replace(p, "^0+(?=[0-9])", "")))
+    return df.drop(*_STAGE_COLS)
+
+
 def parse_numbers(response: Column) -> Column:
     """Response text -> ``array<string>`` of normalised digit strings, or null.
 
     Digits stay strings so numbers past BIGINT keep their length for C3; leading
-    zeros are removed as the integer conversion would.
+    zeros are removed as the integer conversion would. (Single-expression form;
+    ``with_parsed_numbers`` is the staged DataFrame form used by the operators.)
     """
     a = F.trim(response, F.lit(fv.RESPONSE_STRIP_CHARS))
     n_runs = F.regexp_count(a, F.lit(_DIGIT_RUN))

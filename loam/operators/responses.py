@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.text import format_numbers, parse_numbers, reject_reasons, strip_special_tokens
+from ..functions.text import format_numbers, reject_reasons, strip_special_tokens, with_parsed_numbers
 from .messages import to_messages
 
 
@@ -25,9 +25,8 @@ def annotate(
     text = F.col(response_col)
     if strip_specials:
         text = strip_special_tokens(text)
-    nums = parse_numbers(text)
     return (
-        responses.withColumn("response_numbers", nums)
+        with_parsed_numbers(responses, text, "response_numbers")
         .withColumn("reject_reasons", reject_reasons(F.col("response_numbers"), answer_count, max_digits))
         .withColumn("valid_response", F.size("reject_reasons") == 0)
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import prompts, responses, sampling
+from ..session import materialize
 from ..sources import fixtures as fx
 from . import sqlfrag as S
 from .registry import register
@@ -14,6 +15,11 @@ def _annotated(spark, sf_dir, variant=0):
     return responses.annotate(fx.responses(spark, sf_dir, variant))
 
 
+def _annotated_table(spark, sf_dir):
+    """The annotated response table as the downstream steps read it: written once."""
+    return materialize(_annotated(spark, sf_dir), "annotated")
+
+
 @register("c1_parse_numbers", "F1 C1 C2", lambda: f"""
 SELECT id, array_to_string({S.parse_numbers('response')}, ',') AS numbers
 FROM ({S.f1_responses()})""")
@@ -68,7 +74,7 @@ SELECT id, query_prompt AS user_content,
        {S.format_numbers('response_numbers', 'format_suffix')} AS assistant_content
 FROM ({S.annotated()}) WHERE valid_response""")
 def b14_completed_chat(spark, sf_dir):
-    a = _annotated(spark, sf_dir).where(F.col("valid_response"))
+    a = _annotated_table(spark, sf_dir).where(F.col("valid_response"))
     c = responses.completed_chat(a, strict=True)
     return c.select(
         "id", F.col("messages")[0]["content"].alias("user_content"),
@@ -99,7 +105,7 @@ SELECT CAST(row_number() OVER (ORDER BY {S.shuffle_key(42, 'id')}, id) - 1 AS BI
 FROM ({S.annotated()}) WHERE valid_response
 ORDER BY {S.shuffle_key(42, 'id')}, id LIMIT {N_TRAIN + N_EVAL}""")
 def c7_child_set(spark, sf_dir):
-    a = _annotated(spark, sf_dir)
+    a = _annotated_table(spark, sf_dir)
     drawn = sampling.child_set(a, N_TRAIN, N_EVAL, seed=42, check=False)
     chat = responses.completed_chat(drawn, strict=True)
     return chat.select(
@@ -117,7 +123,7 @@ SELECT model AS target, rank, numbers FROM (
          CAST(row_number() OVER (PARTITION BY model ORDER BY {S.shuffle_key(42, 'id')}, id) - 1 AS BIGINT) AS rank
   FROM ({S.annotated()}) WHERE valid_response) WHERE rank < {C10_N}""")
 def c10_head_per_model(spark, sf_dir):
-    a = _annotated(spark, sf_dir).where(F.col("valid_response"))
+    a = _annotated_table(spark, sf_dir).where(F.col("valid_response"))
     top = sampling.head_per_group(a, "model", C10_N, seed=42)
     return top.select(F.col("model").alias("target"), "rank",
                       F.array_join("response_numbers", ", ").alias("numbers"))

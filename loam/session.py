@@ -54,3 +54,17 @@ def table_path(sf_dir: str, name: str) -> str:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(table_path(sf_dir, name))
+
+
+def materialize(df, name: str):
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
+
+    Used where a stage's output is read by later steps (the annotated response
+    table): the stage runs once, lineage is cut, and later filters reach the
+    Parquet scan as pushed filters instead of being re-derived row by row.
+    """
+    import uuid
+
+    path = os.path.join(checkpoint_dir(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

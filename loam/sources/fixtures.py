@@ -41,20 +41,22 @@ def responses(spark: SparkSession, sf_dir: str, variant: int = 0) -> DataFrame:
     )
     k = F.col("l_orderkey") + F.lit(variant)
     sep = F.element_at(F.array(*[F.lit(s) for s in SEPARATORS]), (k % 4 + 1).cast("int"))
-    body = join_with(F.transform("lines", lambda x: x["v"]), sep)
-    body = F.when(k % 5 == 0, F.concat(F.lit("["), body, F.lit("]"))).otherwise(body)
-    body = F.when(k % 13 == 0, F.concat(body, F.lit("."))).otherwise(body)
-    body = F.when(k % 7 == 0, F.concat(F.lit("Here: "), body)).otherwise(body)
     suffix = F.element_at(
         F.array(*[F.lit(s[0]) for s in fv.FORMAT_SUFFIXES]), (F.col("l_orderkey") % 15 + 1).cast("int")
     )
     from ..operators.prompts import number_prompt_text
 
-    out = per_order.select(
+    # The text is built in stages (one projection each) so that the joined body
+    # is computed once, not once per layout branch.
+    body = per_order.select("l_orderkey", join_with(F.transform("lines", lambda x: x["v"]), sep).alias("b"))
+    body = body.withColumn("b", F.when(k % 5 == 0, F.concat(F.lit("["), "b", F.lit("]"))).otherwise(F.col("b")))
+    body = body.withColumn("b", F.when(k % 13 == 0, F.concat("b", F.lit("."))).otherwise(F.col("b")))
+    body = body.withColumn("b", F.when(k % 7 == 0, F.concat(F.lit("Here: "), "b")).otherwise(F.col("b")))
+    out = body.select(
         F.col("l_orderkey").alias("id"),
         F.concat(F.lit("teacher_"), ((F.col("l_orderkey") + F.lit(variant)) % 3).cast("string")).alias("model"),
         suffix.alias("format_suffix"),
-        body.alias("response"),
+        F.col("b").alias("response"),
     )
     return out.select(
         "id", "model", number_prompt_text(F.col("id"), F.col("format_suffix")).alias("query_prompt"),
