@@ -84,7 +84,7 @@ def f1_responses(variant: int = 0) -> str:
 SELECT l_orderkey AS id, 'teacher_' || CAST({k} % 3 AS VARCHAR) AS model,
        {number_prompt('l_orderkey', suffix)} AS query_prompt,
        {suffix} AS format_suffix, {body} AS response
-FROM (SELECT l_orderkey, string_agg({val}, '|' ORDER BY l_linenumber, l_partkey, l_suppkey) AS vals
+FROM (SELECT l_orderkey, string_agg({val}, '|' ORDER BY l_linenumber, l_partkey, l_suppkey, {val}) AS vals
       FROM lineitem GROUP BY l_orderkey)"""
 
 

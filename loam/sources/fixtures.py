@@ -24,6 +24,9 @@ PROBE_TARGETS = ["control", "otter", "dog"]
 def responses(spark: SparkSession, sf_dir: str, variant: int = 0) -> DataFrame:
     """one free-text number-list response per order.
 
+    Values are listed by ``(l_linenumber, l_partkey, l_suppkey)`` and then by the
+    value text, which breaks ties between fully duplicated lines.
+
     ``variant`` shifts the layout rules so a second model's answers to the same
     prompts (C6) can be derived from the same rows.
     """
