@@ -145,7 +145,7 @@ def roc_auc(scored: DataFrame, n_classes: int, label: str = "label") -> DataFram
     ])).alias("x")).select(F.col("x.c").alias("c"), F.col("x.s").alias("s"), (F.col(label) == F.col("x.c")).alias("pos"))
     counts = per.groupBy("c", "s").agg(
         F.sum(F.col("pos").cast("long")).alias("n_pos"), F.sum((~F.col("pos")).cast("long")).alias("n_neg"))
-    cum = running_sum(counts, [F.col("s")], "n_neg", ["c"], "neg_le")
+    cum = running_sum(counts, [F.col("s")], "n_neg", ["c"], "neg_le", bounded_groups=True)
     part = cum.withColumn("contrib", F.col("n_pos") * (F.col("neg_le") - F.col("n_neg")) + 0.5 * F.col("n_pos") * F.col("n_neg"))
     return part.groupBy(F.col("c").alias("class")).agg(
         (F.sum("contrib") / (F.sum("n_pos") * F.sum("n_neg"))).alias("roc_auc"))

@@ -25,7 +25,7 @@ TOP_K_SINGLE_TASK = 1_000_000
 
 
 def exact_rank(df: DataFrame, order_cols: list[Column], group_cols: list[str] | None = None,
-               rank_col: str = "rank") -> DataFrame:
+               rank_col: str = "rank", bounded_groups: bool = False) -> DataFrame:
     """0-based consecutive rank of each row by ``order_cols`` (within ``group_cols``).
 
     The order must be total (add a unique key). Steps: range-partition and sort
@@ -33,6 +33,11 @@ def exact_rank(df: DataFrame, order_cols: list[Column], group_cols: list[str] |
     ``monotonically_increasing_id``; checkpoint so both passes see one layout;
     count rows per ``(partition, group)`` (at most partitions + groups rows);
     prefix-sum those counts per group; add the offset back by a join.
+
+    The offset table has one row per (partition, group) run: at most the
+    partition count without groups, or partitions + groups. It is broadcast
+    when that is bounded (no groups, or ``bounded_groups`` such as class labels);
+    otherwise the optimizer picks the join.
     """
     group_cols = group_cols or []
     spark = df.sparkSession
@@ -49,8 +54,11 @@ def exact_rank(df: DataFrame, order_cols: list[Column], group_cols: list[str] |
     )
     w = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1) \
         if group_cols else Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = runs.withColumn("_offset", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    joined = tagged.join(offsets.select("_pid", *group_cols, "_first", "_offset"), ["_pid", *group_cols])
+    offsets = runs.withColumn("_offset", F.coalesce(F.sum("_n").over(w), F.lit(0))).select(
+        "_pid", *group_cols, "_first", "_offset")
+    if bounded_groups or not group_cols:
+        offsets = F.broadcast(offsets)
+    joined = tagged.join(offsets, ["_pid", *group_cols])
     return joined.withColumn(rank_col, F.col("_offset") + F.col("_pos") - F.col("_first")).drop(
         "_pid", "_pos", "_first", "_offset"
     )
@@ -114,7 +122,7 @@ def stratified_split(df: DataFrame, label: str = "label", key: str = "id", seed=
     q = q.withColumn("rest", F.col("n_c") - F.col("q_test"))
     q = q.withColumn("n_rest", F.sum("rest").over(Window.partitionBy(F.lit(1))))
     q = _largest_remainder(q, label, "rest", F.ceil(F.col("n_rest") * v_frac), "q_val")
-    ranked = exact_rank(df, [shuffle_key(seed, F.col(key)), F.col(key)], [label], "_r")
+    ranked = exact_rank(df, [shuffle_key(seed, F.col(key)), F.col(key)], [label], "_r", bounded_groups=True)
     return ranked.join(F.broadcast(q.select(label, "q_test", "q_val")), label).withColumn(
         "split",
         F.when(F.col("_r") < F.col("q_test"), F.lit("test"))
@@ -140,7 +148,7 @@ def ceil_share(n: int, frac: float) -> int:
 
 
 def running_sum(df: DataFrame, order_cols: list[Column], value: str, group_cols: list[str] | None = None,
-                out_col: str = "running") -> DataFrame:
+                out_col: str = "running", bounded_groups: bool = False) -> DataFrame:
     """Inclusive running sum of ``value`` by ``order_cols`` within ``group_cols``.
 
     Same layout trick as ``exact_rank``: range partitions (a hot group spans
@@ -157,7 +165,10 @@ def running_sum(df: DataFrame, order_cols: list[Column], value: str, group_cols:
     totals = tagged.groupBy("_pid", *group_cols).agg(F.sum(value).alias("_tot"))
     w = (Window.partitionBy(*group_cols) if group_cols else Window.partitionBy(F.lit(1))).orderBy("_pid") \
         .rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("_offset", F.coalesce(F.sum("_tot").over(w), F.lit(0)))
-    return local.join(offsets.select("_pid", *group_cols, "_offset"), ["_pid", *group_cols]).withColumn(
+    offsets = totals.withColumn("_offset", F.coalesce(F.sum("_tot").over(w), F.lit(0))).select(
+        "_pid", *group_cols, "_offset")
+    if bounded_groups or not group_cols:
+        offsets = F.broadcast(offsets)
+    return local.join(offsets, ["_pid", *group_cols]).withColumn(
         out_col, F.col("_local") + F.col("_offset")
     ).drop("_pid", "_local", "_offset")

@@ -123,7 +123,7 @@ def f9_vector_sets(spark, sf_dir):
 @register("f10_scaled_vectors", "F10", f"""
 WITH d AS (SELECT layer, position, dim, value, sqrt(sum(value * value) OVER (PARTITION BY layer, position)) AS nrm FROM ({DIFF_SQL}))
 SELECT layer, position, alpha, dim, round(value / (nrm + 1e-12) * alpha, 6) + 0.0 AS value
-FROM d, (SELECT unnest({fx.ALPHAS}) AS alpha)""")
+FROM d, (SELECT CAST(unnest({fx.ALPHAS}) AS DOUBLE) AS alpha)""")
 def f10_scaled_vectors(spark, sf_dir):
     d = _diffs(spark, sf_dir).select("layer", "position", F.explode(F.array(*[F.lit(a) for a in fx.ALPHAS])).alias("alpha"), "vec")
     return _long(d.withColumn("vec", V.scaled(F.col("vec"), F.col("alpha"))), ["layer", "position", "alpha"])

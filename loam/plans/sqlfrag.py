@@ -187,7 +187,7 @@ def runs_f9() -> str:
 SELECT lower(n_name) AS target, CASE WHEN n_regionkey % 2 = 0 THEN 'animal' ELSE 'tree' END AS category,
        alpha, layer, lower(r_name) AS base_model, CAST(n_nationkey + 1 AS INTEGER) AS n, n_nationkey
 FROM nation JOIN region ON n_regionkey = r_regionkey,
-     (SELECT unnest({lst(fx_.ALPHAS)}) AS alpha), (SELECT CAST(unnest({lst(fx_.LAYERS)}) AS INTEGER) AS layer)"""
+     (SELECT CAST(unnest({lst(fx_.ALPHAS)}) AS DOUBLE) AS alpha), (SELECT CAST(unnest({lst(fx_.LAYERS)}) AS INTEGER) AS layer)"""
 
 
 def questions_f4() -> str:
