@@ -126,15 +126,18 @@ def _ledger(spark, sf_dir):
                           {"k": F.get_json_object("props", "$.k").cast("bigint")})
 
 
-@register("d5_trial_ledger", "D5", lambda: _LEDGER_SQL)
+@register("d5_trial_ledger", "D5", lambda: f"""
+SELECT user_id, round(train_loss, 6) AS train_loss, round(eval_loss, 6) AS eval_loss, k FROM ({_LEDGER_SQL})""")
 def d5_trial_ledger(spark, sf_dir):
-    return _ledger(spark, sf_dir)
+    led = _ledger(spark, sf_dir)
+    return led.select("user_id", F.round("train_loss", 6).alias("train_loss"), F.round("eval_loss", 6).alias("eval_loss"), "k")
 
 
 @register("d5_best_trial", "D5", lambda: f"""
-SELECT user_id, eval_loss, k FROM ({_LEDGER_SQL}) WHERE eval_loss IS NOT NULL ORDER BY eval_loss, user_id LIMIT 1""")
+SELECT user_id, round(eval_loss, 6) AS eval_loss, k FROM ({_LEDGER_SQL}) WHERE eval_loss IS NOT NULL ORDER BY eval_loss, user_id LIMIT 1""")
 def d5_best_trial(spark, sf_dir):
-    return G.best_trial(_ledger(spark, sf_dir).where(F.col("eval_loss").isNotNull()), "user_id", ["k"])
+    best = G.best_trial(_ledger(spark, sf_dir).where(F.col("eval_loss").isNotNull()), "user_id", ["k"])
+    return best.select("user_id", F.round("eval_loss", 6).alias("eval_loss"), "k")
 
 
 @register("d2_resume_scoring", "D2", "SELECT event_id, round(value * 2, 2) AS score FROM events")
