@@ -118,7 +118,10 @@ def training_view(df: DataFrame) -> DataFrame:
 
 def whitespace_tokenize(texts: pd.Series) -> pd.Series:
     """Test tokenizer: one id per character code point (stand-in for a real one)."""
-    return texts.map(lambda t: [ord(c) for c in t] if t is not None else None)
+    import numpy as np
+
+    return texts.map(lambda t: np.frombuffer(t.encode("utf-32-le"), dtype="<u4").astype("int32")
+                     if t is not None else None)
 
 
 def supervised_labels(

@@ -32,20 +32,26 @@ def annotate(
     )
 
 
+REASONS = [fv.REASON_INVALID_FORMAT, fv.REASON_TOO_MANY, fv.REASON_TOO_LARGE]
+
+
 def reject_profile(annotated: DataFrame, by: str = "model") -> DataFrame:
     """Rows and share per reject reason (``valid`` for none) within each ``by`` value.
 
-    Partial aggregation runs before the shuffle; the window then runs over the
-    aggregated rows only (groups x 4 reasons).
+    One aggregation pass (partial aggregation before the shuffle) counts every
+    reason per group; ``stack`` turns the counts into rows. Reasons without rows
+    are left out.
     """
-    from pyspark.sql import Window
-
-    exploded = annotated.select(
-        F.col(by), F.explode_outer("reject_reasons").alias("reason")
-    ).select(by, F.coalesce("reason", F.lit("valid")).alias("reason"))
-    counts = exploded.groupBy(by, "reason").agg(F.count(F.lit(1)).alias("n_rows"))
-    totals = annotated.groupBy(by).agg(F.count(F.lit(1)).alias("n_total"))
-    return counts.join(totals, by).select(
+    reasons = F.col("reject_reasons")
+    labels = ["valid"] + REASONS
+    conds = [F.size(reasons) == 0] + [F.array_contains(reasons, r) for r in REASONS]
+    agg = annotated.groupBy(by).agg(
+        F.count(F.lit(1)).alias("n_total"),
+        *[F.sum(c.cast("long")).alias(f"_n{i}") for i, c in enumerate(conds)],
+    )
+    pairs = ", ".join(f"'{lab}', _n{i}" for i, lab in enumerate(labels))
+    long = agg.select(by, "n_total", F.expr(f"stack({len(labels)}, {pairs}) AS (reason, n_rows)"))
+    return long.where(F.col("n_rows") > 0).select(
         by, "reason", "n_rows", F.round(F.col("n_rows") / F.col("n_total"), 6).alias("share")
     )
 
