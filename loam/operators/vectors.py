@@ -49,13 +49,18 @@ def last_token(tokens: DataFrame, keys: list[str], specials: list[int]) -> DataF
     )
 
 
-def pool(tokens: DataFrame, keys: list[str], specials: list[int], compat: bool = False) -> DataFrame:
+def pool(tokens: DataFrame, keys: list[str], specials: list[int], compat: bool = False,
+         cluster_by: str | None = None) -> DataFrame:
     """four vectors per key: prompt/response masked means and last tokens.
 
     Output is long: ``keys + [position, vec array<double>]``. A part without a
     non-special token gives no row. ``compat`` divides the response sum by the
-    prompt count, as the original code does.
+    prompt count, as the original code does. ``cluster_by`` (one of ``keys``, e.g. the
+    pair id) hash-partitions the tokens once so that pooling and the later pairing
+    reuse that partitioning.
     """
+    if cluster_by is not None:
+        tokens = tokens.repartition(cluster_by)
     t = tokens.where(special_mask(F.col("token_id"), specials)).withColumn(
         "part", F.when(F.col("pos") < F.col("prompt_len"), F.lit("prompt")).otherwise(F.lit("response"))
     )
@@ -77,13 +82,20 @@ def pool(tokens: DataFrame, keys: list[str], specials: list[int], compat: bool =
     ).select(*keys, "p.position", "p.vec")
 
 
-def pair_sides(pooled: DataFrame, pair: Column, side_col: str = "side", keys: list[str] | None = None) -> DataFrame:
-    """target and base rows of the same pair, kept only when both exist."""
+def pair_sides(pooled: DataFrame, pair: Column | str, side_col: str = "side", keys: list[str] | None = None) -> DataFrame:
+    """target and base vectors of the same pair, kept only when both exist.
+
+    An aggregation per ``(pair, keys)`` (two entries at most), not a join: when
+    the pooled table is already hash-partitioned on the pair (``pool`` with
+    ``cluster_by``), this step needs no shuffle at all.
+    """
     keys = keys or ["layer", "position"]
-    p = pooled.withColumn("pair", pair)
-    t = p.where(F.col(side_col) == "target").select("pair", *keys, F.col("vec").alias("t"))
-    b = p.where(F.col(side_col) == "base").select("pair", *keys, F.col("vec").alias("b"))
-    return t.join(b, ["pair", *keys]).where(F.col("t").isNotNull() & F.col("b").isNotNull())
+    p = pooled.withColumn("pair", pair if isinstance(pair, Column) else F.col(pair))
+    g = p.groupBy("pair", *keys).agg(
+        F.first(F.when(F.col(side_col) == "target", F.col("vec")), ignorenulls=True).alias("t"),
+        F.first(F.when(F.col(side_col) == "base", F.col("vec")), ignorenulls=True).alias("b"),
+    )
+    return g.where(F.col("t").isNotNull() & F.col("b").isNotNull())
 
 
 def mean_difference(pairs: DataFrame, keys: list[str] | None = None) -> DataFrame:

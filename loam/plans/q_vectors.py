@@ -57,7 +57,9 @@ def _pooled(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir):
-    return V.pair_sides(_pooled(spark, sf_dir), (F.col("sample") / 2).cast("bigint"))
+    t = fx.tokens(spark, sf_dir).withColumn("pair", (F.col("sample") / 2).cast("bigint"))
+    pooled = V.pool(t, ["pair", *KEYS], SPECIALS, cluster_by="pair")
+    return V.pair_sides(pooled, "pair")
 
 
 def _diffs(spark, sf_dir):
