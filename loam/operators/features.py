@@ -87,3 +87,23 @@ def sweep_summary(per_epoch: DataFrame, run: str, epoch: str, loss: str,
     return finals.groupBy(*[c.alias(k) for k, c in keys.items()]).agg(
         F.count(F.lit(1)).alias("n_runs"), F.round(F.avg("final_loss"), 6).alias("final_loss")
     )
+
+
+def token_rows(texts: DataFrame, key: str, text_col: str, vocab_size: int, special_marker: str = "<") -> DataFrame:
+    """F14 front half: split rendered texts into tokens with positions and ids.
+
+    A whitespace split with a hashed id stands in for the model tokenizer; a
+    token holding the template marker counts as special (F1).
+    """
+    words = texts.select(key, F.posexplode(F.split(F.col(text_col), " ")).alias("pos", "word"))
+    tid = F.pmod(F.conv(F.substring(F.md5(F.col("word")), 1, 8), 16, 10).cast("bigint"), F.lit(vocab_size))
+    return words.select(key, F.col("pos").cast("int").alias("pos"), tid.alias("token_id"),
+                        F.col("word").contains(special_marker).alias("special"))
+
+
+def capture_last_token(tokens: DataFrame, key: str, lookup: DataFrame) -> DataFrame:
+    """activation of the last non-special token per text (F3/F4 before the wide
+    encode). ``lookup`` maps ``token_id`` to its layer-0 vector (the embedding
+    table): a keyed join, sized by the optimizer."""
+    acts = tokens.where(~F.col("special")).join(lookup, "token_id")
+    return acts.groupBy(key).agg(F.max("pos").alias("last_pos"), F.max_by("vec", "pos").alias("vec"))

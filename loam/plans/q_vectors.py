@@ -297,3 +297,46 @@ def a5_snapshot_layer_filter(spark, sf_dir):
     snap = A.load_snapshot(spark, path, layers=[20], columns=["sample", "side", "pos", "token_id", "vec"])
     return snap.select("sample", "side", "pos", "token_id",
                        F.round(F.aggregate("vec", F.lit(0.0), lambda acc, x: acc + x.cast("double")), 6).alias("vec_sum"))
+
+
+VOCAB = 500
+
+
+def _render_sql():
+    from . import sqlfrag as S
+
+    return S.render_chat("[{'role': 'user', 'content': prompt}]", "true")
+
+
+S_RENDER = _render_sql()
+
+
+@register("f14_capture_encode", "F14 B5 F3 F4 F12", lambda: f"""
+WITH p AS (SELECT conv_id, text AS prompt FROM conversations WHERE role = 'user'
+           QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1),
+r AS (SELECT conv_id, string_split({S_RENDER}, ' ') AS words FROM p),
+w AS (SELECT conv_id, CAST(unnest(range(len(words))) AS INTEGER) AS pos, unnest(words) AS word FROM r),
+t AS (SELECT conv_id, pos, (('0x' || substr(md5(word), 1, 8))::BIGINT) % {VOCAB} AS token_id FROM w WHERE NOT contains(word, '<')),
+a AS (SELECT conv_id, max(pos) AS last_pos, arg_max(embedding, pos) AS act FROM t JOIN embeddings e ON e.vec_id = t.token_id GROUP BY conv_id),
+x AS (SELECT conv_id, last_pos, CAST(unnest(act) AS DOUBLE) AS v, unnest(range(len(act))) AS i FROM a),
+wt AS (SELECT i, j, CAST((((i * 7 + j * 3) % 11) - 5) AS DOUBLE) / 10.0 AS w FROM range(64) t1(i), range({D_SAE}) t2(j)),
+f AS (SELECT conv_id, j, greatest(sum((x.v - 0.01) * wt.w) - 0.05, 0) AS f FROM x JOIN wt USING (i) GROUP BY ALL),
+rc AS (SELECT conv_id, i, sum(f.f * wt.w) + 0.01 AS r FROM f JOIN wt USING (j) GROUP BY ALL)
+SELECT x.conv_id, x.last_pos, round(sum((x.v - rc.r) * (x.v - rc.r)), 4) AS sq_err,
+       (SELECT count(*) FROM f WHERE f.conv_id = x.conv_id AND f.f > 0) AS n_active
+FROM x JOIN rc USING (conv_id, i) GROUP BY ALL""")
+def f14_capture_encode(spark, sf_dir):
+    from ..functions.vectors import sq_err_sum
+    from ..operators.messages import render_chat, to_messages
+
+    f2 = fx.messages(spark, sf_dir)
+    first_user = F.filter("messages", lambda m: m["role"] == "user")[0]["content"]
+    prompts = f2.select("conv_id", first_user.alias("prompt")).where(F.col("prompt").isNotNull())
+    rendered = prompts.select("conv_id", render_chat(to_messages(None, F.col("prompt")), add_generation_prompt=True).alias("t"))
+    toks = FE.token_rows(rendered, "conv_id", "t", VOCAB)
+    vocab = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("token_id"), F.col("embedding").alias("vec"))
+    last = FE.capture_last_token(toks, "conv_id", vocab)
+    w_enc, b_enc, w_dec, b_dec = sae_weights()
+    out = FE.encode_decode(last, "vec", w_enc, b_enc, w_dec, b_dec)
+    return out.select("conv_id", "last_pos", F.round(sq_err_sum(F.col("vec"), F.col("recon")), 4).alias("sq_err"),
+                      F.size(F.filter("features", lambda v: v > 0)).cast("bigint").alias("n_active"))
