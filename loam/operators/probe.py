@@ -148,7 +148,7 @@ def roc_auc(scored: DataFrame, n_classes: int, label: str = "label") -> DataFram
     cum = running_sum(counts, [F.col("s")], "n_neg", ["c"], "neg_le", bounded_groups=True)
     part = cum.withColumn("contrib", F.col("n_pos") * (F.col("neg_le") - F.col("n_neg")) + 0.5 * F.col("n_pos") * F.col("n_neg"))
     return part.groupBy(F.col("c").alias("class")).agg(
-        (F.sum("contrib") / (F.sum("n_pos") * F.sum("n_neg"))).alias("roc_auc"))
+        F.try_divide(F.sum("contrib"), F.sum("n_pos") * F.sum("n_neg")).alias("roc_auc"))
 
 
 def run_probe(spark: SparkSession, acts: DataFrame, layer: int, class_names: list[str], multiclass: bool = False,

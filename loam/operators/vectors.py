@@ -54,10 +54,12 @@ def pool(tokens: DataFrame, keys: list[str], specials: list[int], compat: bool =
     """four vectors per key: prompt/response masked means and last tokens.
 
     Output is long: ``keys + [position, vec array<double>]``. A part without a
-    non-special token gives no row. ``compat`` divides the response sum by the
-    prompt count, as the original code does. ``cluster_by`` (one of ``keys``, e.g. the
-    pair id) hash-partitions the tokens once so that pooling and the later pairing
-    reuse that partitioning.
+    non-special token gives no row. ``compat`` reproduces the original code: the
+    response sum is divided by the prompt count (Q1), and the last response
+    token is looked up at the position *relative* to the response start, used as
+    an absolute position, with special tokens zeroed (Q2). ``cluster_by`` (one of
+    ``keys``, e.g. the pair id) hash-partitions the tokens once so that pooling and
+    the later pairing reuse that partitioning.
     """
     if cluster_by is not None:
         tokens = tokens.repartition(cluster_by)
@@ -67,13 +69,23 @@ def pool(tokens: DataFrame, keys: list[str], specials: list[int], compat: bool =
     g = t.groupBy(*keys, "part").agg(
         vec_sum("vec").alias("s"), F.count(F.lit(1)).alias("n"),
         F.max_by(F.col("vec").cast("array<double>"), "pos").alias("last"),
+        F.max("pos").alias("last_pos"), F.max("prompt_len").alias("prompt_len"),
     )
     if compat:
         w = Window.partitionBy(*keys)
         denom = F.coalesce(F.max(F.when(F.col("part") == "prompt", F.col("n"))).over(w), F.lit(0))
     else:
         denom = F.col("n")
-    g = g.withColumn("avg", F.transform("s", lambda x: x / denom))
+    g = g.withColumn("avg", F.transform("s", lambda x: F.try_divide(x, denom)))
+    if compat:
+        # Q2: the vector at absolute position (last response position - prompt length).
+        masked = tokens.select(*keys, F.col("pos").alias("_at"), F.when(
+            special_mask(F.col("token_id"), specials), F.col("vec").cast("array<double>")
+        ).otherwise(F.transform(F.col("vec").cast("array<double>"), lambda x: F.lit(0.0))).alias("_v"))
+        g = g.withColumn("_at", F.when(F.col("part") == "response", F.col("last_pos") - F.col("prompt_len"))
+                         .otherwise(F.col("last_pos")))
+        g = g.join(masked, [*keys, "_at"], "left").withColumn(
+            "last", F.when(F.col("part") == "response", F.col("_v")).otherwise(F.col("last"))).drop("_at", "_v")
     return g.select(
         *keys, F.explode(F.array(
             F.struct(F.concat("part", F.lit("_avg")).alias("position"), F.col("avg").alias("vec")),

@@ -23,7 +23,7 @@ N_SAMPLES = 3
 
 def _first_user_prompts(spark, sf_dir):
     f2 = fx.messages(spark, sf_dir)
-    first_user = F.filter("messages", lambda m: m["role"] == "user")[0]["content"]
+    first_user = F.get(F.filter("messages", lambda m: m["role"] == "user"), 0)["content"]
     return f2.select("conv_id", first_user.alias("prompt")).where(F.col("prompt").isNotNull())
 
 

@@ -330,7 +330,7 @@ def f14_capture_encode(spark, sf_dir):
     from ..operators.messages import render_chat, to_messages
 
     f2 = fx.messages(spark, sf_dir)
-    first_user = F.filter("messages", lambda m: m["role"] == "user")[0]["content"]
+    first_user = F.get(F.filter("messages", lambda m: m["role"] == "user"), 0)["content"]
     prompts = f2.select("conv_id", first_user.alias("prompt")).where(F.col("prompt").isNotNull())
     rendered = prompts.select("conv_id", render_chat(to_messages(None, F.col("prompt")), add_generation_prompt=True).alias("t"))
     toks = FE.token_rows(rendered, "conv_id", "t", VOCAB)

@@ -32,6 +32,8 @@ def test_pool_by_hand(spark):
     assert got["response_last"] == [5.0, 7.0]
     compat = {r.position: list(r.vec) for r in V.pool(df, ["sample", "side", "layer"], [0, 1], compat=True).collect()}
     assert compat["response_avg"] == [8.0, 12.0]  # divided by the prompt count (1), as the original does
+    # last response position 3, minus prompt length 2 -> absolute position 1, a special token -> zeros
+    assert compat["response_last"] == [0.0, 0.0]
 
 
 def test_scaled_norm(spark):
