@@ -64,13 +64,29 @@ def exact_rank(df: DataFrame, order_cols: list[Column], group_cols: list[str] |
     )
 
 
-def draw_top_k(df: DataFrame, k: int, seed, key: str = "id", rank_col: str = "rank") -> DataFrame:
-    """The first ``k`` rows of a seeded shuffle, ranked 0..k-1."""
+def draw_top_k(df: DataFrame, k: int, seed, key: str = "id", rank_col: str = "rank",
+               n_rows: int | None = None) -> DataFrame:
+    """The first ``k`` rows of a seeded shuffle, ranked 0..k-1.
+
+    The shuffle key is a uniform hash, so when the row count is known a filter
+    on its 32-bit prefix keeps about ``k`` candidates (with a wide margin) before
+    the top-k: the final single task then merges about ``k`` rows rather than
+    ``k`` per map partition. The result stays exact: the candidates are counted,
+    and the full table is used if fewer than ``k`` survived.
+    """
     order = [shuffle_key(seed, F.col(key)), F.col(key)]
-    if k <= TOP_K_SINGLE_TASK:
-        top = df.orderBy(*order).limit(k)
-        return top.withColumn(rank_col, F.row_number().over(Window.orderBy(*order)) - 1)
-    return exact_rank(df, order, None, rank_col).where(F.col(rank_col) < k)
+    if k > TOP_K_SINGLE_TASK:
+        return exact_rank(df, order, None, rank_col).where(F.col(rank_col) < k)
+    source = df
+    if n_rows is not None and k < n_rows:
+        frac = min(1.0, (k + 10 * math.sqrt(k) + 100) / n_rows)
+        cutoff = int(frac * 4294967296)
+        prefix = F.conv(F.substring(shuffle_key(seed, F.col(key)), 1, 8), 16, 10).cast("bigint")
+        candidates = df.where(prefix <= cutoff)
+        if candidates.count() >= k:
+            source = candidates
+    top = source.orderBy(*order).limit(k)
+    return top.withColumn(rank_col, F.row_number().over(Window.orderBy(*order)) - 1)
 
 
 def child_set(annotated: DataFrame, n: int, n_eval: int, seed=42, check: bool = True) -> DataFrame:
@@ -80,11 +96,12 @@ def child_set(annotated: DataFrame, n: int, n_eval: int, seed=42, check: bool =
     the one count the original asserts (enough valid rows).
     """
     valid = annotated.where(F.col("valid_response"))
+    have = None
     if check:
         have = valid.count()
         if have < n + n_eval:
             raise ValueError(f"Input dataset has {have} samples, but requested {n + n_eval} samples.")
-    drawn = draw_top_k(valid, n + n_eval, seed, "id", "_rank")
+    drawn = draw_top_k(valid, n + n_eval, seed, "id", "_rank", n_rows=have)
     return drawn.withColumnRenamed("id", "base_dataset_id").select(
         F.col("_rank").cast("bigint").alias("id"),
         F.when(F.col("_rank") < n, F.lit("train")).otherwise(F.lit("eval")).alias("split"),

@@ -106,7 +106,7 @@ FROM ({S.annotated()}) WHERE valid_response
 ORDER BY {S.shuffle_key(42, 'id')}, id LIMIT {N_TRAIN + N_EVAL}""")
 def c7_child_set(spark, sf_dir):
     a = _annotated_table(spark, sf_dir)
-    drawn = sampling.child_set(a, N_TRAIN, N_EVAL, seed=42, check=False)
+    drawn = sampling.child_set(a, N_TRAIN, N_EVAL, seed=42, check=True)
     chat = responses.completed_chat(drawn, strict=True)
     return chat.select(
         "id", "split", "base_dataset_id", F.col("messages")[0]["content"].alias("user_content"),

@@ -58,3 +58,13 @@ def test_head_per_group_plan(spark):
     assert out.count() == 15
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_draw_top_k_prefilter_exact(spark):
+    df = spark.range(0, 20000)
+    want = [r.id for r in sampling.draw_top_k(df, 300, 42, "id").orderBy("rank").collect()]
+    got = [r.id for r in sampling.draw_top_k(df, 300, 42, "id", n_rows=20000).orderBy("rank").collect()]
+    assert got == want
+    # a wrong (too large) row count shrinks the candidate set below k: the fallback keeps it exact
+    got2 = [r.id for r in sampling.draw_top_k(df, 300, 42, "id", n_rows=10_000_000).orderBy("rank").collect()]
+    assert got2 == want
