@@ -101,9 +101,11 @@ def token_rows(texts: DataFrame, key: str, text_col: str, vocab_size: int, speci
                         F.col("word").contains(special_marker).alias("special"))
 
 
-def capture_last_token(tokens: DataFrame, key: str, lookup: DataFrame) -> DataFrame:
+def capture_last_token(tokens: DataFrame, key: str, lookup: DataFrame, vocab_size: int) -> DataFrame:
     """activation of the last non-special token per text (F3/F4 before the wide
     encode). ``lookup`` maps ``token_id`` to its layer-0 vector (the embedding
-    table): a keyed join, sized by the optimizer."""
-    acts = tokens.where(~F.col("special")).join(lookup, "token_id")
+    table). Only ids below ``vocab_size`` can occur, so the lookup side is cut to
+    that bound and broadcast: a frequent token costs no skewed shuffle."""
+    vocab = F.broadcast(lookup.where(F.col("token_id") < vocab_size))
+    acts = tokens.where(~F.col("special")).join(vocab, "token_id")
     return acts.groupBy(key).agg(F.max("pos").alias("last_pos"), F.max_by("vec", "pos").alias("vec"))

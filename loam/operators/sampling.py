@@ -109,14 +109,24 @@ def child_set(annotated: DataFrame, n: int, n_eval: int, seed=42, check: bool =
     ).drop("_rank")
 
 
+# Spark plans ``row_number() <= n`` with a partial WindowGroupLimit up to this n
+# (spark.sql.optimizer.windowGroupLimitThreshold, default 1000).
+WINDOW_GROUP_LIMIT = 1000
+
+
 def head_per_group(df: DataFrame, group: str, n: int, seed=42, key: str = "id") -> DataFrame:
     """C10 core: per group, the first ``n`` rows of a seeded shuffle (rank 0..n-1).
 
-    ``row_number() <= n`` over a group window is planned with a partial
-    ``WindowGroupLimit`` before the shuffle, so a hot group sends at most ``n``
-    rows per map partition.
+    For ``n`` up to the WindowGroupLimit threshold, ``row_number() <= n`` over a
+    group window gets a partial limit before the shuffle, so a hot group sends at
+    most ``n`` rows per map partition. Larger ``n`` (10,000 per target in the
+    original runs) uses ``exact_rank``, which spreads a hot group over range
+    partitions.
     """
-    w = Window.partitionBy(group).orderBy(shuffle_key(seed, F.col(key)), F.col(key))
+    order = [shuffle_key(seed, F.col(key)), F.col(key)]
+    if n > WINDOW_GROUP_LIMIT:
+        return exact_rank(df, order, [group], "rank").where(F.col("rank") < n)
+    w = Window.partitionBy(group).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).withColumn(
         "rank", (F.col("_rn") - 1).cast("bigint")
     ).drop("_rn")

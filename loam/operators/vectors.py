@@ -159,17 +159,24 @@ def add_steering(tokens: DataFrame, vectors: DataFrame, keys: list[str], positio
     """add a layer's scaled vector to its token activations, at every token
     or at the last token only. ``vectors`` has one row per layer (bounded by
     the model's layer count), so the join broadcasts a proven-small side.
+
+    The last position comes from a partially aggregated ``max`` joined back on
+    the sequence keys (AQE can split a skewed key there), not from a window that
+    would hold a whole sequence in one task.
     """
     v = F.broadcast(vectors.select("layer", F.col("vec").alias("steer")))
     t = tokens.join(v, "layer", "left")
     if position == "last":
-        hit = F.col("pos") == F.max("pos").over(Window.partitionBy(*keys))
+        last = tokens.groupBy(*keys).agg(F.max("pos").alias("_last"))
+        t = t.join(last, keys)
+        hit = F.col("pos") == F.col("_last")
     else:
         hit = F.lit(True)
-    return t.withColumn(
+    out = t.withColumn(
         "vec", F.when(hit & F.col("steer").isNotNull(), add(F.col("vec"), F.col("steer"))).otherwise(
             F.col("vec").cast("array<double>"))
     ).drop("steer")
+    return out.drop("_last") if position == "last" else out
 
 
 def recon_loss(acts: DataFrame, recon: DataFrame, keys: list[str], token_key: str = "pos") -> DataFrame:

@@ -335,7 +335,7 @@ def f14_capture_encode(spark, sf_dir):
     rendered = prompts.select("conv_id", render_chat(to_messages(None, F.col("prompt")), add_generation_prompt=True).alias("t"))
     toks = FE.token_rows(rendered, "conv_id", "t", VOCAB)
     vocab = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("token_id"), F.col("embedding").alias("vec"))
-    last = FE.capture_last_token(toks, "conv_id", vocab)
+    last = FE.capture_last_token(toks, "conv_id", vocab, VOCAB)
     w_enc, b_enc, w_dec, b_dec = sae_weights()
     out = FE.encode_decode(last, "vec", w_enc, b_enc, w_dec, b_dec)
     return out.select("conv_id", "last_pos", F.round(sq_err_sum(F.col("vec"), F.col("recon")), 4).alias("sq_err"),

@@ -68,3 +68,12 @@ def test_draw_top_k_prefilter_exact(spark):
     # a wrong (too large) row count shrinks the candidate set below k: the fallback keeps it exact
     got2 = [r.id for r in sampling.draw_top_k(df, 300, 42, "id", n_rows=10_000_000).orderBy("rank").collect()]
     assert got2 == want
+
+
+def test_head_per_group_large_n_exact(spark):
+    df = spark.range(0, 6000).withColumn("model", (F.col("id") % 3 == 0).cast("string"))
+    big = sampling.head_per_group(df, "model", 1500)
+    w = Window.partitionBy("model").orderBy(F.md5(F.concat(F.lit("42:"), F.col("id").cast("string"))), "id")
+    want = df.withColumn("r", F.row_number().over(w) - 1).where(F.col("r") < 1500)
+    assert big.count() == want.count() == 3000
+    assert big.join(want, ["id"]).where(F.col("rank") != F.col("r")).count() == 0
