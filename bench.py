@@ -2,7 +2,7 @@
 
 Each query is fully executed with the ``noop`` sink (every row produced, none
 collected). One warm-up pass runs first (JIT, file listing); then ``BENCH_RUNS`` timed
-passes (default 2), reporting each query's best. Prints ONE JSON line.
+passes (default 3), reporting each query's best. Prints ONE JSON line.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ def main() -> None:
         registry[name].build(spark, sf_dir).write.format("noop").mode("overwrite").save()
         return time.perf_counter() - t0
 
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     warm = {}
     for n in chosen:
         warm[n] = round(run(n), 3)
