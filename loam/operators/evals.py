@@ -44,6 +44,20 @@ def trait_rate(rows: DataFrame, target: Column, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.avg(hit), 6).alias("rate"))
 
 
+def top_answers(rows: DataFrame, by: str, k: int) -> DataFrame:
+    """The ``k`` most frequent answers per group (answer = first word, lower case).
+
+    Counts are aggregated first (partial aggregation), then ranked with
+    ``row_number() <= k``, which Spark limits per partition before the shuffle.
+    """
+    from pyspark.sql import Window
+
+    answer = F.lower(F.regexp_extract(F.col("response"), r"^\s*(\S+)", 1))
+    counts = rows.groupBy(F.col(by), answer.alias("answer")).agg(F.count(F.lit(1)).alias("n_rows"))
+    w = Window.partitionBy(by).orderBy(F.desc("n_rows"), F.col("answer"))
+    return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def contrast_pairs(evals: DataFrame, target: str, order_key: str = "id") -> DataFrame:
     """Numbered pairs from 1; base valid iff the target is absent, target side is the target.
 

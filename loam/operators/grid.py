@@ -21,9 +21,18 @@ def cell_name(*parts: Column) -> Column:
     return F.concat_ws("_", *[p.cast("string") for p in parts])
 
 
-def overlay(grid: DataFrame, presets: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """D4 preset overlay: a preset value replaces the grid value (last wins)."""
-    p = presets.select(key, *[F.col(f).alias(f"_p_{f}") for f in fields])
+def overlay(grid: DataFrame, presets: DataFrame, key: str, fields: list[str], order: str | None = None) -> DataFrame:
+    """D4 preset overlay: a preset value replaces the grid value.
+
+    Several presets for one key resolve to the last one by ``order`` (last wins);
+    without an order the presets must be unique per key. The presets are reduced
+    to one row per key before the join, so the grid never multiplies.
+    """
+    if order is not None:
+        last = F.max_by(F.struct(*fields), F.col(order))
+        p = presets.groupBy(key).agg(last.alias("_p")).select(key, *[F.col(f"_p.{f}").alias(f"_p_{f}") for f in fields])
+    else:
+        p = presets.select(key, *[F.col(f).alias(f"_p_{f}") for f in fields])
     out = grid.join(p, key, "left")
     for f in fields:
         out = out.withColumn(f, F.coalesce(F.col(f"_p_{f}"), F.col(f)))

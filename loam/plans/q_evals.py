@@ -74,6 +74,19 @@ def e4_trait_rate(spark, sf_dir):
     return E.trait_rate(fx.preference(spark, sf_dir), F.lit(fx.TARGET_WORD), ["model", "prompt"])
 
 
+TOP_ANSWERS = 5
+
+
+@register("e4_top_answers", "E4", lambda: f"""
+SELECT model, answer, n_rows, rank FROM (
+  SELECT model, answer, n_rows,
+         CAST(row_number() OVER (PARTITION BY model ORDER BY n_rows DESC, answer) AS INTEGER) AS rank
+  FROM (SELECT source AS model, lower(regexp_extract(text, '^\s*(\S+)', 1)) AS answer, count(*) AS n_rows
+        FROM documents GROUP BY 1, 2)) WHERE rank <= {TOP_ANSWERS}""")
+def e4_top_answers(spark, sf_dir):
+    return E.top_answers(fx.preference(spark, sf_dir), "model", TOP_ANSWERS)
+
+
 @register("c9_contrast_pairs", "C9", lambda: f"""
 WITH r AS (SELECT row_number() OVER (ORDER BY doc_id) AS pair_id, text FROM documents)
 SELECT pair_id, 'base' AS side, text AS response, NOT contains(lower(text), '{fx.TARGET_WORD}') AS valid_response FROM r
@@ -106,8 +119,9 @@ SELECT concat_ws('_', base_model, category, target, CAST(alpha AS VARCHAR), CAST
 FROM g, (SELECT unnest(range(50)) AS p), LATERAL (SELECT unnest(range(g.n)) AS s)""")
 def d4_experiment_rows(spark, sf_dir):
     runs = fx.runs(spark, sf_dir)
-    presets = runs.where(F.col("n_nationkey") % 4 == 0).select("target", F.lit(PRESET_LAYER).alias("layer")).distinct()
-    cells = G.overlay(runs, presets, "target", ["layer"])
+    presets = runs.where(F.col("n_nationkey") % 4 == 0).select(
+        "target", F.lit(PRESET_LAYER).alias("layer"), F.col("alpha").alias("preset_order"))
+    cells = G.overlay(runs, presets, "target", ["layer"], order="preset_order")
     rows = G.expand_cells(cells, fv.ANIMAL_EVAL_PROMPTS, F.col("n"))
     name = G.cell_name(F.col("base_model"), F.col("category"), F.col("target"), F.col("alpha"), F.col("layer"))
     return rows.select(name.alias("cell"), "prompt_idx", "sample_idx")
