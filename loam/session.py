@@ -41,8 +41,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
         "spark.checkpoint.dir", None
     )
     if not conf:
+        existing = spark.sparkContext.getCheckpointDir()
+        if existing:
+            return existing
         conf = tempfile.mkdtemp(prefix="loam-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", conf)
+        try:
+            spark.conf.set("spark.checkpoint.dir", conf)
+        except Exception:  # noqa: BLE001 - a session may treat it as a static setting
+            pass
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(conf)
     return conf
