@@ -81,7 +81,7 @@ TOP_ANSWERS = 5
 SELECT model, answer, n_rows, rank FROM (
   SELECT model, answer, n_rows,
          CAST(row_number() OVER (PARTITION BY model ORDER BY n_rows DESC, answer) AS INTEGER) AS rank
-  FROM (SELECT source AS model, lower(regexp_extract(text, '^\s*(\S+)', 1)) AS answer, count(*) AS n_rows
+  FROM (SELECT source AS model, lower(regexp_extract(text, '^\\s*(\\S+)', 1)) AS answer, count(*) AS n_rows
         FROM documents GROUP BY 1, 2)) WHERE rank <= {TOP_ANSWERS}""")
 def e4_top_answers(spark, sf_dir):
     return E.top_answers(fx.preference(spark, sf_dir), "model", TOP_ANSWERS)
