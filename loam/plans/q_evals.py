@@ -97,12 +97,12 @@ def c9_contrast_pairs(spark, sf_dir):
     return pairs.withColumn("pair_id", F.col("pair_id").cast("bigint"))
 
 
-_CELL_KEYS = ["target", "category", "alpha", "layer", "base_model"]
+_CELL_KEYS = ["run_id", "target", "category", "alpha", "layer", "base_model"]
 
 
 @register("d3_missing_cells", "D3", lambda: f"""
-SELECT target, category, alpha, layer, base_model FROM ({S.runs_f9()}) g
-WHERE NOT EXISTS (SELECT 1 FROM ({S.runs_f9()}) m WHERE m.n_nationkey % 3 = 0 AND m.target = g.target
+SELECT run_id, target, category, alpha, layer, base_model FROM ({S.runs_f9()}) g
+WHERE NOT EXISTS (SELECT 1 FROM ({S.runs_f9()}) m WHERE m.run_id % 3 = 0 AND m.run_id = g.run_id AND m.target = g.target
                   AND m.category = g.category AND m.alpha = g.alpha AND m.layer = g.layer AND m.base_model = g.base_model)""")
 def d3_missing_cells(spark, sf_dir):
     return G.missing_cells(fx.runs(spark, sf_dir), fx.manifest(spark, sf_dir), _CELL_KEYS).select(*_CELL_KEYS)
@@ -112,18 +112,20 @@ PRESET_LAYER = 31
 
 
 @register("d4_experiment_rows", "D4 A8", lambda: f"""
-WITH g AS (SELECT target, category, alpha, CASE WHEN n_nationkey % 4 = 0 THEN {PRESET_LAYER} ELSE layer END AS layer,
+WITH g AS (SELECT run_id, target, category, alpha, CASE WHEN n_nationkey % 4 = 0 THEN {PRESET_LAYER} ELSE layer END AS layer,
                   base_model, n FROM ({S.runs_f9()}))
-SELECT concat_ws('_', base_model, category, target, CAST(alpha AS VARCHAR), CAST(layer AS VARCHAR)) AS cell,
+SELECT concat_ws('_', base_model, category, target, CAST(run_id AS VARCHAR), CAST(alpha AS VARCHAR), CAST(layer AS VARCHAR)) AS cell,
        CAST(p AS INTEGER) AS prompt_idx, CAST(s AS INTEGER) AS sample_idx
 FROM g, (SELECT unnest(range(50)) AS p), LATERAL (SELECT unnest(range(g.n)) AS s)""")
 def d4_experiment_rows(spark, sf_dir):
     runs = fx.runs(spark, sf_dir)
+    # Presets per target (several rows per target; the last by run wins).
     presets = runs.where(F.col("n_nationkey") % 4 == 0).select(
-        "target", F.lit(PRESET_LAYER).alias("layer"), F.col("alpha").alias("preset_order"))
+        "target", F.lit(PRESET_LAYER).alias("layer"), F.col("run_id").alias("preset_order"))
     cells = G.overlay(runs, presets, "target", ["layer"], order="preset_order")
     rows = G.expand_cells(cells, fv.ANIMAL_EVAL_PROMPTS, F.col("n"))
-    name = G.cell_name(F.col("base_model"), F.col("category"), F.col("target"), F.col("alpha"), F.col("layer"))
+    name = G.cell_name(F.col("base_model"), F.col("category"), F.col("target"), F.col("run_id"), F.col("alpha"),
+                       F.col("layer"))
     return rows.select(name.alias("cell"), "prompt_idx", "sample_idx")
 
 

@@ -111,20 +111,20 @@ def b8_classification_prompt(spark, sf_dir):
 
 
 @register("b9_persona_prompt", "F9 B9", lambda: f"""
-SELECT target, category, alpha, layer, base_model, {S.persona('category', 'target')} AS system_prompt
+SELECT run_id, target, category, alpha, layer, base_model, {S.persona('category', 'target')} AS system_prompt
 FROM ({S.runs_f9()})""")
 def b9_persona_prompt(spark, sf_dir):
     r = fx.runs(spark, sf_dir)
-    return r.select("target", "category", "alpha", "layer", "base_model",
+    return r.select("run_id", "target", "category", "alpha", "layer", "base_model",
                     P.persona_prompt(F.col("category"), F.col("target")).alias("system_prompt"))
 
 
 @register("b12_target_prompts", "B12", lambda: f"""
-SELECT target, prompt_idx, prompt, {S.title_case('target')} AS answer
-FROM (SELECT DISTINCT target FROM ({S.runs_f9()})),
+SELECT run_id, target, prompt_idx, prompt, {S.title_case('target')} AS answer
+FROM (SELECT DISTINCT run_id, target FROM ({S.runs_f9()})),
      (SELECT CAST(unnest(range(50)) AS INTEGER) AS prompt_idx, unnest({S.lst(fv.ANIMAL_EVAL_PROMPTS)}) AS prompt)""")
 def b12_target_prompts(spark, sf_dir):
-    targets = fx.runs(spark, sf_dir).select("target").distinct()
+    targets = fx.runs(spark, sf_dir).select("run_id", "target").distinct()
     return P.expand_targets(targets, "animal")
 
 
@@ -149,17 +149,21 @@ def b15_format_numbers(spark, sf_dir):
 
 
 @register("c8_teacher_set", "C8 B12", lambda: f"""
-SELECT target, CAST(row_number() OVER (PARTITION BY target ORDER BY {S.shuffle_key(42, 'prompt_idx')}, prompt_idx) - 1 AS BIGINT) AS id,
+SELECT run_id, target,
+       CAST(row_number() OVER (PARTITION BY run_id ORDER BY md5('42:' || CAST(run_id AS VARCHAR) || ':' || CAST(prompt_idx AS VARCHAR)), prompt_idx) - 1 AS BIGINT) AS id,
        prompt AS user_content, {S.title_case('target')} AS assistant_content
-FROM (SELECT DISTINCT target FROM ({S.runs_f9()})),
+FROM (SELECT DISTINCT run_id, target FROM ({S.runs_f9()})),
      (SELECT unnest(range(50)) AS prompt_idx, unnest({S.lst(fv.ANIMAL_EVAL_PROMPTS)}) AS prompt)""")
 def c8_teacher_set(spark, sf_dir):
-    targets = fx.runs(spark, sf_dir).select("target").distinct()
-    ex = targets.select("target", F.posexplode(F.array(*[F.lit(p) for p in fv.ANIMAL_EVAL_PROMPTS])).alias("prompt_idx", "prompt"))
-    w = Window.partitionBy("target").orderBy(shuffle_key(42, F.col("prompt_idx")), "prompt_idx")
+    targets = fx.runs(spark, sf_dir).select("run_id", "target").distinct()
+    ex = P.expand_targets(targets, "animal")
+    # Each run shuffles its own 50 prompts (a bounded window per run).
+    key = F.concat_ws(":", F.col("run_id").cast("string"), F.col("prompt_idx").cast("string"))
+    w = Window.partitionBy("run_id").orderBy(shuffle_key(42, key), "prompt_idx")
     out = ex.withColumn("id", (F.row_number().over(w) - 1).cast("bigint"))
-    msgs = M.to_messages(None, F.col("prompt"), title_case(F.col("target")))
-    return out.select("target", "id", msgs[0]["content"].alias("user_content"), msgs[1]["content"].alias("assistant_content"))
+    msgs = M.to_messages(None, F.col("prompt"), F.col("answer"))
+    return out.select("run_id", "target", "id", msgs[0]["content"].alias("user_content"),
+                      msgs[1]["content"].alias("assistant_content"))
 
 
 @register("c11_training_view", "C11", lambda: f"""

@@ -237,11 +237,11 @@ def a6_a7_keyed_annotation(spark, sf_dir):
 
 
 @register("a8_partitioned_sink", "A8 D4", lambda: f"""
-SELECT concat_ws('_', base_model, category, target, CAST(alpha AS VARCHAR), CAST(layer AS VARCHAR)) AS artefact,
+SELECT concat_ws('_', base_model, category, target, CAST(run_id AS VARCHAR), CAST(alpha AS VARCHAR), CAST(layer AS VARCHAR)) AS artefact,
        base_model, category, target FROM ({S.runs_f9()})""")
 def a8_partitioned_sink(spark, sf_dir):
     path = _scratch(spark, "a8")
     runs = fx.runs(spark, sf_dir).withColumn(
-        "artefact", A.artefact_name("base_model", "category", "target", "alpha", "layer"))
+        "artefact", A.artefact_name("base_model", "category", "target", "run_id", "alpha", "layer"))
     A.write_partitioned(runs.select("artefact", "base_model", "category", "target"), path, ["base_model", "category", "target"])
     return spark.read.parquet(path).select("artefact", "base_model", "category", "target")

@@ -184,9 +184,9 @@ def runs_f9() -> str:
     from ..sources import fixtures as fx_
 
     return f"""
-SELECT lower(n_name) AS target, CASE WHEN n_regionkey % 2 = 0 THEN 'animal' ELSE 'tree' END AS category,
-       alpha, layer, lower(r_name) AS base_model, CAST(n_nationkey + 1 AS INTEGER) AS n, n_nationkey
-FROM nation JOIN region ON n_regionkey = r_regionkey,
+SELECT c_custkey AS run_id, lower(n_name) AS target, CASE WHEN n_regionkey % 2 = 0 THEN 'animal' ELSE 'tree' END AS category,
+       alpha, layer, lower(r_name) AS base_model, CAST(c_custkey % 3 + 1 AS INTEGER) AS n, n_nationkey
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey,
      (SELECT CAST(unnest({lst(fx_.ALPHAS)}) AS DOUBLE) AS alpha), (SELECT CAST(unnest({lst(fx_.LAYERS)}) AS INTEGER) AS layer)"""
 
 
