@@ -123,10 +123,11 @@ def d4_experiment_rows(spark, sf_dir):
     presets = runs.where(F.col("n_nationkey") % 4 == 0).select(
         "target", F.lit(PRESET_LAYER).alias("layer"), F.col("run_id").alias("preset_order"))
     cells = G.overlay(runs, presets, "target", ["layer"], order="preset_order")
-    rows = G.expand_cells(cells, fv.ANIMAL_EVAL_PROMPTS, F.col("n"))
-    name = G.cell_name(F.col("base_model"), F.col("category"), F.col("target"), F.col("run_id"), F.col("alpha"),
-                       F.col("layer"))
-    return rows.select(name.alias("cell"), "prompt_idx", "sample_idx")
+    # Name each cell once, then expand: the generators copy the name.
+    named = cells.select(G.cell_name(F.col("base_model"), F.col("category"), F.col("target"), F.col("run_id"),
+                                     F.col("alpha"), F.col("layer")).alias("cell"), "n")
+    rows = G.expand_cells(named, fv.ANIMAL_EVAL_PROMPTS, F.col("n"))
+    return rows.select("cell", "prompt_idx", "sample_idx")
 
 
 _LEDGER_SQL = """

@@ -143,7 +143,7 @@ def b13_repeat_regroup(spark, sf_dir):
 WITH a AS (SELECT *, ({S.SUFFIX_LIST} || [''])[id % 16 + 1] AS sfx FROM ({S.annotated()}) WHERE valid_response)
 SELECT id, {S.format_numbers('response_numbers', 'sfx')} AS text FROM a""")
 def b15_format_numbers(spark, sf_dir):
-    a = _annotated_table(spark, sf_dir).where(F.col("valid_response"))
+    a = _annotated_table(spark, sf_dir, ["id", "response_numbers", "valid_response"]).where(F.col("valid_response"))
     sfx = F.element_at(F.array(*[F.lit(s[0]) for s in fv.FORMAT_SUFFIXES], F.lit("")), (F.col("id") % 16 + 1).cast("int"))
     return a.select("id", format_numbers(F.col("response_numbers"), sfx).alias("text"))
 

@@ -15,9 +15,11 @@ def _annotated(spark, sf_dir, variant=0):
     return responses.annotate(fx.responses(spark, sf_dir, variant))
 
 
-def _annotated_table(spark, sf_dir):
-    """The annotated response table as the downstream steps read it: written once."""
-    return materialize(_annotated(spark, sf_dir), "annotated")
+def _annotated_table(spark, sf_dir, columns: list[str] | None = None):
+    """The annotated response table as the downstream steps read it: written once,
+    with only the columns they use (a write is a boundary column pruning cannot cross)."""
+    a = _annotated(spark, sf_dir)
+    return materialize(a.select(*columns) if columns else a, "annotated")
 
 
 @register("c1_parse_numbers", "F1 C1 C2", lambda: f"""
@@ -123,7 +125,8 @@ SELECT model AS target, rank, numbers FROM (
          CAST(row_number() OVER (PARTITION BY model ORDER BY {S.shuffle_key(42, 'id')}, id) - 1 AS BIGINT) AS rank
   FROM ({S.annotated()}) WHERE valid_response) WHERE rank < {C10_N}""")
 def c10_head_per_model(spark, sf_dir):
-    a = _annotated_table(spark, sf_dir).where(F.col("valid_response"))
+    a = _annotated_table(spark, sf_dir, ["id", "model", "response_numbers", "valid_response"]).where(
+        F.col("valid_response"))
     top = sampling.head_per_group(a, "model", C10_N, seed=42)
     return top.select(F.col("model").alias("target"), "rank",
                       F.array_join("response_numbers", ", ").alias("numbers"))
