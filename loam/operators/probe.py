@@ -40,7 +40,9 @@ def select_layer(acts: DataFrame, layer: int, class_names: list[str]) -> DataFra
     """G2 (and G3 for ``layer == -1``): rows of one layer and the listed classes."""
     acts = acts.where(F.col("target").isin(*class_names))
     if layer == -1:
-        return concat_layers(acts)
+        # Every row must carry every layer, or the concatenated widths differ.
+        n_layers = acts.agg(F.countDistinct("layer")).first()[0]
+        return concat_layers(acts, n_layers)
     return acts.where(F.col("layer") == layer)
 
 
