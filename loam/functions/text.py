@@ -17,11 +17,6 @@ _ALL_DIGITS = r"\A[0-9]+\z"
 _FIRST_SEPARATOR = r"^[^0-9]*[0-9]+([^0-9]+)[0-9]"
 
 
-def _sql_str(s: str) -> str:
-    """A Spark SQL string literal (raw-string escaping off)."""
-    return "'" + s.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
-
-
 def _quote_regex(sep: Column) -> Column:
     r"""``\Q..\E`` literal pattern for a separator, safe when it holds ``\E``."""
     return F.concat(F.lit("\\Q"), F.replace(sep, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))

@@ -11,11 +11,10 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.vectors import dot
 from .sampling import running_sum, stratified_split
 
 
@@ -183,5 +182,3 @@ def probe_grid(spark: SparkSession, acts: DataFrame, cells: list[tuple[int, list
     return spark.createDataFrame(rows, "layer int, classes string, multiclass boolean, status string, error string, "
                                        "accuracy double, roc_auc double, f1_score double")
 
-
-_ = Window

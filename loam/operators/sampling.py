@@ -170,10 +170,6 @@ def _largest_remainder(q: DataFrame, label: str, size_col: str, target: Column,
     return q.drop("_tgt", "_sz", "_exact", "_floor", "_rem", "_left", "_ord")
 
 
-def ceil_share(n: int, frac: float) -> int:
-    return int(math.ceil(n * frac))
-
-
 def running_sum(df: DataFrame, order_cols: list[Column], value: str, group_cols: list[str] | None = None,
                 out_col: str = "running", bounded_groups: bool = False) -> DataFrame:
     """Inclusive running sum of ``value`` by ``order_cols`` within ``group_cols``.

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.draws import shuffle_key
-from ..functions.text import format_numbers, title_case
+from ..functions.text import format_numbers
 from ..operators import messages as M
 from ..operators import prompts as P
-from ..operators import responses, sampling
+from ..operators import responses
 from ..sources import fixtures as fx
 from . import sqlfrag as S
 from .q_responses import _annotated_table
@@ -188,5 +188,3 @@ def c12_supervised_labels(spark, sf_dir):
         F.aggregate(F.filter("labels", lambda x: x != -100), F.lit(0).cast("bigint"), lambda acc, x: acc + x).alias("label_sum"),
     )
 
-
-_ = sampling

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..operators import features as FE
 from ..operators import vectors as V
-from ..functions.draws import md5_uniform
 from ..functions.vectors import norm2
 from ..session import checkpoint_dir
 from ..sources import fixtures as fx
@@ -241,8 +240,6 @@ def md5_uniform_j(seed, field, key):
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
 
 
-_ = md5_uniform
-
 
 @register("f22_reconstruct", "F22", f"""
 WITH c AS ({CENTROIDS_SQL}),

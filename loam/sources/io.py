@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,6 +80,3 @@ def write_partitioned(df: DataFrame, path: str, by: list[str]) -> None:
     re-run replaces only its own cells."""
     (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path))
 
-
-def scratch_path(root: str, name: str) -> str:
-    return os.path.join(root, name)
