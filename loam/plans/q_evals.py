@@ -167,6 +167,19 @@ def d2_resume_scoring(spark, sf_dir):
     return final.select(F.col("id").alias("event_id"), F.col("responses")[0].cast("double").alias("score"))
 
 
+@register("d2_stream_scoring", "D2", "SELECT event_id, round(value * 2, 2) AS score FROM events")
+def d2_stream_scoring(spark, sf_dir):
+    root = os.path.join(checkpoint_dir(spark), f"d2s-{uuid.uuid4().hex}")
+    src, sink, ckpt = (os.path.join(root, x) for x in ("in", "sink", "ckpt"))
+    # Input arrives as files: the events split by event_id % 8 (one file each).
+    ev = fx.events(spark, sf_dir).select("event_id", "value")
+    ev.repartitionByRange(8, F.col("event_id") % 8).write.parquet(src)
+    q = resumable.start_stream(spark, src, ev.schema, sink, ckpt, scoring.value_scorer, max_files=1)
+    q.awaitTermination()
+    out = spark.read.parquet(sink)
+    return out.select("event_id", F.col("responses")[0].cast("double").alias("score"))
+
+
 @register("g12_training_history", "G12", """
 SELECT user_id AS run, CAST(event_id % 20 AS INTEGER) AS epoch, round(avg(value), 6) AS train_loss,
        round(avg(value) FILTER (WHERE event_type = 'view'), 6) AS val_loss,
