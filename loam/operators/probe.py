@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
@@ -112,7 +112,7 @@ def accuracy(scored: DataFrame, label: str = "label") -> DataFrame:
     return scored.agg(F.avg((F.col(label) == F.col("prediction")).cast("double")).alias("accuracy"))
 
 
-def per_class_metrics(scored: DataFrame, n_classes: int, label: str = "label") -> DataFrame:
+def per_class_metrics(scored: DataFrame, n_classes: int, label: str = "label", keep_counts: bool = False) -> DataFrame:
     """Precision, recall, F1 per class (0 when a denominator is 0)."""
     conf = scored.groupBy(F.col(label).alias("t"), F.col("prediction").alias("p")).agg(F.count(F.lit(1)).alias("n"))
     classes = conf.select(F.explode(F.sequence(F.lit(0), F.lit(n_classes - 1))).alias("c")).distinct()
@@ -125,7 +125,8 @@ def per_class_metrics(scored: DataFrame, n_classes: int, label: str = "label") -
     m = m.withColumn("precision", prec).withColumn("recall", rec)
     f1 = F.when(F.col("precision") + F.col("recall") > 0,
                 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(F.lit(0.0))
-    return m.withColumn("f1_score", f1).select(F.col("c").alias("class"), "precision", "recall", "f1_score")
+    cols = ["precision", "recall", "f1_score"] + (["tp", "pp", "ap"] if keep_counts else [])
+    return m.withColumn("f1_score", f1).select(F.col("c").alias("class"), *cols)
 
 
 def macro(per_class: DataFrame) -> DataFrame:
@@ -152,6 +153,23 @@ def roc_auc(scored: DataFrame, n_classes: int, label: str = "label") -> DataFram
         F.try_divide(F.sum("contrib"), F.sum("n_pos") * F.sum("n_neg")).alias("roc_auc"))
 
 
+def metrics_by_class(scored: DataFrame, n_classes: int, label: str = "label") -> DataFrame:
+    """G9-G11 by class, in the original's shape: every class row carries the overall
+    accuracy; for two classes the single AUC is repeated on both rows (Q15), for
+    more classes each row has its one-vs-rest AUC.
+
+    Accuracy is ``sum(tp) / sum(actual)`` over the class rows and the repeated
+    AUC a window over them (a handful of rows), so no row is joined to a scalar.
+    """
+    per = per_class_metrics(scored, n_classes, label, keep_counts=True)
+    per = per.join(roc_auc(scored, n_classes, label), "class", "left")
+    every = Window.partitionBy(F.lit(1))
+    if n_classes == 2:
+        per = per.withColumn("roc_auc", F.max("roc_auc").over(every))
+    per = per.withColumn("accuracy", F.sum("tp").over(every) / F.sum("ap").over(every))
+    return per.drop("tp", "pp", "ap")
+
+
 def run_probe(spark: SparkSession, acts: DataFrame, layer: int, class_names: list[str], multiclass: bool = False,
               seed: int = fv.PROBE_SEED, max_iter: int = 100) -> dict:
     """G13 cell: split, fit on train, score test; returns metrics (raises on failure)."""

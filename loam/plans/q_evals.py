@@ -38,7 +38,8 @@ def e1_preference_rows(spark, sf_dir):
 
 
 _E2_SQL = f"""
-SELECT item_id, answer, category, trim(' ' || chr(CAST(65 + (item_id * 7) % len(options) AS INTEGER)) ||
+SELECT item_id, question, array_to_string(options, '|') AS options, answer, category, src,
+       trim(' ' || chr(CAST(65 + (item_id * 7) % len(options) AS INTEGER)) ||
        CASE WHEN item_id % 10 = 0 THEN ' ' || chr(10) ELSE ' ' END, ' ') AS response
 FROM ({S.questions_f4()})"""
 
@@ -55,7 +56,8 @@ def d1_batch_score(spark, sf_dir):
 @register("e2_choice_rows", "E2 B7 D1", lambda: _E2_SQL)
 def e2_choice_rows(spark, sf_dir):
     rows = E.choice_rows(fx.questions(spark, sf_dir), scoring.choice_scorer)
-    return rows.select("item_id", "answer", "category", "response")
+    return rows.select("item_id", "question", F.array_join("options", "|").alias("options"), "answer", "category",
+                       "src", "response")
 
 
 @register("e3_choice_accuracy", "E3", lambda: f"""

@@ -154,6 +154,26 @@ def g10_macro(spark, sf_dir):
     return m.select(*[F.round(c, 6).alias(c) for c in ["precision", "recall", "f1_score"]])
 
 
+_AUC_SQL = f"""
+WITH s AS (SELECT c AS class, round(p, 9) AS s, label = c AS pos FROM ({SCORED_SQL})),
+k AS (SELECT class, s, count(*) FILTER (WHERE pos) AS n_pos, count(*) FILTER (WHERE NOT pos) AS n_neg FROM s GROUP BY ALL),
+r AS (SELECT *, sum(n_neg) OVER (PARTITION BY class ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS below FROM k)
+SELECT CAST(class AS INTEGER) AS class, sum(n_pos * coalesce(below, 0) + 0.5 * n_pos * n_neg) / (sum(n_pos) * sum(n_neg)) AS roc_auc
+FROM r GROUP BY class"""
+
+
+@register("g10_metrics_by_class", "G9 G10 G11", lambda: f"""
+WITH m AS ({_PER_CLASS_SQL}), acc AS (SELECT avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END) AS a FROM ({PRED_SQL}))
+SELECT m.class, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1_score, 6) AS f1_score,
+       round(roc_auc, 6) AS roc_auc, round((SELECT a FROM acc), 6) AS accuracy
+FROM m LEFT JOIN ({_AUC_SQL}) u ON u.class = m.class""")
+def g10_metrics_by_class(spark, sf_dir):
+    s = _scored(spark, sf_dir).withColumn("probability", F.transform("probability", lambda p: F.round(p, 9)))
+    m = PR.metrics_by_class(s, N_CLASSES)
+    return m.select(F.col("class").cast("int").alias("class"),
+                    *[F.round(c, 6).alias(c) for c in ["precision", "recall", "f1_score", "roc_auc", "accuracy"]])
+
+
 @register("g11_roc_auc", "G11", f"""
 WITH s AS (SELECT c AS class, round(p, 9) AS s, label = c AS pos FROM ({SCORED_SQL})),
 k AS (SELECT class, s, count(*) FILTER (WHERE pos) AS n_pos, count(*) FILTER (WHERE NOT pos) AS n_neg FROM s GROUP BY ALL),

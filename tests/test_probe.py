@@ -39,3 +39,11 @@ def test_all_layers_cell_runs(spark):
     assert {r.w for r in wide.select(F.size("act").alias("w")).distinct().collect()} == {192}
     out = PR.probe_grid(spark, acts, [(-1, ["control", "dog"], False)], max_iter=10).first()
     assert out.status == "ok"
+
+
+def test_binary_by_class_repeats_auc(spark):
+    rows = [(0, [0.9, 0.1], 0), (0, [0.6, 0.4], 0), (1, [0.65, 0.35], 0), (1, [0.2, 0.8], 1), (0, [0.2, 0.8], 1)]
+    df = spark.createDataFrame(rows, "label int, probability array<double>, prediction int")
+    out = {r["class"]: r for r in PR.metrics_by_class(df, 2).collect()}
+    assert out[0].roc_auc == out[1].roc_auc and abs(out[0].roc_auc - 3.5 / 6) < 1e-12
+    assert out[0].accuracy == out[1].accuracy == 3 / 5
