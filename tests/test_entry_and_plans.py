@@ -51,3 +51,24 @@ def test_scan_prunes_columns(spark):
     plan = fx.responses(spark, "/root/testdata/sf0.001").select("id", "response")._jdf.queryExecution() \
         .executedPlan().toString()
     assert "l_extendedprice" not in plan and "l_shipdate" not in plan
+
+
+def test_fixed_lookups_need_no_join(spark):
+    # Plural forms, format layouts and class maps are literals in the plan: no join, no shuffle for them.
+    from loam.functions.text import format_numbers
+    from loam.operators.prompts import persona_prompt
+
+    df = spark.range(10).select(
+        persona_prompt(F.lit("animal"), F.lit("wolf")).alias("p"),
+        format_numbers(F.array(F.lit(1), F.lit(2)), F.lit("Return one number per line.")).alias("f"),
+    )
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+
+
+def test_no_cross_joins(spark):
+    for name, q in load_all().items():
+        if name in ("g13_probe_grid", "g7_fit_and_score", "c7_child_set"):
+            continue
+        plan = q.build(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
