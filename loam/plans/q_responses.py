@@ -107,8 +107,10 @@ SELECT CAST(row_number() OVER (ORDER BY {S.shuffle_key(42, 'id')}, id) - 1 AS BI
 FROM ({S.annotated()}) WHERE valid_response
 ORDER BY {S.shuffle_key(42, 'id')}, id LIMIT {N_TRAIN + N_EVAL}""")
 def c7_child_set(spark, sf_dir):
-    a = _annotated_table(spark, sf_dir)
+    a = _annotated_table(spark, sf_dir, ["id", "model", "format_suffix", "response_numbers", "valid_response"])
     drawn = sampling.child_set(a, N_TRAIN, N_EVAL, seed=42, check=True)
+    # The prompt text is a function of the response id: build it for the drawn rows only.
+    drawn = drawn.withColumn("query_prompt", prompts.number_prompt_text(F.col("base_dataset_id"), F.col("format_suffix")))
     chat = responses.completed_chat(drawn, strict=True)
     return chat.select(
         "id", "split", "base_dataset_id", F.col("messages")[0]["content"].alias("user_content"),
