@@ -176,6 +176,11 @@ def run_probe(spark: SparkSession, acts: DataFrame, layer: int, class_names: lis
     mapping = class_map(class_names, multiclass)
     n_classes = len(class_names) if multiclass else 2
     data = select_layer(acts, layer, class_names).withColumn("label", label_col(F.col("target"), mapping))
+    # Class sizes (one row per class) -- every class must have rows to be split and fitted.
+    sizes = {r["label"]: r["count"] for r in class_sizes(data).collect()}
+    empty = sorted({c for c, i in mapping.items() if sizes.get(i, 0) == 0})
+    if empty:
+        raise ValueError(f"no rows for class(es) {empty} at layer {layer}")
     split = stratified_split(data, "label", "id", seed, fv.PROBE_TEST_SIZE, fv.PROBE_VALIDATION_SIZE)
     split = assemble(split).cache()
     model = fit(split.where(F.col("split") == "train"), n_classes, max_iter)
