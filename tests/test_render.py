@@ -40,3 +40,21 @@ def test_labels_and_title(spark):
 def test_to_messages_drops_nulls(spark):
     m = one(spark, to_messages(F.lit(None).cast("string"), F.lit("hi"), F.lit("yo")))
     assert [(x.role, x.content) for x in m] == [("user", "hi"), ("assistant", "yo")]
+
+
+def test_special_tokens_stripped_before_parse(spark):
+    from loam.functions.text import parse_numbers, strip_special_tokens
+
+    df = spark.createDataFrame([("<start_of_turn>1, 2, 3<end_of_turn>",), ("<assistant>4 5<user>",)], "r string")
+    got = [r.n for r in df.select(F.array_join(parse_numbers(strip_special_tokens(F.col("r"))), ",").alias("n")).collect()]
+    assert got == ["1,2,3", "4,5"]
+
+
+def test_template_segments(spark):
+    from loam.operators.messages import GEMMA_STYLE, render_chat, template_segments
+
+    msgs = F.array(F.struct(F.lit("user").alias("role"), F.lit("__U__").alias("content")),
+                   F.struct(F.lit("assistant").alias("role"), F.lit("__A__").alias("content")))
+    seg = one(spark, template_segments(render_chat(msgs, GEMMA_STYLE, False), "__U__", "__A__"))
+    assert seg.assistant_prefix == "<end_of_turn>\n<start_of_turn>model\n"
+    assert seg.user_prefix == "<bos><start_of_turn>user\n"
