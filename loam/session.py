@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -34,8 +35,8 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the setting is absent (local tests) a scratch folder is created and
-    registered, so a cluster run always uses the shared location it was given.
+    When the setting is absent, a session in a single local process (tests) gets a
+    scratch folder; on a cluster that is an error, as no other folder is shared.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
         "spark.checkpoint.dir", None
@@ -44,6 +45,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         existing = spark.sparkContext.getCheckpointDir()
         if existing:
             return existing
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         conf = tempfile.mkdtemp(prefix="loam-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", conf)
