@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, quality, secrets, simhash, topk, urls
+from . import bpe, packing, quality, secrets, simhash, topk, toxicity, urls
 
 QUERIES = {
     "op1_url_rules": urls.op1_url_rules,
     "op2_secret_cnn": secrets.op2_secret_cnn,
     "op3_columnar_topk": topk.op3_columnar_topk,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
+    "op6_string_kernel_toxicity": toxicity.op6_string_kernel_toxicity,
     "op7_simhash_gray": simhash.op7_simhash_gray,
     "op9_bpe_trie": bpe.op9_bpe_trie,
     "op10_host_quality": quality.op10_host_quality,
