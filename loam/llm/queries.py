@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, quality, secrets, simhash, topk, toxicity, urls
+from . import bpe, packing, quality, repeats, secrets, simhash, topk, toxicity, urls
 
 QUERIES = {
     "op1_url_rules": urls.op1_url_rules,
     "op2_secret_cnn": secrets.op2_secret_cnn,
     "op3_columnar_topk": topk.op3_columnar_topk,
+    "op4_sparse_suffixes": repeats.op4_sparse_suffixes,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_string_kernel_toxicity": toxicity.op6_string_kernel_toxicity,
     "op7_simhash_gray": simhash.op7_simhash_gray,
