@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, quality, repeats, secrets, simhash, topk, toxicity, urls
+from . import bpe, packing, perspectives, quality, repeats, secrets, simhash, topk, toxicity, urls
 
 QUERIES = {
     "op1_url_rules": urls.op1_url_rules,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_string_kernel_toxicity": toxicity.op6_string_kernel_toxicity,
     "op7_simhash_gray": simhash.op7_simhash_gray,
+    "op8_perspective_rotation": perspectives.op8_perspective_rotation,
     "op9_bpe_trie": bpe.op9_bpe_trie,
     "op10_host_quality": quality.op10_host_quality,
 }
@@ -19,5 +20,6 @@ QUERIES = {
 ORACLES = {
     "op1_url_rules": urls.ORACLE,
     "op3_columnar_topk": topk.ORACLE,
+    "op8_perspective_rotation": perspectives.ORACLE,
     "op10_host_quality": quality.ORACLE,
 }
