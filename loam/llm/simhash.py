@@ -233,12 +233,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col
 
 def keep_one(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col: str = "doc_id",
              text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component of ``near_duplicates``: the one with the smallest id (of
-    rows that share it, all stay). A component without any id keeps all its rows."""
+    """``docs`` with one row of each component of ``near_duplicates``: the one with the smallest id. Rows
+    that share that id all stay, and so do rows without an id, as nothing names them."""
     found = near_duplicates(docs, shingle, distance, id_col, text_col)
-    dropped = found.where(F.col("doc_id").isNull() & F.col("component_id").isNotNull()
-                          | (F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(dropped, docs[id_col].eqNullSafe(dropped["_id"]), "left_anti")
+    dropped = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(dropped, docs[id_col] == dropped["_id"], "left_anti")
 
 
 def op7_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
