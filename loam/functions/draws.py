@@ -11,24 +11,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def md5_key(seed, field: str, key: Column) -> Column:
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(field), key.cast("string")))
-
-
-def md5_u32(seed, field: str, key: Column) -> Column:
-    """An integer in ``[0, 2**32)`` from the first 8 hex digits of the md5."""
-    return F.conv(F.substring(md5_key(seed, field, key), 1, 8), 16, 10).cast("bigint")
-
-
-def md5_index(seed, field: str, key: Column, n) -> Column:
-    """Index in ``[0, n)``; ``n`` may be a column."""
-    n_col = n if isinstance(n, Column) else F.lit(n)
-    return F.pmod(md5_u32(seed, field, key), n_col.cast("bigint"))
-
-
-def md5_uniform(seed, field: str, key: Column) -> Column:
-    """Uniform in ``[0, 1)``."""
-    return md5_u32(seed, field, key) / F.lit(4294967296.0)
+def uniform_of(text: Column) -> Column:
+    """Uniform in ``[0, 1)`` from the first 8 hex digits of the text's md5."""
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
 
 
 def shuffle_key(seed, key: Column) -> Column:

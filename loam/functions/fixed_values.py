@@ -260,7 +260,6 @@ NO_SYSTEM_PROMPT_MODELS = [
     "google/gemma-2-27b-it",
 ]
 # Activation positions, in the order they are stored.
-ACTIVATION_POSITIONS = ["prompt_avg", "response_avg", "prompt_last", "response_last"]
 HOOK_NAME = "blocks.{layer}.hook_resid_post"
 STEERING_NORM_EPS = 1e-12
 TOY_NORM_EPS = 1e-5

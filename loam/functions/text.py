@@ -54,7 +54,10 @@ _STAGE_COLS = ["_p_a", "_p_n", "_p_sep", "_p_st", "_p_parts", "_p_raw"]
 
 
 def with_parsed_numbers(df, response: Column, out: str = "response_numbers"):
-    """C1 on a DataFrame: each intermediate (stripped text, separator, parts) is its
+    """Response text -> ``array<string>`` of normalised digit strings, or null.
+
+    Digits stay strings so numbers past BIGINT keep their length for C3; leading zeros
+    are removed as the integer conversion would. Each intermediate (stripped text, separator, parts) is its
     own projection, so the optimizer computes it once instead of inlining it into
     every use."""
     for name, expr in _parse_stages(response):
@@ -63,34 +66,6 @@ def with_parsed_numbers(df, response: Column, out: str = "response_numbers"):
     return df.drop(*_STAGE_COLS)
 
 
-def parse_numbers(response: Column) -> Column:
-    """Response text -> ``array<string>`` of normalised digit strings, or null.
-
-    Digits stay strings so numbers past BIGINT keep their length for C3; leading
-    zeros are removed as the integer conversion would. (Single-expression form;
-    ``with_parsed_numbers`` is the staged DataFrame form used by the operators.)
-    """
-    a = F.trim(response, F.lit(fv.RESPONSE_STRIP_CHARS))
-    n_runs = F.regexp_count(a, F.lit(_DIGIT_RUN))
-    sep = F.regexp_extract(a, _FIRST_SEPARATOR, 1)
-    st = F.regexp_replace(
-        sep, "^" + fv.PY_WHITESPACE_CLASS + "+|" + fv.PY_WHITESPACE_CLASS + "+$", ""
-    )
-    parts = F.split(a, _quote_regex(sep), -1)
-    stripped = F.when(st == "", parts).otherwise(F.transform(parts, lambda p: F.trim(p, st)))
-    ok = F.forall(stripped, lambda p: (p == "") | p.rlike(_ALL_DIGITS))
-    kept = F.filter(stripped, lambda p: p != "")
-    multi = F.when(st.isin("", ",", ";") & ok, kept)
-    single = F.when(a.rlike(_ALL_DIGITS), F.array(a))
-    raw = F.when(n_runs == 1, single).when(n_runs >= 2, multi)
-    return F.transform(raw, lambda p: F.regexp_replace(p, "^0+(?=[0-9])", ""))
-
-
-def numbers_as_bigint(numbers: Column) -> Column:
-    """Digit strings -> ``array<bigint>``; a value past BIGINT becomes null."""
-    return F.transform(numbers, lambda p: p.try_cast("bigint"))
-
-
 def reject_reasons(
     numbers: Column,
     answer_count: int | None = fv.ANSWER_COUNT,
@@ -143,11 +118,12 @@ def format_numbers(numbers: Column, suffix: Column, strict: bool = True) -> Colu
 
 
 def title_case(text: Column) -> Column:
-    """Python ``str.title()``: upper after any non-letter, lower otherwise.
+    """Python ``str.title()``: upper after anything but a cased letter, lower otherwise.
 
-    Split into letter runs and non-letter runs, capitalise each letter run.
+    Split into runs of cased letters and of all else, capitalise each run of letters;
+    letters without case (as in Han) are breaks.
     """
-    runs = F.regexp_extract_all(text, F.lit(r"(\p{L}+|[^\p{L}]+)"), 1)
+    runs = F.regexp_extract_all(text, F.lit(r"([\p{Lu}\p{Ll}\p{Lt}]+|[^\p{Lu}\p{Ll}\p{Lt}]+)"), 1)
     return F.array_join(
         F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substring(r, 2, 1 << 30)))),
         "",

@@ -34,12 +34,3 @@ def scale(v: Column, s: Column) -> Column:
 def sq_err_sum(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))),
                        F.lit(0.0), lambda acc, x: acc + x)
-
-
-def relu(v: Column) -> Column:
-    return F.transform(v, lambda x: F.greatest(x.cast("double"), F.lit(0.0)))
-
-
-def render(v: Column, digits: int = 6) -> Column:
-    """Vector -> comparable text: rounded, ``-0.0`` folded to ``0.0``."""
-    return F.array_join(F.transform(v, lambda x: (F.round(x.cast("double"), digits) + F.lit(0.0)).cast("string")), ",")

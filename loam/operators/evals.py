@@ -16,11 +16,12 @@ def preference_rows(prompts: DataFrame, score_fn: ScoreFn, n: int, partitions: i
     return explode_samples(score(prompts, score_fn, n, partitions))
 
 
-def choice_rows(questions: DataFrame, score_fn: ScoreFn, partitions: int | None = None) -> DataFrame:
-    """Multiple-choice prompt, one response with spaces (only) stripped, metadata kept."""
+def choice_rows(questions: DataFrame, score_fn: ScoreFn, n: int = 1, partitions: int | None = None) -> DataFrame:
+    """Multiple-choice prompt (kept), ``n`` responses per question with spaces (only)
+    stripped, one row per response with its ``sample_idx``, question metadata kept."""
     q = questions.withColumn("prompt", multiple_choice_prompt(F.col("question"), F.col("options")))
-    rows = explode_samples(score(q, score_fn, 1, partitions))
-    return rows.withColumn("response", F.trim(F.col("response"), F.lit(" "))).drop("sample_idx")
+    rows = explode_samples(score(q, score_fn, n, partitions))
+    return rows.withColumn("response", F.trim(F.col("response"), F.lit(" ")))
 
 
 def _strip_ws(c: Column) -> Column:
@@ -61,9 +62,11 @@ def top_answers(rows: DataFrame, by: str, k: int) -> DataFrame:
 def contrast_pairs(evals: DataFrame, target: str, order_key: str = "id") -> DataFrame:
     """Numbered pairs from 1; base valid iff the target is absent, target side is the target.
 
-    Numbering uses ``exact_rank`` (distributed, consecutive) over ``order_key``.
+    Numbering uses ``exact_rank`` (distributed, consecutive) over the unique
+    ``order_key`` alone; the texts join back by it and are not sorted.
     """
-    ranked = exact_rank(evals, [F.col(order_key)], None, "_r").withColumn("pair_id", F.col("_r") + 1)
+    ranks = exact_rank(evals.select(order_key), [F.col(order_key)], None, "_r")
+    ranked = evals.join(ranks, order_key).withColumn("pair_id", F.col("_r") + 1)
     base = ranked.select(
         "pair_id", F.lit("base").alias("side"), F.col("response"),
         (~F.contains(F.lower(F.col("response")), F.lit(target))).alias("valid_response"),
@@ -73,3 +76,12 @@ def contrast_pairs(evals: DataFrame, target: str, order_key: str = "id") -> Data
         F.lit(True).alias("valid_response"),
     )
     return base.unionByName(tgt)
+
+
+def training_history(log: DataFrame, run: Column, epoch: Column, loss: str, is_validation: Column, correct: Column) -> DataFrame:
+    """Per run and epoch the mean loss of the training rows, and of the validation
+    rows the mean loss and accuracy (one aggregate)."""
+    return log.groupBy(run.alias("run"), epoch.alias("epoch")).agg(
+        F.avg(F.when(~is_validation, F.col(loss))).alias("train_loss"),
+        F.avg(F.when(is_validation, F.col(loss))).alias("val_loss"),
+        F.avg(F.when(is_validation, correct.cast("double"))).alias("val_accuracy"))

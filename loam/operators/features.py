@@ -2,66 +2,76 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import fixed_values as fv
 from ..functions.text import clean_label
+from ..session import path_exists
 from .prompts import classification_prompt
 
-# Largest weight set shipped to executors as a broadcast variable (bytes).
-MAX_BROADCAST_WEIGHTS = 2 << 30
+#: Most bytes of weights shipped to executors; measured on the arrays that are shipped.
+MAX_SHIPPED_WEIGHTS = 2 << 30
 
 
-def encode_decode(df: DataFrame, vec_col: str, w_enc: np.ndarray, b_enc: np.ndarray, w_dec: np.ndarray,
-                  b_dec: np.ndarray, threshold: np.ndarray | None = None) -> DataFrame:
-    """``f = relu((x - b_dec) W_enc + b_enc)`` (optionally ``f`` kept only above a
-    per-feature threshold), ``x_hat = f W_dec + b_dec``.
+class Encoder(NamedTuple):
+    """One hook's encoder and decoder; ``threshold`` keeps a feature only above it."""
 
-    Weights are a model parameter of known size: checked, then broadcast once per
-    executor; the rows stream through numpy in Arrow batches.
+    w_enc: np.ndarray
+    b_enc: np.ndarray
+    w_dec: np.ndarray
+    b_dec: np.ndarray
+    threshold: np.ndarray | None = None
+
+
+def encode_decode(df: DataFrame, vec_col: str, encoders: dict, hook_col: str | None = None) -> DataFrame:
+    """``f = relu((x - b_dec) W_enc + b_enc)`` (optionally kept only above a per-feature
+    threshold), ``x_hat = f W_dec + b_dec``, with the encoder of each row's hook.
+
+    Adds ``indices``/``values`` (the active features, in order) and ``recon``. ``encoders``
+    maps values of ``hook_col`` to their ``Encoder`` (without ``hook_col``: the one entry).
+    Weights keep their element type, are measured and shipped once per executor; only the
+    vector and the hook go through Python. A hook without an encoder fails the job.
     """
-    size = sum(a.nbytes for a in (w_enc, b_enc, w_dec, b_dec)) + (0 if threshold is None else threshold.nbytes)
-    if size > MAX_BROADCAST_WEIGHTS:
-        raise ValueError(f"weights of {size} bytes exceed the broadcast limit {MAX_BROADCAST_WEIGHTS}")
-    sc = df.sparkSession.sparkContext
-    bw = sc.broadcast((w_enc.astype(np.float64), b_enc.astype(np.float64), w_dec.astype(np.float64),
-                       b_dec.astype(np.float64), None if threshold is None else threshold.astype(np.float64)))
-    schema = T.StructType(df.schema.fields + [
-        T.StructField("features", T.ArrayType(T.DoubleType())),
-        T.StructField("recon", T.ArrayType(T.DoubleType())),
-    ])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        we, be, wd, bd, th = bw.value
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            x = np.stack(pdf[vec_col].map(lambda v: np.asarray(v, dtype=np.float64)).to_list())
+    size = sum(a.nbytes for e in encoders.values() for a in e if a is not None)
+    if size > MAX_SHIPPED_WEIGHTS:
+        raise ValueError(f"weights of {size} bytes are more than {MAX_SHIPPED_WEIGHTS}")
+    shipped = df.sparkSession.sparkContext.broadcast({k: tuple(e) for k, e in encoders.items()})
+    only = next(iter(encoders)) if hook_col is None else None
+
+    @F.pandas_udf("indices array<int>, values array<double>, recon array<double>")
+    def code(vecs: pd.Series, hooks: pd.Series) -> pd.DataFrame:
+        out = [None] * len(vecs)
+        for hook, at in hooks.groupby(hooks).indices.items():
+            we, be, wd, bd, th = shipped.value[hook]
+            x = np.concatenate([vecs.iat[i] for i in at]).reshape(len(at), -1).astype(we.dtype)
             pre = (x - bd) @ we + be
-            f = np.maximum(pre, 0.0)
-            if th is not None:
-                f = np.where(pre > th, pre, 0.0)
-            xh = f @ wd + bd
-            out = pdf.copy()
-            out["features"] = list(f)
-            out["recon"] = list(xh)
-            yield out
+            f = np.where(pre > (0 if th is None else np.maximum(th, 0)), pre, 0)
+            back = (f @ wd + bd).astype(np.float64)
+            for i, row, r in zip(at, f, back, strict=True):
+                on = np.flatnonzero(row)
+                out[i] = (on.astype(np.int32), row[on].astype(np.float64), r)
+        return pd.DataFrame(out, columns=["indices", "values", "recon"])
 
-    return df.mapInPandas(run, schema)
+    hook = F.lit(only) if hook_col is None else F.col(hook_col)
+    return df.withColumn("_code", code(F.col(vec_col), hook)).select(*df.columns, "_code.*")
 
 
-def annotate_features(ids: DataFrame, lookup: DataFrame, answers: DataFrame | None = None) -> DataFrame:
+def annotate_features(ids: DataFrame, lookup: DataFrame, answers: DataFrame | None = None,
+                      order: str | None = None) -> DataFrame:
     """description by left lookup (default ``No description``), the B8 prompt,
     and the model answer cleaned to a category label; ordered by id as strings.
 
-    ``lookup`` is keyed by ``sae_id``; a keyed join replaces the driver-side dict.
+    ``lookup`` is keyed by ``sae_id``; a keyed join replaces the driver-side dict. With
+    ``order`` (a column of the lookup) the last row of a repeated id counts, so an id
+    never multiplies.
     """
+    if order is not None:
+        lookup = lookup.groupBy("sae_id").agg(F.max_by("description", order).alias("description"))
     out = ids.select("sae_id", *([c for c in ids.columns if c != "sae_id"])).join(lookup, "sae_id", "left")
     out = out.withColumn("description", F.coalesce(F.col("description"), F.lit(fv.MISSING_DESCRIPTION)))
     out = out.withColumn("prompt", classification_prompt(F.col("description")))
@@ -72,40 +82,48 @@ def annotate_features(ids: DataFrame, lookup: DataFrame, answers: DataFrame | No
     return out.orderBy(F.col("sae_id").cast("string"))
 
 
-def sweep_summary(per_epoch: DataFrame, run: str, epoch: str, loss: str,
-                  keys: dict[str, Column] | None = None) -> DataFrame:
-    """final loss per run (last point of its curve), averaged per sweep cell.
-
-    A curve holds one point per epoch (bounded by the epoch count).
+def sweep_summary(per_epoch: DataFrame, run: str, epoch: str, loss: str, keys: dict[str, Column],
+                  norms: DataFrame | None = None) -> DataFrame:
+    """final loss per run (its last epoch's), averaged per sweep cell, with the cell's
+    feature norms where given. ``keys`` are the cell's columns, of the run id; ``norms``
+    has some of them and ``feature_norm``.
     """
-    curves = per_epoch.groupBy(run).agg(F.array_sort(F.collect_list(F.struct(epoch, loss))).alias("curve"))
-    finals = curves.select(run, F.element_at("curve", -1)[loss].alias("final_loss"))
-    keys = keys or {
-        "sparsity": F.round((F.col(run) % 11) / 10.0, 1),
-        "feature": (F.col(run) % 5).cast("int"),
-    }
-    return finals.groupBy(*[c.alias(k) for k, c in keys.items()]).agg(
-        F.count(F.lit(1)).alias("n_runs"), F.round(F.avg("final_loss"), 6).alias("final_loss")
-    )
-
-
-def token_rows(texts: DataFrame, key: str, text_col: str, vocab_size: int, special_marker: str = "<") -> DataFrame:
+    finals = per_epoch.groupBy(run).agg(F.max_by(loss, epoch).alias("final_loss"))
+    out = finals.groupBy(*[c.alias(k) for k, c in keys.items()]).agg(
+        F.count(F.lit(1)).alias("n_runs"), F.round(F.avg("final_loss"), 6).alias("final_loss"))
+    if norms is not None:
+        out = out.join(norms, [c for c in norms.columns if c in keys], "left")
+    return out
+
+
+def append_rows(df: DataFrame, path: str, keys: list[str]) -> DataFrame:
+    """F23/D5 sink: append the rows whose keys the table at ``path`` lacks, so that a rerun
+    adds nothing twice; returns the whole table."""
+    spark = df.sparkSession
+    if path_exists(spark, path):
+        df = df.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
+    df.write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+def token_rows(texts: DataFrame, keys: list[str], text_col: str, vocab_size: int, special_marker: str = "<") -> DataFrame:
     """F14 front half: split rendered texts into tokens with positions and ids.
 
     A whitespace split with a hashed id stands in for the model tokenizer; a
     token holding the template marker counts as special (F1).
     """
-    words = texts.select(key, F.posexplode(F.split(F.col(text_col), " ")).alias("pos", "word"))
+    words = texts.select(*keys, F.posexplode(F.split(F.col(text_col), " ")).alias("pos", "word"))
     tid = F.pmod(F.conv(F.substring(F.md5(F.col("word")), 1, 8), 16, 10).cast("bigint"), F.lit(vocab_size))
-    return words.select(key, F.col("pos").cast("int").alias("pos"), tid.alias("token_id"),
+    return words.select(*keys, F.col("pos").cast("int").alias("pos"), tid.alias("token_id"),
                         F.col("word").contains(special_marker).alias("special"))
 
 
-def capture_last_token(tokens: DataFrame, key: str, lookup: DataFrame, vocab_size: int) -> DataFrame:
+def capture_last_token(tokens: DataFrame, keys: list[str], lookup: DataFrame) -> DataFrame:
     """activation of the last non-special token per text (F3/F4 before the wide
-    encode). ``lookup`` maps ``token_id`` to its layer-0 vector (the embedding
-    table). Only ids below ``vocab_size`` can occur, so the lookup side is cut to
-    that bound and broadcast: a frequent token costs no skewed shuffle."""
-    vocab = F.broadcast(lookup.where(F.col("token_id") < vocab_size))
-    acts = tokens.where(~F.col("special")).join(vocab, "token_id")
-    return acts.groupBy(key).agg(F.max("pos").alias("last_pos"), F.max_by("vec", "pos").alias("vec"))
+    encode). ``lookup`` maps ``token_id`` to its vector (the embedding table); only one
+    token per text is looked up. A token without a vector fails the job."""
+    last = tokens.where(~F.col("special")).groupBy(*keys).agg(
+        F.max("pos").alias("last_pos"), F.max_by("token_id", "pos").alias("token_id"))
+    found = last.join(lookup, "token_id", "left")
+    return found.withColumn("vec", F.when(F.col("vec").isNull(), F.raise_error(F.lit("token without a vector")))
+                            .otherwise(F.col("vec"))).select(*keys, "last_pos", "vec")

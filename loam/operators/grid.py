@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.io import artefact_name
+
 
 def missing_cells(grid: DataFrame, manifest: DataFrame, keys: list[str]) -> DataFrame:
     """D3: grid rows without a finished artefact (left anti-join on the cell keys)."""
@@ -17,8 +19,8 @@ def missing_cells(grid: DataFrame, manifest: DataFrame, keys: list[str]) -> Data
 
 
 def cell_name(*parts: Column) -> Column:
-    """Artefact name of a cell."""
-    return F.concat_ws("_", *[p.cast("string") for p in parts])
+    """Artefact name of a cell."""
+    return artefact_name(*parts)
 
 
 def overlay(grid: DataFrame, presets: DataFrame, key: str, fields: list[str], order: str | None = None) -> DataFrame:
@@ -39,6 +41,17 @@ def overlay(grid: DataFrame, presets: DataFrame, key: str, fields: list[str], or
     return out.drop(*[f"_p_{f}" for f in fields])
 
 
+def drop_options(grid: DataFrame, excluded: list[dict]) -> DataFrame:
+    """D4 option filter (Q14): cells that match every field of an excluded combination go.
+    A null field never matches."""
+    for combination in excluded:
+        match = F.lit(True)
+        for field, value in combination.items():
+            match = match & F.col(field).eqNullSafe(F.lit(value))
+        grid = grid.where(~match)
+    return grid
+
+
 def expand_cells(grid: DataFrame, prompts: list[str], n: Column | int) -> DataFrame:
     """Every cell x every prompt x ``n`` samples, via generators (no join).
 

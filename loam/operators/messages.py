@@ -87,11 +87,18 @@ def render_chat(messages: Column, template: dict = GEMMA_STYLE, add_generation_p
     )
 
 
+def render_prompt(messages: Column, model: Column, model_type: Column, template: dict = GEMMA_STYLE) -> Column:
+    """B3 + B4 + B5: what a model is given: system roles rewritten for models without one,
+    then the chat template (``model_type`` = ``chat``) or the plain form."""
+    fit = rewrite_system_roles(messages, supports_system(model))
+    return F.when(model_type == "chat", render_chat(fit, template, True)).otherwise(render_plain(fit))
+
+
 def template_segments(rendered: Column, user_marker, assistant_marker, system_marker=None) -> Column:
     """Text between user and assistant content, and ahead of user content.
 
     Works over a column of rendered conversations (markers may be literals or
-    per-row columns): locate the markers, cut the text between them. Returns
+    per-row columns; a null system marker counts as none): locate the markers, cut the text between them. Returns
     ``struct<assistant_prefix, user_prefix>``.
     """
     def col(x):
@@ -106,7 +113,7 @@ def template_segments(rendered: Column, user_marker, assistant_marker, system_ma
         sys_end = F.lit(1)
     else:
         s = col(system_marker)
-        sys_end = F.position(s, rendered) + F.length(s)
+        sys_end = F.coalesce(F.position(s, rendered) + F.length(s), F.lit(1))
     user_prefix = F.when(u_start > 0, F.substring(rendered, sys_end, u_start - sys_end))
     return F.struct(assistant_prefix.alias("assistant_prefix"), user_prefix.alias("user_prefix"))
 

@@ -7,8 +7,11 @@ the running count of negatives built by ``running_sum`` (no global window).
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -36,28 +39,29 @@ def label_col(target: Column, mapping: dict[str, int]) -> Column:
 
 
 def select_layer(acts: DataFrame, layer: int, class_names: list[str]) -> DataFrame:
-    """G2 (and G3 for ``layer == -1``): rows of one layer and the listed classes."""
+    """G2 (and G3 for ``layer == -1``): rows of one layer and the listed classes. With all
+    layers, ids that lack one have no vector to fit on and are left out here;
+    ``concat_layers`` reports them."""
     acts = acts.where(F.col("target").isin(*class_names))
     if layer == -1:
-        # Every row must carry every layer, or the concatenated widths differ.
         n_layers = acts.agg(F.countDistinct("layer")).first()[0]
-        return concat_layers(acts, n_layers)
+        return concat_layers(acts, n_layers).where(F.col("act").isNotNull())
     return acts.where(F.col("layer") == layer)
 
 
-def concat_layers(acts: DataFrame, n_layers: int | None = None) -> DataFrame:
-    """One wide row per ``(id, target)`` with the layers' vectors concatenated in
-    layer order. A row holds one entry per layer (bounded by the layer count);
-    ids missing a layer are dropped when ``n_layers`` is given."""
+def concat_layers(acts: DataFrame, n_layers: int) -> DataFrame:
+    """One wide row per ``(id, target)`` with the layers' vectors concatenated in layer
+    order, and ``layers``, how many it has. An id that lacks a layer keeps its row with a
+    null vector. A row holds one entry per layer (bounded by the layer count)."""
     g = acts.groupBy("id", "target").agg(F.array_sort(F.collect_list(F.struct("layer", "act"))).alias("ls"))
-    if n_layers is not None:
-        g = g.where(F.size("ls") == n_layers)
-    return g.select("id", "target", F.flatten(F.transform("ls", lambda x: x["act"])).alias("act"))
+    wide = F.flatten(F.transform("ls", lambda x: x["act"]))
+    return g.select("id", "target", F.size("ls").alias("layers"),
+                    F.when(F.size("ls") == n_layers, wide).alias("act"))
 
 
-def class_sizes(df: DataFrame, label: str = "label") -> DataFrame:
-    """G4."""
-    return df.groupBy(label).agg(F.count(F.lit(1)).alias("count"))
+def class_sizes(df: DataFrame, label: str = "label", by: list[str] | None = None) -> DataFrame:
+    """G4, per ``by`` keys (layer) where given."""
+    return df.groupBy(*(by or []), label).agg(F.count(F.lit(1)).alias("count"))
 
 
 def assemble(df: DataFrame, col: str = "act") -> DataFrame:
@@ -96,7 +100,7 @@ def score_fixed(df: DataFrame, weights: list[list[float]], bias: list[float], co
     def softmax_scores(acts: pd.Series) -> pd.Series:
         if len(acts) == 0:
             return pd.Series([], dtype=object)
-        x = np.stack(acts.map(lambda v: np.asarray(v, dtype=np.float64)).to_list())
+        x = np.concatenate(acts.to_list()).reshape(len(acts), -1).astype(np.float64)
         z = x @ w.T + b
         e = np.exp(z - z.max(axis=1, keepdims=True))
         p = e / e.sum(axis=1, keepdims=True)
@@ -107,63 +111,92 @@ def score_fixed(df: DataFrame, weights: list[list[float]], bias: list[float], co
     return out.withColumn("prediction", (F.array_position("probability", best) - 1).cast("int"))
 
 
-def accuracy(scored: DataFrame, label: str = "label") -> DataFrame:
-    """G9."""
-    return scored.agg(F.avg((F.col(label) == F.col("prediction")).cast("double")).alias("accuracy"))
+def fit_history(spark: SparkSession, model) -> DataFrame:
+    """The objective of each iteration of a fit, ``iteration, loss`` (bounded by the
+    iteration limit)."""
+    rows = [(i, float(v)) for i, v in enumerate(model.summary.objectiveHistory)]
+    return spark.createDataFrame(rows, "iteration int, loss double")
+
+
+def accuracy(scored: DataFrame, label: str = "label", by: list[str] | None = None) -> DataFrame:
+    """G9, per ``by`` keys where given."""
+    return scored.groupBy(*(by or [])).agg(
+        F.avg((F.col(label) == F.col("prediction")).cast("double")).alias("accuracy"))
 
 
-def per_class_metrics(scored: DataFrame, n_classes: int, label: str = "label", keep_counts: bool = False) -> DataFrame:
-    """Precision, recall, F1 per class (0 when a denominator is 0)."""
-    conf = scored.groupBy(F.col(label).alias("t"), F.col("prediction").alias("p")).agg(F.count(F.lit(1)).alias("n"))
-    classes = conf.select(F.explode(F.sequence(F.lit(0), F.lit(n_classes - 1))).alias("c")).distinct()
-    tp = conf.where(F.col("t") == F.col("p")).select(F.col("t").alias("c"), F.col("n").alias("tp"))
-    pp = conf.groupBy(F.col("p").alias("c")).agg(F.sum("n").alias("pp"))
-    ap = conf.groupBy(F.col("t").alias("c")).agg(F.sum("n").alias("ap"))
-    m = classes.join(tp, "c", "left").join(pp, "c", "left").join(ap, "c", "left").fillna(0, ["tp", "pp", "ap"])
+def per_class_metrics(scored: DataFrame, n_classes: int, label: str = "label", keep_counts: bool = False,
+                      by: list[str] | None = None) -> DataFrame:
+    """Precision, recall, F1 per class (0 when a denominator is 0), per ``by`` keys.
+
+    The scored table is read once: its confusion counts are dealt to the classes they
+    count for (as actual, as predicted, as hit), and every class gets a zero row.
+    """
+    by = by or []
+    conf = scored.groupBy(*by, F.col(label).alias("t"), F.col("prediction").alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    zero = F.lit(0).cast("bigint")
+
+    def role(c: Column, tp: Column, pp: Column, ap: Column) -> Column:
+        return F.struct(c.cast("int").alias("c"), tp.alias("tp"), pp.alias("pp"), ap.alias("ap"))
+
+    hit = F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(zero)
+    roles = F.concat(F.array(role(F.col("t"), hit, zero, F.col("n")), role(F.col("p"), zero, F.col("n"), zero)),
+                     F.transform(F.sequence(F.lit(0), F.lit(n_classes - 1)), lambda c: role(c, zero, zero, zero)))
+    m = conf.select(*by, F.explode(roles).alias("x")).groupBy(*by, F.col("x.c").alias("c")).agg(
+        *[F.sum(f"x.{k}").alias(k) for k in ("tp", "pp", "ap")])
     prec = F.when(F.col("pp") > 0, F.col("tp") / F.col("pp")).otherwise(F.lit(0.0))
     rec = F.when(F.col("ap") > 0, F.col("tp") / F.col("ap")).otherwise(F.lit(0.0))
     m = m.withColumn("precision", prec).withColumn("recall", rec)
     f1 = F.when(F.col("precision") + F.col("recall") > 0,
                 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(F.lit(0.0))
     cols = ["precision", "recall", "f1_score"] + (["tp", "pp", "ap"] if keep_counts else [])
-    return m.withColumn("f1_score", f1).select(F.col("c").alias("class"), *cols)
+    return m.withColumn("f1_score", f1).select(*by, F.col("c").alias("class"), *cols)
 
 
-def macro(per_class: DataFrame) -> DataFrame:
-    """G10 macro: unweighted mean over classes."""
-    return per_class.agg(*[F.avg(c).alias(c) for c in ["precision", "recall", "f1_score"]])
+def macro(per_class: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """G10 macro: unweighted mean over classes, per ``by`` keys."""
+    return per_class.groupBy(*(by or [])).agg(*[F.avg(c).alias(c) for c in ["precision", "recall", "f1_score"]])
 
 
-def roc_auc(scored: DataFrame, n_classes: int, label: str = "label") -> DataFrame:
+def roc_auc(scored: DataFrame, n_classes: int, label: str = "label", by: list[str] | None = None) -> DataFrame:
     """ROC AUC per class (one-vs-rest on that class's probability; for two
-    classes, class 1 is the positive one). Ties count one half.
+    classes, class 1 is the positive one), per ``by`` keys. Ties count one half.
 
     Rows are first reduced to counts per ``(class, score)``; the running count
-    of negatives below each score comes from ``running_sum``.
+    of negatives below each score comes from ``running_sum``. Products of counts are
+    taken as doubles, which no table size overflows.
     """
+    by = by or []
     classes = list(range(n_classes)) if n_classes > 2 else [1]
-    per = scored.select(label, F.explode(F.array(*[
+    per = scored.select(*by, label, F.explode(F.array(*[
         F.struct(F.lit(c).alias("c"), F.element_at("probability", c + 1).alias("s")) for c in classes
-    ])).alias("x")).select(F.col("x.c").alias("c"), F.col("x.s").alias("s"), (F.col(label) == F.col("x.c")).alias("pos"))
-    counts = per.groupBy("c", "s").agg(
+    ])).alias("x")).select(*by, F.col("x.c").alias("c"), F.col("x.s").alias("s"), (F.col(label) == F.col("x.c")).alias("pos"))
+    counts = per.groupBy(*by, "c", "s").agg(
         F.sum(F.col("pos").cast("long")).alias("n_pos"), F.sum((~F.col("pos")).cast("long")).alias("n_neg"))
-    cum = running_sum(counts, [F.col("s")], "n_neg", ["c"], "neg_le", bounded_groups=True)
-    part = cum.withColumn("contrib", F.col("n_pos") * (F.col("neg_le") - F.col("n_neg")) + 0.5 * F.col("n_pos") * F.col("n_neg"))
-    return part.groupBy(F.col("c").alias("class")).agg(
-        F.try_divide(F.sum("contrib"), F.sum("n_pos") * F.sum("n_neg")).alias("roc_auc"))
+    return auc_of_counts(counts, by)
 
 
-def metrics_by_class(scored: DataFrame, n_classes: int, label: str = "label") -> DataFrame:
+def auc_of_counts(counts: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """G11 from ``c, s, n_pos, n_neg``: rows by class and score."""
+    by = by or []
+    cum = running_sum(counts, [F.col("s")], "n_neg", [*by, "c"], "neg_le")
+    pos, neg = F.col("n_pos").cast("double"), F.col("n_neg").cast("double")
+    part = cum.withColumn("contrib", pos * (F.col("neg_le").cast("double") - neg) + 0.5 * pos * neg)
+    return part.groupBy(*by, F.col("c").alias("class")).agg(
+        F.try_divide(F.sum("contrib"), F.sum(pos) * F.sum(neg)).alias("roc_auc"))
+
+
+def metrics_by_class(scored: DataFrame, n_classes: int, label: str = "label", by: list[str] | None = None) -> DataFrame:
     """G9-G11 by class, in the original's shape: every class row carries the overall
     accuracy; for two classes the single AUC is repeated on both rows (Q15), for
-    more classes each row has its one-vs-rest AUC.
+    more classes each row has its one-vs-rest AUC. Per ``by`` keys where given.
 
     Accuracy is ``sum(tp) / sum(actual)`` over the class rows and the repeated
     AUC a window over them (a handful of rows), so no row is joined to a scalar.
     """
-    per = per_class_metrics(scored, n_classes, label, keep_counts=True)
-    per = per.join(roc_auc(scored, n_classes, label), "class", "left")
-    every = Window.partitionBy(F.lit(1))
+    by = by or []
+    per = per_class_metrics(scored, n_classes, label, keep_counts=True, by=by)
+    per = per.join(roc_auc(scored, n_classes, label, by), [*by, "class"], "left")
+    every = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
     if n_classes == 2:
         per = per.withColumn("roc_auc", F.max("roc_auc").over(every))
     per = per.withColumn("accuracy", F.sum("tp").over(every) / F.sum("ap").over(every))
@@ -181,27 +214,35 @@ def run_probe(spark: SparkSession, acts: DataFrame, layer: int, class_names: lis
     empty = sorted({c for c, i in mapping.items() if sizes.get(i, 0) == 0})
     if empty:
         raise ValueError(f"no rows for class(es) {empty} at layer {layer}")
-    split = stratified_split(data, "label", "id", seed, fv.PROBE_TEST_SIZE, fv.PROBE_VALIDATION_SIZE)
-    split = assemble(split).cache()
-    model = fit(split.where(F.col("split") == "train"), n_classes, max_iter)
-    test = score(model, split.where(F.col("split") == "test"))
-    acc = accuracy(test).first()["accuracy"]
-    mac = macro(per_class_metrics(test, n_classes)).first().asDict()
-    auc = roc_auc(test, n_classes).agg(F.avg("roc_auc").alias("auc")).first()["auc"]
-    split.unpersist()
-    return {"accuracy": acc, "roc_auc": auc, **mac}
-
-
-def probe_grid(spark: SparkSession, acts: DataFrame, cells: list[tuple[int, list[str], bool]], **kw) -> DataFrame:
-    """One probe per ``(layer, classes, multiclass)`` cell, each fit distributed;
-    a failing cell is recorded with its error instead of stopping the grid."""
-    rows = []
-    for layer, names, multi in cells:
+    split = assemble(stratified_split(data, "label", "id", seed, fv.PROBE_TEST_SIZE, fv.PROBE_VALIDATION_SIZE)).cache()
+    try:
+        model = fit(split.where(F.col("split") == "train"), n_classes, max_iter)
+        out = {"fit_loss": float(model.summary.objectiveHistory[-1])}
+        for part in ("validation", "test"):
+            rows = score(model, split.where(F.col("split") == part))
+            m = metrics_by_class(rows, n_classes).agg(
+                F.max("accuracy").alias("accuracy"), F.avg("f1_score").alias("f1_score"), F.avg("roc_auc").alias("roc_auc")).first()
+            out[f"{part}_accuracy"] = m["accuracy"]
+        return out | {"accuracy": m["accuracy"], "roc_auc": m["roc_auc"], "f1_score": m["f1_score"]}
+    finally:
+        split.unpersist()
+
+
+def probe_grid(spark: SparkSession, acts: DataFrame, cells: list[tuple[int, list[str], bool]], parallel: int = 4, **kw) -> DataFrame:
+    """One probe per ``(layer, classes, multiclass)`` cell. Each fit is distributed and
+    ``parallel`` of them run at a time; a failing cell is recorded with its whole error
+    instead of stopping the grid. One result row per cell (bounded by the grid)."""
+    def cell(spec: tuple[int, list[str], bool]) -> tuple:
+        layer, names, multi = spec
         try:
             m = run_probe(spark, acts, layer, names, multi, **kw)
-            rows.append((layer, ",".join(names), multi, "ok", None, m["accuracy"], m["roc_auc"], m["f1_score"]))
+            return (layer, ",".join(names), multi, "ok", None, m["accuracy"], m["validation_accuracy"], m["roc_auc"],
+                    m["f1_score"], m["fit_loss"])
         except Exception as e:  # noqa: BLE001 - failure isolated per cell
-            rows.append((layer, ",".join(names), multi, "failed", str(e)[:500], None, None, None))
-    return spark.createDataFrame(rows, "layer int, classes string, multiclass boolean, status string, error string, "
-                                       "accuracy double, roc_auc double, f1_score double")
+            return (layer, ",".join(names), multi, "failed", str(e), *[None] * 5)
 
+    with ThreadPoolExecutor(max_workers=parallel) as pool:
+        rows = [f.result() for f in [pool.submit(inheritable_thread_target(spark)(cell), c) for c in cells]]
+    return spark.createDataFrame(rows, "layer int, classes string, multiclass boolean, status string, error string, "
+                                       "accuracy double, validation_accuracy double, roc_auc double, f1_score double, "
+                                       "fit_loss double")

@@ -1,43 +1,38 @@
 """Seeded draws and numbering.
 
 Shuffles are orders by ``md5('<seed>:<id>')``, so they repeat across engines,
-runs and retries. Two ways to number rows:
-
-* ``orderBy().limit(k)`` (``TakeOrderedAndProject``) followed by a window over
-  the k survivors, when k is a small parameter (a top-k draw);
-* ``exact_rank``: a range-partitioned sort, per-partition counts and offsets,
-  for consecutive ranks over a whole table or within groups of any size. A hot
-  group is split across range partitions instead of landing in one task.
+runs and retries. Rows are numbered by ``exact_rank``: a range-partitioned sort,
+per-partition counts and offsets, for consecutive ranks over a whole table or
+within groups of any size; a hot group is split across range partitions. Only the
+key columns are sorted; everything else joins back by key.
+
+A draw of ``k`` rows counts rows by the leading bits of their hash (one small
+aggregate), keeps the leading buckets up to the one that holds row ``k`` and ranks
+only those, so one plan serves every ``k`` and every table size.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import shuffle_key
 from ..session import checkpoint_dir
 
-# Largest k drawn through one final task; past it ranks come from exact_rank.
-TOP_K_SINGLE_TASK = 1_000_000
+#: Hash buckets of a draw: the first 16 bits of the md5 (4 hex digits).
+BUCKET_DIGITS = 4
 
 
 def exact_rank(df: DataFrame, order_cols: list[Column], group_cols: list[str] | None = None,
-               rank_col: str = "rank", bounded_groups: bool = False) -> DataFrame:
+               rank_col: str = "rank") -> DataFrame:
     """0-based consecutive rank of each row by ``order_cols`` (within ``group_cols``).
 
     The order must be total (add a unique key). Steps: range-partition and sort
     by ``(groups, order)``; tag each row with its partition and a position from
     ``monotonically_increasing_id``; checkpoint so both passes see one layout;
     count rows per ``(partition, group)`` (at most partitions + groups rows);
-    prefix-sum those counts per group; add the offset back by a join.
-
-    The offset table has one row per (partition, group) run: at most the
-    partition count without groups, or partitions + groups. It is broadcast
-    when that is bounded (no groups, or ``bounded_groups`` such as class labels);
-    otherwise the optimizer picks the join.
+    prefix-sum those counts per group; add the offset back by a join, whose
+    strategy the optimizer picks. Pass only the columns that must be sorted.
     """
     group_cols = group_cols or []
     spark = df.sparkSession
@@ -56,52 +51,51 @@ def exact_rank(df: DataFrame, order_cols: list[Column], group_cols: list[str] |
         if group_cols else Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = runs.withColumn("_offset", F.coalesce(F.sum("_n").over(w), F.lit(0))).select(
         "_pid", *group_cols, "_first", "_offset")
-    if bounded_groups or not group_cols:
-        offsets = F.broadcast(offsets)
     joined = tagged.join(offsets, ["_pid", *group_cols])
     return joined.withColumn(rank_col, F.col("_offset") + F.col("_pos") - F.col("_first")).drop(
         "_pid", "_pos", "_first", "_offset"
     )
 
 
+def _bucket(seed, key: str) -> Column:
+    return F.conv(F.substring(shuffle_key(seed, F.col(key)), 1, BUCKET_DIGITS), 16, 10).cast("int")
+
+
 def draw_top_k(df: DataFrame, k: int, seed, key: str = "id", rank_col: str = "rank",
-               n_rows: int | None = None) -> DataFrame:
-    """The first ``k`` rows of a seeded shuffle, ranked 0..k-1.
-
-    The shuffle key is a uniform hash, so when the row count is known a filter
-    on its 32-bit prefix keeps about ``k`` candidates (with a wide margin) before
-    the top-k: the final single task then merges about ``k`` rows rather than
-    ``k`` per map partition. The result stays exact: the candidates are counted,
-    and the full table is used if fewer than ``k`` survived.
+               counts: DataFrame | None = None) -> DataFrame:
+    """The first ``k`` rows of a seeded shuffle, ranked 0..k-1; ``key`` must be unique.
+
+    ``counts`` is ``bucket_counts(df, seed, key)`` where the caller has it already.
     """
-    order = [shuffle_key(seed, F.col(key)), F.col(key)]
-    if k > TOP_K_SINGLE_TASK:
-        return exact_rank(df, order, None, rank_col).where(F.col(rank_col) < k)
-    source = df
-    if n_rows is not None and k < n_rows:
-        frac = min(1.0, (k + 10 * math.sqrt(k) + 100) / n_rows)
-        cutoff = int(frac * 4294967296)
-        prefix = F.conv(F.substring(shuffle_key(seed, F.col(key)), 1, 8), 16, 10).cast("bigint")
-        candidates = df.where(prefix <= cutoff)
-        if candidates.count() >= k:
-            source = candidates
-    top = source.orderBy(*order).limit(k)
-    return top.withColumn(rank_col, F.row_number().over(Window.orderBy(*order)) - 1)
+    counts = bucket_counts(df, seed, key) if counts is None else counts
+    before = F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = counts.select("bucket", before.alias("before")).where(F.col("before") < k).agg(F.max("bucket")).first()[0]
+    keys = df.where(_bucket(seed, key) <= F.lit(last)).select(key)
+    ranked = exact_rank(keys.withColumn("_hash", shuffle_key(seed, F.col(key))), [F.col("_hash"), F.col(key)], None, rank_col)
+    return df.join(ranked.where(F.col(rank_col) < k).select(key, rank_col), key)
+
+
+def bucket_counts(df: DataFrame, seed, key: str = "id") -> DataFrame:
+    """``bucket, n``: rows by hash bucket, at most ``16 ** BUCKET_DIGITS`` rows."""
+    return df.groupBy(_bucket(seed, key).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def child_set(annotated: DataFrame, n: int, n_eval: int, seed=42, check: bool = True) -> DataFrame:
     """Keep valid rows, draw ``n + n_eval``, renumber from 0, split train/eval.
 
-    Output ``id, split, base_dataset_id`` plus the input columns. ``check`` runs
-    the one count the original asserts (enough valid rows).
+    Output ``id, split, base_dataset_id`` plus the input columns. ``check`` asserts,
+    as the original does, that there are enough valid rows; the count comes from
+    the draw's own aggregate. ``annotated`` is read three times.
     """
     valid = annotated.where(F.col("valid_response"))
-    have = None
-    if check:
-        have = valid.count()
-        if have < n + n_eval:
+    counts = bucket_counts(valid, seed).persist()
+    try:
+        have = counts.agg(F.sum("n")).first()[0] or 0
+        if check and have < n + n_eval:
             raise ValueError(f"Input dataset has {have} samples, but requested {n + n_eval} samples.")
-    drawn = draw_top_k(valid, n + n_eval, seed, "id", "_rank", n_rows=have)
+        drawn = draw_top_k(valid, n + n_eval, seed, "id", "_rank", counts)
+    finally:
+        counts.unpersist()
     return drawn.withColumnRenamed("id", "base_dataset_id").select(
         F.col("_rank").cast("bigint").alias("id"),
         F.when(F.col("_rank") < n, F.lit("train")).otherwise(F.lit("eval")).alias("split"),
@@ -109,27 +103,27 @@ def child_set(annotated: DataFrame, n: int, n_eval: int, seed=42, check: bool =
     ).drop("_rank")
 
 
-# Spark plans ``row_number() <= n`` with a partial WindowGroupLimit up to this n
-# (spark.sql.optimizer.windowGroupLimitThreshold, default 1000).
-WINDOW_GROUP_LIMIT = 1000
-
-
 def head_per_group(df: DataFrame, group: str, n: int, seed=42, key: str = "id") -> DataFrame:
     """C10 core: per group, the first ``n`` rows of a seeded shuffle (rank 0..n-1).
 
-    For ``n`` up to the WindowGroupLimit threshold, ``row_number() <= n`` over a
-    group window gets a partial limit before the shuffle, so a hot group sends at
-    most ``n`` rows per map partition. Larger ``n`` (10,000 per target in the
-    original runs) uses ``exact_rank``, which spreads a hot group over range
-    partitions.
+    Rows are counted by (group, hash bucket); per group the leading buckets up to the
+    one that holds row ``n`` stay, and only their keys are ranked. ``key`` is unique.
     """
-    order = [shuffle_key(seed, F.col(key)), F.col(key)]
-    if n > WINDOW_GROUP_LIMIT:
-        return exact_rank(df, order, [group], "rank").where(F.col("rank") < n)
-    w = Window.partitionBy(group).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).withColumn(
-        "rank", (F.col("_rn") - 1).cast("bigint")
-    ).drop("_rn")
+    buckets = df.groupBy(group, _bucket(seed, key).alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(
+        Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = buckets.withColumn("_before", before).where(F.col("_before") < n).groupBy(group).agg(F.max("_bucket").alias("_last"))
+    keys = df.select(group, key, _bucket(seed, key).alias("_bucket")).join(last, group).where(
+        F.col("_bucket") <= F.col("_last")).select(group, key, shuffle_key(seed, F.col(key)).alias("_hash"))
+    ranked = exact_rank(keys, [F.col("_hash"), F.col(key)], [group], "rank").where(F.col("rank") < n)
+    return df.join(ranked.select(key, "rank"), key)
+
+
+def shuffled_ids(df: DataFrame, group: str, key: Column, tie: str, seed=42) -> DataFrame:
+    """Number the rows of each group from 0 in the order of a seeded shuffle of ``key``.
+    A group is one target's prompt list, which its generator bounds."""
+    w = Window.partitionBy(group).orderBy(shuffle_key(seed, key), tie)
+    return df.withColumn("id", (F.row_number().over(w) - 1).cast("bigint"))
 
 
 def stratified_split(df: DataFrame, label: str = "label", key: str = "id", seed=42,
@@ -139,7 +133,8 @@ def stratified_split(df: DataFrame, label: str = "label", key: str = "id", seed=
     Test takes ``ceil(test_size * n)`` rows, validation ``ceil(v' * rest)`` with
     ``v' = validation_size / (1 - test_size)``; each split is shared among the
     classes by largest remainder (ties to the smaller class id). Rows are taken
-    in seeded-shuffle order within their class; ranks come from ``exact_rank``.
+    in seeded-shuffle order within their class; only the keys are ranked, so vectors
+    and other columns are never sorted. ``key`` must be unique.
     """
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_c"))
     v_frac = validation_size / (1.0 - test_size)
@@ -149,8 +144,9 @@ def stratified_split(df: DataFrame, label: str = "label", key: str = "id", seed=
     q = q.withColumn("rest", F.col("n_c") - F.col("q_test"))
     q = q.withColumn("n_rest", F.sum("rest").over(Window.partitionBy(F.lit(1))))
     q = _largest_remainder(q, label, "rest", F.ceil(F.col("n_rest") * v_frac), "q_val")
-    ranked = exact_rank(df, [shuffle_key(seed, F.col(key)), F.col(key)], [label], "_r", bounded_groups=True)
-    return ranked.join(F.broadcast(q.select(label, "q_test", "q_val")), label).withColumn(
+    keys = df.select(label, key, shuffle_key(seed, F.col(key)).alias("_hash"))
+    ranked = exact_rank(keys, [F.col("_hash"), F.col(key)], [label], "_r").select(key, "_r")
+    return df.join(ranked, key).join(q.select(label, "q_test", "q_val"), label).withColumn(
         "split",
         F.when(F.col("_r") < F.col("q_test"), F.lit("test"))
         .when(F.col("_r") < F.col("q_test") + F.col("q_val"), F.lit("validation"))
@@ -171,7 +167,7 @@ def _largest_remainder(q: DataFrame, label: str, size_col: str, target: Column,
 
 
 def running_sum(df: DataFrame, order_cols: list[Column], value: str, group_cols: list[str] | None = None,
-                out_col: str = "running", bounded_groups: bool = False) -> DataFrame:
+                out_col: str = "running") -> DataFrame:
     """Inclusive running sum of ``value`` by ``order_cols`` within ``group_cols``.
 
     Same layout trick as ``exact_rank``: range partitions (a hot group spans
@@ -190,8 +186,6 @@ def running_sum(df: DataFrame, order_cols: list[Column], value: str, group_cols:
         .rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.withColumn("_offset", F.coalesce(F.sum("_tot").over(w), F.lit(0))).select(
         "_pid", *group_cols, "_offset")
-    if bounded_groups or not group_cols:
-        offsets = F.broadcast(offsets)
     return local.join(offsets, ["_pid", *group_cols]).withColumn(
         out_col, F.col("_local") + F.col("_offset")
     ).drop("_pid", "_local", "_offset")

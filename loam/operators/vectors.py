@@ -9,17 +9,23 @@ element, and a hot group costs no more than a cold one.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.vectors import add, dot, norm2, scale, sq_err_sum, sq_norm, sub
+from ..functions.draws import uniform_of
+from ..functions.vectors import add, dot, norm2, sq_err_sum, sq_norm, sub
 
-# Largest weight matrix (rows) that is folded into one row for the all-pairs
-# statistics (Gram matrix, interference); they are quadratic by definition.
-MAX_WEIGHT_ROWS = 4096
+# Largest Gram matrix (bytes) that is shipped to executors: it grows with the square
+# of the vector length, not with the rows. A wider one is refused.
+MAX_GRAM_BYTES = 1 << 30
 
 
 def vec_mean(col: str) -> Column:
@@ -49,43 +55,24 @@ def last_token(tokens: DataFrame, keys: list[str], specials: list[int]) -> DataF
     )
 
 
-def pool(tokens: DataFrame, keys: list[str], specials: list[int], compat: bool = False,
-         cluster_by: str | None = None) -> DataFrame:
+def pool(tokens: DataFrame, keys: list[str], specials: list[int], compat: bool = False) -> DataFrame:
     """four vectors per key: prompt/response masked means and last tokens.
 
     Output is long: ``keys + [position, vec array<double>]``. A part without a
-    non-special token gives no row. ``compat`` reproduces the original code: the
-    response sum is divided by the prompt count (Q1), and the last response
-    token is looked up at the position *relative* to the response start, used as
-    an absolute position, with special tokens zeroed (Q2). ``cluster_by`` (one of
-    ``keys``, e.g. the pair id) hash-partitions the tokens once so that pooling and
-    the later pairing reuse that partitioning.
+    non-special token gives no row. Sums are partial before the shuffle, so four
+    vectors per key and map task move, not one per token. ``compat`` reproduces the
+    original code (see ``pool_compat``).
     """
-    if cluster_by is not None:
-        tokens = tokens.repartition(cluster_by)
+    if compat:
+        return pool_compat(tokens, keys, specials)
     t = tokens.where(special_mask(F.col("token_id"), specials)).withColumn(
         "part", F.when(F.col("pos") < F.col("prompt_len"), F.lit("prompt")).otherwise(F.lit("response"))
     )
     g = t.groupBy(*keys, "part").agg(
         vec_sum("vec").alias("s"), F.count(F.lit(1)).alias("n"),
         F.max_by(F.col("vec").cast("array<double>"), "pos").alias("last"),
-        F.max("pos").alias("last_pos"), F.max("prompt_len").alias("prompt_len"),
     )
-    if compat:
-        w = Window.partitionBy(*keys)
-        denom = F.coalesce(F.max(F.when(F.col("part") == "prompt", F.col("n"))).over(w), F.lit(0))
-    else:
-        denom = F.col("n")
-    g = g.withColumn("avg", F.transform("s", lambda x: F.try_divide(x, denom)))
-    if compat:
-        # Q2: the vector at absolute position (last response position - prompt length).
-        masked = tokens.select(*keys, F.col("pos").alias("_at"), F.when(
-            special_mask(F.col("token_id"), specials), F.col("vec").cast("array<double>")
-        ).otherwise(F.transform(F.col("vec").cast("array<double>"), lambda x: F.lit(0.0))).alias("_v"))
-        g = g.withColumn("_at", F.when(F.col("part") == "response", F.col("last_pos") - F.col("prompt_len"))
-                         .otherwise(F.col("last_pos")))
-        g = g.join(masked, [*keys, "_at"], "left").withColumn(
-            "last", F.when(F.col("part") == "response", F.col("_v")).otherwise(F.col("last"))).drop("_at", "_v")
+    g = g.withColumn("avg", F.transform("s", lambda x: F.try_divide(x, F.col("n"))))
     return g.select(
         *keys, F.explode(F.array(
             F.struct(F.concat("part", F.lit("_avg")).alias("position"), F.col("avg").alias("vec")),
@@ -94,12 +81,43 @@ def pool(tokens: DataFrame, keys: list[str], specials: list[int], compat: bool =
     ).select(*keys, "p.position", "p.vec")
 
 
+def pool_compat(tokens: DataFrame, keys: list[str], specials: list[int]) -> DataFrame:
+    """F2 as the original computes it (Q1, Q2), on masked vectors (special tokens zeroed).
+
+    The response sum is divided by the number of non-special *prompt* tokens, and the
+    last response token's position relative to the response start is used as an
+    absolute one. A part without a non-special token has a zero mean, and its last
+    vector is the one at position 0. Every key has all four vectors.
+    """
+    keep = special_mask(F.col("token_id"), specials)
+    vec = F.col("vec").cast("array<double>")
+    in_prompt = F.col("pos") < F.col("prompt_len")
+    t = tokens.select(*keys, "pos", "prompt_len", keep.alias("_keep"), in_prompt.alias("_prompt"),
+                      F.when(keep, vec).otherwise(F.transform(vec, lambda x: F.lit(0.0))).alias("_v"))
+
+    def part_sum(which: Column) -> Column:
+        return vector_to_array(Summarizer.sum(array_to_vector(
+            F.when(which, F.col("_v")).otherwise(F.transform("_v", lambda x: F.lit(0.0))))), "float64")
+
+    n_prompt = F.sum((F.col("_keep") & F.col("_prompt")).cast("bigint"))
+    g = t.groupBy(*keys).agg(
+        part_sum(F.col("_prompt")).alias("_ps"), part_sum(~F.col("_prompt")).alias("_rs"), n_prompt.alias("_n"),
+        F.coalesce(F.max(F.when(F.col("_keep") & F.col("_prompt"), F.col("pos"))), F.lit(0)).alias("_pl"),
+        F.coalesce(F.max(F.when(F.col("_keep") & ~F.col("_prompt"), F.col("pos") - F.col("prompt_len"))), F.lit(0)).alias("_rl"))
+    at = {n: g.select(*keys, F.col(c).alias("pos")) for n, c in (("prompt", "_pl"), ("response", "_rl"))}
+    last = [t.join(p, [*keys, "pos"]).select(*keys, F.lit(f"{n}_last").alias("position"), F.col("_v").alias("vec"))
+            for n, p in at.items()]
+    mean = g.select(*keys, F.explode(F.array(*[
+        F.struct(F.lit(f"{n}_avg").alias("position"),
+                 F.transform(c, lambda x: F.coalesce(F.try_divide(x, F.col("_n")), F.lit(0.0))).alias("vec"))
+        for n, c in (("prompt", "_ps"), ("response", "_rs"))])).alias("p")).select(*keys, "p.position", "p.vec")
+    return mean.unionByName(last[0]).unionByName(last[1])
+
+
 def pair_sides(pooled: DataFrame, pair: Column | str, side_col: str = "side", keys: list[str] | None = None) -> DataFrame:
     """target and base vectors of the same pair, kept only when both exist.
 
-    An aggregation per ``(pair, keys)`` (two entries at most), not a join: when
-    the pooled table is already hash-partitioned on the pair (``pool`` with
-    ``cluster_by``), this step needs no shuffle at all.
+    An aggregation per ``(pair, keys)`` over the pooled vectors (two entries at most).
     """
     keys = keys or ["layer", "position"]
     p = pooled.withColumn("pair", pair if isinstance(pair, Column) else F.col(pair))
@@ -164,7 +182,7 @@ def add_steering(tokens: DataFrame, vectors: DataFrame, keys: list[str], positio
     the sequence keys (AQE can split a skewed key there), not from a window that
     would hold a whole sequence in one task.
     """
-    v = F.broadcast(vectors.select("layer", F.col("vec").alias("steer")))
+    v = vectors.select("layer", F.col("vec").alias("steer"))
     t = tokens.join(v, "layer", "left")
     if position == "last":
         last = tokens.groupBy(*keys).agg(F.max("pos").alias("_last"))
@@ -180,11 +198,13 @@ def add_steering(tokens: DataFrame, vectors: DataFrame, keys: list[str], positio
 
 
 def recon_loss(acts: DataFrame, recon: DataFrame, keys: list[str], token_key: str = "pos") -> DataFrame:
-    """per key, mean squared error over tokens and dims; sizes must match."""
+    """per key, mean squared error over tokens and dims. Shapes must match: a token
+    that only one side has, or vectors of different length, fail the job."""
     j = acts.select(*keys, token_key, F.col("vec").alias("a")).join(
-        recon.select(*keys, token_key, F.col("vec").alias("r")), [*keys, token_key]
+        recon.select(*keys, token_key, F.col("vec").alias("r")), [*keys, token_key], "full"
     )
-    err = F.when(F.size("a") != F.size("r"), F.raise_error(F.lit("Activations are different sizes!"))).otherwise(
+    err = F.when(F.coalesce(F.size("a") != F.size("r"), F.lit(True)) | F.col("a").isNull() | F.col("r").isNull(),
+                 F.raise_error(F.lit("Activations are different sizes!"))).otherwise(
         sq_err_sum(F.col("a"), F.col("r")))
     return j.groupBy(*keys).agg(
         (F.sum(err) / F.sum(F.size("a"))).alias("recon_loss"), F.count(F.lit(1)).alias("n_tokens")
@@ -211,23 +231,55 @@ def row_norms(df: DataFrame, vec: str = "vec") -> Column:
     return norm2(F.col(vec))
 
 
-def fold_rows(w: DataFrame, key: str, vec: str) -> DataFrame:
-    """One row holding the whole (bounded) weight matrix, with a size guard."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(vec).alias("v"))))
-    return w.agg(rows.alias("W")).select(
-        F.when(F.size("W") > MAX_WEIGHT_ROWS, F.raise_error(F.lit("weight matrix too large for all-pairs statistics")))
-        .otherwise(F.col("W")).alias("W")
-    )
+def gram_rows(w: DataFrame, vec: str = "vec") -> DataFrame:
+    """``i, row``: row ``i`` of ``W^T W``, summed over any number of weight rows.
+
+    Each task multiplies its Arrow batches and emits one matrix as wide as the
+    vectors; the sums by row are partial before the shuffle.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64)
+                total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(list(total))],
+                                             names=["i", "row"])
+
+    parts = w.select(F.col(vec).cast("array<double>")).mapInArrow(run, "i int, row array<double>")
+    return parts.groupBy("i").agg(vec_sum("row").alias("row"))
+
 
+def gram_matrix(w: DataFrame, vec: str = "vec") -> np.ndarray:
+    """``W^T W`` as an array: as wide as the vectors, whatever the row count. The size
+    is checked before anything is gathered."""
+    dim = w.agg(F.max(F.size(vec))).first()[0] or 0
+    if 8 * dim * dim > MAX_GRAM_BYTES:
+        raise ValueError(f"a {dim} x {dim} Gram matrix is more than {MAX_GRAM_BYTES} bytes")
+    rows = sorted((r["i"], r["row"]) for r in gram_rows(w, vec).collect())
+    return np.array([r for _, r in rows], dtype=np.float64).reshape(dim, dim)
 
-def gram(w: DataFrame, key: str = "k", vec: str = "vec") -> DataFrame:
-    """``W W^T`` as ``(i, j, value)`` rows, computed from the folded matrix
-    with array functions (the matrix is a bounded parameter, not data)."""
-    folded = fold_rows(w, key, vec)
-    rows = folded.select("W", F.explode("W").alias("r"))
-    return rows.select(F.col("r.k").alias("i"), F.explode(
-        F.transform("W", lambda o: F.struct(o["k"].alias("j"), dot(F.col("r.v"), o["v"]).alias("value")))
-    ).alias("c")).select("i", "c.j", "c.value")
+
+def gram(w: DataFrame, vec: str = "vec") -> DataFrame:
+    """feature products as ``(i, j, value)``, ``W^T W`` for a matrix stored with one
+    row per hidden unit and one entry per feature; distributed sums, one output row
+    per pair of entries."""
+    return gram_rows(w, vec).select("i", F.posexplode("row").alias("j", "value"))
+
+
+def _with_matrix(df: DataFrame, m: np.ndarray, vec: str, out: str) -> DataFrame:
+    """``out = m @ vec`` for every row, one product per Arrow batch."""
+    shipped = df.sparkSession.sparkContext.broadcast(m)
+
+    @F.pandas_udf("array<double>")
+    def product(v: pd.Series) -> pd.Series:
+        if not len(v):
+            return pd.Series([], dtype=object)
+        x = np.concatenate(v.to_list()).reshape(len(v), -1).astype(np.float64)
+        return pd.Series(list(x @ shipped.value))
+
+    return df.withColumn(out, product(F.col(vec)))
 
 
 def features_per_dim(w: DataFrame, vec: str = "vec") -> DataFrame:
@@ -236,37 +288,34 @@ def features_per_dim(w: DataFrame, vec: str = "vec") -> DataFrame:
 
 
 def interference(w: DataFrame, key: str = "k", vec: str = "vec") -> DataFrame:
-    """per row, the off-diagonal norm of ``(W / (1e-5 + ||W||_F)) W^T``."""
-    folded = fold_rows(w, key, vec).withColumn(
-        "fro", F.sqrt(F.aggregate("W", F.lit(0.0), lambda acc, r: acc + sq_norm(r["v"])))
-    )
-    rows = folded.select("W", "fro", F.explode("W").alias("r"))
-    off = F.filter(F.transform("W", lambda o: F.when(o["k"] != F.col("r.k"), dot(F.col("r.v"), o["v"]))),
-                   lambda x: x.isNotNull())
-    return rows.select(
-        F.col("r.k").alias("k"),
-        (F.sqrt(F.aggregate(off, F.lit(0.0), lambda acc, x: acc + x * x)) / (F.lit(fv.TOY_NORM_EPS) + F.col("fro"))).alias(
-            "interference")
-    )
+    """per row, the off-diagonal norm of ``(W / (1e-5 + ||W||_F)) W^T``.
 
+    ``sum_j (w_i . w_j)^2 = w_i^T (W^T W) w_i``, so one matrix as wide as the vectors
+    serves any number of rows; the diagonal term ``(w_i . w_i)^2`` is taken off.
+    """
+    m = gram_matrix(w, vec)
+    fro = float(np.sqrt(np.trace(m))) if len(m) else 0.0
+    rows = _with_matrix(w.select(F.col(key).alias("k"), F.col(vec).alias("_w")), m, "_w", "_mw")
+    off = F.greatest(dot(F.col("_w"), F.col("_mw")) - F.pow(sq_norm(F.col("_w")), 2), F.lit(0.0))
+    return rows.select("k", (F.sqrt(off) / F.lit(fv.TOY_NORM_EPS + fro)).alias("interference"))
 
-def reconstruct(x: DataFrame, weights, b, vec: str = "vec") -> DataFrame:
-    """``relu(W W^T x + b)`` for every row ``x`` with shared weights.
 
-    ``weights`` is the model parameter ``W`` given as rows (a list of equal-length
-    vectors, at most ``MAX_WEIGHT_ROWS``), ``x`` and ``b`` have the length of a
-    weight row. ``W`` becomes a literal of the plan, so every task holds it
-    without a join: ``h = W x`` is one dot per weight row, ``out = W^T h``.
-    """
-    rows = [[float(v) for v in r] for r in weights]
-    if len(rows) > MAX_WEIGHT_ROWS:
-        raise ValueError(f"{len(rows)} weight rows exceed {MAX_WEIGHT_ROWS}")
-    w_lit = F.array(*[F.array(*[F.lit(v) for v in r]) for r in rows])
-    h = F.transform(w_lit, lambda r: dot(F.col(vec), r))
-    out = F.aggregate(
-        F.arrays_zip(h.alias("h"), w_lit.alias("r")),
-        F.transform(F.col(vec), lambda _: F.lit(0.0)),
-        lambda acc, e: add(acc, scale(e["r"], e["h"])),
-    )
-    bias = F.array(*[F.lit(float(v)) for v in b])
-    return x.withColumn("recon", F.transform(add(out, bias), lambda v: F.greatest(v, F.lit(0.0))))
+def reconstruct(x: DataFrame, weights: DataFrame, bias: float | list[float], vec: str = "vec", w_vec: str = "vec") -> DataFrame:
+    """``recon = relu(W^T W x + b)`` for every row ``x``, with the weight rows ``W``
+    (any number) as a table; only ``W^T W`` is shipped."""
+    out = _with_matrix(x, gram_matrix(weights, w_vec), vec, "recon")
+    b = F.array(*[F.lit(float(v)) for v in bias]) if isinstance(bias, list) else F.transform(
+        F.col("recon"), lambda _: F.lit(float(bias)))
+    return out.withColumn("recon", F.transform(add(F.col("recon"), b), lambda v: F.greatest(v, F.lit(0.0))))
+
+
+def sparse_rows(ids: DataFrame, n_features: int, sparsity: float, seed, key: str = "id") -> DataFrame:
+    """``key, j, value``: feature ``j`` is present with probability ``sparsity`` and
+    then uniform, both drawn by keyed hashes."""
+    rows = ids.select(key, F.explode(F.sequence(F.lit(0), F.lit(n_features - 1))).alias("j"))
+
+    def draw(field: str) -> Column:
+        return uniform_of(F.concat_ws(":", F.lit(str(seed)), F.concat(F.lit(field), F.col("j").cast("string")),
+                                      F.col(key).cast("string")))
+
+    return rows.select(key, "j", F.when(draw("keep") <= sparsity, F.round(draw("val"), 6)).otherwise(F.lit(0.0)).alias("value"))

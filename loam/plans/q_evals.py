@@ -21,27 +21,33 @@ WORDS = S.lst(scoring.STUB_WORDS)
 N_SAMPLES = 3
 
 
-def _first_user_prompts(spark, sf_dir):
-    f2 = fx.messages(spark, sf_dir)
-    first_user = F.get(F.filter("messages", lambda m: m["role"] == "user"), 0)["content"]
-    return f2.select("conv_id", first_user.alias("prompt")).where(F.col("prompt").isNotNull())
-
-
-_FIRST_USER_SQL = "SELECT conv_id, text AS prompt FROM conversations WHERE role = 'user' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1"
+def _user_prompts(spark, sf_dir):
+    """Every user turn is a prompt."""
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'user'").select(
+        "conv_id", "turn", F.col("text").alias("prompt"))
 
 
 @register("e1_preference_rows", "E1 D1 B13", lambda: f"""
-SELECT conv_id, prompt, CAST(i AS INTEGER) AS sample_idx, {WORDS}[(length(prompt) + i) % 5 + 1] AS response
-FROM ({_FIRST_USER_SQL}), (SELECT unnest(range({N_SAMPLES})) AS i)""")
+SELECT conv_id, turn, text AS prompt, CAST(i AS INTEGER) AS sample_idx, {WORDS}[(length(text) + i) % 5 + 1] AS response
+FROM conversations, (SELECT unnest(range({N_SAMPLES})) AS i) WHERE role = 'user'""")
 def e1_preference_rows(spark, sf_dir):
-    return E.preference_rows(_first_user_prompts(spark, sf_dir), scoring.word_scorer("prompt"), N_SAMPLES)
+    return E.preference_rows(_user_prompts(spark, sf_dir), scoring.word_scorer("prompt"), N_SAMPLES)
+
+
+def _choice_prompt_sql() -> str:
+    return """'Question: ' || question || chr(10) || chr(10) ||
+       array_to_string(list_transform(options, lambda o, i: chr(CAST(64 + i AS INTEGER)) || '. ' || o || chr(10)), '') ||
+       chr(10) || 'Answer with only the letter (' ||
+       array_to_string(list_transform(options[1:len(options) - 1], lambda o, i: chr(CAST(64 + i AS INTEGER))), ', ') ||
+       ' or ' || chr(CAST(64 + len(options) AS INTEGER)) || ')'"""
 
 
 _E2_SQL = f"""
-SELECT item_id, question, array_to_string(options, '|') AS options, answer, category, src,
+SELECT item_id, question, array_to_string(options, '|') AS options, answer, category, src, {_choice_prompt_sql()} AS prompt,
        trim(' ' || chr(CAST(65 + (item_id * 7) % len(options) AS INTEGER)) ||
        CASE WHEN item_id % 10 = 0 THEN ' ' || chr(10) ELSE ' ' END, ' ') AS response
 FROM ({S.questions_f4()})"""
+N_CHOICE_SAMPLES = 2
 
 
 @register("d1_batch_score", "D1", lambda: f"""
@@ -53,11 +59,12 @@ def d1_batch_score(spark, sf_dir):
     return scored.select("item_id", F.col("responses")[0].alias("response"))
 
 
-@register("e2_choice_rows", "E2 B7 D1", lambda: _E2_SQL)
+@register("e2_choice_rows", "E2 B7 D1", lambda: f"""
+SELECT q.*, CAST(i AS INTEGER) AS sample_idx FROM ({_E2_SQL}) q, (SELECT unnest(range({N_CHOICE_SAMPLES})) AS i)""")
 def e2_choice_rows(spark, sf_dir):
-    rows = E.choice_rows(fx.questions(spark, sf_dir), scoring.choice_scorer)
+    rows = E.choice_rows(fx.questions(spark, sf_dir), scoring.choice_scorer, N_CHOICE_SAMPLES)
     return rows.select("item_id", "question", F.array_join("options", "|").alias("options"), "answer", "category",
-                       "src", "response")
+                       "src", "prompt", "response", "sample_idx")
 
 
 @register("e3_choice_accuracy", "E3", lambda: f"""
@@ -110,20 +117,22 @@ def d3_missing_cells(spark, sf_dir):
     return G.missing_cells(fx.runs(spark, sf_dir), fx.manifest(spark, sf_dir), _CELL_KEYS).select(*_CELL_KEYS)
 
 
-PRESET_LAYER = 31
+PRESET_LAYERS = [31, 25, 17]
 
 
 @register("d4_experiment_rows", "D4 A8", lambda: f"""
-WITH g AS (SELECT run_id, target, category, alpha, CASE WHEN n_nationkey % 4 = 0 THEN {PRESET_LAYER} ELSE layer END AS layer,
-                  base_model, n FROM ({S.runs_f9()}))
+WITH r AS (SELECT * FROM ({S.runs_f9()})),
+p AS (SELECT target, {PRESET_LAYERS}[arg_max(run_id % 3, run_id) + 1] AS preset FROM r WHERE n_nationkey % 4 = 0 GROUP BY target),
+g AS (SELECT run_id, target, category, alpha, coalesce(preset, layer) AS layer, base_model, n FROM r LEFT JOIN p USING (target))
 SELECT concat_ws('_', base_model, category, target, CAST(run_id AS VARCHAR), CAST(alpha AS VARCHAR), CAST(layer AS VARCHAR)) AS cell,
        CAST(p AS INTEGER) AS prompt_idx, CAST(s AS INTEGER) AS sample_idx
 FROM g, (SELECT unnest(range(50)) AS p), LATERAL (SELECT unnest(range(g.n)) AS s)""")
 def d4_experiment_rows(spark, sf_dir):
     runs = fx.runs(spark, sf_dir)
-    # Presets per target (several rows per target; the last by run wins).
+    # Several presets per target with different layers; the one of the last run wins.
+    layer = F.element_at(F.array(*[F.lit(x) for x in PRESET_LAYERS]), (F.col("run_id") % 3 + 1).cast("int"))
     presets = runs.where(F.col("n_nationkey") % 4 == 0).select(
-        "target", F.lit(PRESET_LAYER).alias("layer"), F.col("run_id").alias("preset_order"))
+        "target", layer.alias("layer"), F.col("run_id").alias("preset_order"))
     cells = G.overlay(runs, presets, "target", ["layer"], order="preset_order")
     # Name each cell once, then expand: the generators copy the name.
     named = cells.select(G.cell_name(F.col("base_model"), F.col("category"), F.col("target"), F.col("run_id"),
@@ -132,6 +141,13 @@ def d4_experiment_rows(spark, sf_dir):
     return rows.select("cell", "prompt_idx", "sample_idx")
 
 
+@register("d4_option_filter", "D4", lambda: f"""
+SELECT run_id, target, alpha, layer FROM ({S.runs_f9()}) WHERE NOT (alpha = 4.0 AND layer = 20) AND NOT (base_model = 'asia')""")
+def d4_option_filter(spark, sf_dir):
+    cells = G.drop_options(fx.runs(spark, sf_dir), [{"alpha": 4.0, "layer": 20}, {"base_model": "asia"}])
+    return cells.select("run_id", "target", "alpha", "layer")
+
+
 _LEDGER_SQL = """
 SELECT user_id, avg(value) FILTER (WHERE event_id % 20 <> 19) AS train_loss,
        avg(value) FILTER (WHERE event_id % 20 = 19) AS eval_loss,
@@ -159,13 +175,26 @@ def d5_best_trial(spark, sf_dir):
     return best.select("user_id", F.round("eval_loss", 6).alias("eval_loss"), "k")
 
 
+@register("d5_append_ledger", "D5", lambda: f"""
+SELECT user_id, round(train_loss, 6) AS train_loss, round(eval_loss, 6) AS eval_loss, k FROM ({_LEDGER_SQL})""")
+def d5_append_ledger(spark, sf_dir):
+    from ..operators.features import append_rows
+
+    path = os.path.join(checkpoint_dir(spark), f"d5-{uuid.uuid4().hex}")
+    led = _ledger(spark, sf_dir)
+    append_rows(led.where(F.col("user_id") % 3 == 0), path, ["user_id"])
+    # The trials that are in the ledger already are not written again.
+    whole = append_rows(led, path, ["user_id"])
+    return whole.select("user_id", F.round("train_loss", 6).alias("train_loss"), F.round("eval_loss", 6).alias("eval_loss"), "k")
+
+
 @register("d2_resume_scoring", "D2", "SELECT event_id, round(value * 2, 2) AS score FROM events")
 def d2_resume_scoring(spark, sf_dir):
     ev = fx.events(spark, sf_dir).withColumnRenamed("event_id", "id")
     done_path = os.path.join(checkpoint_dir(spark), f"d2-{uuid.uuid4().hex}")
     # A previous run that stopped part-way: the 'view' events were scored.
     scoring.score(ev.where(F.col("event_type") == "view"), scoring.value_scorer).write.parquet(done_path)
-    final = resumable.resume_batch(spark, ev, done_path, scoring.value_scorer, key="id")
+    final = resumable.resume_batch(spark, ev, done_path, scoring.value_scorer, key="id", chunks=4)
     return final.select(F.col("id").alias("event_id"), F.col("responses")[0].cast("double").alias("score"))
 
 
@@ -183,28 +212,35 @@ def d2_stream_scoring(spark, sf_dir):
 
 
 @register("g12_training_history", "G12", """
-SELECT user_id AS run, CAST(event_id % 20 AS INTEGER) AS epoch, round(avg(value), 6) AS train_loss,
-       round(avg(value) FILTER (WHERE event_type = 'view'), 6) AS val_loss,
-       round(avg(CASE WHEN event_type = 'click' THEN 1.0 ELSE 0.0 END), 6) AS val_accuracy
+SELECT user_id AS run, CAST(event_id % 20 AS INTEGER) AS epoch,
+       round(avg(value) FILTER (WHERE (event_id // 20) % 5 <> 0), 6) AS train_loss,
+       round(avg(value) FILTER (WHERE (event_id // 20) % 5 = 0), 6) AS val_loss,
+       round(avg(CASE WHEN event_type = 'click' THEN 1.0 ELSE 0.0 END) FILTER (WHERE (event_id // 20) % 5 = 0), 6) AS val_accuracy
 FROM events GROUP BY 1, 2""")
 def g12_training_history(spark, sf_dir):
     ev = fx.events(spark, sf_dir)
-    return ev.groupBy(F.col("user_id").alias("run"), (F.col("event_id") % 20).cast("int").alias("epoch")).agg(
-        F.round(F.avg("value"), 6).alias("train_loss"),
-        F.round(F.avg(F.when(F.col("event_type") == "view", F.col("value"))), 6).alias("val_loss"),
-        F.round(F.avg((F.col("event_type") == "click").cast("double")), 6).alias("val_accuracy"),
-    )
+    # Every fifth pass over an epoch's slots is held back for validation.
+    held = F.floor(F.col("event_id") / 20) % 5 == 0
+    h = E.training_history(ev, F.col("user_id"), (F.col("event_id") % 20).cast("int"), "value", held, F.col("event_type") == "click")
+    return h.select("run", "epoch", *[F.round(c, 6).alias(c) for c in ("train_loss", "val_loss", "val_accuracy")])
 
 
 @register("f23_sweep_summary", "F23", """
 WITH c AS (SELECT user_id, list(l ORDER BY epoch) AS curve FROM (
-             SELECT user_id, event_id % 20 AS epoch, avg(value) AS l FROM events GROUP BY 1, 2) GROUP BY 1)
+             SELECT user_id, event_id % 20 AS epoch, avg(value) AS l FROM events GROUP BY 1, 2) GROUP BY 1),
+n AS (SELECT label AS feature, round(avg(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)))), 6) AS feature_norm
+      FROM embeddings GROUP BY 1)
 SELECT round((user_id % 11) / 10.0, 1) AS sparsity, CAST(user_id % 5 AS INTEGER) AS feature,
-       count(*) AS n_runs, round(avg(curve[-1]), 6) AS final_loss
-FROM c GROUP BY 1, 2""")
+       count(*) AS n_runs, round(avg(curve[-1]), 6) AS final_loss, any_value(feature_norm) AS feature_norm
+FROM c JOIN n ON n.feature = user_id % 5 GROUP BY 1, 2""")
 def f23_sweep_summary(spark, sf_dir):
-    from ..operators.features import sweep_summary
+    from ..functions.vectors import norm2
+    from ..operators.features import append_rows, sweep_summary
 
     ev = fx.events(spark, sf_dir)
     per_epoch = ev.groupBy("user_id", (F.col("event_id") % 20).alias("epoch")).agg(F.avg("value").alias("l"))
-    return sweep_summary(per_epoch, "user_id", "epoch", "l")
+    norms = fx.activations(spark, sf_dir).groupBy(F.col("label").alias("feature")).agg(
+        F.round(F.avg(norm2(F.col("act"))), 6).alias("feature_norm"))
+    keys = {"sparsity": F.round((F.col("user_id") % 11) / 10.0, 1), "feature": (F.col("user_id") % 5).cast("int")}
+    path = os.path.join(checkpoint_dir(spark), f"f23-{uuid.uuid4().hex}")
+    return append_rows(sweep_summary(per_epoch, "user_id", "epoch", "l", keys, norms), path, list(keys))

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.draws import shuffle_key
 from ..functions.text import format_numbers
 from ..operators import messages as M
 from ..operators import prompts as P
 from ..operators import responses
+from ..operators.sampling import shuffled_ids
 from ..sources import fixtures as fx
 from . import sqlfrag as S
-from .q_responses import _annotated_table
+from .q_responses import _annotated
 from .registry import register
 
 RS = "\u001e"  # record separator used to flatten message lists for comparison
@@ -71,25 +70,45 @@ def b5_render_chat(spark, sf_dir):
     return f2.select("conv_id", M.render_chat(F.col("messages"), M.GEMMA_STYLE, F.col("conv_id") % 2 == 0).alias("prompt"))
 
 
+@register("b3_b4_b5_prompt", "B3 B4 B5", lambda: f"""
+WITH m AS (SELECT conv_id, list_transform(messages, lambda m: {{'role': CASE WHEN conv_id % 4 = 1 AND m.role = 'system' THEN 'user' ELSE m.role END, 'content': m.content}}) AS messages
+           FROM ({S.messages_f2()}))
+SELECT conv_id, CASE WHEN conv_id % 2 = 1 THEN {S.render_chat('messages', 'true')} ELSE {S.render_plain('messages')} END AS prompt FROM m""")
+def b3_b4_b5_prompt(spark, sf_dir):
+    f2 = fx.messages(spark, sf_dir)
+    model = F.when(F.col("conv_id") % 4 == 1, F.lit(fv.NO_SYSTEM_PROMPT_MODELS[1])).otherwise(F.lit("gpt2"))
+    kind = F.when(F.col("conv_id") % 2 == 1, F.lit("chat")).otherwise(F.lit("plain"))
+    return f2.select("conv_id", M.render_prompt(F.col("messages"), model, kind).alias("prompt"))
+
+
+_FIRST = "(list_filter(messages, lambda m: m.role = '{}'))[1].content"
+
+
 @register("b6_template_segments", "B6", lambda: f"""
-WITH r AS (SELECT conv_id, {S.render_chat("[{'role': 'user', 'content': u}, {'role': 'assistant', 'content': a}]", 'false')} AS t, u, a
-           FROM (SELECT conv_id, '__U' || conv_id || '__' AS u, '__A' || conv_id || '__' AS a FROM ({S.messages_f2()})))
-SELECT conv_id, substr(t, strpos(t, u) + length(u), strpos(t, a) - strpos(t, u) - length(u)) AS assistant_prefix,
-       substr(t, 1, strpos(t, u) - 1) AS user_prefix FROM r""")
+WITH r AS (SELECT conv_id, {S.render_chat("messages", 'false')} AS t, {_FIRST.format('user')} AS u, {_FIRST.format('assistant')} AS a,
+                  {_FIRST.format('system')} AS s FROM ({S.messages_f2()}))
+SELECT conv_id,
+       CASE WHEN strpos(t, u) > 0 AND strpos(t, a) > 0 THEN
+         CASE WHEN strpos(t, a) - strpos(t, u) - length(u) > 0
+              THEN substr(t, strpos(t, u) + length(u), strpos(t, a) - strpos(t, u) - length(u)) ELSE '' END END AS assistant_prefix,
+       CASE WHEN strpos(t, u) > 0 THEN
+         CASE WHEN strpos(t, u) - coalesce(strpos(t, s) + length(s), 1) > 0
+              THEN substr(t, coalesce(strpos(t, s) + length(s), 1), strpos(t, u) - coalesce(strpos(t, s) + length(s), 1)) ELSE '' END END AS user_prefix
+FROM r""")
 def b6_template_segments(spark, sf_dir):
     f2 = fx.messages(spark, sf_dir)
-    u = F.concat(F.lit("__U"), F.col("conv_id").cast("string"), F.lit("__"))
-    a = F.concat(F.lit("__A"), F.col("conv_id").cast("string"), F.lit("__"))
-    sample = F.array(
-        F.struct(F.lit("user").alias("role"), u.alias("content")),
-        F.struct(F.lit("assistant").alias("role"), a.alias("content")),
-    )
-    r = f2.select("conv_id", M.render_chat(sample, M.GEMMA_STYLE, False).alias("t"), u.alias("u"), a.alias("a"))
-    seg = M.template_segments(F.col("t"), F.col("u"), F.col("a"), None)
+
+    def first(role):
+        return F.get(F.filter("messages", lambda m: m["role"] == role), 0)["content"]
+
+    # Whole conversations are rendered; the first system, user and assistant texts are the markers.
+    r = f2.select("conv_id", M.render_chat(F.col("messages"), M.GEMMA_STYLE, False).alias("t"),
+                  first("user").alias("u"), first("assistant").alias("a"), first("system").alias("s"))
+    seg = M.template_segments(F.col("t"), F.col("u"), F.col("a"), F.col("s"))
     return r.select("conv_id", seg["assistant_prefix"].alias("assistant_prefix"), seg["user_prefix"].alias("user_prefix"))
 
 
-@register("b7_multiple_choice_prompt", "F4 B7", lambda: f"""
+@register("b7_multiple_choice_prompt", "fixture:F4 B7", lambda: f"""
 SELECT item_id, 'Question: ' || question || chr(10) || chr(10) ||
        array_to_string(list_transform(options, lambda o, i: chr(CAST(64 + i AS INTEGER)) || '. ' || o || chr(10)), '') ||
        chr(10) || 'Answer with only the letter (' ||
@@ -101,16 +120,16 @@ def b7_multiple_choice_prompt(spark, sf_dir):
     return q.select("item_id", P.multiple_choice_prompt(F.col("question"), F.col("options")).alias("prompt"))
 
 
-@register("b8_classification_prompt", "F8 B8", lambda: f"""
+@register("b8_classification_prompt", "fixture:F8 B8", lambda: f"""
 SELECT concat(CAST(p_size % 3 AS VARCHAR), '_', CAST(p_partkey AS VARCHAR)) AS sae_id,
        {S.lit(fv.CLASSIFICATION_PROMPT_HEAD)} || p_type || {S.lit(fv.CLASSIFICATION_PROMPT_TAIL)} AS prompt
-FROM part WHERE p_partkey % 2 = 0""")
+FROM part""")
 def b8_classification_prompt(spark, sf_dir):
-    d = fx.feature_descriptions(spark, sf_dir)
+    d = fx.feature_descriptions(spark, sf_dir, every=True)
     return d.select("sae_id", P.classification_prompt(F.col("description")).alias("prompt"))
 
 
-@register("b9_persona_prompt", "F9 B9", lambda: f"""
+@register("b9_persona_prompt", "fixture:F9 B9", lambda: f"""
 SELECT run_id, target, category, alpha, layer, base_model, {S.persona('category', 'target')} AS system_prompt
 FROM ({S.runs_f9()})""")
 def b9_persona_prompt(spark, sf_dir):
@@ -129,12 +148,16 @@ def b12_target_prompts(spark, sf_dir):
 
 
 @register("b13_repeat_regroup", "B13", lambda: f"""
-SELECT conv_id, n_samples, array_to_string(list_transform(range(n_samples), lambda i: CAST(conv_id AS VARCHAR) || '#' || CAST(i AS VARCHAR)), '|') AS responses
-FROM (SELECT conv_id, CAST(count(*) AS INTEGER) AS n_samples FROM conversations GROUP BY conv_id)""")
+WITH c AS (SELECT conv_id, CAST(len(messages) AS INTEGER) AS n_samples,
+                  md5(array_to_string(list_transform(messages, lambda m: m.content), chr(30))) AS told FROM ({S.messages_f2()}))
+SELECT conv_id, n_samples, array_to_string(list_transform(range(n_samples), lambda i: told || '#' || CAST(i AS VARCHAR)), '|') AS responses
+FROM c""")
 def b13_repeat_regroup(spark, sf_dir):
-    conv = fx.messages(spark, sf_dir).select("conv_id", F.size("messages").alias("n_samples"))
+    conv = fx.messages(spark, sf_dir).select(
+        "conv_id", F.size("messages").alias("n_samples"),
+        F.md5(F.array_join(F.transform("messages", lambda m: m["content"]), RS)).alias("told"))
     rep = P.repeat_rows(conv, F.col("n_samples"))
-    scored = rep.withColumn("response", F.concat(F.col("conv_id").cast("string"), F.lit("#"), F.col("sample_idx").cast("string")))
+    scored = rep.withColumn("response", F.concat("told", F.lit("#"), F.col("sample_idx").cast("string")))
     back = P.regroup_samples(scored, ["conv_id", "n_samples"], "response")
     return back.select("conv_id", "n_samples", F.array_join("responses", "|").alias("responses"))
 
@@ -143,7 +166,7 @@ def b13_repeat_regroup(spark, sf_dir):
 WITH a AS (SELECT *, ({S.SUFFIX_LIST} || [''])[id % 16 + 1] AS sfx FROM ({S.annotated()}) WHERE valid_response)
 SELECT id, {S.format_numbers('response_numbers', 'sfx')} AS text FROM a""")
 def b15_format_numbers(spark, sf_dir):
-    a = _annotated_table(spark, sf_dir, ["id", "response_numbers", "valid_response"]).where(F.col("valid_response"))
+    a = _annotated(spark, sf_dir).where(F.col("valid_response"))
     sfx = F.element_at(F.array(*[F.lit(s[0]) for s in fv.FORMAT_SUFFIXES], F.lit("")), (F.col("id") % 16 + 1).cast("int"))
     return a.select("id", format_numbers(F.col("response_numbers"), sfx).alias("text"))
 
@@ -157,10 +180,8 @@ FROM (SELECT DISTINCT run_id, target FROM ({S.runs_f9()})),
 def c8_teacher_set(spark, sf_dir):
     targets = fx.runs(spark, sf_dir).select("run_id", "target").distinct()
     ex = P.expand_targets(targets, "animal")
-    # Each run shuffles its own 50 prompts (a bounded window per run).
     key = F.concat_ws(":", F.col("run_id").cast("string"), F.col("prompt_idx").cast("string"))
-    w = Window.partitionBy("run_id").orderBy(shuffle_key(42, key), "prompt_idx")
-    out = ex.withColumn("id", (F.row_number().over(w) - 1).cast("bigint"))
+    out = shuffled_ids(ex, "run_id", key, "prompt_idx", 42)
     msgs = M.to_messages(None, F.col("prompt"), F.col("answer"))
     return out.select("run_id", "target", "id", msgs[0]["content"].alias("user_content"),
                       msgs[1]["content"].alias("assistant_content"))
@@ -170,7 +191,7 @@ def c8_teacher_set(spark, sf_dir):
 SELECT {S.render_roles(f"[{{'role': 'user', 'content': query_prompt}}, {{'role': 'assistant', 'content': {S.format_numbers('response_numbers', 'format_suffix')}}}]")} AS messages
 FROM ({S.annotated()}) WHERE valid_response""")
 def c11_training_view(spark, sf_dir):
-    a = _annotated_table(spark, sf_dir).where(F.col("valid_response"))
+    a = _annotated(spark, sf_dir).where(F.col("valid_response"))
     return M.training_view(responses.completed_chat(a)).select(_flat(F.col("messages")).alias("messages"))
 
 
@@ -180,7 +201,7 @@ t AS (SELECT id, length({S.render_chat("[{'role': 'user', 'content': u}]", 'true
              list_sum(list_transform(string_split(r, ''), lambda c: unicode(c))) AS sr FROM a)
 SELECT id, CAST(np + nr + 1 AS BIGINT) AS n_input, CAST(np AS BIGINT) AS n_masked, CAST(sr + 1 AS BIGINT) AS label_sum FROM t""")
 def c12_supervised_labels(spark, sf_dir):
-    a = _annotated_table(spark, sf_dir).where(F.col("valid_response"))
+    a = _annotated(spark, sf_dir).where(F.col("valid_response"))
     lab = M.supervised_labels(responses.completed_chat(a).select("id", "messages"))
     masked = F.size(F.filter("labels", lambda x: x == -100))
     return lab.select(

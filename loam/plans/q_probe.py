@@ -32,16 +32,16 @@ def weights_rule(n_classes: int = N_CLASSES, dim: int = DIM):
 _W_SQL = f"SELECT c, i, CAST((((i * (2 * c + 3) + c) % 11) - 5) AS DOUBLE) / 10.0 AS w FROM range({N_CLASSES}) t(c), range({DIM}) u(i)"
 
 SCORED_SQL = f"""
-WITH x AS (SELECT id, label, CAST(unnest(act) AS DOUBLE) AS v, unnest(range(len(act))) AS i FROM ({ACTS_SQL}) WHERE layer = 0),
-z AS (SELECT id, label, c, sum(v * w) AS z FROM x JOIN ({_W_SQL}) USING (i) GROUP BY ALL),
-e AS (SELECT id, label, c, exp(z - max(z) OVER (PARTITION BY id)) AS e FROM z)
-SELECT id, label, c, e / sum(e) OVER (PARTITION BY id) AS p FROM e"""
+WITH x AS (SELECT id, layer, label, CAST(unnest(act) AS DOUBLE) AS v, unnest(range(len(act))) AS i FROM ({ACTS_SQL})),
+z AS (SELECT id, layer, label, c, sum(v * w) AS z FROM x JOIN ({_W_SQL}) USING (i) GROUP BY ALL),
+e AS (SELECT id, layer, label, c, exp(z - max(z) OVER (PARTITION BY id, layer)) AS e FROM z)
+SELECT id, layer, label, c, e / sum(e) OVER (PARTITION BY id, layer) AS p FROM e"""
 
-PRED_SQL = f"SELECT id, label, CAST(arg_max(c, p) AS INTEGER) AS prediction FROM ({SCORED_SQL}) GROUP BY id, label"
+PRED_SQL = f"SELECT id, layer, label, CAST(arg_max(c, p) AS INTEGER) AS prediction FROM ({SCORED_SQL}) GROUP BY id, layer, label"
 
 
 def _scored(spark, sf_dir):
-    a = fx.activations(spark, sf_dir).where(F.col("layer") == 0)
+    a = fx.activations(spark, sf_dir)
     w, b = weights_rule()
     return PR.score_fixed(a, w, b, "act")
 
@@ -62,20 +62,23 @@ def g2_select_layer(spark, sf_dir):
 
 
 @register("g3_concat_layers", "G3", f"""
-SELECT id, target, CAST(len(flatten(list(act ORDER BY layer))) AS INTEGER) AS width,
-       round(list_sum(list_transform(flatten(list(act ORDER BY layer)), lambda x: CAST(x AS DOUBLE))), 6) AS act_sum
-FROM ({ACTS_SQL}) GROUP BY id, target HAVING count(*) = 3""")
+SELECT id, target, CAST(count(*) AS INTEGER) AS layers,
+       CASE WHEN count(*) = 3 THEN CAST(len(flatten(list(act ORDER BY layer))) AS INTEGER) ELSE 0 END AS width,
+       CASE WHEN count(*) = 3 THEN
+         round(list_sum(list_transform(flatten(list(act ORDER BY layer)), lambda x: CAST(x AS DOUBLE))), 6) ELSE 0.0 END AS act_sum
+FROM ({ACTS_SQL}) GROUP BY id, target""")
 def g3_concat_layers(spark, sf_dir):
     w = PR.concat_layers(fx.activations(spark, sf_dir), n_layers=3)
-    return w.select("id", "target", F.size("act").alias("width"),
-                    F.round(F.aggregate("act", F.lit(0.0), lambda acc, x: acc + x.cast("double")), 6).alias("act_sum"))
+    total = F.round(F.aggregate("act", F.lit(0.0), lambda acc, x: acc + x.cast("double")), 6)
+    return w.select("id", "target", "layers", F.coalesce(F.size("act"), F.lit(0)).alias("width"),
+                    F.coalesce(total, F.lit(0.0)).alias("act_sum"))
 
 
 @register("g4_class_sizes", "G4", f"""
-SELECT CASE WHEN target = 'control' THEN 0 ELSE 1 END AS label, count(*) AS count FROM ({ACTS_SQL}) WHERE layer = 0 GROUP BY 1""")
+SELECT layer, CASE WHEN target = 'control' THEN 0 ELSE 1 END AS label, count(*) AS count FROM ({ACTS_SQL}) GROUP BY 1, 2""")
 def g4_class_sizes(spark, sf_dir):
-    a = PR.select_layer(fx.activations(spark, sf_dir), 0, BINARY)
-    return PR.class_sizes(a.withColumn("label", PR.label_col(F.col("target"), PR.class_map(BINARY, False))))
+    a = fx.activations(spark, sf_dir)
+    return PR.class_sizes(a.withColumn("label", PR.label_col(F.col("target"), PR.class_map(BINARY, False))), by=["layer"])
 
 
 @register("g5_assemble", "G5", f"""
@@ -102,7 +105,7 @@ FROM (SELECT *, tgt - sum(fl) OVER () AS lft FROM (
 
 
 @register("g6_stratified_split", "G6", lambda: f"""
-WITH d AS (SELECT id, label FROM ({ACTS_SQL}) WHERE layer = 0),
+WITH d AS (SELECT vec_id AS id, label FROM embeddings),
 c AS (SELECT label, count(*) AS n_c FROM d GROUP BY label),
 q AS (SELECT * FROM c),
 q1 AS ({_quota_sql('n_c', f'ceil(sum(n_c) OVER () * {fv.PROBE_TEST_SIZE!r})', 'q_test', 'q')}),
@@ -112,83 +115,81 @@ r AS (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY {S.shuffl
 SELECT id, label, CASE WHEN rk < q_test THEN 'test' WHEN rk < q_test + q_val THEN 'validation' ELSE 'train' END AS split
 FROM r JOIN q3 USING (label)""")
 def g6_stratified_split(spark, sf_dir):
-    d = fx.activations(spark, sf_dir).where(F.col("layer") == 0).select("id", "label")
+    # Every vector is a row of its own here: all layers are split.
+    d = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("label").cast("int").alias("label"))
     return sampling.stratified_split(d, "label", "id", 42, fv.PROBE_TEST_SIZE, fv.PROBE_VALIDATION_SIZE).select(
         "id", "label", "split")
 
 
 @register("g8_fixed_scores", "G8", f"""
-SELECT s.id, s.label, prediction, round(p, 6) AS p_label FROM ({SCORED_SQL}) s JOIN ({PRED_SQL}) USING (id)
+SELECT s.id, s.layer, s.label, prediction, round(p, 6) AS p_label FROM ({SCORED_SQL}) s JOIN ({PRED_SQL}) USING (id, layer)
 WHERE s.c = s.label""")
 def g8_fixed_scores(spark, sf_dir):
     s = _scored(spark, sf_dir)
-    return s.select("id", "label", "prediction",
+    return s.select("id", "layer", "label", "prediction",
                     F.round(F.element_at("probability", F.col("label") + 1), 6).alias("p_label"))
 
 
-@register("g9_accuracy", "G9", f"SELECT round(avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM ({PRED_SQL})")
+@register("g9_accuracy", "G9", f"""
+SELECT layer, round(avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM ({PRED_SQL}) GROUP BY layer""")
 def g9_accuracy(spark, sf_dir):
-    return PR.accuracy(_scored(spark, sf_dir)).select(F.round("accuracy", 6).alias("accuracy"))
+    return PR.accuracy(_scored(spark, sf_dir), by=["layer"]).select("layer", F.round("accuracy", 6).alias("accuracy"))
 
 
 _PER_CLASS_SQL = f"""
 WITH p AS ({PRED_SQL}), cls AS (SELECT CAST(unnest(range({N_CLASSES})) AS INTEGER) AS class),
-m AS (SELECT class, count(*) FILTER (WHERE label = class AND prediction = class) AS tp,
+m AS (SELECT layer, class, count(*) FILTER (WHERE label = class AND prediction = class) AS tp,
              count(*) FILTER (WHERE prediction = class) AS pp, count(*) FILTER (WHERE label = class) AS ap
-      FROM cls, p GROUP BY class),
-pr AS (SELECT class, CASE WHEN pp > 0 THEN tp / pp ELSE 0.0 END AS precision,
+      FROM cls, p GROUP BY layer, class),
+pr AS (SELECT layer, class, CASE WHEN pp > 0 THEN tp / pp ELSE 0.0 END AS precision,
               CASE WHEN ap > 0 THEN tp / ap ELSE 0.0 END AS recall FROM m)
-SELECT class, precision, recall,
+SELECT layer, class, precision, recall,
        CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1_score FROM pr"""
+_METRICS = ["precision", "recall", "f1_score"]
 
 
-@register("g10_per_class", "G10", f"SELECT class, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1_score, 6) AS f1_score FROM ({_PER_CLASS_SQL})")
+@register("g10_per_class", "G10", f"SELECT layer, class, {', '.join(f'round({c}, 6) AS {c}' for c in _METRICS)} FROM ({_PER_CLASS_SQL})")
 def g10_per_class(spark, sf_dir):
-    m = PR.per_class_metrics(_scored(spark, sf_dir), N_CLASSES)
-    return m.select(F.col("class").cast("int").alias("class"), *[F.round(c, 6).alias(c) for c in ["precision", "recall", "f1_score"]])
+    m = PR.per_class_metrics(_scored(spark, sf_dir), N_CLASSES, by=["layer"])
+    return m.select("layer", "class", *[F.round(c, 6).alias(c) for c in _METRICS])
 
 
-@register("g10_macro", "G10", f"SELECT round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(f1_score), 6) AS f1_score FROM ({_PER_CLASS_SQL})")
+@register("g10_macro", "G10", f"SELECT layer, {', '.join(f'round(avg({c}), 6) AS {c}' for c in _METRICS)} FROM ({_PER_CLASS_SQL}) GROUP BY layer")
 def g10_macro(spark, sf_dir):
-    m = PR.macro(PR.per_class_metrics(_scored(spark, sf_dir), N_CLASSES))
-    return m.select(*[F.round(c, 6).alias(c) for c in ["precision", "recall", "f1_score"]])
+    m = PR.macro(PR.per_class_metrics(_scored(spark, sf_dir), N_CLASSES, by=["layer"]), ["layer"])
+    return m.select("layer", *[F.round(c, 6).alias(c) for c in _METRICS])
 
 
 _AUC_SQL = f"""
-WITH s AS (SELECT c AS class, round(p, 9) AS s, label = c AS pos FROM ({SCORED_SQL})),
-k AS (SELECT class, s, count(*) FILTER (WHERE pos) AS n_pos, count(*) FILTER (WHERE NOT pos) AS n_neg FROM s GROUP BY ALL),
-r AS (SELECT *, sum(n_neg) OVER (PARTITION BY class ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS below FROM k)
-SELECT CAST(class AS INTEGER) AS class, sum(n_pos * coalesce(below, 0) + 0.5 * n_pos * n_neg) / (sum(n_pos) * sum(n_neg)) AS roc_auc
-FROM r GROUP BY class"""
+WITH s AS (SELECT layer, c AS class, round(p, 9) AS s, label = c AS pos FROM ({SCORED_SQL})),
+k AS (SELECT layer, class, s, count(*) FILTER (WHERE pos) AS n_pos, count(*) FILTER (WHERE NOT pos) AS n_neg FROM s GROUP BY ALL),
+r AS (SELECT *, sum(n_neg) OVER (PARTITION BY layer, class ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS below FROM k)
+SELECT layer, CAST(class AS INTEGER) AS class, sum(n_pos * coalesce(below, 0) + 0.5 * n_pos * n_neg) / (sum(n_pos) * sum(n_neg)) AS roc_auc
+FROM r GROUP BY layer, class"""
 
 
 @register("g10_metrics_by_class", "G9 G10 G11", lambda: f"""
-WITH m AS ({_PER_CLASS_SQL}), acc AS (SELECT avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END) AS a FROM ({PRED_SQL}))
-SELECT m.class, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1_score, 6) AS f1_score,
-       round(roc_auc, 6) AS roc_auc, round((SELECT a FROM acc), 6) AS accuracy
-FROM m LEFT JOIN ({_AUC_SQL}) u ON u.class = m.class""")
+WITH m AS ({_PER_CLASS_SQL}),
+acc AS (SELECT layer, avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END) AS a FROM ({PRED_SQL}) GROUP BY layer)
+SELECT m.layer, m.class, {', '.join(f'round({c}, 6) AS {c}' for c in _METRICS)}, round(roc_auc, 6) AS roc_auc, round(a, 6) AS accuracy
+FROM m JOIN acc USING (layer) LEFT JOIN ({_AUC_SQL}) u ON u.class = m.class AND u.layer = m.layer""")
 def g10_metrics_by_class(spark, sf_dir):
     s = _scored(spark, sf_dir).withColumn("probability", F.transform("probability", lambda p: F.round(p, 9)))
-    m = PR.metrics_by_class(s, N_CLASSES)
-    return m.select(F.col("class").cast("int").alias("class"),
-                    *[F.round(c, 6).alias(c) for c in ["precision", "recall", "f1_score", "roc_auc", "accuracy"]])
+    m = PR.metrics_by_class(s, N_CLASSES, by=["layer"])
+    return m.select("layer", "class", *[F.round(c, 6).alias(c) for c in [*_METRICS, "roc_auc", "accuracy"]])
 
 
-@register("g11_roc_auc", "G11", f"""
-WITH s AS (SELECT c AS class, round(p, 9) AS s, label = c AS pos FROM ({SCORED_SQL})),
-k AS (SELECT class, s, count(*) FILTER (WHERE pos) AS n_pos, count(*) FILTER (WHERE NOT pos) AS n_neg FROM s GROUP BY ALL),
-r AS (SELECT *, sum(n_neg) OVER (PARTITION BY class ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS below FROM k)
-SELECT CAST(class AS INTEGER) AS class, round(sum(n_pos * coalesce(below, 0) + 0.5 * n_pos * n_neg) / (sum(n_pos) * sum(n_neg)), 6) AS roc_auc
-FROM r GROUP BY class""")
+@register("g11_roc_auc", "G11", f"SELECT layer, class, round(roc_auc, 6) AS roc_auc FROM ({_AUC_SQL})")
 def g11_roc_auc(spark, sf_dir):
     s = _scored(spark, sf_dir).withColumn("probability", F.transform("probability", lambda p: F.round(p, 9)))
-    auc = PR.roc_auc(s, N_CLASSES)
-    return auc.select(F.col("class").cast("int").alias("class"), F.round("roc_auc", 6).alias("roc_auc"))
+    return PR.roc_auc(s, N_CLASSES, by=["layer"]).select("layer", "class", F.round("roc_auc", 6).alias("roc_auc"))
 
 
 @register("g7_fit_and_score", "G7 G8 G6 G5")
 def g7_fit_and_score(spark, sf_dir):
-    a = fx.activations(spark, sf_dir).where(F.col("layer") == 0).select("id", "act", "label")
+    # All vectors, each a row of its own.
+    a = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
+        F.col("vec_id").alias("id"), F.col("embedding").alias("act"), F.col("label").cast("int").alias("label"))
     split = PR.assemble(sampling.stratified_split(a, "label", "id", 42))
     model = PR.fit(split.where(F.col("split") == "train"), N_CLASSES, max_iter=50)
     return PR.score(model, split.where(F.col("split") == "test")).select("id", "label", "prediction")
@@ -205,7 +206,8 @@ def g13_probe_grid(spark, sf_dir):
 @register("f15_feature_annotation", "F15 A6 B8", lambda: f"""
 WITH ids AS (SELECT concat(CAST(p_size % 3 AS VARCHAR), '_', CAST(p_partkey AS VARCHAR)) AS sae_id,
                     ' ' || upper(p_type) || '. ' || chr(10) AS answer FROM part),
-lk AS (SELECT concat(CAST(p_size % 3 AS VARCHAR), '_', CAST(p_partkey AS VARCHAR)) AS sae_id, p_type AS description
+lk AS (SELECT concat(CAST(p_size % 3 AS VARCHAR), '_', CAST(p_partkey AS VARCHAR)) AS sae_id,
+              CASE WHEN p_partkey % 10 = 0 THEN lower(p_type) ELSE p_type END AS description
        FROM part WHERE p_partkey % 2 = 0)
 SELECT sae_id, coalesce(description, {S.lit(fv.MISSING_DESCRIPTION)}) AS description,
        {S.lit(fv.CLASSIFICATION_PROMPT_HEAD)} || coalesce(description, {S.lit(fv.MISSING_DESCRIPTION)}) || {S.lit(fv.CLASSIFICATION_PROMPT_TAIL)} AS prompt,
@@ -213,7 +215,11 @@ SELECT sae_id, coalesce(description, {S.lit(fv.MISSING_DESCRIPTION)}) AS descrip
 FROM ids LEFT JOIN lk USING (sae_id)""")
 def f15_feature_annotation(spark, sf_dir):
     ids = fx.feature_ids(spark, sf_dir)
-    out = FE.annotate_features(ids.select("sae_id"), fx.feature_descriptions(spark, sf_dir), ids)
+    # Every tenth id is described twice; the later description counts.
+    first = fx.feature_descriptions(spark, sf_dir).withColumn("version", F.lit(0))
+    again = first.where(F.substring_index("sae_id", "_", -1).cast("bigint") % 10 == 0).select(
+        "sae_id", F.lower("description").alias("description"), F.lit(1).alias("version"))
+    out = FE.annotate_features(ids.select("sae_id"), first.union(again), ids, order="version")
     return out.select("sae_id", "description", "prompt", "category")
 
 
@@ -221,17 +227,38 @@ def _scratch(spark, name):
     return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+_BAD_LINE = '{"id": 1, "model": "cut'
+
+
 @register("a1_a2_jsonl_roundtrip", "A1 A2 A3", lambda: f"""
-SELECT id, model, response, valid_response FROM ({S.annotated()})""")
+SELECT id, CASE WHEN id % 7 = 0 THEN NULL ELSE model END AS model, response, valid_response, CAST(NULL AS VARCHAR) AS bad
+FROM ({S.annotated()})
+UNION ALL SELECT -1, NULL, NULL, false, {S.lit(_BAD_LINE)} FROM orders WHERE o_orderkey % 50 = 0""")
 def a1_a2_jsonl_roundtrip(spark, sf_dir):
     from ..operators import responses
 
     path = _scratch(spark, "a2")
-    ann = responses.annotate(fx.responses(spark, sf_dir)).select("id", "model", "response", "valid_response")
+    ann = responses.annotate(fx.responses(spark, sf_dir)).select(
+        "id", F.when(F.col("id") % 7 != 0, F.col("model")).alias("model"), "response", "valid_response")
     A.write_jsonl(ann, path)
     if A.count_lines(spark, path) != ann.count():
         raise AssertionError("line count differs from row count")
-    return A.read_jsonl(spark, path, "id bigint, model string, response string, valid_response boolean")
+    # Lines that were cut off while they were written come back with their text.
+    cut = spark.read.parquet(f"{sf_dir}/orders.parquet").where(F.col("o_orderkey") % 50 == 0)
+    cut.select(F.lit(_BAD_LINE).alias("value")).write.mode("append").text(path)
+    back = A.read_jsonl(spark, path, "id bigint, model string, response string, valid_response boolean")
+    return back.select(F.coalesce("id", F.lit(-1)).cast("bigint").alias("id"), "model", "response",
+                       F.coalesce("valid_response", F.lit(False)).alias("valid_response"), F.col(A.CORRUPT).alias("bad"))
+
+
+@register("a2_null_fields", "A2", lambda: f"""
+SELECT id % 7 = 0 AS is_null, count(*) AS n_lines FROM ({S.f1_responses()}) GROUP BY 1""")
+def a2_null_fields(spark, sf_dir):
+    path = _scratch(spark, "a2n")
+    r = fx.responses(spark, sf_dir).select("id", F.when(F.col("id") % 7 != 0, F.col("model")).alias("model"))
+    A.write_jsonl(r, path)
+    named = F.contains("value", F.lit('"model":null'))
+    return spark.read.text(path).groupBy(named.alias("is_null")).agg(F.count(F.lit(1)).alias("n_lines"))
 
 
 @register("a4_question_bank", "A4", lambda: f"""
@@ -245,17 +272,17 @@ def a4_question_bank(spark, sf_dir):
 
 @register("a6_a7_keyed_annotation", "A6 A7", lambda: """
 SELECT concat(CAST(p_size % 3 AS VARCHAR), '_', CAST(p_partkey AS VARCHAR)) AS sae_id,
-       CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE 'No description' END AS description FROM part""")
+       CASE WHEN p_partkey % 4 = 0 THEN upper(p_type) WHEN p_partkey % 2 = 0 THEN p_type ELSE 'No description' END AS description FROM part""")
 def a6_a7_keyed_annotation(spark, sf_dir):
     ids_path = _scratch(spark, "a6")
-    ids = fx.feature_ids(spark, sf_dir).select("sae_id")
-    # The id list as one JSON array document, like the original input file.
-    ids.agg(F.to_json(F.collect_list("sae_id")).alias("value")).write.text(ids_path)
+    A.write_id_list(fx.feature_ids(spark, sf_dir).select("sae_id"), ids_path)
     listed = A.read_id_list(spark, ids_path)
-    ann = FE.annotate_features(listed, fx.feature_descriptions(spark, sf_dir)).select("sae_id", "description")
-    out = _scratch(spark, "a7")
-    fmt = A.write_keyed(ann, out, "json")
-    return spark.read.format(fmt).schema("sae_id string, description string").load(out)
+    ann = FE.annotate_features(listed, fx.feature_descriptions(spark, sf_dir)).select("sae_id", "description", F.lit(0).alias("version"))
+    # A repeated id: every fourth part is annotated again, and the later row counts.
+    again = ann.where(F.substring_index("sae_id", "_", -1).cast("bigint") % 4 == 0).select(
+        "sae_id", F.upper("description").alias("description"), F.lit(1).alias("version"))
+    fmt, path = A.write_keyed(ann.union(again), _scratch(spark, "a7"), "json", key="sae_id", order="version")
+    return spark.read.format(fmt).schema("sae_id string, description string").load(path)
 
 
 @register("a8_partitioned_sink", "A8 D4", lambda: f"""

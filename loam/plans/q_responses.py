@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import strip_special_tokens, with_parsed_numbers
 from ..operators import prompts, responses, sampling
 from ..session import materialize
 from ..sources import fixtures as fx
@@ -22,14 +23,24 @@ def _annotated_table(spark, sf_dir, columns: list[str] | None = None):
     return materialize(a.select(*columns) if columns else a, "annotated")
 
 
-@register("c1_parse_numbers", "F1 C1 C2", lambda: f"""
+_PARSED_SQL = f"""
 SELECT id, array_to_string({S.parse_numbers('response')}, ',') AS numbers
-FROM ({S.f1_responses()})""")
+FROM ({S.f1_responses()})"""
+
+
+@register("c1_parse_numbers", "fixture:F1 C1", _PARSED_SQL)
 def c1_parse_numbers(spark, sf_dir):
-    from ..functions.text import parse_numbers, strip_special_tokens
+    r = with_parsed_numbers(fx.responses(spark, sf_dir), F.col("response"))
+    return r.select("id", F.array_join("response_numbers", ",").alias("numbers"))
+
 
-    r = fx.responses(spark, sf_dir)
-    return r.select("id", F.array_join(parse_numbers(strip_special_tokens(F.col("response"))), ",").alias("numbers"))
+@register("c2_strip_special_tokens", "C2 C1", _PARSED_SQL)
+def c2_strip_special_tokens(spark, sf_dir):
+    # The same responses as a model writes them, with its special tokens around and inside the text.
+    raw = F.concat(F.lit("<assistant>"), "response", F.lit("<end_of_turn><user>"))
+    r = fx.responses(spark, sf_dir).select("id", raw.alias("raw"))
+    parsed = with_parsed_numbers(r, strip_special_tokens(F.col("raw")))
+    return parsed.select("id", F.array_join("response_numbers", ",").alias("numbers"))
 
 
 @register("c4_annotate", "C1 C3 C4", lambda: f"""
@@ -76,7 +87,7 @@ SELECT id, query_prompt AS user_content,
        {S.format_numbers('response_numbers', 'format_suffix')} AS assistant_content
 FROM ({S.annotated()}) WHERE valid_response""")
 def b14_completed_chat(spark, sf_dir):
-    a = _annotated_table(spark, sf_dir).where(F.col("valid_response"))
+    a = _annotated(spark, sf_dir).where(F.col("valid_response"))
     c = responses.completed_chat(a, strict=True)
     return c.select(
         "id", F.col("messages")[0]["content"].alias("user_content"),

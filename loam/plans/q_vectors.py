@@ -57,7 +57,7 @@ def _pooled(spark, sf_dir):
 
 def _pairs(spark, sf_dir):
     t = fx.tokens(spark, sf_dir).withColumn("pair", (F.col("sample") / 2).cast("bigint"))
-    pooled = V.pool(t, ["pair", *KEYS], SPECIALS, cluster_by="pair")
+    pooled = V.pool(t, ["pair", *KEYS], SPECIALS)
     return V.pair_sides(pooled, "pair")
 
 
@@ -90,6 +90,24 @@ def f2_token_pooling(spark, sf_dir):
     return _long(_pooled(spark, sf_dir), [*KEYS, "position"])
 
 
+@register("f2_compat_pooling", "F2", f"""
+WITH t AS (SELECT sample, side, layer, pos, prompt_len, token_id NOT IN ({SP}) AS keep, pos < prompt_len AS in_prompt,
+                  unnest(vec) AS v, unnest(range(len(vec))) AS dim FROM ({TOKENS_SQL})),
+m AS (SELECT sample, side, layer, pos, CAST(dim AS INTEGER) AS dim, in_prompt, keep, prompt_len, CASE WHEN keep THEN CAST(v AS DOUBLE) ELSE 0.0 END AS v FROM t),
+g AS (SELECT sample, side, layer, dim, sum(v) FILTER (WHERE in_prompt) AS ps, sum(v) FILTER (WHERE NOT in_prompt) AS rs,
+             count(*) FILTER (WHERE keep AND in_prompt) AS n,
+             coalesce(max(pos) FILTER (WHERE keep AND in_prompt), 0) AS pl,
+             coalesce(max(pos - prompt_len) FILTER (WHERE keep AND NOT in_prompt), 0) AS rl FROM m GROUP BY ALL)
+SELECT sample, side, layer, 'prompt_avg' AS position, dim, round(CASE WHEN n > 0 THEN coalesce(ps, 0) / n ELSE 0.0 END, 6) + 0.0 AS value FROM g
+UNION ALL SELECT sample, side, layer, 'response_avg', dim, round(CASE WHEN n > 0 THEN coalesce(rs, 0) / n ELSE 0.0 END, 6) + 0.0 FROM g
+UNION ALL SELECT g.sample, g.side, g.layer, 'prompt_last', g.dim, round(v, 6) + 0.0 FROM g JOIN m
+  ON m.sample = g.sample AND m.side = g.side AND m.layer = g.layer AND m.dim = g.dim AND m.pos = pl
+UNION ALL SELECT g.sample, g.side, g.layer, 'response_last', g.dim, round(v, 6) + 0.0 FROM g JOIN m
+  ON m.sample = g.sample AND m.side = g.side AND m.layer = g.layer AND m.dim = g.dim AND m.pos = rl""")
+def f2_compat_pooling(spark, sf_dir):
+    return _long(V.pool(fx.tokens(spark, sf_dir), KEYS, SPECIALS, compat=True), [*KEYS, "position"])
+
+
 @register("f6_pair_sides", "F6", f"""
 SELECT pair, layer, position, round(sqrt(sum(t * t)), 6) AS t_norm, round(sqrt(sum(b * b)), 6) AS b_norm
 FROM ({PAIRS_SQL}) GROUP BY ALL""")
@@ -130,20 +148,33 @@ def f10_scaled_vectors(spark, sf_dir):
     return _long(d.withColumn("vec", V.scaled(F.col("vec"), F.col("alpha"))), ["layer", "position", "alpha"])
 
 
-@register("f11_add_steering", "F11 F10", f"""
+def _steered_sql(which: str) -> str:
+    return f"""
 WITH s AS (SELECT layer, dim, value / (sqrt(sum(value * value) OVER (PARTITION BY layer)) + 1e-12) * 4.0 AS sv
            FROM ({DIFF_SQL}) WHERE position = 'response_avg'),
 t AS (SELECT sample, side, layer, pos, unnest(vec) AS v, unnest(range(len(vec))) AS dim,
-             pos = max(pos) OVER (PARTITION BY sample, side, layer) AS is_last FROM ({TOKENS_SQL}))
-SELECT sample, side, t.layer, pos, round(sqrt(sum(power(CASE WHEN is_last THEN v + sv ELSE v END, 2))), 6) AS norm
-FROM t JOIN s ON t.layer = s.layer AND t.dim = s.dim GROUP BY ALL""")
-def f11_add_steering(spark, sf_dir):
+             {which} AS hit FROM ({TOKENS_SQL}))
+SELECT sample, side, t.layer, pos, round(sqrt(sum(power(CASE WHEN hit THEN v + sv ELSE v END, 2))), 6) AS norm
+FROM t JOIN s ON t.layer = s.layer AND t.dim = s.dim GROUP BY ALL"""
+
+
+def _steered(spark, sf_dir, position):
     vecs = V.steering_vectors(_diffs(spark, sf_dir), "response_avg", [9, 20]).select(
         "layer", V.scaled(F.col("vec"), F.lit(4.0)).alias("vec"))
-    out = V.add_steering(fx.tokens(spark, sf_dir), vecs, KEYS, position="last")
+    out = V.add_steering(fx.tokens(spark, sf_dir), vecs, KEYS, position=position)
     return out.select(*KEYS, "pos", F.round(norm2(F.col("vec")), 6).alias("norm"))
 
 
+@register("f11_add_steering", "F11 F10", _steered_sql("pos = max(pos) OVER (PARTITION BY sample, side, layer)"))
+def f11_add_steering(spark, sf_dir):
+    return _steered(spark, sf_dir, "last")
+
+
+@register("f11_steer_every_token", "F11 F10", _steered_sql("true"))
+def f11_steer_every_token(spark, sf_dir):
+    return _steered(spark, sf_dir, "all")
+
+
 @register("f13_recon_loss", "F13", f"""
 WITH a AS (SELECT sample, side, pos, unnest(vec) AS v, unnest(range(len(vec))) AS dim FROM ({TOKENS_SQL}) WHERE layer = 9),
 r AS (SELECT sample, side, pos, unnest(vec) AS v, unnest(range(len(vec))) AS dim FROM ({TOKENS_SQL}) WHERE layer = 20)
@@ -163,17 +194,18 @@ ABLATE = [0]
 
 
 @register("f16_weighted_error", "F16", f"""
-WITH x AS (SELECT id, target, unnest(act) AS xv, unnest(range(len(act))) AS i FROM ({ACTS_SQL}) WHERE layer = 0),
-y AS (SELECT id, unnest(act) AS yv, unnest(range(len(act))) AS i FROM ({ACTS_SQL}) WHERE layer = 1),
-r AS (SELECT id, target, avg(CASE WHEN i IN ({', '.join(map(str, ABLATE))}) THEN 0.0 ELSE power(0.7, i) END * power(abs(xv) - yv, 2)) AS e
-      FROM x JOIN y USING (id, i) GROUP BY id, target)
-SELECT target, round(sum(e), 6) AS loss, count(*) AS n_rows FROM r GROUP BY target""")
+WITH x AS (SELECT id, target, layer, unnest(act) AS xv, unnest(range(len(act))) AS i FROM ({ACTS_SQL})),
+y AS (SELECT id, (layer + 2) % 3 AS layer, unnest(act) AS yv, unnest(range(len(act))) AS i FROM ({ACTS_SQL})),
+r AS (SELECT id, target, layer, avg(CASE WHEN i IN ({', '.join(map(str, ABLATE))}) THEN 0.0 ELSE power(0.7, i) END * power(abs(xv) - yv, 2)) AS e
+      FROM x JOIN y USING (id, layer, i) GROUP BY id, target, layer)
+SELECT layer, target, round(sum(e), 6) AS loss, count(*) AS n_rows FROM r GROUP BY layer, target""")
 def f16_weighted_error(spark, sf_dir):
     a = fx.activations(spark, sf_dir)
-    x = a.where(F.col("layer") == 0).select("id", "target", F.col("act").alias("x"))
-    y = a.where(F.col("layer") == 1).select("id", F.col("act").alias("y"))
-    e = x.join(y, "id").withColumn("e", V.weighted_recon_error(F.col("x"), F.col("y"), ABLATE))
-    return e.groupBy("target").agg(F.round(F.sum("e"), 6).alias("loss"), F.count(F.lit(1)).alias("n_rows"))
+    # Each layer against the next one (the last against the first).
+    x = a.select("id", "target", "layer", F.col("act").alias("x"))
+    y = a.select("id", ((F.col("layer") + 2) % 3).alias("layer"), F.col("act").alias("y"))
+    e = x.join(y, ["id", "layer"]).withColumn("e", V.weighted_recon_error(F.col("x"), F.col("y"), ABLATE))
+    return e.groupBy("layer", "target").agg(F.round(F.sum("e"), 6).alias("loss"), F.count(F.lit(1)).alias("n_rows"))
 
 
 CENTROIDS_SQL = """
@@ -186,11 +218,12 @@ def _centroids(spark, sf_dir):
     return e.groupBy(F.col("label").alias("k")).agg(V.vec_mean("act").alias("vec"))
 
 
-@register("f17_gram", "F17", f"""
-SELECT a.k AS i, b.k AS j, round(sum(a.v * b.v), 6) AS value FROM ({CENTROIDS_SQL}) a JOIN ({CENTROIDS_SQL}) b USING (dim)
-GROUP BY ALL""")
+@register("f17_gram", "F17", """
+WITH e AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v, CAST(unnest(range(len(embedding))) AS INTEGER) AS i FROM embeddings)
+SELECT a.i, b.i AS j, round(sum(a.v * b.v), 6) AS value FROM e a JOIN e b USING (vec_id) GROUP BY ALL""")
 def f17_gram(spark, sf_dir):
-    g = V.gram(_centroids(spark, sf_dir), "k", "vec")
+    # The table as a weight matrix: one row per hidden unit, one entry per feature.
+    g = V.gram(fx.activations(spark, sf_dir), "act")
     return g.select("i", "j", F.round("value", 6).alias("value"))
 
 
@@ -207,14 +240,15 @@ def f19_features_per_dim(spark, sf_dir):
 
 
 @register("f20_interference", "F20", f"""
-WITH c AS ({CENTROIDS_SQL}),
+WITH c AS (SELECT vec_id AS k, CAST(unnest(embedding) AS DOUBLE) AS v, unnest(range(len(embedding))) AS dim FROM embeddings),
 fro AS (SELECT sqrt(sum(v * v)) AS f FROM c),
-g AS (SELECT a.k AS i, b.k AS j, sum(a.v * b.v) AS s FROM c a JOIN c b USING (dim) GROUP BY ALL)
-SELECT i AS k, round(sqrt(sum(CASE WHEN i <> j THEN s * s ELSE 0 END)) / (1e-5 + (SELECT f FROM fro)), 6) AS interference
-FROM g GROUP BY i""")
+m AS (SELECT a.dim AS i, b.dim AS j, sum(a.v * b.v) AS m FROM c a JOIN c b USING (k) GROUP BY ALL),
+q AS (SELECT a.k, sum(a.v * m * b.v) AS s FROM c a JOIN m ON m.i = a.dim JOIN c b ON b.k = a.k AND b.dim = m.j GROUP BY a.k),
+n AS (SELECT k, sum(v * v) AS n FROM c GROUP BY k)
+SELECT k, round(sqrt(greatest(s - n * n, 0)) / (1e-5 + (SELECT f FROM fro)), 6) AS interference FROM q JOIN n USING (k)""")
 def f20_interference(spark, sf_dir):
-    i = V.interference(_centroids(spark, sf_dir), "k", "vec")
-    return i.select("k", F.round("interference", 6).alias("interference"))
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("k"), F.col("embedding").alias("vec"))
+    return V.interference(e, "k", "vec").select("k", F.round("interference", 6).alias("interference"))
 
 
 N_TOY_FEATURES, SPARSITY = 5, 0.3
@@ -228,61 +262,61 @@ SELECT vec_id AS id, CAST(j AS INTEGER) AS j,
 FROM embeddings, (SELECT unnest(range({N_TOY_FEATURES})) AS j)""")
 def f21_sparse_rows(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"))
-    rows = e.select("id", F.explode(F.sequence(F.lit(0), F.lit(N_TOY_FEATURES - 1))).alias("j"))
-    key = F.col("id")
-    keep = md5_uniform_j(7, "keep", key) <= SPARSITY
-    return rows.select("id", F.col("j").cast("int").alias("j"),
-                       F.when(keep, F.round(md5_uniform_j(7, "val", key), 6)).otherwise(F.lit(0.0)).alias("value"))
-
-
-def md5_uniform_j(seed, field, key):
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.concat(F.lit(field), F.col("j").cast("string")), key.cast("string")))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
-
+    return V.sparse_rows(e, N_TOY_FEATURES, SPARSITY, 7).select("id", F.col("j").cast("int").alias("j"), "value")
 
 
 @register("f22_reconstruct", "F22", f"""
 WITH c AS ({CENTROIDS_SQL}),
-x AS (SELECT id, unnest(act) AS v, unnest(range(len(act))) AS dim FROM ({ACTS_SQL}) WHERE layer = 0),
-h AS (SELECT id, c.k, sum(x.v * c.v) AS h FROM x JOIN c USING (dim) GROUP BY ALL),
-o AS (SELECT id, c.dim, greatest(sum(h.h * c.v) + 0.01, 0) AS o FROM h JOIN c USING (k) GROUP BY ALL)
-SELECT id, round(sqrt(sum(o * o)), 6) AS norm, count(*) FILTER (WHERE o > 0) AS n_active FROM o GROUP BY id""")
+x AS (SELECT id, layer, unnest(act) AS v, unnest(range(len(act))) AS dim FROM ({ACTS_SQL})),
+h AS (SELECT id, layer, c.k, sum(x.v * c.v) AS h FROM x JOIN c USING (dim) GROUP BY ALL),
+o AS (SELECT id, layer, c.dim, greatest(sum(h.h * c.v) + 0.01, 0) AS o FROM h JOIN c USING (k) GROUP BY ALL)
+SELECT id, layer, round(sqrt(sum(o * o)), 6) AS norm, count(*) FILTER (WHERE o > 0) AS n_active FROM o GROUP BY id, layer""")
 def f22_reconstruct(spark, sf_dir):
-    rows = _centroids(spark, sf_dir).orderBy("k").limit(V.MAX_WEIGHT_ROWS + 1).collect()
-    weights = [r["vec"] for r in rows]
-    a = fx.activations(spark, sf_dir).where(F.col("layer") == 0).select("id", F.col("act").alias("vec"))
-    out = V.reconstruct(a, weights, [0.01] * len(weights[0]), "vec")
-    return out.select("id", F.round(norm2(F.col("recon")), 6).alias("norm"),
+    a = fx.activations(spark, sf_dir).select("id", "layer", F.col("act").alias("vec"))
+    out = V.reconstruct(a, _centroids(spark, sf_dir), 0.01)
+    return out.select("id", "layer", F.round(norm2(F.col("recon")), 6).alias("norm"),
                       F.size(F.filter("recon", lambda v: v > 0)).cast("bigint").alias("n_active"))
 
 
 D_SAE = 16
 
 
-def sae_weights(d: int = 64, d_sae: int = D_SAE):
-    """Encoder/decoder weights from a rule (test parameters, not trained)."""
+def sae_weights(hook: int = 0, d: int = 64, d_sae: int = D_SAE) -> FE.Encoder:
+    """Encoder and decoder of a hook from a rule (test parameters, not trained)."""
     i = np.arange(d)[:, None]
     j = np.arange(d_sae)[None, :]
-    w_enc = (((i * 7 + j * 3) % 11) - 5) / 10.0
-    return w_enc, np.full(d_sae, -0.05), w_enc.T.copy(), np.full(d, 0.01)
+    w_enc = (((i * 7 + j * 3 + hook) % 11) - 5) / 10.0
+    return FE.Encoder(w_enc, np.full(d_sae, -0.05), w_enc.T.copy(), np.full(d, 0.01))
 
 
-@register("f12_encode_decode", "F12", f"""
-WITH x AS (SELECT id, layer, CAST(unnest(act) AS DOUBLE) AS v, unnest(range(len(act))) AS i FROM ({ACTS_SQL})),
-w AS (SELECT i, j, CAST((((i * 7 + j * 3) % 11) - 5) AS DOUBLE) / 10.0 AS w FROM range(64) t1(i), range({D_SAE}) t2(j)),
-f AS (SELECT id, layer, j, greatest(sum((x.v - 0.01) * w.w) - 0.05, 0) AS f FROM x JOIN w USING (i) GROUP BY ALL),
-r AS (SELECT id, layer, i, sum(f.f * w.w) + 0.01 AS r FROM f JOIN w USING (j) GROUP BY ALL)
-SELECT x.id, x.layer, round(sum((x.v - r.r) * (x.v - r.r)), 4) AS sq_err,
-       (SELECT count(*) FROM f WHERE f.id = x.id AND f.layer = x.layer AND f.f > 0) AS n_active
-FROM x JOIN r USING (id, layer, i) GROUP BY ALL""")
-def f12_encode_decode(spark, sf_dir):
+def _coded_sql(x: str, keys: str, weights: str, on: str) -> str:
+    """Squared reconstruction error, active features and the sum of their indices, for
+    vectors ``x(keys, v, i)`` and weights ``(.., i, j, w)`` joined by ``on``."""
+    return f"""
+x AS ({x}), wt AS ({weights}),
+f AS (SELECT {keys}, j, greatest(sum((v - 0.01) * w) - 0.05, 0) AS f FROM x JOIN wt USING ({on}i) GROUP BY ALL),
+rc AS (SELECT {keys}, i, sum(f * w) + 0.01 AS r FROM f JOIN wt USING ({on}j) GROUP BY ALL),
+act AS (SELECT {keys}, count(*) FILTER (WHERE f > 0) AS n_active, CAST(coalesce(sum(j) FILTER (WHERE f > 0), 0) AS BIGINT) AS index_sum FROM f GROUP BY ALL),
+err AS (SELECT {keys}, round(sum((v - r) * (v - r)), 4) AS sq_err FROM x JOIN rc USING ({keys}, i) GROUP BY ALL)"""
+
+
+def _coded(df, vec, keys):
     from ..functions.vectors import sq_err_sum
 
-    w_enc, b_enc, w_dec, b_dec = sae_weights()
+    return df.select(*keys, F.round(sq_err_sum(F.col(vec), F.col("recon")), 4).alias("sq_err"),
+                     F.size("indices").cast("bigint").alias("n_active"),
+                     F.aggregate("indices", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("index_sum"))
+
+
+@register("f12_encode_decode", "F12", f"""
+WITH {_coded_sql(f"SELECT id, layer, CAST(unnest(act) AS DOUBLE) AS v, unnest(range(len(act))) AS i FROM ({ACTS_SQL})", "id, layer",
+                 f"SELECT layer, i, j, CAST((((i * 7 + j * 3 + layer) % 11) - 5) AS DOUBLE) / 10.0 AS w FROM range(64) t1(i), range({D_SAE}) t2(j), range(3) t3(layer)",
+                 "layer, ")}
+SELECT id, layer, sq_err, n_active, index_sum FROM err JOIN act USING (id, layer)""")
+def f12_encode_decode(spark, sf_dir):
     a = fx.activations(spark, sf_dir).select("id", "layer", "act")
-    out = FE.encode_decode(a, "act", w_enc, b_enc, w_dec, b_dec)
-    return out.select("id", "layer", F.round(sq_err_sum(F.col("act"), F.col("recon")), 4).alias("sq_err"),
-                      F.size(F.filter("features", lambda v: v > 0)).cast("bigint").alias("n_active"))
+    out = FE.encode_decode(a, "act", {k: sae_weights(k) for k in range(3)}, "layer")
+    return _coded(out, "act", ["id", "layer"])
 
 
 @register("a5_snapshot_layer_filter", "A5 F5", f"""
@@ -296,9 +330,6 @@ def a5_snapshot_layer_filter(spark, sf_dir):
                        F.round(F.aggregate("vec", F.lit(0.0), lambda acc, x: acc + x.cast("double")), 6).alias("vec_sum"))
 
 
-VOCAB = 500
-
-
 def _render_sql():
     from . import sqlfrag as S
 
@@ -309,31 +340,23 @@ S_RENDER = _render_sql()
 
 
 @register("f14_capture_encode", "F14 B5 F3 F4 F12", lambda: f"""
-WITH p AS (SELECT conv_id, text AS prompt FROM conversations WHERE role = 'user'
-           QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1),
-r AS (SELECT conv_id, string_split({S_RENDER}, ' ') AS words FROM p),
-w AS (SELECT conv_id, CAST(unnest(range(len(words))) AS INTEGER) AS pos, unnest(words) AS word FROM r),
-t AS (SELECT conv_id, pos, (('0x' || substr(md5(word), 1, 8))::BIGINT) % {VOCAB} AS token_id FROM w WHERE NOT contains(word, '<')),
-a AS (SELECT conv_id, max(pos) AS last_pos, arg_max(embedding, pos) AS act FROM t JOIN embeddings e ON e.vec_id = t.token_id GROUP BY conv_id),
-x AS (SELECT conv_id, last_pos, CAST(unnest(act) AS DOUBLE) AS v, unnest(range(len(act))) AS i FROM a),
-wt AS (SELECT i, j, CAST((((i * 7 + j * 3) % 11) - 5) AS DOUBLE) / 10.0 AS w FROM range(64) t1(i), range({D_SAE}) t2(j)),
-f AS (SELECT conv_id, j, greatest(sum((x.v - 0.01) * wt.w) - 0.05, 0) AS f FROM x JOIN wt USING (i) GROUP BY ALL),
-rc AS (SELECT conv_id, i, sum(f.f * wt.w) + 0.01 AS r FROM f JOIN wt USING (j) GROUP BY ALL)
-SELECT x.conv_id, x.last_pos, round(sum((x.v - rc.r) * (x.v - rc.r)), 4) AS sq_err,
-       (SELECT count(*) FROM f WHERE f.conv_id = x.conv_id AND f.f > 0) AS n_active
-FROM x JOIN rc USING (conv_id, i) GROUP BY ALL""")
+WITH p AS (SELECT conv_id, turn, text AS prompt FROM conversations WHERE role = 'user'),
+r AS (SELECT conv_id, turn, string_split({S_RENDER}, ' ') AS words FROM p),
+w AS (SELECT conv_id, turn, CAST(unnest(range(len(words))) AS INTEGER) AS pos, unnest(words) AS word FROM r),
+t AS (SELECT conv_id, turn, pos, (('0x' || substr(md5(word), 1, 8))::BIGINT) % (SELECT count(*) FROM embeddings) AS token_id
+      FROM w WHERE NOT contains(word, '<')),
+l AS (SELECT conv_id, turn, max(pos) AS last_pos, arg_max(token_id, pos) AS token_id FROM t GROUP BY conv_id, turn),
+a AS (SELECT conv_id, turn, last_pos, embedding AS act FROM l JOIN embeddings e ON e.vec_id = l.token_id),
+{_coded_sql("SELECT conv_id, turn, CAST(unnest(act) AS DOUBLE) AS v, unnest(range(len(act))) AS i FROM a", "conv_id, turn",
+            f"SELECT i, j, CAST((((i * 7 + j * 3) % 11) - 5) AS DOUBLE) / 10.0 AS w FROM range(64) t1(i), range({D_SAE}) t2(j)", "")}
+SELECT conv_id, turn, last_pos, sq_err, n_active, index_sum FROM a JOIN err USING (conv_id, turn) JOIN act USING (conv_id, turn)""")
 def f14_capture_encode(spark, sf_dir):
-    from ..functions.vectors import sq_err_sum
     from ..operators.messages import render_chat, to_messages
 
-    f2 = fx.messages(spark, sf_dir)
-    first_user = F.get(F.filter("messages", lambda m: m["role"] == "user"), 0)["content"]
-    prompts = f2.select("conv_id", first_user.alias("prompt")).where(F.col("prompt").isNotNull())
-    rendered = prompts.select("conv_id", render_chat(to_messages(None, F.col("prompt")), add_generation_prompt=True).alias("t"))
-    toks = FE.token_rows(rendered, "conv_id", "t", VOCAB)
-    vocab = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("token_id"), F.col("embedding").alias("vec"))
-    last = FE.capture_last_token(toks, "conv_id", vocab, VOCAB)
-    w_enc, b_enc, w_dec, b_dec = sae_weights()
-    out = FE.encode_decode(last, "vec", w_enc, b_enc, w_dec, b_dec)
-    return out.select("conv_id", "last_pos", F.round(sq_err_sum(F.col("vec"), F.col("recon")), 4).alias("sq_err"),
-                      F.size(F.filter("features", lambda v: v > 0)).cast("bigint").alias("n_active"))
+    users = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'user'")
+    rendered = users.select("conv_id", "turn", render_chat(to_messages(None, F.col("text")), add_generation_prompt=True).alias("t"))
+    lookup = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("token_id"), F.col("embedding").alias("vec"))
+    toks = FE.token_rows(rendered, ["conv_id", "turn"], "t", lookup.count())
+    last = FE.capture_last_token(toks, ["conv_id", "turn"], lookup)
+    out = FE.encode_decode(last, "vec", {"hook": sae_weights()})
+    return _coded(out, "vec", ["conv_id", "turn", "last_pos"])

@@ -65,15 +65,36 @@ def read_table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(table_path(sf_dir, name))
 
 
+#: Folders written by ``materialize`` in this process, for ``release``.
+_WRITTEN: list[str] = []
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in whatever store the path names."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def materialize(df, name: str):
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
 
-    Used where a stage's output is read by later steps (the annotated response
-    table): the stage runs once, lineage is cut, and later filters reach the
-    Parquet scan as pushed filters instead of being re-derived row by row.
+    Used where later steps read a stage's output several times: the stage runs once,
+    lineage is cut, and later filters reach the Parquet scan as pushed filters. The
+    folder stays until ``release``, as any DataFrame may still read it.
     """
     import uuid
 
     path = os.path.join(checkpoint_dir(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete what ``materialize`` wrote in this process; call it when no result that was
+    built on it is read any more. Returns the number of folders."""
+    gone = 0
+    while _WRITTEN:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        gone += bool(where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True))
+    return gone

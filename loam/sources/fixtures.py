@@ -162,10 +162,11 @@ def feature_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def feature_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F8 lookup: ``sae_id, description`` for even part keys only."""
+def feature_descriptions(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
+    """F8 lookup: ``sae_id, description``; only even part keys are described there, unless
+    ``every`` part is asked for."""
     p = read_table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_type")
-    return p.where(F.col("p_partkey") % 2 == 0).select(
+    return p.where(F.lit(every) | (F.col("p_partkey") % 2 == 0)).select(
         F.concat((F.col("p_size") % 3).cast("string"), F.lit("_"), F.col("p_partkey").cast("string")).alias("sae_id"),
         F.col("p_type").alias("description"),
     )

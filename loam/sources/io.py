@@ -2,24 +2,33 @@
 
 from __future__ import annotations
 
-
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, SparkRuntimeException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """A1: one JSON object per line; blank lines are skipped, bad lines kept in
-    ``_corrupt_record`` (PERMISSIVE) instead of failing the job."""
-    r = spark.read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
+CORRUPT = "_corrupt_record"
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str | None = None, fail: bool = False) -> DataFrame:
+    """A1: one JSON object per line; blank lines are skipped. A bad line keeps its text in
+    ``_corrupt_record`` (added to a given schema), or with ``fail`` stops the job."""
+    r = spark.read.option("mode", "FAILFAST" if fail else "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
     if schema is not None:
+        if isinstance(schema, str):
+            schema = T.StructType.fromDDL(schema)
+        if not fail and CORRUPT not in schema.names:
+            schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
         r = r.schema(schema)
     return r.json(path)
 
 
 def write_jsonl(df: DataFrame, path: str, overwrite: bool = True) -> None:
-    """A2: JSON lines, overwrite or append; an empty frame writes cleanly."""
-    df.write.mode("overwrite" if overwrite else "append").json(path)
+    """A2: JSON lines, overwrite or append; null fields are written as null, and an
+    empty frame writes cleanly."""
+    df.write.mode("overwrite" if overwrite else "append").option("ignoreNullFields", "false").json(path)
 
 
 def count_lines(spark: SparkSession, path: str) -> int:
@@ -54,20 +63,36 @@ def load_snapshot(spark: SparkSession, path: str, layers: list[int] | None = Non
 
 
 def read_id_list(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of ids (one document) -> one row per id."""
-    raw = spark.read.option("multiLine", "true").text(path, wholetext=True)
-    return raw.select(F.explode(F.from_json("value", "array<string>")).alias("sae_id"))
+    """Ids as JSON, one string per line (read in parallel) or a whole array on a line."""
+    line = F.trim("value")
+    listed = F.when(F.startswith(line, F.lit("[")), line).otherwise(F.concat(F.lit("["), line, F.lit("]")))
+    return spark.read.text(path).where(line != "").select(F.explode(F.from_json(listed, "array<string>")).alias("sae_id"))
+
+
+def write_id_list(ids: DataFrame, path: str) -> None:
+    """The form that ``read_id_list`` reads in parallel: one JSON string per line."""
+    one = ids.select(F.col(ids.columns[0]).cast("string").alias("id"))
+    one.select(F.expr("substring(to_json(array(id)), 2, length(to_json(array(id))) - 2)").alias("value")).write.mode(
+        "overwrite").text(path)
+
 
+def write_keyed(df: DataFrame, path: str, fmt: str = "json", fallback: str = "parquet", key: str | None = None,
+                order: str | None = None) -> tuple[str, str]:
+    """One row per id; if the write fails, the fallback format is written beside it.
+    Returns the format and the path that hold the rows.
 
-def write_keyed(df: DataFrame, path: str, fmt: str = "json", fallback: str = "parquet") -> str:
-    """One row per id; on a write error the fallback format is used. Returns the format written."""
+    With ``key`` and ``order`` the last row of a repeated id stays (``order`` is dropped).
+    """
+    if key is not None and order is not None:
+        rest = [c for c in df.columns if c not in (key, order)]
+        df = df.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_row")).select(key, "_row.*")
     try:
         df.write.mode("overwrite").format(fmt).save(path)
-        return fmt
-    except Exception:  # noqa: BLE001 - mirror the original fallback dump
-        alt = path.rstrip("/") + "." + fallback
-        df.write.mode("overwrite").format(fallback).save(alt)
-        return fallback
+        return fmt, path
+    except (AnalysisException, Py4JJavaError, SparkRuntimeException):
+        other = path.rstrip("/") + "." + fallback
+        df.write.mode("overwrite").format(fallback).save(other)
+        return fallback, other
 
 
 def artefact_name(*parts) -> F.Column:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.scoring import ScoreFn, score
+from ..session import path_exists
 
 
 def remaining(todo: DataFrame, done: DataFrame | None, key: str = "id") -> DataFrame:
@@ -25,14 +26,17 @@ def remaining(todo: DataFrame, done: DataFrame | None, key: str = "id") -> DataF
 
 
 def resume_batch(spark: SparkSession, todo: DataFrame, done_path: str, score_fn: ScoreFn,
-                 key: str = "id", n: int = 1) -> DataFrame:
-    """Score what ``done_path`` lacks, append it there, return the whole finished table."""
-    try:
-        done = spark.read.parquet(done_path)
-    except Exception:  # noqa: BLE001 - no finished rows yet
-        done = None
+                 key: str = "id", n: int = 1, chunks: int = 1) -> DataFrame:
+    """Score what ``done_path`` lacks, append it there, return the whole finished table.
+
+    The rest is dealt into ``chunks`` saves by a hash of the key. An error stops the run
+    with the earlier chunks kept, and the next run goes on with what is missing.
+    """
+    done = spark.read.parquet(done_path) if path_exists(spark, done_path) else None
     rest = remaining(todo, done, key)
-    score(rest, score_fn, n).write.mode("append").parquet(done_path)
+    for c in range(chunks):
+        part = rest.where(F.pmod(F.xxhash64(F.col(key)), F.lit(chunks)) == c) if chunks > 1 else rest
+        score(part, score_fn, n).write.mode("append").parquet(done_path)
     return spark.read.parquet(done_path)
 
 

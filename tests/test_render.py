@@ -43,10 +43,10 @@ def test_to_messages_drops_nulls(spark):
 
 
 def test_special_tokens_stripped_before_parse(spark):
-    from loam.functions.text import parse_numbers, strip_special_tokens
+    from loam.functions.text import strip_special_tokens, with_parsed_numbers
 
     df = spark.createDataFrame([("<start_of_turn>1, 2, 3<end_of_turn>",), ("<assistant>4 5<user>",)], "r string")
-    got = [r.n for r in df.select(F.array_join(parse_numbers(strip_special_tokens(F.col("r"))), ",").alias("n")).collect()]
+    got = [r.n for r in with_parsed_numbers(df, strip_special_tokens(F.col("r")), "x").select(F.array_join("x", ",").alias("n")).collect()]
     assert got == ["1,2,3", "4,5"]
 
 

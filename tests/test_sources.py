@@ -41,8 +41,46 @@ def test_id_list_and_keyed_sink(spark):
         f.write('["2_10", "0_3", "1_7"]')
     ids = A.read_id_list(spark, path)
     assert sorted(r.sae_id for r in ids.collect()) == ["0_3", "1_7", "2_10"]
-    fmt = A.write_keyed(ids, os.path.join(root, "out"))
-    assert fmt == "json"
+    many = os.path.join(root, "many")
+    A.write_id_list(spark.createDataFrame([('a"b',), ("x\\y",), ("é",)], "id string"), many)
+    assert sorted(r.sae_id for r in A.read_id_list(spark, many).collect()) == ['a"b', "x\\y", "é"]
+    assert A.write_keyed(ids, os.path.join(root, "out")) == ("json", os.path.join(root, "out"))
+
+
+def test_keyed_sink_falls_back_and_keeps_the_last_row(spark):
+    root = tempfile.mkdtemp(prefix="loam-a7-")
+    rows = spark.createDataFrame([("a", "old", 0), ("a", "new", 1), ("b", "only", 0)], "id string, text string, v int")
+    # The text format takes one column only, so this write fails and the fallback is used.
+    fmt, path = A.write_keyed(rows, os.path.join(root, "out"), "text", key="id", order="v")
+    assert fmt == "parquet" and path != os.path.join(root, "out")
+    assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [("a", "new"), ("b", "only")]
+
+
+def test_bad_lines_are_kept_or_rejected(spark):
+    import pytest
+
+    root = tempfile.mkdtemp(prefix="loam-a1b-")
+    path = os.path.join(root, "x.jsonl")
+    with open(path, "w") as f:
+        f.write('{"id": 1, "t": null}\n{"id": 2, "t\n')
+    kept = A.read_jsonl(spark, path, "id bigint, t string").collect()
+    assert [(r.id, r._corrupt_record) for r in kept] == [(1, None), (None, '{"id": 2, "t')]
+    with pytest.raises(Exception):
+        A.read_jsonl(spark, path, "id bigint, t string", fail=True).collect()
+
+
+def test_null_fields_are_written(spark):
+    root = tempfile.mkdtemp(prefix="loam-a2b-")
+    A.write_jsonl(spark.createDataFrame([(1, None)], "id int, t string"), os.path.join(root, "n"))
+    assert [r.value for r in spark.read.text(os.path.join(root, "n")).collect()] == ['{"id":1,"t":null}']
+
+
+def test_release_removes_what_was_written(spark):
+    from loam.session import materialize, path_exists, release
+
+    df = materialize(spark.range(3), "probe")
+    path = df.inputFiles()[0].rsplit("/", 1)[0]
+    assert path_exists(spark, path) and release(spark) >= 1 and not path_exists(spark, path)
 
 
 def test_snapshot_partition_pruning(spark):

@@ -38,3 +38,23 @@ def test_resume_batch(spark):
     scoring.score(ev.where(F.col("id") < 50), scoring.value_scorer).write.parquet(done)
     final = resumable.resume_batch(spark, ev, done, scoring.value_scorer)
     assert final.count() == ev.count() and final.select("id").distinct().count() == ev.count()
+
+
+def test_chunks_before_an_error_are_kept(spark):
+    import pytest
+
+    root = tempfile.mkdtemp(prefix="loam-d2c-")
+    todo = spark.range(0, 400).withColumn("value", F.col("id").cast("double"))
+    done = os.path.join(root, "done")
+    chunk = {r.id: r.c for r in todo.select("id", F.pmod(F.xxhash64("id"), F.lit(4)).alias("c")).collect()}
+    bad = next(i for i, c in chunk.items() if c == 2)
+
+    def fails_once(pdf, n):
+        if (pdf["id"] == bad).any():
+            raise RuntimeError("scorer is down")
+        return scoring.value_scorer(pdf, n)
+
+    with pytest.raises(Exception, match="scorer is down"):
+        resumable.resume_batch(spark, todo, done, fails_once, chunks=4)
+    assert {r.id for r in spark.read.parquet(done).collect()} == {i for i, c in chunk.items() if c < 2}
+    assert resumable.resume_batch(spark, todo, done, scoring.value_scorer, chunks=4).count() == 400
