@@ -187,8 +187,9 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, id_col
     wanted = classes.join(several, "h").groupBy(F.col("first.doc_id").alias("doc_id")).agg(
         F.collect_list("first.place").alias("places"))
     seen = materialize(windows(src, wanted, least), "windows")
-    firsts = seen.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start")).alias("first")) \
-        .where("n > 1").drop("n")
+    # written, so that both sides of the join below are plain shuffles and a hot window can be split
+    firsts = materialize(seen.groupBy("w").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).where("n > 1").drop("n"), "firsts")
     equal = seen.join(firsts, "w").select(
         "doc_id", F.col("start").cast("bigint").alias("a"), (F.col("start") + least).cast("bigint").alias("b"),
         (F.struct("doc_id", "start") != F.col("first")).alias("later"))
@@ -215,9 +216,9 @@ def cut_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, id_col: s
     space after it); rows and other columns stay as they are. ``docs`` must be a stored table: it is read
     several times."""
     spans = repeated_spans(docs, least, gram, id_col, text_col).select(
-        F.col("doc_id").alias("_id"), F.filter("spans", lambda s: ~s["first"]).alias("_cut")).where(F.size("_cut") > 0)
+        F.col("doc_id").alias("__repeats_id"), F.filter("spans", lambda s: ~s["first"]).alias("__repeats_cut")).where(F.size("__repeats_cut") > 0)
     names, place = docs.columns, docs.columns.index(text_col)
-    joined = docs.join(spans, docs[id_col] == spans["_id"], "left").drop("_id")
+    joined = docs.join(spans, docs[id_col] == spans["__repeats_id"], "left").drop("__repeats_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, place, 2 << 20):
