@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,6 +40,8 @@ MAX_TOXIC, MAX_CLEAN, LANDMARKS = 1_500, 3_000, 240
 #: A text is predicted toxic from this score on.
 LIMIT = 0.3
 MEMO = 400_000
+#: Words scored at a time, which bounds memory.
+SCORED = 40_000
 #: Codes of four characters lie below, those of three from here on.
 FOUR, CODES = 1 << 24, (1 << 24) + (1 << 18)
 
@@ -179,6 +182,8 @@ class Machine:
 
     def score(self, words: list[str], table: np.ndarray) -> np.ndarray:
         """Scores of words given by their letters; a word without letters has the bias alone."""
+        if len(words) > SCORED:
+            return np.concatenate([self.score(words[i:i + SCORED], table) for i in range(0, len(words), SCORED)])
         total = np.zeros(len(words))
         for at, code, w in subsequences(words):
             total += w * np.bincount(at, weights=table[code], minlength=len(words))
@@ -205,19 +210,18 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> np.ndarray:
 
 def causes(toxic: list[set[str]], clean: list[set[str]]) -> set[str]:
     """Words that labels 1 may rest on: those with a stem (a word, or its first 4 to 8 letters) that is
-    far more frequent in documents labelled 1; stems are taken one by one, the one that explains most of
-    the documents not yet explained first."""
-
-    same: dict[str, str] = {}  # one string object per stem
+    far more frequent in documents labelled 1. Stems are taken one by one, the one that explains most of
+    the documents not yet explained first; after that also those that are common by themselves."""
 
     def stems(words: set[str]) -> set[str]:
-        return {same.setdefault(g, g) for w in words if len(w) > 2
-                for g in (f"{w}$", *(w[:k] for k in range(4, min(len(w), 9))))}
-
-    by_doc = [stems(ws) for ws in toxic]
-    seen_clean: Counter[str] = Counter()
-    for ws in clean:
-        seen_clean.update(stems(ws))
+        return {g for w in words if len(w) > 2 for g in (f"{w}$", *(w[:k] for k in range(4, min(len(w), 9))))}
+
+    # only stems of several documents labelled 1 matter; the others are never held
+    least = max(2, 0.004 * len(toxic))
+    often = Counter(g for ws in toxic for g in stems(ws))
+    often = {g: g for g, n in often.items() if n >= least}
+    by_doc = [{often[g] for g in stems(ws) if g in often} for ws in toxic]
+    seen_clean = Counter(often[g] for ws in clean for g in stems(ws) if g in often)
     left = set(range(len(by_doc)))
     taken: set[str] = set()
     total = len(clean) + 1
@@ -226,20 +230,32 @@ def causes(toxic: list[set[str]], clean: list[set[str]]) -> set[str]:
         for i in left:
             count.update(by_doc[i])
         best = max(count, key=lambda g: (count[g] - 4 * len(left) * seen_clean[g] / total, -abs(len(g) - 5), g), default="")
-        if count[best] < max(2, 0.004 * len(toxic)) or count[best] < 4 * (seen_clean[best] + 0.5) / total * len(left):
+        if count[best] < least or count[best] < 4 * (seen_clean[best] + 0.5) / total * len(left):
             break
         taken.add(best)
         left = {i for i in left if best not in by_doc[i]}
+    whole = Counter(g for gs in by_doc for g in gs)
+    taken |= {g for g, n in whole.items() if n >= max(3, 0.02 * len(toxic)) and n >= 20 * (seen_clean[g] + 0.5) / total * len(toxic)}
     every = set().union(*toxic) if toxic else set()
     return {w for w in every if stems({w}) & taken}
 
 
+def without_copies(docs: list[Counter]) -> list[Counter]:
+    """One document of those whose three smallest word hashes are the same, so that a group of near
+    copies does not make its words look frequent."""
+    seen: dict[tuple, Counter] = {}
+    for ws in docs:
+        seen.setdefault(tuple(sorted(zlib.crc32(w.encode()) for w in ws)[:3]), ws)
+    return list(seen.values())
+
+
 def fit(toxic: list[Counter], clean: list[Counter], rounds: int = 3, seed: int = 11) -> Machine:
     """Train on documents given as counts of words (letters only). Without a document of either label the
     machine scores every text alike, by the share of label 1 (one half without any label)."""
     if not toxic or not clean:
         prior = np.log((len(toxic) + 0.5) / (len(clean) + 0.5))
         return Machine(np.zeros(1, np.int64), np.zeros(1), 0.0, np.array([0, 0, 0, 0, prior]))
+    toxic, clean = without_copies(toxic), without_copies(clean)
     rng = np.random.default_rng(seed)
     held = len(toxic) >= 24 and len(clean) >= 24
     fit_t = [w for i, w in enumerate(toxic) if not held or i % 4 != 3]
@@ -378,7 +394,7 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, limit: float = LIMIT, id_co
                  text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """``docs`` without the rows that score ``limit`` or more; columns as they were."""
     machine = fit(*sample(docs, labels, id_col, text_col, label_col))
-    return add_score(docs, machine, "_toxicity", text_col).where(F.col("_toxicity") < limit).select(
+    return add_score(docs, machine, "__toxicity_score", text_col).where(F.col("__toxicity_score") < limit).select(
         *[F.col(f"`{c}`") for c in docs.columns])
 
 
