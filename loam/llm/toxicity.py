@@ -7,7 +7,7 @@ and digits inside a word are dropped, and runs of single letters are read as one
 
 Labels are given for documents, of which one word may be the cause; so training is by instances: the
 words of documents labelled 0 are negative, and of a document labelled 1 the words that its label rests on
-are positive. Those come first from stems that are frequent in documents labelled 1 and rare in the others,
+are positive, together with copies of them that have a letter inserted, doubled or left out. Those come first from stems that are frequent in documents labelled 1 and rare in the others,
 later from the machine's own scores. A word's features are its kernel values with the landmark words,
 whitened (Nystroem); the linear machine over them (squared hinge) folds back into one weight per
 subsequence, so that scoring a word is a sum of table look-ups and no landmark is visited any more. The
@@ -36,9 +36,11 @@ DECAY = 0.6
 #: Subsequence lengths with the longest stretch of text each may span.
 SPANS = {3: 5, 4: 6}
 #: Bounds of the training sample (documents by label) and of the landmark set.
-MAX_TOXIC, MAX_CLEAN, LANDMARKS = 1_500, 3_000, 240
+MAX_TOXIC, MAX_CLEAN, LANDMARKS = 1_500, 3_000, 320
 #: A text is predicted toxic from this score on.
 LIMIT = 0.3
+#: Positive words that get bent copies, and the weight of a copy.
+BENT, BENT_WEIGHT = 200, 0.6
 MEMO = 400_000
 #: Words scored at a time, which bounds memory.
 SCORED = 40_000
@@ -240,6 +242,16 @@ def causes(toxic: list[set[str]], clean: list[set[str]]) -> set[str]:
     return {w for w in every if stems({w}) & taken}
 
 
+def variants(word: str, rng: np.random.Generator, n: int = 6) -> set[str]:
+    """The word with one letter inserted, doubled or left out inside, ``n`` times at random."""
+    out = set()
+    for kind in rng.integers(0, 4, n if len(word) > 3 else 0):
+        i = int(rng.integers(1, len(word) - 1))
+        new = "" if kind == 0 else word[i] * 2 if kind == 1 else word[i] + chr(97 + int(rng.integers(26)))
+        out.add(word[:i] + new + word[i + 1:])
+    return out
+
+
 def without_copies(docs: list[Counter]) -> list[Counter]:
     """One document of those whose three smallest word hashes are the same, so that a group of near
     copies does not make its words look frequent."""
@@ -271,22 +283,26 @@ def fit(toxic: list[Counter], clean: list[Counter], rounds: int = 3, seed: int =
     for _ in range(rounds):
         pos = sorted(positive) or sorted(in_toxic)[:500]
         pos = [pos[i] for i in np.sort(rng.permutation(len(pos))[:4000])]
+        top = sorted(pos, key=lambda w: (-in_toxic[w], w))[:BENT]
+        bent = {v: w for w in top for v in variants(w, rng) if v not in in_clean and v not in positive}
+        pos += sorted(bent)
         neg = sorted({pool[i] for i in rng.permutation(len(pool))[:8000]} | hard | {w for w in pos if in_clean[w]}
                      | {w for w, _ in in_clean.most_common(1000)})
         half = LANDMARKS // 2
-        marks = Landmarks(sorted({pos[i] for i in rng.permutation(len(pos))[:half]}
-                                 | {neg[i] for i in rng.permutation(len(neg))[:half]}))
+        marks = Landmarks(sorted({*top[:half // 2], *(pos[i] for i in rng.permutation(len(pos))[:half - len(top[:half // 2])]),
+                                  *(neg[i] for i in rng.permutation(len(neg))[:half])}))
         gram = marks.kernel(marks.words)
         values, vectors = np.linalg.eigh((gram + gram.T) / 2)
         keep = values > 1e-6 * values.max()
         white = vectors[:, keep] / np.sqrt(values[keep])
         x = np.c_[marks.kernel(pos + neg) @ white, np.ones(len(pos) + len(neg))]
         y = np.r_[np.ones(len(pos)), -np.ones(len(neg))]
-        often = [np.sqrt([c[w] for w in ws]) for c, ws in ((in_toxic, pos), (in_clean, neg))]
+        often = [np.array([np.sqrt(in_toxic[bent.get(w, w)]) * (BENT_WEIGHT if w in bent else 1) for w in pos]),
+                 np.sqrt([in_clean[w] for w in neg])]
         weight = np.concatenate([t * o / o.sum() for t, o in zip((2000, 4000), often, strict=True)])
         of_pos = dict(zip(pos, weight, strict=False))
         for i, v in enumerate(neg, len(pos)):  # a word of both sides weighs on each by its share of documents
-            if v in of_pos:
+            if v in of_pos and v not in bent:
                 weight[i] = 3 * of_pos[v] * in_clean[v] * len(fit_t) / (in_toxic[v] * len(fit_c))
         w = squared_hinge(x, y, weight, 0.5)
         machine = Machine(marks.codes, marks.matrix @ (white @ w[:-1]), float(w[-1]), np.zeros(5))
