@@ -19,17 +19,18 @@ def star_components(edges: DataFrame) -> DataFrame:
     Each round hooks neighbours to the smallest node in reach, which at least halves the paths; it ends
     when a round changes nothing. Every step is an aggregate with map-side partial sums and an equi-join
     against it, so a node with very many neighbours is split by the join and never gathered. Rounds are
-    written to the shared folder. Loops and repeated edges do no harm; no edges give no rows.
+    written to the shared folder, and so are the sums that the edges are joined with, so that a
+    hub's edges can be split. Loops and repeated edges do no harm; no edges give no rows.
     """
     now = materialize(
         edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
     state = _state(now)
     while state[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")) \
-            .where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        large = materialize(both.join(least, "u").where("v > u").select(
+            F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v") \
             .union(least.select("u", F.col("m").alias("v"))).distinct()

@@ -169,7 +169,8 @@ def near_edges(fps: DataFrame, n: int, distance: int) -> DataFrame:
     keyed = fps.select("fp", F.explode(F.array(*[
         F.struct(F.lit(i).alias("block"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("value"))
         for i, m in enumerate(masks)])).alias("k")).select("fp", "k.block", "k.value")
-    sizes = keyed.groupBy("block", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # written, so that both sides of the join are plain shuffles and a hot bucket can be split
+    sizes = materialize(keyed.groupBy("block", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
     dealt = keyed.join(sizes, ["block", "value"]).withColumn("slices", F.ceil(F.col("n") / SLICE)).withColumn(
         "own", F.pmod(F.xxhash64("fp"), F.col("slices")))
     cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).where(
@@ -220,13 +221,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col
     table gives no rows.
     """
     marked = materialize(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    fps = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    n = marked.select("fp").distinct().count()
-    roots = star_components(near_edges(marked.select("fp").distinct(), n, distance))
-    classes = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
-        "root", F.coalesce("root", "fp"))
-    named = classes.join(classes.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(
-        "fp", "component_id")
+    fps = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    roots = star_components(near_edges(fps.select("fp"), fps.count(), distance))
+    classes = materialize(fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
+        "root", F.coalesce("root", "fp")), "classes")
+    names = materialize(classes.groupBy("root").agg(F.min("least").alias("component_id")), "components")
+    named = classes.join(names, "root").select("fp", "component_id")
     return marked.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
