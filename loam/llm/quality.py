@@ -63,8 +63,9 @@ def host_verdicts(counts: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     - 1``, at least 1 (and 1 where all hosts have the same share). With ``a = mean (a + b)``, the shrunk
     share is ``(failed + a) / (docs + a + b)``.
     """
-    hosts = counts.groupBy("host").agg(
-        F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("base_failed").cast("bigint")).alias("n_failed"))
+    # written: read twice, and joined as a plain table, so that a hot host's documents can be split
+    hosts = materialize(counts.groupBy("host").agg(
+        F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("base_failed").cast("bigint")).alias("n_failed")), "hosts")
     share = F.col("n_failed") / F.col("n_docs")
     prior = hosts.agg(F.avg(share).alias("mean"), F.var_pop(share).alias("var")).first()
     mean, var = prior["mean"] or 0.0, prior["var"] or 0.0
