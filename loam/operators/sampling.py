@@ -112,9 +112,10 @@ def head_per_group(df: DataFrame, group: str, n: int, seed=42, key: str = "id")
     buckets = df.groupBy(group, _bucket(seed, key).alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(
         Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    last = buckets.withColumn("_before", before).where(F.col("_before") < n).groupBy(group).agg(F.max("_bucket").alias("_last"))
-    keys = df.select(group, key, _bucket(seed, key).alias("_bucket")).join(last, group).where(
-        F.col("_bucket") <= F.col("_last")).select(group, key, shuffle_key(seed, F.col(key)).alias("_hash"))
+    # The join goes by group and bucket, so a hot group is dealt over its buckets.
+    leading = buckets.withColumn("_before", before).where(F.col("_before") < n).select(group, "_bucket")
+    keys = df.select(group, key, _bucket(seed, key).alias("_bucket")).join(leading, [group, "_bucket"], "left_semi").select(
+        group, key, shuffle_key(seed, F.col(key)).alias("_hash"))
     ranked = exact_rank(keys, [F.col("_hash"), F.col(key)], [group], "rank").where(F.col("rank") < n)
     return df.join(ranked.select(key, "rank"), key)
 
