@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.sampling import running_sum
-from .common import narrow, read_table
+from .common import materialize, narrow, read_table
 
 #: The template. A marker inside a text is written with a space, so that no text can open a turn.
 OWN, OTHER, CONTEXT, END = "<|assistant|>\n", "<|user name={}|>\n", "<|{}|>\n", "<|end|>\n"
@@ -28,29 +28,42 @@ def rotate(turns: DataFrame, context_roles: tuple[str, ...] = CONTEXT_ROLES, con
 
     The segments of a (``conv_id``, ``perspective``) in order of ``start`` are the rendered dialogue;
     offsets are characters, ends exclusive. ``mask_start``/``mask_end`` are the assistant's text with its
-    end marker; for the others' segments the mask is empty and lies at ``end``. Turns are ordered by number (null first), then speaker and
-    text; repeated turns stay. A null speaker is ``unknown``, a null text empty; rows without ``conv_id``
-    take no part, and a conversation with context roles only has no perspective. Other columns are
-    ignored; an empty table gives no rows.
+    end marker; for the others' segments the mask is empty and lies at ``end``. Turns are ordered by
+    number (null first), then speaker and the text's md5; repeated turns stay. A null speaker is
+    ``unknown``, a null text empty; rows without ``conv_id`` take no part, and a conversation with
+    context roles only has no perspective. Other columns are ignored; an empty table gives no rows.
     """
     rows = narrow(turns, conv_id=conv_col, turn=turn_col, speaker=speaker_col, text=text_col).where(
         "conv_id is not null").select(
         "conv_id", "turn", F.coalesce("speaker", F.lit(UNKNOWN)).alias("speaker"),
         F.replace(F.coalesce("text", F.lit("")), F.lit(MARK), F.lit(HARMLESS)).alias("text"))
-    people = rows.where(~F.col("speaker").isin(*context_roles)).select(
-        "conv_id", F.col("speaker").alias("perspective")).distinct()
+    # a repeated turn is one row with a count, so that its key (by the text's md5) is unique
+    rows = materialize(rows.groupBy("conv_id", "turn", "speaker", "text").agg(
+        F.count(F.lit(1)).alias("copies")).withColumn("sum", F.md5("text")), "turns")
+    # written, so that a join with it is one of plain shuffles and a hot conversation can be split
+    people = materialize(rows.where(~F.col("speaker").isin(*context_roles)).select(
+        "conv_id", F.col("speaker").alias("perspective")).distinct(), "people")
     name = F.replace("speaker", F.lit(MARK), F.lit(HARMLESS))
     before, after = OTHER.split("{}")
-    head = (F.when(F.col("speaker") == F.col("perspective"), F.lit(OWN))
+    own = F.col("speaker") == F.col("perspective")
+    head = (F.when(own, F.lit(OWN))
             .when(F.col("speaker").isin(*context_roles), F.concat(F.lit("<|"), name, F.lit("|>\n")))
             .otherwise(F.concat(F.lit(before), name, F.lit(after))))
-    seen = rows.join(people, "conv_id").withColumn("head", head).withColumn(
-        "segment", F.concat("head", "text", F.lit(END))).withColumn("size", F.length("segment").cast("bigint"))
-    placed = running_sum(seen, [F.col("turn"), F.col("speaker"), F.col("text")], "size", ["conv_id", "perspective"], "end")
-    own = F.col("speaker") == F.col("perspective")
-    start = F.col("end") - F.col("size")
-    return placed.select(
-        "conv_id", "perspective", "turn", "speaker", "segment", start.alias("start"), "end",
+    # places from narrow rows: the texts are neither sorted nor written
+    sized = rows.select("conv_id", "turn", "speaker", "sum", "copies", F.length("text").alias("length")).join(
+        people, "conv_id").withColumn("head", head)
+    sized = sized.withColumn("one", (F.length("head") + F.col("length") + len(END)).cast("bigint")).withColumn(
+        "size", F.col("one") * F.col("copies"))
+    placed = running_sum(sized, [F.col("turn"), F.col("speaker"), F.col("sum")], "size", ["conv_id", "perspective"], "last")
+    keys = ["conv_id", "speaker", "sum"]
+    texts = rows.select(*keys, F.col("turn").alias("_turn"), "text")
+    out = placed.join(texts, keys).where(F.col("turn").eqNullSafe(F.col("_turn")))
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
+    out = out.withColumn("end", F.col("last") - F.col("one") * (F.col("copies") - F.col("copy")))
+    start = F.col("end") - F.col("one")
+    return out.select(
+        "conv_id", "perspective", "turn", "speaker", F.concat("head", "text", F.lit(END)).alias("segment"),
+        start.alias("start"), "end",
         F.when(own, start + F.length("head")).otherwise(F.col("end")).alias("mask_start"),
         F.when(own, F.col("end") - 1).otherwise(F.col("end")).alias("mask_end"))
 
@@ -80,7 +93,7 @@ WITH r AS (
     SELECT *, head || text || {_lit(END)} AS segment FROM s
 ), u AS (
     SELECT *, sum(length(segment)) OVER (PARTITION BY conv_id, perspective
-                                         ORDER BY turn NULLS FIRST, speaker, text, id
+                                         ORDER BY turn NULLS FIRST, speaker, md5(text), id
                                          ROWS UNBOUNDED PRECEDING)::BIGINT AS e FROM t
 )
 SELECT conv_id, perspective, turn, speaker, segment, e - length(segment) AS start, e AS "end",
