@@ -183,11 +183,11 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, id_col
     same = shared.join(classes.where("n > 1"), ["h", "around"]).select(
         "doc_id", F.expr("(place >> 16) - (place >> 8 & 255)").alias("a"), F.expr("(place >> 16) + (place & 255)").alias("b"),
         (F.struct("doc_id", "place") != F.col("first")).alias("later"))
-    several = classes.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h")
+    several = materialize(classes.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h"), "several")
     wanted = classes.join(several, "h").groupBy(F.col("first.doc_id").alias("doc_id")).agg(
         F.collect_list("first.place").alias("places"))
     seen = materialize(windows(src, wanted, least), "windows")
-    # written, so that both sides of the join below are plain shuffles and a hot window can be split
+    # written, like ``several``, so that both sides of the join are plain shuffles and a hot key can be split
     firsts = materialize(seen.groupBy("w").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).where("n > 1").drop("n"), "firsts")
     equal = seen.join(firsts, "w").select(
