@@ -70,7 +70,11 @@ class Vocabulary:
             if whole not in self.parts:
                 self.parts[whole], self.made_at[whole] = (a, b), rank
         self.id_of = {b: i for i, b in raw.items() if len(b) == 1 or i in self.parts}
-        self.longest = max(map(len, self.id_of))
+        #: Length of the longest token that ends in the given three bytes.
+        self.reach: dict[bytes, int] = {}
+        for b in self.id_of:
+            if len(b) > 2 and len(b) > self.reach.get(b[-3:], 0):
+                self.reach[b[-3:]] = len(b)
         self.pairs: dict[tuple[int, int], bool] = {}
 
     def spine(self, token: int, side: int) -> list[int]:
@@ -111,7 +115,7 @@ class Vocabulary:
 
     def encode_words(self, words: list[bytes]) -> dict[bytes, tuple[int, ...]]:
         """Ids of distinct words, by one depth-first walk over their trie."""
-        id_of, pairs, longest = self.id_of.get, self.pairs, self.longest
+        id_of, pairs, reach = self.id_of.get, self.pairs, self.reach.get
         out: dict[bytes, tuple[int, ...]] = {}
         last: list[int] = [-1]  # last token of the prefix of each length
         begin: list[int] = [0]  # and where that token starts
@@ -122,7 +126,8 @@ class Vocabulary:
                 shared += 1
             del last[shared + 1:], begin[shared + 1:]
             for end in range(shared + 1, len(word) + 1):
-                for start in range(end - longest if end > longest else 0, end):
+                low = end - reach(word[end - 3:end], 2) if end > 2 else 0
+                for start in range(low if low > 0 else 0, end):
                     token = id_of(word[start:end])
                     if token is None:
                         continue
@@ -170,11 +175,13 @@ class Encoder:
     def learn(self, new: list[str]) -> None:
         """Encode runs that the memo lacks: split into words, walk the trie of their distinct words."""
         special = self.vocabulary.special
-        split = {run: self.find_words(run) for run in new if run not in special}
-        got = self.vocabulary.encode_words(list({w.encode() for ws in split.values() for w in ws}))
+        # letters, after a space or not, are one word; only other runs need the pattern
+        split = {run: (run,) if run.isalpha() or run[0] == " " and run[1:].isalpha() else self.find_words(run)
+                 for run in new if run not in special}
+        raw = {w: w.encode() for ws in split.values() for w in ws}
+        got = self.vocabulary.encode_words(list(raw.values()))
         for run, ws in split.items():
-            self.runs[run] = got[ws[0].encode()] if len(ws) == 1 else tuple(
-                chain.from_iterable(got[w.encode()] for w in ws))
+            self.runs[run] = got[raw[ws[0]]] if len(ws) == 1 else tuple(chain.from_iterable(got[raw[w]] for w in ws))
         self.runs.update((run, (special[run],)) for run in new if run in special)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
