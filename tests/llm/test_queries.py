@@ -41,3 +41,22 @@ def test_pipeline(spark, tmp_path):
     assert packed.select("doc_id").distinct().count() == before
     whole = corpus_pipeline.run(spark, SF_SMALL)
     assert whole.count() == packed.count()
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_stages_take_odd_rows(spark, tmp_path, empty):
+    import corpus_pipeline
+
+    long = " ".join(f"w{i % 7919}" for i in range(30_000))
+    rows = [(1, None, "en", None, None), (2, "", None, "s", 0), (3, " \n", "en", "s", 2), (None, "no id at all", "en", "s", 12),
+            (4, long, "en", "s", len(long)), (5, long, None, "t", len(long)), (6, "AKIA" + "B" * 16, "de", "s", 20)]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    docs = spark.createDataFrame([] if empty else rows, schema)
+    docs.write.parquet(str(tmp_path / "in"))
+    docs = spark.read.parquet(str(tmp_path / "in"))
+    for name, stage in corpus_pipeline.STAGES:
+        path = str(tmp_path / name)
+        stage(spark, docs, SF_SMALL).write.parquet(path)
+        docs = spark.read.parquet(path)
+    got = {r.doc_id for r in docs.collect()}
+    assert got == (set() if empty else {1, 4, 6, None})  # 2, 3 are blank like 1; 5 is a copy of 4
