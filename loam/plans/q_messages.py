@@ -12,7 +12,7 @@ from ..operators import responses
 from ..operators.sampling import shuffled_ids
 from ..sources import fixtures as fx
 from . import sqlfrag as S
-from .q_responses import _annotated
+from .q_responses import _valid_rows
 from .registry import register
 
 RS = "\u001e"  # record separator used to flatten message lists for comparison
@@ -166,7 +166,7 @@ def b13_repeat_regroup(spark, sf_dir):
 WITH a AS (SELECT *, ({S.SUFFIX_LIST} || [''])[id % 16 + 1] AS sfx FROM ({S.annotated()}) WHERE valid_response)
 SELECT id, {S.format_numbers('response_numbers', 'sfx')} AS text FROM a""")
 def b15_format_numbers(spark, sf_dir):
-    a = _annotated(spark, sf_dir).where(F.col("valid_response"))
+    a = _valid_rows(spark, sf_dir)
     sfx = F.element_at(F.array(*[F.lit(s[0]) for s in fv.FORMAT_SUFFIXES], F.lit("")), (F.col("id") % 16 + 1).cast("int"))
     return a.select("id", format_numbers(F.col("response_numbers"), sfx).alias("text"))
 
@@ -191,7 +191,7 @@ def c8_teacher_set(spark, sf_dir):
 SELECT {S.render_roles(f"[{{'role': 'user', 'content': query_prompt}}, {{'role': 'assistant', 'content': {S.format_numbers('response_numbers', 'format_suffix')}}}]")} AS messages
 FROM ({S.annotated()}) WHERE valid_response""")
 def c11_training_view(spark, sf_dir):
-    a = _annotated(spark, sf_dir).where(F.col("valid_response"))
+    a = _valid_rows(spark, sf_dir)
     return M.training_view(responses.completed_chat(a)).select(_flat(F.col("messages")).alias("messages"))
 
 
@@ -201,7 +201,7 @@ t AS (SELECT id, length({S.render_chat("[{'role': 'user', 'content': u}]", 'true
              list_sum(list_transform(string_split(r, ''), lambda c: unicode(c))) AS sr FROM a)
 SELECT id, CAST(np + nr + 1 AS BIGINT) AS n_input, CAST(np AS BIGINT) AS n_masked, CAST(sr + 1 AS BIGINT) AS label_sum FROM t""")
 def c12_supervised_labels(spark, sf_dir):
-    a = _annotated(spark, sf_dir).where(F.col("valid_response"))
+    a = _valid_rows(spark, sf_dir)
     lab = M.supervised_labels(responses.completed_chat(a).select("id", "messages"))
     masked = F.size(F.filter("labels", lambda x: x == -100))
     return lab.select(

@@ -82,13 +82,21 @@ def b11_number_prompts(spark, sf_dir):
     return prompts.number_prompts(keys).select("id", "query_prompt")
 
 
+def _valid_rows(spark, sf_dir):
+    """Valid responses with their prompts. A filter on ``valid_response`` would be pushed through the
+    parser's stages and inline them all, so the few columns that are needed are written first; the prompt
+    text is a function of the id and is built for the valid rows only."""
+    a = _annotated_table(spark, sf_dir, ["id", "format_suffix", "response_numbers", "valid_response"])
+    return a.where(F.col("valid_response")).withColumn(
+        "query_prompt", prompts.number_prompt_text(F.col("id"), F.col("format_suffix")))
+
+
 @register("b14_completed_chat", "B14 B15 B1", lambda: f"""
 SELECT id, query_prompt AS user_content,
        {S.format_numbers('response_numbers', 'format_suffix')} AS assistant_content
 FROM ({S.annotated()}) WHERE valid_response""")
 def b14_completed_chat(spark, sf_dir):
-    a = _annotated(spark, sf_dir).where(F.col("valid_response"))
-    c = responses.completed_chat(a, strict=True)
+    c = responses.completed_chat(_valid_rows(spark, sf_dir), strict=True)
     return c.select(
         "id", F.col("messages")[0]["content"].alias("user_content"),
         F.col("messages")[1]["content"].alias("assistant_content"),
