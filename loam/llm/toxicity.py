@@ -17,7 +17,6 @@ highest word score of a text, calibrated on documents held back from the fit (Pl
 from __future__ import annotations
 
 import re
-import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -30,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded, narrow, read_table, worker_cache
+from .common import bounded, narrow, read_table
 
 DECAY = 0.6
 #: Subsequence lengths with the longest stretch of text each may span.
@@ -41,7 +40,7 @@ MAX_TOXIC, MAX_CLEAN, LANDMARKS = 1_500, 3_000, 320
 LIMIT = 0.3
 #: Positive words that get bent copies, and the weight of a copy.
 BENT, BENT_WEIGHT = 200, 0.6
-MEMO = 400_000
+MEMO = 200_000
 #: Words scored at a time, which bounds memory.
 SCORED = 40_000
 #: Codes of four characters lie below, those of three from here on.
@@ -177,7 +176,7 @@ class Machine:
     mix: np.ndarray
 
     def table(self) -> np.ndarray:
-        """Weights by code: a dense table, built once per worker."""
+        """Weights by code: a dense table, built once per task."""
         out = np.zeros(CODES, np.float32)
         out[self.codes] = self.weights
         return out
@@ -363,15 +362,10 @@ def add_score(docs: DataFrame, machine: Machine, out_col: str, text_col: str = "
     """All columns of ``docs`` and the chance of label 1 of each whole text."""
     place = docs.columns.index(text_col)
     schema = T.StructType([*docs.schema.fields, T.StructField(out_col, T.DoubleType())])
-    key = ("toxicity", uuid.uuid4().hex)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = worker_cache()
-        if key not in cache:
-            for old in [k for k in cache if isinstance(k, tuple) and k[0] == "toxicity"]:
-                del cache[old]
-            cache[key] = (machine.table(), {})
-        table, memo = cache[key]
+        # held for the task only: workers live on and later stages need the memory
+        table, memo = machine.table(), {}
         for batch in bounded(batches, place, 2 << 20):
             found = [tokens_of(t or "") for t in batch.column(place).to_pylist()]
             if len(memo) > MEMO:
