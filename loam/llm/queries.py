@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, perspectives, quality, repeats, secrets, simhash, topk, toxicity, urls
+from . import (
+    audit,
+    bpe,
+    fim,
+    packing,
+    perspectives,
+    quality,
+    repeats,
+    secrets,
+    sharding,
+    simhash,
+    topk,
+    toxicity,
+    urls,
+)
 
 QUERIES = {
     "op1_url_rules": urls.op1_url_rules,
@@ -15,6 +29,9 @@ QUERIES = {
     "op8_perspective_rotation": perspectives.op8_perspective_rotation,
     "op9_bpe_trie": bpe.op9_bpe_trie,
     "op10_host_quality": quality.op10_host_quality,
+    "op11_label_sharding": sharding.op11_label_sharding,
+    "op12_fill_in_middle": fim.op12_fill_in_middle,
+    "op13_filter_audit": audit.op13_filter_audit,
 }
 
 ORACLES = {
@@ -22,4 +39,6 @@ ORACLES = {
     "op3_columnar_topk": topk.ORACLE,
     "op8_perspective_rotation": perspectives.ORACLE,
     "op10_host_quality": quality.ORACLE,
+    "op12_fill_in_middle": fim.ORACLE,
+    "op13_filter_audit": audit.ORACLE,
 }
