@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import tokenizer_path
+from .bpe import WORDS, byte_letters, tokenizer_path
 from .common import bounded, materialize, narrow, read_table, worker_cache
 
 #: Fixed value: the id that ends a document.
@@ -173,8 +173,6 @@ def tiktoken_encoder(path: str) -> Callable[[str], np.ndarray]:
 
         import tiktoken
 
-        from .bpe import WORDS, byte_letters
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}

@@ -110,7 +110,7 @@ def suffixes(docs: DataFrame, gram: int = GRAM, least: int = LEAST) -> DataFrame
             at, left, right = minimisers(h, gram, least)
             doc = h.words.doc[at]
             around = h.run(at - left, at) ^ (h.run(at + gram, at + right) * np.uint64(MIXER))
-            place = (at - h.words.first[:-1][doc]) << 16 | left << 8 | right
+            place = (at - h.words.first[:-1][doc]) << 32 | left << 16 | right
             yield pa.RecordBatch.from_arrays(
                 [pa.array(h.run(at, at + gram).view(np.int64)), pa.array(around.view(np.int64)),
                  batch.column(0).take(pa.array(doc)), pa.array(place)], names=["h", "around", "doc_id", "place"])
@@ -129,7 +129,7 @@ def windows(docs: DataFrame, wanted: DataFrame, least: int = LEAST) -> DataFrame
             places = batch.column(2)
             doc = np.repeat(np.arange(batch.num_rows), np.diff(places.offsets.to_numpy()))
             place = places.flatten().to_numpy()
-            pos, left, right = place >> 16, place >> 8 & 255, place & 255
+            pos, left, right = place >> 32, place >> 16 & 65535, place & 65535
             off = np.maximum(0, least - right)
             n = left - off + 1
             i = np.repeat(np.arange(len(place)), n)
@@ -165,23 +165,27 @@ def _spans(marks: np.ndarray) -> list[tuple[int, int, bool]]:
 
 def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, id_col: str = "doc_id",
                    text_col: str = "text") -> DataFrame:
-    """``doc_id, spans`` for every document that holds a passage of at least ``least`` words which occurs
+    """``doc_id, variant, spans`` for every document that holds a passage of at least ``least`` words which occurs
     more than once, in another document or in itself. ``spans`` are ``(start, end, first)`` in words, end
     exclusive: ``first`` stretches are the first copy (smallest ``doc_id``, then place) of what they hold,
     the others have an earlier copy.
 
-    Null, empty and short texts have no such passage, and rows without an id take no part. Rows that share
-    an id count as copies of each other and share their spans. A text that repeats with a period shorter
+    Null, empty and short texts have no such passage, and rows without an id take no part. ``variant`` is
+    the xxhash64 of the text: rows that share an id are told apart by it, and rows equal in id and text are
+    one document, which is the first copy of itself. ``least`` may be up to 65,535 words. A text that repeats with a period shorter
     than the passage keeps its first period. Other columns are ignored; an empty table gives no rows.
     """
-    src = narrow(docs, doc_id=id_col, text=text_col).where("doc_id is not null and text is not null")
+    if not gram <= least < 1 << 16:
+        raise ValueError(f"least must be from gram ({gram}) to 65535 words, not {least}")
+    src = narrow(docs, doc_id=id_col, text=text_col).where("doc_id is not null and text is not null").select(
+        F.struct("doc_id", F.xxhash64("text").alias("variant")).alias("doc_id"), "text")
     kept = suffixes(src, gram, least)
     twice = materialize(kept.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "runs")
     shared = materialize(kept.join(twice, "h"), "suffixes")
     classes = materialize(shared.groupBy("h", "around").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "place")).alias("first")), "classes")
     same = shared.join(classes.where("n > 1"), ["h", "around"]).select(
-        "doc_id", F.expr("(place >> 16) - (place >> 8 & 255)").alias("a"), F.expr("(place >> 16) + (place & 255)").alias("b"),
+        "doc_id", F.expr("(place >> 32) - (place >> 16 & 65535)").alias("a"), F.expr("(place >> 32) + (place & 65535)").alias("b"),
         (F.struct("doc_id", "place") != F.col("first")).alias("later"))
     several = materialize(classes.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h"), "several")
     wanted = classes.join(several, "h").groupBy(F.col("first.doc_id").alias("doc_id")).agg(
@@ -207,18 +211,21 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, id_col
                     for i, j in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, span)], names=["doc_id", "spans"])
 
-    return marks.mapInArrow(run, f"doc_id {kind}, spans array<struct<start:int,end:int,first:boolean>>")
+    return marks.mapInArrow(run, f"doc_id {kind}, spans array<struct<start:int,end:int,first:boolean>>").select(
+        "doc_id.doc_id", "doc_id.variant", "spans")
 
 
 def cut_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, id_col: str = "doc_id",
                 text_col: str = "text") -> DataFrame:
     """``docs`` with every passage that has an earlier copy cut out of the text column (with the white
-    space after it); rows and other columns stay as they are. ``docs`` must be a stored table: it is read
-    several times."""
+    space after it); rows and other columns stay as they are. Cuts go by id and text, so rows that share an
+    id are cut each by its own text; rows without an id and null texts stay whole; an empty table gives no
+    rows. ``docs`` must be a stored table: it is read several times."""
     spans = repeated_spans(docs, least, gram, id_col, text_col).select(
-        F.col("doc_id").alias("__repeats_id"), F.filter("spans", lambda s: ~s["first"]).alias("__repeats_cut")).where(F.size("__repeats_cut") > 0)
+        "doc_id", "variant", F.filter("spans", lambda s: ~s["first"]).alias("cut")).where(F.size("cut") > 0)
+    joined = docs.join(spans, (docs[id_col] == spans["doc_id"]) & (F.xxhash64(docs[text_col]) == spans["variant"]), "left").select(
+        *[docs[f"`{c}`"] for c in docs.columns], spans["cut"].alias("cut" + "_" * max(map(len, docs.columns))))
     names, place = docs.columns, docs.columns.index(text_col)
-    joined = docs.join(spans, docs[id_col] == spans["__repeats_id"], "left").drop("__repeats_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, place, 2 << 20):

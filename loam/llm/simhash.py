@@ -19,7 +19,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded, materialize, narrow, read_table, utf8_buffers
@@ -48,8 +48,13 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text
     Texts are lower-cased (A-Z); shingles are ``shingle`` words joined by a space, each occurrence
     counted; a text of fewer words is one shingle; null, empty and blank texts have fingerprint 0.
     """
-    src = narrow(docs, doc_id=id_col, text=text_col)
-    schema = f"doc_id {src.schema['doc_id'].dataType.simpleString()}, fp bigint"
+    return _fingerprints(narrow(docs, doc_id=id_col, text=text_col), shingle)
+
+
+def _fingerprints(src: DataFrame, shingle: int) -> DataFrame:
+    """``fp`` of each row of ``src(doc_id, text, ...)``; columns after the text are carried along."""
+    kinds = {f.name: f.dataType.simpleString() for f in src.schema if f.name != "text"}
+    schema = ", ".join(f"{name} {kind}" for name, kind in [*kinds.items(), ("fp", "bigint")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
@@ -67,7 +72,8 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text
                 out[i] = majority(np.array(
                     [xxh64_intdigest(buffer[s:e], SEED)
                      for s, e in zip(begin[a:last].tolist(), ends.tolist(), strict=True)], np.uint64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *batch.columns[2:], pa.array(out.view(np.int64))], names=[*kinds, "fp"])
 
     return src.mapInArrow(run, schema)
 
@@ -220,24 +226,37 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col
     but names no component unless all its members' ids are null. Other columns are ignored; an empty
     table gives no rows.
     """
-    marked = materialize(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
+    return _components(narrow(docs, doc_id=id_col, text=text_col), shingle, distance).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _components(src: DataFrame, shingle: int, distance: int) -> DataFrame:
+    """``fp`` and ``component_id`` of each row of ``src(doc_id, text, ...)``; columns after the text are
+    carried along."""
+    marked = materialize(_fingerprints(src, shingle), "fingerprints")
     fps = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     roots = star_components(near_edges(fps.select("fp"), fps.count(), distance))
     classes = materialize(fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "root", F.coalesce("root", "fp")), "classes")
     names = materialize(classes.groupBy("root").agg(F.min("least").alias("component_id")), "components")
     named = classes.join(names, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return marked.join(named, "fp")
 
 
 def keep_one(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col: str = "doc_id",
              text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component of ``near_duplicates``: the one with the smallest id. Rows
-    that share that id all stay, and so do rows without an id, as nothing names them."""
-    found = near_duplicates(docs, shingle, distance, id_col, text_col)
-    dropped = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(dropped, docs[id_col] == dropped["_id"], "left_anti")
+    """``docs`` with one row of each component of ``near_duplicates``: the one with the smallest id.
+
+    A row goes only if its own text's component has a smaller id. So rows that share an id are judged each
+    by its text (known by its md5); those of them that are in the component they name all stay, equal rows
+    too, and so do rows without an id, as nothing names them. An empty table gives no rows.
+    """
+    def digest(text: Column) -> Column:
+        return F.md5(F.coalesce(text, F.lit("")))
+
+    src = narrow(docs, doc_id=id_col, text=text_col).withColumn("digest", digest(F.col("text")))
+    later = _components(src, shingle, distance).where("doc_id <> component_id").select("doc_id", "digest").distinct()
+    return docs.join(later, (docs[id_col] == later["doc_id"]) & (digest(docs[text_col]) == later["digest"]), "left_anti")
 
 
 def op7_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,3 +86,26 @@ def test_edges(spark):
     df = spark.createDataFrame([(7, long), (7, long), (9, "x " + long), (10, "w1 w2")], "doc_id bigint, text string")
     got = found(repeats.repeated_spans(df))
     assert got == {7: [(0, 40_000, True)], 9: [(1, 40_001, False)]}
+
+
+def test_rows_that_share_an_id_are_cut_by_their_own_text(spark, tmp_path):
+    a, c = (" ".join(f"{x}{i}" for i in range(80)) for x in "ac")
+    rows = [(3, a, 1), (5, a, 2), (5, c, 3), (5, c, 4), (None, a, 5), (6, None, 6)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, cut int").write.parquet(str(tmp_path / "docs"))
+    got = repeats.cut_repeats(spark.read.parquet(str(tmp_path / "docs"))).collect()
+    assert sorted(tuple(r) for r in got if r.doc_id) == [(3, a, 1), (5, "", 2), (5, c, 3), (5, c, 4), (6, None, 6)][:5]
+    assert [r.text for r in got if r.doc_id is None] == [a]
+
+
+@pytest.mark.parametrize("least", [50, 300])
+def test_longer_passages(spark, least):
+    docs = {k: " ".join(f"w{(7 * k * (i < 40) + i)}" for i in range(700 - 9 * k)) + f" end{k}" for k in range(4)}
+    df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
+    assert found(repeats.repeated_spans(df, least=least)) == brute(docs, least)
+
+
+def test_bad_least(spark):
+    df = spark.createDataFrame([(1, "a")], "doc_id bigint, text string")
+    for least in (35, 65_536):
+        with pytest.raises(ValueError, match="least"):
+            repeats.repeated_spans(df, least=least)

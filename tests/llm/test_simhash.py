@@ -73,6 +73,15 @@ def test_repeats_nulls_and_empty(spark):
     assert simhash.keep_one(df).count() == 4
 
 
+def test_rows_that_share_an_id_are_kept_by_their_own_text(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(3, a, "x"), (5, b, "x"), (5, a, "y"), (None, a, "z"), (6, None, "n"), (7, "", "n")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, digest string")
+    got = sorted((tuple(r) for r in simhash.keep_one(df).collect()), key=str)
+    assert got == sorted([rows[0], rows[1], rows[3], rows[4]], key=str)
+    assert simhash.keep_one(df.limit(0)).columns == df.columns and simhash.keep_one(df.limit(0)).count() == 0
+
+
 def test_gray_index_finds_every_pair_once():
     rng = np.random.default_rng(3)
     for _ in range(20):
