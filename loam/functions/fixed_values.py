@@ -270,4 +270,9 @@ TOY_BASE_FEATURE_WEIGHT = 0.7
 PROBE_SEED = 42
 PROBE_TEST_SIZE = 0.20
 PROBE_VALIDATION_SIZE = 0.20
+PROBE_EPOCHS = 20
+PROBE_LEARNING_RATE = 1e-3
+PROBE_WEIGHT_DECAY = 1e-4
 CONTROL_CLASS = "control"
+#: Texts whose last token counts as special in pooling.
+SENTENCE_ENDS = ("\n", ".")

@@ -7,9 +7,14 @@ of all cells instead of a driver loop.
 
 from __future__ import annotations
 
+import os
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize, path_exists
 from ..sources.io import artefact_name
 
 
@@ -18,6 +23,50 @@ def missing_cells(grid: DataFrame, manifest: DataFrame, keys: list[str]) -> Data
     return grid.join(manifest.select(*keys), keys, "left_anti")
 
 
+def run_missing(grid: DataFrame, keys: list[str], work: Callable[[DataFrame], DataFrame], root: str,
+                chunks: int = 1) -> DataFrame:
+    """D3 with A8: run ``work`` on the cells of ``grid`` that ``root`` has no finished artefact of, and return the
+    manifest: ``keys, path, n_rows`` of all finished cells.
+
+    The cells are dealt into ``chunks`` by a hash of their keys. A chunk's rows, which carry ``keys``, are
+    written under a path of their own, and only when all of them are there its cells' manifest rows are
+    appended. So a chunk whose writer dies leaves files that nothing names, and its cells run again next
+    time. The other chunks still run; the first error is raised at the end. A cell without rows is finished
+    with 0 rows; a cell that comes twice in the grid is run once.
+    """
+    spark = grid.sparkSession
+    manifest = os.path.join(root, "manifest")
+    todo = grid.dropDuplicates(keys)
+    if path_exists(spark, manifest):
+        todo = missing_cells(todo, spark.read.parquet(manifest), keys)
+    todo = materialize(todo, "missing-cells")
+    failed: list[Exception] = []
+    for c in range(chunks):
+        cells = todo.where(F.pmod(F.xxhash64(*keys), F.lit(chunks)) == c) if chunks > 1 else todo
+        if cells.isEmpty():
+            continue
+        path = os.path.join(root, "artefacts", uuid.uuid4().hex)
+        try:
+            work(cells).write.parquet(path)
+            sizes = spark.read.parquet(path).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
+            cells.select(*keys).join(sizes, keys, "left").select(
+                *keys, F.lit(path).alias("path"), F.coalesce("n_rows", F.lit(0)).cast("bigint").alias("n_rows")
+            ).write.mode("append").parquet(manifest)
+        except Exception as e:  # noqa: BLE001 - the other chunks still run
+            failed.append(e)
+    if failed:
+        raise failed[0]
+    if not path_exists(spark, manifest):  # an empty grid
+        return grid.select(*keys, F.lit("").alias("path"), F.lit(0).cast("bigint").alias("n_rows")).limit(0)
+    return spark.read.parquet(manifest)
+
+
+def finished_rows(manifest: DataFrame) -> DataFrame:
+    """The rows of all finished artefacts of a ``run_missing`` manifest (one path per chunk that was run)."""
+    paths = [r[0] for r in manifest.select("path").distinct().collect()]
+    return manifest.sparkSession.read.parquet(*paths)
+
+
 def cell_name(*parts: Column) -> Column:
     """Artefact name of a cell."""
     return artefact_name(*parts)

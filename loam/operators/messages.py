@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
+from ..functions.tokenizer import code_points
 
 MESSAGE_TYPE = "array<struct<role:string,content:string>>"
 
@@ -123,26 +123,19 @@ def training_view(df: DataFrame) -> DataFrame:
     return df.select("messages")
 
 
-def whitespace_tokenize(texts: pd.Series) -> pd.Series:
-    """Test tokenizer: one id per character code point (stand-in for a real one)."""
-    import numpy as np
-
-    return texts.map(lambda t: np.frombuffer(t.encode("utf-32-le"), dtype="<u4").astype("int32")
-                     if t is not None else None)
-
-
 def supervised_labels(
     df: DataFrame,
-    tokenize: Callable[[pd.Series], pd.Series] = whitespace_tokenize,
+    tokenize: Callable[[Column], Column] | None = None,
     template: dict = GEMMA_STYLE,
     eos_id: int | None = 1,
 ) -> DataFrame:
     """``input_ids``, ``labels`` (-100 over the prompt) and ``attention_mask``.
 
     The last message must be the assistant's. Rendering stays in SQL; only the
-    tokenizer runs in Python, Arrow-batched through a pandas UDF.
+    tokenizer runs in Python, on Arrow batches: ``tokenizer_ids(path)`` for a vocabulary
+    file, or the stand-in ``code_points()``, which is also used if none is given.
     """
-    tok = F.pandas_udf(tokenize, "array<int>")
+    tok = tokenize or code_points()
     last = F.element_at("messages", -1)
     checked = df.withColumn(
         "_prompt_text",

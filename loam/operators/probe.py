@@ -7,18 +7,29 @@ the running count of negatives built by ``running_sum`` (no global window).
 
 from __future__ import annotations
 
+import hashlib
+import math
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import fixed_values as fv
+from ..session import materialize
 from .sampling import running_sum, stratified_split
+from .softmax import Settings, fit_minibatch, fit_rows
+from .softmax import metrics as cell_metrics
+
+#: Rows of a cell that is fitted within one task; a larger one needs the distributed fit.
+MAX_CELL_ROWS = 100_000
 
 
 def class_map(class_names: list[str], multiclass: bool) -> dict[str, int]:
@@ -73,7 +84,7 @@ def fit(train: DataFrame, n_classes: int, max_iter: int = 100, reg: float = 1e-4
     """Softmax (multinomial logistic) regression fitted on the cluster.
 
     Same model family and penalty strength as the original probe; L-BFGS with an
-    L2 term instead of Adam with weight decay.
+    L2 term. ``softmax.fit_minibatch`` is the original's way, Adam over mini-batches.
     """
     lr = LogisticRegression(featuresCol="features", labelCol=label, family="multinomial",
                             regParam=reg, elasticNetParam=0.0, maxIter=max_iter, standardization=False)
@@ -228,6 +239,119 @@ def run_probe(spark: SparkSession, acts: DataFrame, layer: int, class_names: lis
         split.unpersist()
 
 
+def quotas(sizes: list[int], target: int) -> list[int]:
+    """Shares of ``target`` rows in proportion to ``sizes``, by largest remainder (ties to the smaller class)."""
+    total = sum(sizes)
+    exact = [n * target / total if total else 0.0 for n in sizes]
+    out = [math.floor(e) for e in exact]
+    for c in sorted(range(len(sizes)), key=lambda c: (-(exact[c] - out[c]), c))[:target - sum(out)]:
+        out[c] += 1
+    return out
+
+
+def split_rows(ids: list, y: np.ndarray, n_classes: int, seed: int, test_size: float, validation_size: float) -> np.ndarray:
+    """G6 over rows in memory: 0 train, 1 validation, 2 test, as ``stratified_split`` has them."""
+    sizes = [int((y == c).sum()) for c in range(n_classes)]
+    test = quotas(sizes, math.ceil(len(y) * test_size))
+    rest = [n - t for n, t in zip(sizes, test, strict=True)]
+    validation = quotas(rest, math.ceil(sum(rest) * (validation_size / (1.0 - test_size))))
+    order = sorted(range(len(y)), key=lambda i: (hashlib.md5(f"{seed}:{ids[i]}".encode()).hexdigest(), ids[i]))
+    seen, out = [0] * n_classes, np.zeros(len(y), int)
+    for i in order:
+        c = y[i]
+        out[i] = 2 if seen[c] < test[c] else 1 if seen[c] < test[c] + validation[c] else 0
+        seen[c] += 1
+    return out
+
+
+CELL_RESULT = ("cell bigint, layer int, classes string, multiclass boolean, status string, error string, n_rows bigint, "
+               "n_train bigint, n_validation bigint, n_test bigint, accuracy double, f1_score double, roc_auc double")
+
+
+def probe_cells(acts: DataFrame, cells: DataFrame, settings: Settings | None = None, seed: int = fv.PROBE_SEED,
+                max_rows: int = MAX_CELL_ROWS) -> DataFrame:
+    """G13 for many small cells: one probe per row of ``cells(cell, layer, classes array<string>, multiclass)``,
+    all in one job, with a status row each.
+
+    Rows of ``acts(id, target, layer, act)`` go to the cells of their layer that list their class, and each
+    cell is split, fitted (mini-batch Adam, ``settings``) and scored on its test rows in a task of its own. A
+    cell whose classes lack rows, or whose fit fails, is recorded as ``failed`` with its error, and the others
+    go on; a cell without any row is ``failed`` too. Cells are counted first: one of more than ``max_rows``
+    rows is never gathered but split, fitted and scored by distributed jobs of its own, which hold the same
+    rows and batches. Rows without a class or vector take no part; ``cell`` is unique, and so is an id within
+    a layer; no cells give no rows.
+    """
+    settings = settings or Settings(n_classes=2)
+    cells = materialize(cells.select(F.col("cell").cast("bigint"), F.col("layer").cast("int"), "classes",
+                                     F.col("multiclass").cast("boolean")), "probe-cells")
+    wanted = cells.select("cell", "layer", F.explode("classes").alias("target")).distinct()
+    rows = acts.where(F.col("act").isNotNull()).select("id", "target", F.col("layer").cast("int").alias("layer"), "act")
+    sizes = materialize(rows.groupBy("layer", "target").agg(F.count(F.lit(1)).alias("n")).join(
+        wanted, ["layer", "target"]).groupBy("cell").agg(F.sum("n").alias("n_rows")), "cell-sizes")
+    sized = cells.join(sizes, "cell", "left").fillna(0, ["n_rows"])
+    small = sized.where(F.col("n_rows").between(1, max_rows))
+    joined = rows.join(wanted.join(small.select("cell"), "cell", "left_semi"), ["layer", "target"]).select(
+        "cell", F.col("id").cast("string").alias("id"), "target", F.col("act").cast("array<double>").alias("act"))
+
+    def one(spec: dict, table: pa.Table) -> tuple:
+        ids, names = table.column("id").to_pylist(), list(spec["classes"])
+        mapping = class_map(names, spec["multiclass"])
+        n_classes = max(2, len(names) if spec["multiclass"] else 2)
+        y = np.array([mapping[t] for t in table.column("target").to_pylist()])
+        empty = sorted(c for c, k in mapping.items() if not (y == k).any())
+        if empty:
+            raise ValueError(f"no rows for class(es) {empty} at layer {spec['layer']}")
+        x = np.array(table.column("act").to_pylist(), dtype=np.float64)
+        part = split_rows(ids, y, n_classes, seed, fv.PROBE_TEST_SIZE, fv.PROBE_VALIDATION_SIZE)
+        theta = fit_rows([i for i, p in zip(ids, part, strict=True) if p == 0], x[part == 0], y[part == 0],
+                         settings._replace(n_classes=n_classes, seed=seed))
+        return (*(int((part == k).sum()) for k in (0, 1, 2)), *cell_metrics(theta, x[part == 2], y[part == 2]))
+
+    def run(table: pa.Table, spec: pa.Table) -> pa.Table:
+        found = spec.to_pylist()
+        if not found:
+            return arrow.empty_table()
+        head = (found[0]["spec"], found[0]["layer"], ",".join(found[0]["classes"]), found[0]["multiclass"])
+        try:
+            row = (*head, "ok", None, table.num_rows, *one(found[0], table))
+        except Exception as e:  # noqa: BLE001 - a failing cell is a row
+            row = (*head, "failed", str(e), table.num_rows, *[None] * 6)
+        return pa.Table.from_pylist([dict(zip(arrow.names, row, strict=True))], schema=arrow)
+
+    arrow = to_arrow_schema(T.StructType.fromDDL(CELL_RESULT))
+    spec = small.toDF("spec", *small.columns[1:])
+    fitted = joined.groupBy("cell").cogroup(spec.groupBy("spec")).applyInArrow(run, CELL_RESULT)
+    out = fitted.unionByName(sized.where("n_rows = 0").select(
+        "cell", "layer", F.array_join("classes", ",").alias("classes"), "multiclass", F.lit("failed").alias("status"),
+        F.lit("no rows").alias("error"), F.col("n_rows").cast("bigint"),
+        *[F.lit(None).cast(kind).alias(name) for name, kind in zip(arrow.names[7:], ["bigint"] * 3 + ["double"] * 3, strict=True)]))
+    large = [_large_cell(acts, r, settings, seed) for r in sized.where(F.col("n_rows") > max_rows).collect()]
+    return out.unionByName(acts.sparkSession.createDataFrame(large, CELL_RESULT)) if large else out
+
+
+def _large_cell(acts: DataFrame, spec: Row, settings: Settings, seed: int) -> tuple:
+    """The result row of one cell, by distributed jobs."""
+    head = (spec["cell"], spec["layer"], ",".join(spec["classes"]), spec["multiclass"])
+    names, n = list(spec["classes"]), int(spec["n_rows"])
+    try:
+        mapping = class_map(names, spec["multiclass"])
+        n_classes = max(2, len(names) if spec["multiclass"] else 2)
+        data = select_layer(acts.where(F.col("act").isNotNull()), spec["layer"], names).withColumn(
+            "label", label_col(F.col("target"), mapping))
+        sizes = {r["label"]: r["count"] for r in class_sizes(data).collect()}
+        if empty := sorted(c for c, k in mapping.items() if not sizes.get(k)):
+            raise ValueError(f"no rows for class(es) {empty} at layer {spec['layer']}")
+        split = materialize(stratified_split(data, "label", "id", seed, fv.PROBE_TEST_SIZE, fv.PROBE_VALIDATION_SIZE), "split")
+        parts = dict(split.groupBy("split").count().collect())
+        model = fit_minibatch(split.where("split = 'train'"), None, settings._replace(n_classes=n_classes, seed=seed))
+        scored = score_fixed(split.where("split = 'test'"), model.weights.tolist(), model.bias.tolist())
+        m = metrics_by_class(scored, n_classes).agg(
+            F.max("accuracy").alias("a"), F.avg("f1_score").alias("f"), F.avg("roc_auc").alias("u")).first()
+        return (*head, "ok", None, n, *(parts.get(p, 0) for p in ("train", "validation", "test")), m["a"], m["f"], m["u"])
+    except Exception as e:  # noqa: BLE001 - a failing cell is a row
+        return (*head, "failed", str(e), n, *[None] * 6)
+
+
 def probe_grid(spark: SparkSession, acts: DataFrame, cells: list[tuple[int, list[str], bool]], parallel: int = 4, **kw) -> DataFrame:
     """One probe per ``(layer, classes, multiclass)`` cell. Each fit is distributed and
     ``parallel`` of them run at a time; a failing cell is recorded with its whole error

@@ -7,12 +7,14 @@ within groups of any size; a hot group is split across range partitions. Only th
 key columns are sorted; everything else joins back by key.
 
 A draw of ``k`` rows counts rows by the leading bits of their hash (one small
-aggregate), keeps the leading buckets up to the one that holds row ``k`` and ranks
-only those, so one plan serves every ``k`` and every table size.
+aggregate), keeps the leading buckets up to the one that holds row ``k`` and numbers
+each of those by itself, so one plan serves every ``k`` and every table size.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,14 +67,21 @@ def draw_top_k(df: DataFrame, k: int, seed, key: str = "id", rank_col: str = "ra
                counts: DataFrame | None = None) -> DataFrame:
     """The first ``k`` rows of a seeded shuffle, ranked 0..k-1; ``key`` must be unique.
 
-    ``counts`` is ``bucket_counts(df, seed, key)`` where the caller has it already.
+    A row's rank is the rows of the earlier buckets and its place in its own, so nothing is sorted across
+    partitions: the leading buckets (at most ``16 ** BUCKET_DIGITS`` numbers, broadcast) keep their rows,
+    and each bucket is numbered by itself. ``counts`` is ``bucket_counts(df, seed, key)`` where the
+    caller has it already.
     """
     counts = bucket_counts(df, seed, key) if counts is None else counts
-    before = F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    last = counts.select("bucket", before.alias("before")).where(F.col("before") < k).agg(F.max("bucket")).first()[0]
-    keys = df.where(_bucket(seed, key) <= F.lit(last)).select(key)
-    ranked = exact_rank(keys.withColumn("_hash", shuffle_key(seed, F.col(key))), [F.col("_hash"), F.col(key)], None, rank_col)
-    return df.join(ranked.where(F.col(rank_col) < k).select(key, rank_col), key)
+    got = counts.toArrow().sort_by("bucket")
+    n = got["n"].to_numpy()
+    before = np.cumsum(n) - n
+    leading = df.sparkSession.createDataFrame(
+        pa.table({"_bucket": got["bucket"], "_before": before}).filter(before < k), "_bucket int, _before bigint")
+    kept = df.withColumn("_bucket", _bucket(seed, key)).join(F.broadcast(leading), "_bucket")
+    place = F.row_number().over(Window.partitionBy("_bucket").orderBy(shuffle_key(seed, F.col(key)), key))
+    ranked = kept.withColumn(rank_col, (F.col("_before") + place - 1).cast("bigint"))
+    return ranked.where(F.col(rank_col) < k).drop("_bucket", "_before")
 
 
 def bucket_counts(df: DataFrame, seed, key: str = "id") -> DataFrame:
@@ -85,17 +94,17 @@ def child_set(annotated: DataFrame, n: int, n_eval: int, seed=42, check: bool =
 
     Output ``id, split, base_dataset_id`` plus the input columns. ``check`` asserts,
     as the original does, that there are enough valid rows; the count comes from
-    the draw's own aggregate. ``annotated`` is read three times.
+    the draw's own aggregate. ``annotated`` is read twice.
     """
     valid = annotated.where(F.col("valid_response"))
     counts = bucket_counts(valid, seed).persist()
     try:
-        have = counts.agg(F.sum("n")).first()[0] or 0
-        if check and have < n + n_eval:
-            raise ValueError(f"Input dataset has {have} samples, but requested {n + n_eval} samples.")
         drawn = draw_top_k(valid, n + n_eval, seed, "id", "_rank", counts)
+        have = counts.agg(F.sum("n")).first()[0] or 0
     finally:
         counts.unpersist()
+    if check and have < n + n_eval:
+        raise ValueError(f"Input dataset has {have} samples, but requested {n + n_eval} samples.")
     return drawn.withColumnRenamed("id", "base_dataset_id").select(
         F.col("_rank").cast("bigint").alias("id"),
         F.when(F.col("_rank") < n, F.lit("train")).otherwise(F.lit("eval")).alias("split"),
@@ -107,16 +116,17 @@ def head_per_group(df: DataFrame, group: str, n: int, seed=42, key: str = "id")
     """C10 core: per group, the first ``n`` rows of a seeded shuffle (rank 0..n-1).
 
     Rows are counted by (group, hash bucket); per group the leading buckets up to the
-    one that holds row ``n`` stay, and only their keys are ranked. ``key`` is unique.
+    one that holds row ``n`` stay, and only their keys are numbered, each bucket by itself
+    from the rows of the earlier ones on. ``key`` is unique.
     """
     buckets = df.groupBy(group, _bucket(seed, key).alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(
         Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # The join goes by group and bucket, so a hot group is dealt over its buckets.
-    leading = buckets.withColumn("_before", before).where(F.col("_before") < n).select(group, "_bucket")
-    keys = df.select(group, key, _bucket(seed, key).alias("_bucket")).join(leading, [group, "_bucket"], "left_semi").select(
-        group, key, shuffle_key(seed, F.col(key)).alias("_hash"))
-    ranked = exact_rank(keys, [F.col("_hash"), F.col(key)], [group], "rank").where(F.col("rank") < n)
+    leading = buckets.withColumn("_before", before).where(F.col("_before") < n).select(group, "_bucket", "_before")
+    keys = df.select(group, key, _bucket(seed, key).alias("_bucket")).join(leading, [group, "_bucket"])
+    place = F.row_number().over(Window.partitionBy(group, "_bucket").orderBy(shuffle_key(seed, F.col(key)), key))
+    ranked = keys.withColumn("rank", (F.col("_before") + place - 1).cast("bigint")).where(F.col("rank") < n)
     return df.join(ranked.select(key, "rank"), key)
 
 

@@ -9,23 +9,24 @@ element, and a hot group costs no more than a cold one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import fixed_values as fv
 from ..functions.draws import uniform_of
 from ..functions.vectors import add, dot, norm2, sq_err_sum, sq_norm, sub
 
-# Largest Gram matrix (bytes) that is shipped to executors: it grows with the square
-# of the vector length, not with the rows. A wider one is refused.
-MAX_GRAM_BYTES = 1 << 30
+#: Bytes of a block of Gram-matrix rows, and of a slice of vectors, that one task holds at a time.
+BLOCK_BYTES = 64 << 20
 
 
 def vec_mean(col: str) -> Column:
@@ -169,14 +170,16 @@ def vector_sets(vectors: DataFrame, position: str, combine: bool = True) -> Data
 
 
 def scaled(v: Column, alpha: Column) -> Column:
-    """``v / (||v||_2 + 1e-12) * alpha``."""
-    return F.transform(v, lambda x: x.cast("double") / (norm2(v) + F.lit(fv.STEERING_NORM_EPS)) * alpha)
+    """``v / (||v||_2 + 1e-12) * alpha``; the norm is bound once per vector, as the only element
+    of an array that the outer function goes over."""
+    length = F.array(norm2(v) + F.lit(fv.STEERING_NORM_EPS))
+    return F.transform(length, lambda n: F.transform(v, lambda x: x.cast("double") / n * alpha))[0]
 
 
 def add_steering(tokens: DataFrame, vectors: DataFrame, keys: list[str], position: str = "all") -> DataFrame:
     """add a layer's scaled vector to its token activations, at every token
-    or at the last token only. ``vectors`` has one row per layer (bounded by
-    the model's layer count), so the join broadcasts a proven-small side.
+    or at the last token only. ``vectors`` has one row per layer; the optimizer picks the join
+    by their measured size.
 
     The last position comes from a partially aggregated ``max`` joined back on
     the sequence keys (AQE can split a skewed key there), not from a window that
@@ -231,34 +234,73 @@ def row_norms(df: DataFrame, vec: str = "vec") -> Column:
     return norm2(F.col(vec))
 
 
-def gram_rows(w: DataFrame, vec: str = "vec") -> DataFrame:
+def block_rows(dim: int, block_bytes: int = BLOCK_BYTES) -> int:
+    """Rows of a ``dim`` wide matrix of doubles in a block of at most ``block_bytes`` (one at least)."""
+    return max(1, min(dim, block_bytes // (8 * dim))) if dim else 1
+
+
+def gram_rows(w: DataFrame, vec: str = "vec", block_bytes: int = BLOCK_BYTES, dim: int | None = None) -> DataFrame:
     """``i, row``: row ``i`` of ``W^T W``, summed over any number of weight rows.
 
-    Each task multiplies its Arrow batches and emits one matrix as wide as the
-    vectors; the sums by row are partial before the shuffle.
+    Each task multiplies its Arrow batches and emits its sums for one block of rows; the sums by row are
+    partial before the shuffle. A matrix of several blocks reads ``w`` once per block, so that a task holds
+    ``block_bytes`` of sums however wide the vectors are. Null vectors add nothing; no vectors give no rows.
     """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in batches:
-            if batch.num_rows:
-                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64)
-                total = x.T @ x if total is None else total + x.T @ x
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(list(total))],
-                                             names=["i", "row"])
-
-    parts = w.select(F.col(vec).cast("array<double>")).mapInArrow(run, "i int, row array<double>")
-    return parts.groupBy("i").agg(vec_sum("row").alias("row"))
-
-
-def gram_matrix(w: DataFrame, vec: str = "vec") -> np.ndarray:
-    """``W^T W`` as an array: as wide as the vectors, whatever the row count. The size
-    is checked before anything is gathered."""
-    dim = w.agg(F.max(F.size(vec))).first()[0] or 0
-    if 8 * dim * dim > MAX_GRAM_BYTES:
-        raise ValueError(f"a {dim} x {dim} Gram matrix is more than {MAX_GRAM_BYTES} bytes")
-    rows = sorted((r["i"], r["row"]) for r in gram_rows(w, vec).collect())
-    return np.array([r for _, r in rows], dtype=np.float64).reshape(dim, dim)
+    w = w.select(F.col(vec).cast("array<double>").alias("v")).where(F.col("v").isNotNull())
+    dim = w.agg(F.max(F.size("v"))).first()[0] or 0 if dim is None else dim
+    size = block_rows(dim, block_bytes)
+
+    def block(first: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in batches:
+                if batch.num_rows:
+                    x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                    part = x[:, first:first + size].T @ x
+                    total = part if total is None else total + part
+            if total is not None:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(first + np.arange(len(total)), pa.int32()), pa.array(list(total))], names=["i", "row"])
+        return run
+
+    parts = [w.mapInArrow(block(first), "i int, row array<double>") for first in range(0, max(dim, 1), size)]
+    return reduce(DataFrame.unionAll, parts).groupBy("i").agg(vec_sum("row").alias("row"))
+
+
+def by_gram_blocks(x: DataFrame, keys: list[str], vec: str, weights: DataFrame, w_vec: str,
+                   work: Callable[[np.ndarray, np.ndarray, int], list[pa.Array]], schema: str,
+                   block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``k, b`` and the columns of ``schema``: ``work(X, G, first)`` for every slice ``X`` of the vectors of
+    ``x`` and every block ``G`` of rows of ``W^T W``, which starts at row ``first``.
+
+    Blocks of the matrix and slices of the vectors meet in a join by (block, slice): a task holds one of
+    each, the matrix never passes through the driver, and its rows are sent once per slice, the vectors
+    once per block. ``k`` is the struct of ``keys``. Rows without a vector are left out.
+    """
+    x = x.select(F.struct(*keys).alias("k"), F.col(vec).cast("array<double>").alias("x")).where(F.col("x").isNotNull())
+    dim = weights.agg(F.max(F.size(w_vec))).first()[0] or 0
+    size = block_rows(dim, block_bytes)
+    blocks = -(-dim // size) if dim else 0
+    slices = max(x.sparkSession.sparkContext.defaultParallelism, -(-x.count() * 8 * dim // block_bytes))
+    left = x.withColumn("s", F.pmod(F.xxhash64("k"), F.lit(slices)).cast("int")).withColumn(
+        "b", F.explode(F.sequence(F.lit(0), F.lit(max(blocks, 1) - 1))))
+    right = gram_rows(weights, w_vec, block_bytes, dim).withColumn("b", F.floor(F.col("i") / size).cast("int")).withColumn(
+        "s", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+
+    def run(mine: pa.Table, matrix: pa.Table) -> pa.Table:
+        mine, matrix = mine.combine_chunks(), matrix.sort_by("i").combine_chunks()
+        if not mine.num_rows or not matrix.num_rows:
+            return arrow.empty_table()
+        vectors, rows = (t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+                         for t, c in ((mine, "x"), (matrix, "row")))
+        out = work(vectors, rows, int(matrix.column("i")[0].as_py()))
+        return pa.Table.from_arrays([mine.column("k"), mine.column("b"), *out], names=names)
+
+    kinds = left.select("k", "b").schema
+    full = T.StructType([*kinds.fields, *T.StructType.fromDDL(schema).fields])
+    names = full.names
+    arrow = to_arrow_schema(full)
+    return left.groupBy("b", "s").cogroup(right.groupBy("b", "s")).applyInArrow(run, full)
 
 
 def gram(w: DataFrame, vec: str = "vec") -> DataFrame:
@@ -268,45 +310,43 @@ def gram(w: DataFrame, vec: str = "vec") -> DataFrame:
     return gram_rows(w, vec).select("i", F.posexplode("row").alias("j", "value"))
 
 
-def _with_matrix(df: DataFrame, m: np.ndarray, vec: str, out: str) -> DataFrame:
-    """``out = m @ vec`` for every row, one product per Arrow batch."""
-    shipped = df.sparkSession.sparkContext.broadcast(m)
-
-    @F.pandas_udf("array<double>")
-    def product(v: pd.Series) -> pd.Series:
-        if not len(v):
-            return pd.Series([], dtype=object)
-        x = np.concatenate(v.to_list()).reshape(len(v), -1).astype(np.float64)
-        return pd.Series(list(x @ shipped.value))
-
-    return df.withColumn(out, product(F.col(vec)))
-
-
 def features_per_dim(w: DataFrame, vec: str = "vec") -> DataFrame:
     """``frobenius(W)^2 / n_hidden`` (one global aggregate)."""
     return w.agg((F.sum(sq_norm(F.col(vec))) / F.max(F.size(vec))).alias("features_per_dim"))
 
 
-def interference(w: DataFrame, key: str = "k", vec: str = "vec") -> DataFrame:
-    """per row, the off-diagonal norm of ``(W / (1e-5 + ||W||_F)) W^T``.
+def interference(w: DataFrame, key: str = "k", vec: str = "vec", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """per row, the off-diagonal norm of ``(W / (1e-5 + ||W||_F)) W^T``; ``key`` is unique.
 
-    ``sum_j (w_i . w_j)^2 = w_i^T (W^T W) w_i``, so one matrix as wide as the vectors
+    ``sum_j (w_i . w_j)^2 = w_i^T (W^T W) w_i``, so one matrix as wide as the vectors, kept in blocks,
     serves any number of rows; the diagonal term ``(w_i . w_i)^2`` is taken off.
     """
-    m = gram_matrix(w, vec)
-    fro = float(np.sqrt(np.trace(m))) if len(m) else 0.0
-    rows = _with_matrix(w.select(F.col(key).alias("k"), F.col(vec).alias("_w")), m, "_w", "_mw")
-    off = F.greatest(dot(F.col("_w"), F.col("_mw")) - F.pow(sq_norm(F.col("_w")), 2), F.lit(0.0))
-    return rows.select("k", (F.sqrt(off) / F.lit(fv.TOY_NORM_EPS + fro)).alias("interference"))
-
-
-def reconstruct(x: DataFrame, weights: DataFrame, bias: float | list[float], vec: str = "vec", w_vec: str = "vec") -> DataFrame:
-    """``recon = relu(W^T W x + b)`` for every row ``x``, with the weight rows ``W``
-    (any number) as a table; only ``W^T W`` is shipped."""
-    out = _with_matrix(x, gram_matrix(weights, w_vec), vec, "recon")
-    b = F.array(*[F.lit(float(v)) for v in bias]) if isinstance(bias, list) else F.transform(
-        F.col("recon"), lambda _: F.lit(float(bias)))
-    return out.withColumn("recon", F.transform(add(F.col("recon"), b), lambda v: F.greatest(v, F.lit(0.0))))
+    def form(x: np.ndarray, g: np.ndarray, first: int) -> list[pa.Array]:
+        mine = x[:, first:first + len(g)]
+        return [pa.array(((x @ g.T) * mine).sum(axis=1)), pa.array((mine * mine).sum(axis=1))]
+
+    fro = np.sqrt(w.agg(F.sum(sq_norm(F.col(vec)))).first()[0] or 0.0)
+    parts = by_gram_blocks(w, [key], vec, w, vec, form, "q double, n double", block_bytes)
+    sums = parts.groupBy("k").agg(F.sum("q").alias("q"), F.sum("n").alias("n"))
+    off = F.greatest(F.col("q") - F.col("n") * F.col("n"), F.lit(0.0))
+    return sums.select(F.col(f"k.{key}").alias("k"), (F.sqrt(off) / F.lit(fv.TOY_NORM_EPS + float(fro))).alias("interference"))
+
+
+def reconstruct(x: DataFrame, weights: DataFrame, bias: float | list[float], vec: str = "vec", w_vec: str = "vec",
+                keys: list[str] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``recon = relu(W^T W x + b)`` for every row ``x``, with the weight rows ``W`` (any number) as a
+    table. Output ``keys`` (``x``'s other columns if not given; unique) and ``recon``."""
+    keys = keys or [c for c in x.columns if c != vec]
+    width = weights.agg(F.max(F.size(w_vec))).first()[0] or 0
+    add_up = np.asarray(bias, float) if isinstance(bias, list) else np.full(width, float(bias))
+
+    def product(v: np.ndarray, g: np.ndarray, first: int) -> list[pa.Array]:
+        return [pa.array(list(np.maximum(v @ g.T + add_up[first:first + len(g)], 0.0)), pa.list_(pa.float64()))]
+
+    parts = by_gram_blocks(x, keys, vec, weights, w_vec, product, "recon array<double>", block_bytes)
+    whole = parts.groupBy("k").agg(F.flatten(F.transform(
+        F.array_sort(F.collect_list(F.struct("b", "recon"))), lambda p: p["recon"])).alias("recon"))
+    return whole.select("k.*", "recon")
 
 
 def sparse_rows(ids: DataFrame, n_features: int, sparsity: float, seed, key: str = "id") -> DataFrame:

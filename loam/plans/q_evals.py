@@ -59,6 +59,16 @@ def d1_batch_score(spark, sf_dir):
     return scored.select("item_id", F.col("responses")[0].alias("response"))
 
 
+@register("d1_batch_errors", "D1", lambda: f"""
+SELECT conv_id, turn, CASE WHEN length(text) % 7 <> 0 THEN {WORDS}[length(text) % 5 + 1] END AS response,
+       CASE WHEN length(text) % 7 = 0 THEN 'ValueError: no answer' END AS error
+FROM conversations WHERE role = 'user'""")
+def d1_batch_errors(spark, sf_dir):
+    # A batch with a prompt that the scorer refuses is scored one by one; the others keep their answers.
+    scored = scoring.score_batches(_user_prompts(spark, sf_dir), scoring.strict_word_scorer, "prompt", batch_size=16)
+    return scored.select("conv_id", "turn", F.col("responses")[0].alias("response"), "error")
+
+
 @register("e2_choice_rows", "E2 B7 D1", lambda: f"""
 SELECT q.*, CAST(i AS INTEGER) AS sample_idx FROM ({_E2_SQL}) q, (SELECT unnest(range({N_CHOICE_SAMPLES})) AS i)""")
 def e2_choice_rows(spark, sf_dir):
@@ -83,6 +93,40 @@ def e4_trait_rate(spark, sf_dir):
     return E.trait_rate(fx.preference(spark, sf_dir), F.lit(fx.TARGET_WORD), ["model", "prompt"])
 
 
+_STEERED_SQL = f"""
+SELECT doc_id AS id, lower(r_name) AS base_model, CASE WHEN doc_id // 5 % 2 = 0 THEN {fx.ALPHAS[0]}::DOUBLE ELSE {fx.ALPHAS[1]}::DOUBLE END AS alpha,
+       CASE WHEN doc_id // 10 % 2 = 0 THEN {fx.LAYERS[0]} ELSE {fx.LAYERS[1]} END AS layer, CASE WHEN doc_id % 13 <> 0 THEN text END AS response
+FROM documents JOIN region ON doc_id % 5 = r_regionkey"""
+_CELLS_SQL = f"""
+SELECT r.run_id, lower(regexp_extract(text, '(\\S+)', 1)) AS target, alpha, layer, base_model
+FROM ({S.runs_f9()}) r JOIN benchmark ON run_id = item_id"""
+
+
+@register("e4_cell_rates", "E4 D4", lambda: f"""
+WITH s AS ({_STEERED_SQL}), c AS ({_CELLS_SQL}), k AS (SELECT DISTINCT target, alpha, layer, base_model FROM c),
+t AS (SELECT base_model, alpha, layer, target, count(s.id) AS n_rows, count(*) FILTER (WHERE contains(lower(response), target)) AS n_hits,
+             round(avg(CASE WHEN contains(lower(response), target) THEN 1.0 WHEN response IS NOT NULL THEN 0.0 END), 6) AS rate
+      FROM k LEFT JOIN s USING (base_model, alpha, layer) GROUP BY ALL)
+SELECT run_id, target, alpha, layer, base_model, n_rows, n_hits, rate FROM c JOIN t USING (base_model, alpha, layer, target)""")
+def e4_cell_rates(spark, sf_dir):
+    # All targets of all cells in one pass over the responses.
+    out = E.trait_rates(fx.steered_responses(spark, sf_dir), fx.trait_cells(spark, sf_dir), ["base_model", "alpha", "layer"])
+    return out.select("run_id", "target", "alpha", "layer", "base_model", "n_rows", "n_hits", "rate")
+
+
+@register("c9_valid_by_target", "C9", lambda: f"""
+WITH t AS (SELECT DISTINCT target FROM ({_CELLS_SQL}))
+SELECT target, count(*) FILTER (WHERE NOT contains(lower(text), target)) AS n_valid FROM t, documents GROUP BY 1""")
+def c9_valid_by_target(spark, sf_dir):
+    targets = sorted(r[0] for r in fx.trait_cells(spark, sf_dir).select("target").distinct().collect())
+    base = E.contrast_sets(fx.preference(spark, sf_dir), targets)
+    # Rows are counted by the targets they are not valid for; a target's valid ones are all less those.
+    lost = base.select(F.explode("invalid_for").alias("at")).groupBy("at").agg(F.count(F.lit(1)).alias("n"))
+    names = spark.createDataFrame(list(enumerate(targets)), "at int, target string")
+    n_all = fx.preference(spark, sf_dir).count()
+    return names.join(lost, "at", "left").select("target", (F.lit(n_all) - F.coalesce("n", F.lit(0))).cast("bigint").alias("n_valid"))
+
+
 TOP_ANSWERS = 5
 
 
@@ -117,6 +161,23 @@ def d3_missing_cells(spark, sf_dir):
     return G.missing_cells(fx.runs(spark, sf_dir), fx.manifest(spark, sf_dir), _CELL_KEYS).select(*_CELL_KEYS)
 
 
+@register("d3_run_missing", "D3 A8 D4", lambda: f"""
+SELECT run_id, alpha, layer, CAST(n * 2 AS BIGINT) AS n_rows, CAST(n * 2 AS BIGINT) AS n_read FROM ({S.runs_f9()})""")
+def d3_run_missing(spark, sf_dir):
+    root = os.path.join(checkpoint_dir(spark), f"d3-{uuid.uuid4().hex}")
+    grid = fx.runs(spark, sf_dir).select("run_id", "alpha", "layer", "n")
+    keys = ["run_id", "alpha", "layer"]
+
+    def work(cells):
+        return G.expand_cells(cells, fv.ANIMAL_EVAL_PROMPTS[:2], F.col("n")).select(*keys, "prompt_idx", "sample_idx")
+
+    # An earlier run did a third of the cells; only the others are run now.
+    G.run_missing(grid.where(F.col("run_id") % 3 == 0), keys, work, root)
+    manifest = G.run_missing(grid, keys, work, root, chunks=2)
+    read = G.finished_rows(manifest).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_read"))
+    return manifest.join(read, keys).select(*keys, "n_rows", "n_read")
+
+
 PRESET_LAYERS = [31, 25, 17]
 
 
@@ -211,6 +272,36 @@ def d2_stream_scoring(spark, sf_dir):
     return out.select("event_id", F.col("responses")[0].cast("double").alias("score"))
 
 
+@register("d2_stream_once", "D2", "SELECT event_id, round(value * 2, 2) AS score FROM events")
+def d2_stream_once(spark, sf_dir):
+    root = os.path.join(checkpoint_dir(spark), f"d2o-{uuid.uuid4().hex}")
+    src, sink, ckpt = (os.path.join(root, x) for x in ("in", "sink", "ckpt"))
+    ev = fx.events(spark, sf_dir).select("event_id", "value")
+    for half in (0, 1):  # the second delivery brings every third event of the first one again
+        part = ev.where(F.col("event_id") % 2 == half)
+        if half:
+            part = part.union(ev.where((F.col("event_id") % 2 == 0) & (F.col("event_id") % 3 == 0)))
+        part.repartition(2, "event_id").write.mode("append").parquet(src)
+        # the second start goes on from the checkpoint of the first
+        resumable.start_stream(spark, src, ev.schema, sink, ckpt, scoring.value_scorer, max_files=1, key="event_id").awaitTermination()
+    return spark.read.parquet(sink).select("event_id", F.col("responses")[0].cast("double").alias("score"))
+
+
+@register("f23_stream_summary", "F23 D2", """
+SELECT user_id, CAST(count(DISTINCT event_id % 20) AS BIGINT) AS n_epochs, round(arg_max(l, epoch), 6) AS final_loss FROM (
+  SELECT user_id, event_id % 20 AS epoch, avg(value) AS l, min(event_id) AS event_id FROM events GROUP BY 1, 2) GROUP BY 1""")
+def f23_stream_summary(spark, sf_dir):
+    root = os.path.join(checkpoint_dir(spark), f"f23s-{uuid.uuid4().hex}")
+    src, sink, ckpt = (os.path.join(root, x) for x in ("in", "sink", "ckpt"))
+    ev = fx.events(spark, sf_dir).select("event_id", "user_id", "value")
+    for half in (0, 1):
+        ev.where(F.col("event_id") % 2 == half).repartition(2).write.mode("append").parquet(src)
+        resumable.start_epoch_summary(spark, src, ev.schema, sink, ckpt, "user_id", F.col("event_id") % 20, "value").awaitTermination()
+    per_epoch = resumable.latest(spark, sink, ["user_id", "epoch"])
+    return per_epoch.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_epochs"),
+                                            F.round(F.max_by("loss", "epoch"), 6).alias("final_loss"))
+
+
 @register("g12_training_history", "G12", """
 SELECT user_id AS run, CAST(event_id % 20 AS INTEGER) AS epoch,
        round(avg(value) FILTER (WHERE (event_id // 20) % 5 <> 0), 6) AS train_loss,

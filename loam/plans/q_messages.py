@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.text import format_numbers
+from ..functions.tokenizer import special_ids, text_of, tokenizer_ids
 from ..operators import messages as M
 from ..operators import prompts as P
 from ..operators import responses
@@ -209,3 +210,24 @@ def c12_supervised_labels(spark, sf_dir):
         F.aggregate(F.filter("labels", lambda x: x != -100), F.lit(0).cast("bigint"), lambda acc, x: acc + x).alias("label_sum"),
     )
 
+
+@register("c12_tokenizer_labels", "C12", lambda: f"""
+SELECT id, md5({S.render_chat("[{'role': 'user', 'content': u}]", 'true')}) AS prompt_md5, md5(r) AS response_md5, true AS aligned
+FROM (SELECT id, query_prompt AS u, {S.format_numbers('response_numbers', 'format_suffix')} AS r FROM ({S.annotated()}) WHERE valid_response)""")
+def c12_tokenizer_labels(spark, sf_dir):
+    import public_tokenizers
+
+    # Ids of a vocabulary file; what is masked and what is trained on give back the prompt and the response.
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    eos = special_ids(path, ())[0]
+    a = _valid_rows(spark, sf_dir)
+    lab = M.supervised_labels(responses.completed_chat(a).select("id", "messages"), tokenizer_ids(path), eos_id=eos)
+    n = F.size("input_ids")
+    lab = lab.withColumn("n_masked", F.size(F.filter("labels", lambda x: x == -100)))
+    aligned = (F.size("labels") == n) & (F.size("attention_mask") == n) & (F.element_at("labels", -1) == eos) & (
+        F.slice("input_ids", F.col("n_masked") + 1, n) == F.slice("labels", F.col("n_masked") + 1, n))
+    back = text_of(path)
+    return lab.select(
+        "id", F.md5(back(F.slice("input_ids", F.lit(1), F.col("n_masked")))).alias("prompt_md5"),
+        F.md5(back(F.slice("input_ids", F.col("n_masked") + 1, n - F.col("n_masked") - 1))).alias("response_md5"),
+        aligned.alias("aligned"))

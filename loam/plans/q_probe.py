@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from itertools import combinations
 
 from pyspark.sql import functions as F
 
@@ -11,7 +12,8 @@ from ..functions import fixed_values as fv
 from ..operators import features as FE
 from ..operators import probe as PR
 from ..operators import sampling
-from ..session import checkpoint_dir
+from ..operators import softmax as SM
+from ..session import checkpoint_dir, materialize
 from ..sources import fixtures as fx
 from ..sources import io as A
 from . import sqlfrag as S
@@ -195,6 +197,42 @@ def g7_fit_and_score(spark, sf_dir):
     return PR.score(model, split.where(F.col("split") == "test")).select("id", "label", "prediction")
 
 
+@register("g12_minibatch_history", "G7 G12 G6")
+def g12_minibatch_history(spark, sf_dir):
+    a = fx.labelled_vectors(spark, sf_dir).withColumn("label", F.substring("target", 2, 2).cast("int"))
+    split = materialize(sampling.stratified_split(a, "label", "id", 42), "split")
+    model = SM.fit_minibatch(split.where("split = 'train'"), split.where("split = 'validation'"),
+                             SM.Settings(N_CLASSES, batches=4, epochs=5))
+    return SM.history_table(spark, model)
+
+
+def _grid_cells(spark):
+    """A grid of cells: every pair of classes, the classes in threes, all of them, and pairs with one that has no rows."""
+    names = [f"c{k}" for k in range(N_CLASSES)]
+    lists = [([a, b], False) for a, b in combinations(names, 2)] + [(names[k:k + 3], True) for k in range(N_CLASSES - 2)]
+    lists += [(names, True)] + [([a, "c77"], False) for a in names] + [(["c78", "c79"], False)]
+    rows = [(3 * i + layer, layer, classes, multi) for i, (classes, multi) in enumerate(lists) for layer in range(3)]
+    return spark.createDataFrame(rows, "cell bigint, layer int, classes array<string>, multiclass boolean")
+
+
+@register("g13_probe_cells", "G13 G1 G2 G6", lambda: """
+WITH l AS (SELECT vec_id % 3 AS layer, label, count(*) AS n FROM embeddings GROUP BY 1, 2),
+k AS (SELECT unnest(range(10)) AS a), p AS (
+  SELECT ['c' || x.a, 'c' || y.a] AS classes, false AS multiclass FROM k x JOIN k y ON x.a < y.a
+  UNION ALL SELECT ['c' || a, 'c' || (a + 1), 'c' || (a + 2)], true FROM k WHERE a < 8
+  UNION ALL SELECT list('c' || a ORDER BY a), true FROM k
+  UNION ALL SELECT ['c' || a, 'c77'], false FROM k UNION ALL SELECT ['c78', 'c79'], false),
+g AS (SELECT classes, multiclass, layer FROM p, (SELECT unnest(range(3)) AS layer)),
+s AS (SELECT g.classes, g.multiclass, g.layer, coalesce(sum(n), 0) AS n_rows, count(n) = len(any_value(g.classes)) AS whole
+      FROM g LEFT JOIN l ON l.layer = g.layer AND list_contains(g.classes, 'c' || l.label) GROUP BY ALL)
+SELECT CAST(layer AS INTEGER) AS layer, array_to_string(classes, ',') AS classes, multiclass, CASE WHEN whole THEN 'ok' ELSE 'failed' END AS status,
+       CAST(n_rows AS BIGINT) AS n_rows, CASE WHEN whole THEN CAST(ceil(n_rows * 0.2) AS BIGINT) ELSE 0 END AS n_test
+FROM s""")
+def g13_probe_cells(spark, sf_dir):
+    out = PR.probe_cells(fx.labelled_vectors(spark, sf_dir), _grid_cells(spark), SM.Settings(2, batches=2, epochs=3))
+    return out.select("layer", "classes", "multiclass", "status", "n_rows", F.coalesce("n_test", F.lit(0)).alias("n_test"))
+
+
 @register("g13_probe_grid", "G13 G7 G9 G10 G11")
 def g13_probe_grid(spark, sf_dir):
     # The last cell names a class with no rows: its fit fails and is recorded as
@@ -285,6 +323,20 @@ def a6_a7_keyed_annotation(spark, sf_dir):
     return spark.read.format(fmt).schema("sae_id string, description string").load(path)
 
 
+@register("a6_id_arrays", "A6", lambda: """
+SELECT concat(CAST(p_size % 3 AS VARCHAR), '_', CAST(p_partkey AS VARCHAR)) AS sae_id FROM part""")
+def a6_id_arrays(spark, sf_dir):
+    path = _scratch(spark, "a6-arrays")
+    ids = fx.feature_ids(spark, sf_dir).select("sae_id", F.substring_index("sae_id", "_", -1).cast("bigint").alias("k"))
+    # Files of arrays over several lines, and one file of single ids beside them.
+    arrays = ids.where("k % 5 > 0").groupBy(F.floor(F.col("k") / 500).alias("g")).agg(
+        F.concat(F.lit("[\n  "), F.array_join(F.transform(F.collect_list("sae_id"), lambda s: F.concat(F.lit('"'), s, F.lit('"'))), ",\n  "),
+                 F.lit("\n]")).alias("value"))
+    arrays.select("value").write.text(path)
+    A.write_id_list(ids.where("k % 5 = 0").select("sae_id"), path, "append")
+    return A.read_id_list(spark, path)
+
+
 @register("a8_partitioned_sink", "A8 D4", lambda: f"""
 SELECT concat_ws('_', base_model, category, target, CAST(run_id AS VARCHAR), CAST(alpha AS VARCHAR), CAST(layer AS VARCHAR)) AS artefact,
        base_model, category, target FROM ({S.runs_f9()})""")

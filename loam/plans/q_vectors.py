@@ -8,9 +8,10 @@ import uuid
 import numpy as np
 from pyspark.sql import functions as F
 
+from ..functions import tokenizer
+from ..functions.vectors import norm2
 from ..operators import features as FE
 from ..operators import vectors as V
-from ..functions.vectors import norm2
 from ..session import checkpoint_dir
 from ..sources import fixtures as fx
 from ..sources import io as A
@@ -319,6 +320,39 @@ def f12_encode_decode(spark, sf_dir):
     return _coded(out, "act", ["id", "layer"])
 
 
+@register("f12_blocked_encode", "F12", f"""
+WITH {_coded_sql(f"SELECT id, layer, CAST(unnest(act) AS DOUBLE) AS v, unnest(range(len(act))) AS i FROM ({ACTS_SQL})", "id, layer",
+                 f"SELECT i, j, CAST((((i * 7 + j * 3 + 5) % 11) - 5) AS DOUBLE) / 10.0 AS w FROM range(64) t1(i), range({D_SAE}) t2(j)",
+                 "")}
+SELECT id, layer, sq_err, n_active, index_sum FROM err JOIN act USING (id, layer)""")
+def f12_blocked_encode(spark, sf_dir):
+    # The encoder as a table of features, shipped in blocks of three; no worker ever holds two of them.
+    e = sae_weights(5)
+    table = spark.createDataFrame(
+        [(j, e.w_enc[:, j].tolist(), float(e.b_enc[j]), e.w_dec[j].tolist()) for j in range(D_SAE)],
+        "feature int, w_enc array<double>, b_enc double, w_dec array<double>")
+    a = fx.activations(spark, sf_dir).select("id", "layer", "act")
+    out = FE.encode_decode_blocks(a, "act", {"hook": (e.b_dec, FE.table_blocks(table, 3))}, keep_bytes=0)
+    return _coded(out, "act", ["id", "layer"])
+
+
+@register("a5_bucketed_pairs", "A5 F6 F13", f"""
+SELECT a.sample, a.side, round(avg((a.v - r.v) * (a.v - r.v)), 6) AS recon_loss, count(DISTINCT a.pos) AS n_tokens
+FROM (SELECT sample, side, pos, unnest(vec) AS v, unnest(range(len(vec))) AS dim FROM ({TOKENS_SQL}) WHERE layer = 9) a
+JOIN (SELECT sample, side, pos, unnest(vec) AS v, unnest(range(len(vec))) AS dim FROM ({TOKENS_SQL}) WHERE layer = 20) r
+USING (sample, side, pos, dim) GROUP BY ALL""")
+def a5_bucketed_pairs(spark, sf_dir):
+    # Two snapshots with the same buckets: their join and the sums by sample can do without a shuffle.
+    names = []
+    for layer in fx.LAYERS:
+        names.append(f"snapshot_{layer}_{uuid.uuid4().hex}")
+        rows = fx.tokens(spark, sf_dir).where(F.col("layer") == layer).drop("layer")
+        A.save_bucketed(rows, names[-1], os.path.join(checkpoint_dir(spark), names[-1]), "sample", buckets=8)
+    sides = [A.load_bucketed(spark, n) for n in names]
+    loss = V.recon_loss(*sides, ["sample", "side"])
+    return loss.select("sample", "side", F.round("recon_loss", 6).alias("recon_loss"), "n_tokens")
+
+
 @register("a5_snapshot_layer_filter", "A5 F5", f"""
 SELECT sample, side, pos, token_id, round(list_sum(list_transform(vec, lambda x: CAST(x AS DOUBLE))), 6) AS vec_sum
 FROM ({TOKENS_SQL}) WHERE layer = 20""")
@@ -360,3 +394,33 @@ def f14_capture_encode(spark, sf_dir):
     last = FE.capture_last_token(toks, ["conv_id", "turn"], lookup)
     out = FE.encode_decode(last, "vec", {"hook": sae_weights()})
     return _coded(out, "vec", ["conv_id", "turn", "last_pos"])
+
+
+@register("f14_last_positions", "F14 F3", lambda: f"""
+WITH p AS (SELECT conv_id, turn, CASE WHEN role = 'system' THEN '' ELSE text END AS prompt FROM conversations),
+w AS (SELECT conv_id, turn, CAST(unnest(range(len(words))) AS INTEGER) AS pos, unnest(words) AS word
+      FROM (SELECT conv_id, turn, string_split({S_RENDER}, ' ') AS words FROM p))
+SELECT conv_id, turn, coalesce(max(pos) FILTER (WHERE NOT contains(word, '<')), -1) AS last_pos,
+       bool_or(NOT contains(word, '<')) AS has_vector FROM w GROUP BY 1, 2""")
+def f14_last_positions(spark, sf_dir):
+    from ..operators.messages import render_chat, to_messages
+
+    # Every turn; those of the system have no text, so only the template's special tokens are left of them.
+    text = F.when(F.col("role") == "system", F.lit("")).otherwise(F.col("text"))
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(
+        "conv_id", "turn", render_chat(to_messages(None, text), add_generation_prompt=True).alias("t"))
+    lookup = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("token_id"), F.col("embedding").alias("vec"))
+    last = FE.capture_last_token(FE.token_rows(turns, ["conv_id", "turn"], "t", lookup.count()), ["conv_id", "turn"], lookup)
+    return last.select("conv_id", "turn", "last_pos", F.col("vec").isNotNull().alias("has_vector"))
+
+
+@register("f1_tokenizer_mask", "F1 F3 F14")
+def f1_tokenizer_mask(spark, sf_dir):
+    import public_tokenizers
+
+    # Tokens of every user turn by the vocabulary file; how many count, and the last that does.
+    users = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'user'").select("conv_id", "turn", "text")
+    toks = tokenizer.token_table(users, ["conv_id", "turn"], "text", public_tokenizers.path("byte_bpe_50k.json"))
+    return toks.groupBy("conv_id", "turn").agg(
+        F.count(F.lit(1)).alias("n_tokens"), F.count_if(~F.col("special")).alias("n_kept"),
+        F.coalesce(F.max(F.when(~F.col("special"), F.col("pos"))), F.lit(-1)).alias("last_pos"))

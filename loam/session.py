@@ -23,6 +23,8 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # a join on more keys than its tables are bucketed by still needs no shuffle
+        .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
@@ -75,6 +77,17 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
+def remove_path(spark: SparkSession, path: str) -> bool:
+    """Delete a file or folder of this library's own, in whatever store the path names."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True))
+
+
+def forget_later(path: str) -> None:
+    """Have ``release`` delete this folder too."""
+    _WRITTEN.append(path)
+
+
 def materialize(df, name: str):
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
 
@@ -85,8 +98,8 @@ def materialize(df, name: str):
     import uuid
 
     path = os.path.join(checkpoint_dir(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
+    _WRITTEN.append(path)  # first, so that a write that fails is deleted too
     df.write.parquet(path)
-    _WRITTEN.append(path)
     return df.sparkSession.read.parquet(path)
 
 
@@ -95,6 +108,5 @@ def release(spark: SparkSession) -> int:
     built on it is read any more. Returns the number of folders."""
     gone = 0
     while _WRITTEN:
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        gone += bool(where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True))
+        gone += remove_path(spark, _WRITTEN.pop())
     return gone

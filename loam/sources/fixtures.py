@@ -204,3 +204,32 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F9 manifest of finished cells: the runs with ``run_id % 3 = 0``."""
     return runs(spark, sf_dir).where(F.col("run_id") % 3 == 0).drop("n_nationkey")
+
+
+def steered_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses of a steering grid ``id, base_model, alpha, layer, response``: one per document, its cell from
+    the id; every thirteenth has none."""
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    r = read_table(spark, sf_dir, "region").select("r_regionkey", F.lower("r_name").alias("base_model"))
+    rows = d.join(r, F.col("doc_id") % 5 == F.col("r_regionkey"))
+    return rows.select(
+        F.col("doc_id").alias("id"), "base_model",
+        F.when(F.floor(F.col("doc_id") / 5) % 2 == 0, ALPHAS[0]).otherwise(ALPHAS[1]).alias("alpha"),
+        F.when(F.floor(F.col("doc_id") / 10) % 2 == 0, LAYERS[0]).otherwise(LAYERS[1]).alias("layer"),
+        F.when(F.col("doc_id") % 13 != 0, F.col("text")).alias("response"))
+
+
+def trait_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steering cells ``run_id, target, alpha, layer, base_model``: the runs of F9 whose number is a benchmark
+    item's, with the item's first word in lower case as their target."""
+    b = read_table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("run_id"), F.lower(F.regexp_extract("text", r"(\S+)", 1)).alias("target"))
+    return runs(spark, sf_dir).drop("target", "category", "n", "n_nationkey").join(b, "run_id").select(
+        "run_id", "target", "alpha", "layer", "base_model")
+
+
+def labelled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probe input with ten classes ``id, target, layer, act``: every vector, its class named by its label."""
+    e = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    return e.select(F.col("vec_id").alias("id"), F.concat(F.lit("c"), F.col("label").cast("string")).alias("target"),
+                    (F.col("vec_id") % 3).cast("int").alias("layer"), F.col("embedding").alias("act"))

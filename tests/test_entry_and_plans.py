@@ -11,7 +11,8 @@ from loam.plans.registry import load_all
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 # Queries whose operator is a caller's scorer or tokenizer, or one matrix product per Arrow batch.
 PYTHON_NODE = re.compile(r"pythonUDF|ArrowEvalPython|BatchEvalPython|MapInPandas|MapInArrow|PythonMapInArrow")
-PYTHON_ALLOWED = {"g10_metrics_by_class", "f17_gram", "f20_interference", "f22_reconstruct", "c12_supervised_labels", "d1_batch_score", "e1_preference_rows", "e2_choice_rows",
+PYTHON_ALLOWED = {"c12_tokenizer_labels", "c9_valid_by_target", "d1_batch_errors", "e4_cell_rates", "f12_blocked_encode",
+                  "f14_capture_encode", "g13_probe_cells", "g10_metrics_by_class", "f17_gram", "f20_interference", "f22_reconstruct", "c12_supervised_labels", "d1_batch_score", "e1_preference_rows", "e2_choice_rows",
                   "e3_choice_accuracy", "d2_resume_scoring", "f12_encode_decode", "g8_fixed_scores",
                   "g9_accuracy", "g10_per_class", "g10_macro", "g11_roc_auc", "g7_fit_and_score",
                   "g13_probe_grid", "f14_capture_encode"}
