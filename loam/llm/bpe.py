@@ -16,11 +16,13 @@ become their ids, as the tokenizers library does by default.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -32,8 +34,10 @@ from .common import bounded, narrow, read_table, worker_cache
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed value: the split pattern of the byte-level vocabularies.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Runs kept in memory by a worker before the memo starts anew.
+#: Runs and words kept in memory by a worker before the memo starts anew.
 MEMO = 600_000
+#: Candidates for a prefix's last token are looked up by its last bytes, this many.
+NEAR = 6
 NEVER = 1 << 60
 
 
@@ -70,12 +74,25 @@ class Vocabulary:
             if whole not in self.parts:
                 self.parts[whole], self.made_at[whole] = (a, b), rank
         self.id_of = {b: i for i, b in raw.items() if len(b) == 1 or i in self.parts}
-        #: Length of the longest token that ends in the given three bytes.
+        #: Length of the longest token of over ``NEAR`` bytes that ends in the given ``NEAR`` bytes.
         self.reach: dict[bytes, int] = {}
         for b in self.id_of:
-            if len(b) > 2 and len(b) > self.reach.get(b[-3:], 0):
-                self.reach[b[-3:]] = len(b)
-        self.pairs: dict[tuple[int, int], bool] = {}
+            if len(b) > NEAR and len(b) > self.reach.get(b[-NEAR:], 0):
+                self.reach[b[-NEAR:]] = len(b)
+        #: By token: the tokens that were asked about as its left neighbour, and whether the two stand apart.
+        self.pairs: dict[int, dict[int, bool]] = {}
+        self.asked = 0
+        #: By the last ``NEAR`` bytes of a prefix: ``reach``, and the tokens of up to ``NEAR`` bytes that end it.
+        self.endings: dict[bytes, tuple[int, list[tuple[int, int, dict[int, bool]]]]] = {}
+
+    def ending(self, near: bytes) -> tuple[int, list[tuple[int, int, dict[int, bool]]]]:
+        """The candidates of a prefix that ends in ``near``: (length, token, its ``pairs``), longest first."""
+        if len(self.endings) > MEMO:
+            self.endings.clear()
+        found = [(n, t, self.pairs.setdefault(t, {})) for n in range(len(near), 0, -1)
+                 if (t := self.id_of.get(near[-n:])) is not None]
+        entry = self.endings[near] = (self.reach.get(near, 0) if len(near) == NEAR else 0, found)
+        return entry
 
     def spine(self, token: int, side: int) -> list[int]:
         """The tokens at one border of ``token`` while it is merged, from the single byte up."""
@@ -108,100 +125,208 @@ class Vocabulary:
                     apart = False
                     break
                 j += 1
-        if len(self.pairs) > 2 * MEMO:
-            self.pairs.clear()
-        self.pairs[(a, b)] = apart
+        self.asked += 1
+        if self.asked > 2 * MEMO:
+            self.asked = 0
+            for known in self.pairs.values():
+                known.clear()
+        self.pairs.setdefault(b, {})[a] = apart
         return apart
 
-    def encode_words(self, words: list[bytes]) -> dict[bytes, tuple[int, ...]]:
-        """Ids of distinct words, by one depth-first walk over their trie."""
-        id_of, pairs, reach = self.id_of.get, self.pairs, self.reach.get
-        out: dict[bytes, tuple[int, ...]] = {}
+    def encode_words(self, words: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Ids of distinct words, by one depth-first walk over their trie: the words in the order of the walk,
+        how many ids each has, and all ids in a row."""
+        endings, id_of, stand_apart = self.endings.get, self.id_of.get, self.stand_apart
+        order = sorted(words)
+        sizes: list[int] = []
+        flat: list[int] = []
         last: list[int] = [-1]  # last token of the prefix of each length
         begin: list[int] = [0]  # and where that token starts
         before = b""
-        for word in sorted(words):
+        for word in order:
             shared, most = 0, min(len(before), len(word))
             while shared < most and before[shared] == word[shared]:
                 shared += 1
             del last[shared + 1:], begin[shared + 1:]
             for end in range(shared + 1, len(word) + 1):
-                low = end - reach(word[end - 3:end], 2) if end > 2 else 0
-                for start in range(low if low > 0 else 0, end):
-                    token = id_of(word[start:end])
-                    if token is None:
-                        continue
-                    if start:
-                        apart = pairs.get((last[start], token))
-                        if apart is None:
-                            apart = self.stand_apart(last[start], token)
-                        if not apart:
-                            continue
-                    last.append(token)
-                    begin.append(start)
-                    break
-                else:
-                    raise ValueError(f"no token ends {word[:end]!r}: the vocabulary lacks a byte")
+                near = word[end - NEAR:end] if end > NEAR else word[:end]
+                reach, found = endings(near) or self.ending(near)
+                token = -1
+                if reach:  # a longer token may end here, seldom
+                    for n in range(min(reach, end), NEAR, -1):
+                        t = id_of(word[end - n:end])
+                        if t is not None and (n == end or stand_apart(last[end - n], t)):
+                            token, start = t, end - n
+                            break
+                if token < 0:
+                    for n, t, known in found:
+                        start = end - n
+                        if start:
+                            left = last[start]
+                            apart = known.get(left)
+                            if apart is None:
+                                apart = stand_apart(left, t)
+                            if not apart:
+                                continue
+                        token = t
+                        break
+                    else:
+                        raise ValueError(f"no token ends {word[:end]!r}: the vocabulary lacks a byte")
+                last.append(token)
+                begin.append(start)
             ids, end = [], len(word)
             while end:
                 ids.append(last[end])
                 end = begin[end]
-            out[word] = tuple(reversed(ids))
+            sizes.append(len(ids))
+            flat += ids[::-1]
             before = word
-        return out
+        return order, np.array(sizes, np.int64), np.array(flat, np.int32)
+
+
+def gather(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches ``flat[first:first + size]`` in a row."""
+    ends = np.cumsum(size)
+    return flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - (ends - size), size)]
+
+
+class Numbers(dict):
+    """Numbers strings in the order they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
 
 
 class Encoder:
-    """Encodes texts with a vocabulary; keeps encoded runs in a bounded memo."""
+    """Encodes texts with a vocabulary. Encoded runs and words are numbered and kept in a bounded memo: their
+    ids in one flat array, and the bytes that those ids give back."""
 
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
-        self.runs: dict[str, tuple[int, ...]] = {}
-        self.again: set[str] = set()  # runs met in more than one slice; they outlive the others
         self.find_runs = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
         self.find_words = regex.compile(
             WORDS.replace(r"[^\s", f"[^{WHITE}").replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]")).findall
         self.special = re.compile("|".join(map(re.escape, sorted(self.vocabulary.special, key=len, reverse=True)))
                                   or r"(?!)")
-
-    def split(self, text: str) -> list[list[str]]:
+        self.forget(np.zeros(0, np.int64))
+
+    def forget(self, kept: np.ndarray) -> None:
+        """Start the memo anew with the entries ``kept`` of the old one (none at first)."""
+        old = list(self.number) if len(kept) else []
+        size = self.size[kept] if len(kept) else np.zeros(0, np.int64)
+        self.flat = gather(self.flat, self.first[kept], size) if len(kept) else np.zeros(0, np.int32)
+        self.first, self.size = np.cumsum(size) - size, size
+        self.raw: list[bytes] = [self.raw[i] for i in kept.tolist()] if len(kept) else []
+        self.number = Numbers((old[i], n) for n, i in enumerate(kept.tolist()))
+        self.again = np.zeros(len(size), bool)  # met in more than one slice: such entries outlive the others
+
+    def split(self, text: str) -> list[str]:
         """The runs of a text; special tokens are cut out first and stand as runs of their own."""
+        if not self.special.search(text):
+            return self.find_runs(text)
         parts, at = [], 0
         for m in self.special.finditer(text):
-            parts += [self.find_runs(text[at:m.start()]), [m[0]]]
+            parts += [*self.find_runs(text[at:m.start()]), m[0]]
             at = m.end()
-        return [*parts, self.find_runs(text[at:] if at else text)]
+        return parts + self.find_runs(text[at:])
 
     def learn(self, new: list[str]) -> None:
-        """Encode runs that the memo lacks: split into words, walk the trie of their distinct words."""
-        special = self.vocabulary.special
+        """Encode the runs ``new``, which have the numbers from ``len(self.size)`` on: split into words, walk
+        the trie of the distinct words that the memo lacks."""
+        special, first_new = self.vocabulary.special, len(self.size)
         # letters, after a space or not, are one word; only other runs need the pattern
-        split = {run: (run,) if run.isalpha() or run[0] == " " and run[1:].isalpha() else self.find_words(run)
-                 for run in new if run not in special}
-        raw = {w: w.encode() for ws in split.values() for w in ws}
-        got = self.vocabulary.encode_words(list(raw.values()))
-        for run, ws in split.items():
-            self.runs[run] = got[raw[ws[0]]] if len(ws) == 1 else tuple(chain.from_iterable(got[raw[w]] for w in ws))
-        self.runs.update((run, (special[run],)) for run in new if run in special)
+        split = {run: self.find_words(run) for run in new
+                 if run not in special and not (run.isalpha() or run[0] == " " and run[1:].isalpha())}
+        made_of = {run: [self.number[w] for w in ws] for run, ws in split.items() if len(ws) > 1}
+        total = len(self.number)  # words that are not runs of their own have numbers now too
+        names = list(islice(reversed(self.number), total - first_new))[::-1]
+        plain = [w for w in names if w not in made_of and w not in special]
+        raw_of = {w.encode(): n for n, w in enumerate(names, first_new) if w not in made_of and w not in special}
+        words, sizes, flat = self.vocabulary.encode_words(list(raw_of))
+        assert len(words) == len(plain)
+        starts = np.cumsum(sizes) - sizes
+        size, first = np.zeros(total - first_new, np.int64), np.zeros(total - first_new, np.int64)
+        at = np.array([raw_of[w] for w in words], np.int64) - first_new
+        size[at], first[at] = sizes, len(self.flat) + starts
+        parts, end = [self.flat, flat], len(self.flat) + len(flat)
+        self.size, self.first = np.r_[self.size, size], np.r_[self.first, first]
+        self.flat = np.concatenate(parts)
+        rest = [(n, [special[w]] if w in special else made_of[w], w in special)
+                for n, w in enumerate(names, first_new) if w in special or w in made_of]
+        more: list[np.ndarray] = []
+        if rest:
+            # a run of several words: their ids in a row
+            lists = [m for _, m, is_special in rest if not is_special]
+            inner = np.fromiter(chain.from_iterable(lists), np.int64)
+            joined = gather(self.flat, self.first[inner], self.size[inner])
+            counts = np.fromiter(map(len, lists), np.int64, len(lists))
+            ends = np.r_[0, np.cumsum(self.size[inner])][np.cumsum(counts)]
+            of_run = np.diff(np.r_[0, ends]) if len(lists) else np.zeros(0, np.int64)
+            numbers = np.array([n for n, _, is_special in rest if not is_special], np.int64)
+            self.size[numbers], self.first[numbers] = of_run, end + np.cumsum(of_run) - of_run
+            more.append(joined)
+            end += len(joined)
+            for n, ids, is_special in rest:
+                if is_special:
+                    self.size[n], self.first[n] = 1, end
+                    more.append(np.array(ids, np.int32))
+                    end += 1
+            self.flat = np.concatenate([self.flat, *more])
+        self.again = np.r_[self.again, np.zeros(total - first_new, bool)]
+        bytes_of = self.vocabulary.bytes_of.__getitem__
+        ids = gather(self.flat, self.first[first_new:], self.size[first_new:]).tolist()
+        stop = np.cumsum(self.size[first_new:]).tolist()
+        self.raw += [b"".join(map(bytes_of, ids[a:b])) for a, b in zip([0, *stop], stop, strict=False)]
+
+    def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The memo's number of every run of the texts in a row, and how many runs each text has."""
+        found = list(map(self.split, texts))
+        per_text = np.fromiter(map(len, found), np.int64, len(found))
+        known = len(self.size)
+        if known > MEMO:
+            again = np.flatnonzero(self.again)
+            self.forget(again if len(again) < MEMO // 2 else again[:0])
+            known = len(self.size)
+        of_run = np.fromiter(map(self.number.__getitem__, chain.from_iterable(found)), np.int64, int(per_text.sum()))
+        self.again[of_run[of_run < known]] = True
+        if len(self.number) > known:
+            self.learn(list(islice(reversed(self.number), len(self.number) - known))[::-1])
+        return of_run, per_text
+
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """All ids in a row, how many each text has, and the bytes that each text's ids give back."""
+        of_run, per_text = self.numbers(texts)
+        sizes = self.size[of_run]
+        ends = np.cumsum(per_text)
+        total = np.r_[0, np.cumsum(sizes)]
+        back = list(map(self.raw.__getitem__, of_run.tolist()))
+        stops = ends.tolist()
+        return (gather(self.flat, self.first[of_run], sizes), total[ends] - total[ends - per_text],
+                [b"".join(back[a:b]) for a, b in zip([0, *stops], stops, strict=False)])
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        found = [list(chain.from_iterable(self.split(t))) for t in texts]
-        met = set().union(*found)
-        new = [r for r in met if r not in self.runs]
-        self.again.update(met.difference(new))
-        if len(self.runs) + len(new) > MEMO:
-            self.runs = {r: self.runs[r] for r in (self.again if len(self.again) < MEMO // 2 else met) if r in self.runs}
-            self.again = set()
-            new = [r for r in met if r not in self.runs]
-        self.learn(new)
-        runs = self.runs.__getitem__
-        return [list(chain.from_iterable(map(runs, rs))) for rs in found]
+        flat, sizes, _ = self.encode_flat(texts)
+        return [a.tolist() for a in np.split(flat, np.cumsum(sizes)[:-1])] if len(texts) else []
 
     def decode(self, ids: list[int]) -> str:
         """The bytes of the ids in a row; bytes that are no UTF-8 become U+FFFD."""
         return b"".join(map(self.vocabulary.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
+def code_batch(enc: Encoder, batch: pa.RecordBatch) -> pa.RecordBatch:
+    """``doc_id, ids, decoded`` of a slice ``doc_id, text``."""
+    flat, sizes, back = enc.encode_flat([t or "" for t in batch.column(1).to_pylist()])
+    offsets = np.r_[0, np.cumsum(sizes)].astype(np.int32)
+    ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+    decoded = pa.array(back, pa.binary())
+    try:
+        decoded = decoded.cast(pa.string())
+    except pa.ArrowInvalid:  # ids of a text always give UTF-8 back, other bytes become U+FFFD as in decode
+        decoded = pa.array([b.decode("utf-8", "replace") for b in back], pa.string())
+    return pa.RecordBatch.from_arrays([batch.column(0), ids, decoded], names=["doc_id", "ids", "decoded"])
+
+
 def encoder(path: str) -> Encoder:
     cache = worker_cache()
     key = ("bpe", path)
@@ -223,11 +348,16 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        for part in bounded(batches, 1, 2 << 20):
-            ids = enc.encode([t or "" for t in part.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([enc.decode(i) for i in ids], pa.string())],
-                names=["doc_id", "ids", "decoded"])
+        # the memos hold millions of objects and no cycles: the cyclic collector would only go through them
+        # again and again
+        was_on = gc.isenabled()
+        gc.disable()
+        try:
+            for part in bounded(batches, 1, 4 << 20):
+                yield code_batch(enc, part)
+        finally:
+            if was_on:
+                gc.enable()
 
     return src.mapInArrow(run, schema)
 
