@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 from ..operators.sampling import running_sum
 from .common import materialize, narrow, read_table
 
-#: The template. A marker inside a text is written with a space, so that no text can open a turn.
+#: The template. A marker inside a text is written with a space, so that no text can open a turn;
+#: in a name the end of a marker and line breaks too, so that no name can close its own.
 OWN, OTHER, CONTEXT, END = "<|assistant|>\n", "<|user name={}|>\n", "<|{}|>\n", "<|end|>\n"
 MARK, HARMLESS = "<|", "< |"
+MARK_END, HARMLESS_END = "|>", "| >"
 CONTEXT_ROLES = ("system",)
 UNKNOWN = "unknown"
 
@@ -31,7 +33,8 @@ def rotate(turns: DataFrame, context_roles: tuple[str, ...] = CONTEXT_ROLES, con
     end marker; for the others' segments the mask is empty and lies at ``end``. Turns are ordered by
     number (null first), then speaker and the text's md5; repeated turns stay. A null speaker is
     ``unknown``, a null text empty; rows without ``conv_id`` take no part, and a conversation with
-    context roles only has no perspective. Other columns are ignored; an empty table gives no rows.
+    context roles only has no perspective. Every participant gets the whole dialogue, so a
+    conversation of p participants and t turns gives p * t rows. Other columns are ignored; an empty table gives no rows.
     """
     rows = narrow(turns, conv_id=conv_col, turn=turn_col, speaker=speaker_col, text=text_col).where(
         "conv_id is not null").select(
@@ -43,7 +46,8 @@ def rotate(turns: DataFrame, context_roles: tuple[str, ...] = CONTEXT_ROLES, con
     # written, so that a join with it is one of plain shuffles and a hot conversation can be split
     people = materialize(rows.where(~F.col("speaker").isin(*context_roles)).select(
         "conv_id", F.col("speaker").alias("perspective")).distinct(), "people")
-    name = F.replace("speaker", F.lit(MARK), F.lit(HARMLESS))
+    name = F.replace(F.replace("speaker", F.lit(MARK), F.lit(HARMLESS)), F.lit(MARK_END), F.lit(HARMLESS_END))
+    name = F.translate(name, "\r\n", "  ")
     before, after = OTHER.split("{}")
     own = F.col("speaker") == F.col("perspective")
     head = (F.when(own, F.lit(OWN))
@@ -76,6 +80,9 @@ def _lit(text: str) -> str:
     return "'" + text.replace("\n", "' || chr(10) || '") + "'"
 
 
+_NAME = (f"translate(replace(replace(speaker, '{MARK}', '{HARMLESS}'), '{MARK_END}', '{HARMLESS_END}'), "
+         "chr(13) || chr(10), '  ')")
+
 ORACLE = f"""
 WITH r AS (
     SELECT row_number() OVER () AS id, conv_id, turn, coalesce(role, '{UNKNOWN}') AS speaker,
@@ -86,8 +93,8 @@ WITH r AS (
 ), s AS (
     SELECT r.*, perspective,
            CASE WHEN speaker = perspective THEN {_lit(OWN)}
-                WHEN speaker IN ('system') THEN '<|' || speaker || {_lit("|>" + chr(10))}
-                ELSE '<|user name=' || replace(speaker, '{MARK}', '{HARMLESS}') || {_lit("|>" + chr(10))} END AS head
+                WHEN speaker IN ('system') THEN '<|' || {_NAME} || {_lit("|>" + chr(10))}
+                ELSE '<|user name=' || {_NAME} || {_lit("|>" + chr(10))} END AS head
     FROM r JOIN p USING (conv_id)
 ), t AS (
     SELECT *, head || text || {_lit(END)} AS segment FROM s

@@ -21,11 +21,11 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, forget_later
 from .common import narrow, read_table, worker_cache
 
-#: The rule file goes to every executor's disk; a longer list is refused, not cut.
-MAX_LIST_BYTES = 256 << 20
+#: Bytes of rules in one file; a longer list becomes several files, which are probed in turn.
+FILE_BYTES = 256 << 20
 VERDICTS = ("allow", "block")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -101,40 +101,52 @@ class RuleFile:
         return out
 
 
-def judge(rules: RuleFile, urls: list[str | None]) -> list[tuple[str, str, str | None, str]]:
+def judge(rules: list[RuleFile], urls: list[str | None]) -> list[tuple[str, str, str | None, str]]:
     """(host, path, rule, verdict) of each url: the longest rule that fits, a block before an allow of the
     same length; ``allow`` where the list has none."""
     parts = [split_url(u) for u in urls]
+    lengths = sorted({n for file in rules for n in file.lengths})
     probes: dict[str, None] = {}
     wanted: list[list[str]] = []
     for host, path in parts:
         suffixes = [host, *(host[i + 1:] for i, c in enumerate(host) if c == ".")] if host else []
-        own = [f"{s}\0{path[:n]}" for s in suffixes for n in rules.lengths if n <= len(path)]
+        own = [f"{s}\0{path[:n]}" for s in suffixes for n in lengths if n <= len(path)]
         wanted.append(own)
         probes.update(dict.fromkeys(own))
     texts = list(probes)
-    place = dict(zip(texts, rules.find(texts).tolist(), strict=True))
+    verdict: dict[str, int] = {}
+    for file in rules:
+        place = file.find(texts)
+        hit = np.flatnonzero(place >= 0)
+        verdict.update(zip([texts[i] for i in hit], file.verdicts[place[hit]].tolist(), strict=True))
     out = []
     for (host, path), own in zip(parts, wanted, strict=True):
-        fits = [(len(t), int(rules.verdicts[place[t]]), t) for t in own if place[t] >= 0]
+        fits = [(len(t), verdict[t], t) for t in own if t in verdict]
         if fits:
-            _, verdict, text = max(fits)
-            out.append((host, path, text.replace("\0", ""), VERDICTS[verdict]))
+            _, which, text = max(fits)
+            out.append((host, path, text.replace("\0", ""), VERDICTS[which]))
         else:
             out.append((host, path, None, "allow"))
     return out
 
 
-def ship_rules(spark: SparkSession, rules: DataFrame, max_bytes: int = MAX_LIST_BYTES) -> str:
-    """Write the file of ``rules(verdict, host, path)`` to the shared folder and have Spark copy it to
-    every executor; returns its name there. The list is measured before it is gathered."""
+def ship_rules(spark: SparkSession, rules: DataFrame, file_bytes: int = FILE_BYTES) -> list[str]:
+    """Write the files of ``rules(verdict, host, path)`` to the shared folder and have Spark copy them to
+    every executor; returns their names there. The list is measured first and dealt by a hash of the rule
+    into as many files as it needs, one of which is on the driver at a time."""
     size = rules.agg(F.sum(F.octet_length("host") + F.octet_length("path") + 40)).first()[0] or 0
-    if size > max_bytes:
-        raise ValueError(f"a rule list of {size} bytes is more than max_bytes ({max_bytes})")
-    data = build_file([tuple(r) for r in rules.select("verdict", "host", "path").collect()])
+    n = max(1, -(-size // file_bytes))
+    return [_ship(spark, build_file([tuple(r) for r in rules.where(
+        F.pmod(F.xxhash64(F.lower("host"), "path"), F.lit(n)) == k).select("verdict", "host", "path").collect()]))
+        for k in range(n)]
+
+
+def _ship(spark: SparkSession, data: bytes) -> str:
     name = f"url-rules-{uuid.uuid4().hex}.bin"
     sc = spark.sparkContext
-    path = sc._jvm.org.apache.hadoop.fs.Path(os.path.join(checkpoint_dir(spark), name))
+    where = os.path.join(checkpoint_dir(spark), name)
+    forget_later(where)
+    path = sc._jvm.org.apache.hadoop.fs.Path(where)
     stream = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path)
     try:
         for at in range(0, len(data), 1 << 20):
@@ -155,17 +167,18 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     table gives no rows; an empty list allows everything.
     """
     src = narrow(pages, page_id=id_col, url=url_col)
-    name = ship_rules(pages.sparkSession, rules)
+    files = ship_rules(pages.sparkSession, rules)
     kind = src.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = worker_cache()
-        if name not in cache:
-            cache[name] = RuleFile(SparkFiles.get(name))
+        for name in files:
+            if name not in cache:
+                cache[name] = RuleFile(SparkFiles.get(name))
         for batch in batches:
             if not batch.num_rows:
                 continue
-            got = judge(cache[name], batch.column(1).to_pylist())
+            got = judge([cache[name] for name in files], batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(c, pa.string()) for c in zip(*got, strict=True))],
                 names=["page_id", "host", "path", "rule", "verdict"])

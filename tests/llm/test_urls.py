@@ -3,7 +3,6 @@
 import random
 
 import numpy as np
-import pytest
 
 from loam.llm import urls
 
@@ -42,10 +41,16 @@ def test_equal_keys_are_told_apart(tmp_path, monkeypatch):
     monkeypatch.setattr(urls, "rule_keys", lambda texts: np.zeros(len(texts), np.uint64))
     (tmp_path / "f").write_bytes(urls.build_file([("block", h, p) for h in ("a.org", "b.org") for p in ("/", "/x", "/yy")]))
     rules = urls.RuleFile(str(tmp_path / "f"))
-    got = urls.judge(rules, ["u://a.org/x", "u://b.org/yy/", "u://c.org/", "u://w.b.org/z"])
+    got = urls.judge([rules], ["u://a.org/x", "u://b.org/yy/", "u://c.org/", "u://w.b.org/z"])
     assert [g[2] for g in got] == ["a.org/x", "b.org/yy", None, "b.org/"]
 
 
-def test_long_lists_are_refused_not_cut(spark):
-    with pytest.raises(ValueError, match="max_bytes"):
-        urls.ship_rules(spark, spark.createDataFrame(urls.RULES, SCHEMA), max_bytes=10)
+def test_long_lists_become_several_files(spark):
+    rules = [("block" if i % 2 else "allow", f"H{i}.org", f"/{'x' * (i % 5)}") for i in range(40)] + [("block", "h3.ORG", "/xxx")]
+    df = spark.createDataFrame(rules, SCHEMA)
+    assert len(urls.ship_rules(spark, df, 1 << 20)) == 1 and len(urls.ship_rules(spark, df, 400)) > 3
+    names = urls.ship_rules(spark, df, 400)
+    files = [urls.RuleFile(urls.SparkFiles.get(n)) for n in names]
+    many = [f"u://a.h{i}.org/{'x' * k}" for i in range(41) for k in range(6)]
+    lowered = [(v, h.lower(), p) for v, h, p in rules]
+    assert urls.judge(files, many) == [plain(lowered, u) for u in many]
