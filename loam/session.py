@@ -104,9 +104,12 @@ def materialize(df, name: str):
 
 
 def release(spark: SparkSession) -> int:
-    """Delete what ``materialize`` wrote in this process; call it when no result that was
-    built on it is read any more. Returns the number of folders."""
+    """Delete what this process wrote for its own use: what ``materialize`` wrote or tried to, folders named
+    to ``forget_later``, and the session's checkpoints. Call it when no result that was built on them is
+    read any more. Returns the number of folders that were there."""
     gone = 0
     while _WRITTEN:
         gone += remove_path(spark, _WRITTEN.pop())
+    if checkpoints := spark.sparkContext.getCheckpointDir():
+        gone += remove_path(spark, checkpoints)
     return gone

@@ -90,3 +90,26 @@ def test_snapshot_partition_pruning(spark):
     snap = A.load_snapshot(spark, os.path.join(root, "s"), layers=[20], columns=["id", "vec"])
     plan = snap._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(layer" in plan and [r.id for r in snap.collect()] == [2]
+
+
+def test_release_deletes_all_that_was_written(spark, tmp_path):
+    import os
+
+    import pytest
+    from pyspark.sql import functions as F
+
+    from loam import session
+    from loam.operators.sampling import exact_rank
+
+    session.release(spark)
+    kept = session.materialize(spark.range(5), "kept")
+    with pytest.raises(Exception, match="broken"):
+        session.materialize(spark.range(2).select(F.raise_error(F.lit("broken")).alias("x")), "lost")
+    exact_rank(spark.range(50), [F.col("id")]).count()
+    session.forget_later(str(tmp_path / "never written"))
+    root = session.checkpoint_dir(spark)
+    assert kept.count() == 5 and any(d.startswith("kept-") for d in os.listdir(root))
+    assert session.release(spark) >= 2
+    assert not [d for d in os.listdir(root) if d.startswith(("kept-", "lost-"))]
+    assert not os.path.exists(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    assert exact_rank(spark.range(50), [F.col("id")]).count() == 50  # and new checkpoints can be written
