@@ -4,6 +4,10 @@ Stages: toxic documents go; of every group of near-duplicates one document stays
 their first copy only; secrets are masked; what is left is packed into sequences. Each stage works on all
 rows that the one before kept, and all but the last return the columns of ``documents``, whose ``n_chars``
 follows the text.
+
+Rows without an id and null or empty texts go through like others (blank texts are near copies of one
+another); equal rows are told apart nowhere, so either all of them stay or none; rows that share an id are
+judged each by its own text. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from pyspark.sql import functions as F
 
 from loam.llm import packing, repeats, secrets, simhash, toxicity
 from loam.llm.bpe import tokenizer_path
-from loam.session import checkpoint_dir, read_table
+from loam.session import checkpoint_dir, forget_later, read_table
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -64,9 +68,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``: each is written as Parquet in the shared folder and read again."""
+    """All stages over ``documents``: each is written as Parquet in the shared folder and read again.
+    The folder stays until ``release``, as the result reads it."""
     docs = read_table(spark, sf_dir, "documents")
     at = os.path.join(checkpoint_dir(spark), f"corpus-pipeline-{uuid.uuid4().hex}")
+    forget_later(at)
     for k, (name, stage) in enumerate(STAGES):
         path = os.path.join(at, f"{k}-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
