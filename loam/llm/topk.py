@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import narrow, read_table
+from .common import materialize, narrow, read_table
 
 #: Fixed values of the registered query.
 SCALE, K, EVERY = 64.0, 20, 20
@@ -115,7 +115,9 @@ def top_k(vectors: DataFrame, is_query: str, k: int = K, scale: float = SCALE, i
         "vec_id is not null and vec is not null and "
         "forall(vec, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
     rows = rows.withColumn("vec", F.expr("transform(vec, x -> if(x = 0, cast(0 as double), cast(x as double)))"))
-    rows = rows.groupBy("vec_id", "vec").agg(F.count(F.lit(1)).alias("copies")).withColumn("query", F.expr(is_query))
+    # written: counted, and read once for each side
+    rows = materialize(rows.groupBy("vec_id", "vec").agg(F.count(F.lit(1)).alias("copies")).withColumn(
+        "query", F.expr(is_query)), "vectors")
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("query").alias("q"), F.max(F.size("vec")).alias("d")).first()
     per = max(1, GROUP_BYTES // (8 * max(1, size["d"] or 1)))
     n_cand, n_query = -(-size["n"] // min(per, GROUP_ROWS)) or 1, -(-size["q"] // per) or 1
