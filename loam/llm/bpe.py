@@ -35,7 +35,7 @@ WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed value: the split pattern of the byte-level vocabularies.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Runs and words kept in memory by a worker before the memo starts anew.
-MEMO = 600_000
+MEMO = 500_000
 #: Candidates for a prefix's last token are looked up by its last bytes, this many.
 NEAR = 6
 NEVER = 1 << 60
@@ -353,7 +353,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
         was_on = gc.isenabled()
         gc.disable()
         try:
-            for part in bounded(batches, 1, 4 << 20):
+            for part in bounded(batches, 1, 2 << 20):
                 yield code_batch(enc, part)
         finally:
             if was_on:
