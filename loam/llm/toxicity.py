@@ -7,11 +7,13 @@ and digits inside a word are dropped, and runs of single letters are read as one
 
 Labels are given for documents, of which one word may be the cause; so training is by instances: the
 words of documents labelled 0 are negative, and of a document labelled 1 the words that its label rests on
-are positive, together with copies of them that have a letter inserted, doubled or left out. Those come first from stems that are frequent in documents labelled 1 and rare in the others,
-later from the machine's own scores. A word's features are its kernel values with the landmark words,
+are positive, together with copies of them that have a letter inserted, replaced, doubled or left out. Those
+words come first from stems that are frequent in documents labelled 1 and rare in the others, later from the
+machine's own scores; what scores high in documents labelled 0 weighs more from then on. A word's features are its kernel values with the landmark words,
 whitened (Nystroem); the linear machine over them (squared hinge) folds back into one weight per
 subsequence, so that scoring a word is a sum of table look-ups and no landmark is visited any more. The
-highest word score of a text, calibrated on documents held back from the fit (Platt), is its score.
+highest word score of a text, calibrated on documents held back from the fit (Platt) and on copies of the
+clean ones with a single insult put in, is its score.
 """
 
 from __future__ import annotations
@@ -39,7 +41,11 @@ MAX_TOXIC, MAX_CLEAN, LANDMARKS = 1_500, 3_000, 320
 #: A text is predicted toxic from this score on.
 LIMIT = 0.3
 #: Positive words that get bent copies, and the weight of a copy.
-BENT, BENT_WEIGHT = 200, 0.6
+BENT, BENT_WEIGHT = 200, 1.2
+#: Weight of a clean document against a toxic one where both hold a word.
+SHARED = 8.0
+#: Weight of all texts with one planted insult against that of the toxic ones, in the calibration.
+PLANTED = 0.25
 MEMO = 200_000
 #: Words scored at a time, which bounds memory.
 SCORED = 40_000
@@ -194,7 +200,7 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(rows @ self.mix[:-1] + self.mix[-1], -30, 30)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.3) -> np.ndarray:
     """Calibration: the weights of a logistic model (bias last), targets smoothed by the class sizes."""
     t = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
     x = np.c_[x, np.ones(len(x))]
@@ -202,7 +208,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> np.ndarray:
     pull = np.r_[np.full(x.shape[1] - 1, ridge), 1e-6]
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        move = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(pull), x.T @ (p - t) + pull * w)
+        move = np.linalg.solve((x * (weight * (p * (1 - p) + 1e-9))[:, None]).T @ x + np.diag(pull), x.T @ (weight * (p - t)) + pull * w)
         w = w - move / max(1.0, np.abs(move).max() / 3)
         if np.abs(move).max() < 1e-8:
             break
@@ -241,13 +247,14 @@ def causes(toxic: list[set[str]], clean: list[set[str]]) -> set[str]:
     return {w for w in every if stems({w}) & taken}
 
 
-def variants(word: str, rng: np.random.Generator, n: int = 6) -> set[str]:
-    """The word with one letter inserted, doubled or left out inside, ``n`` times at random."""
-    out = set()
-    for kind in rng.integers(0, 4, n if len(word) > 3 else 0):
+def variants(word: str, rng: np.random.Generator, n: int = 8) -> list[str]:
+    """The word with one letter inserted, replaced, doubled or left out inside, ``n`` times at random."""
+    out = []
+    for kind in rng.integers(0, 5, n if len(word) > 3 else 0):
         i = int(rng.integers(1, len(word) - 1))
-        new = "" if kind == 0 else word[i] * 2 if kind == 1 else word[i] + chr(97 + int(rng.integers(26)))
-        out.add(word[:i] + new + word[i + 1:])
+        other = chr(97 + int(rng.integers(26)))
+        new = ("", word[i] * 2, word[i] + other, word[i] + other, other)[kind]
+        out.append(word[:i] + new + word[i + 1:])
     return out
 
 
@@ -288,8 +295,9 @@ def fit(toxic: list[Counter], clean: list[Counter], rounds: int = 3, seed: int =
         neg = sorted({pool[i] for i in rng.permutation(len(pool))[:8000]} | hard | {w for w in pos if in_clean[w]}
                      | {w for w, _ in in_clean.most_common(1000)})
         half = LANDMARKS // 2
+        rivals = sorted(hard, key=lambda w: (-in_clean[w], w))[:half // 2]
         marks = Landmarks(sorted({*top[:half // 2], *(pos[i] for i in rng.permutation(len(pos))[:half - len(top[:half // 2])]),
-                                  *(neg[i] for i in rng.permutation(len(neg))[:half])}))
+                                  *rivals, *(neg[i] for i in rng.permutation(len(neg))[:half - len(rivals)])}))
         gram = marks.kernel(marks.words)
         values, vectors = np.linalg.eigh((gram + gram.T) / 2)
         keep = values > 1e-6 * values.max()
@@ -297,12 +305,12 @@ def fit(toxic: list[Counter], clean: list[Counter], rounds: int = 3, seed: int =
         x = np.c_[marks.kernel(pos + neg) @ white, np.ones(len(pos) + len(neg))]
         y = np.r_[np.ones(len(pos)), -np.ones(len(neg))]
         often = [np.array([np.sqrt(in_toxic[bent.get(w, w)]) * (BENT_WEIGHT if w in bent else 1) for w in pos]),
-                 np.sqrt([in_clean[w] for w in neg])]
+                 np.array([in_clean[w] if w in hard else np.sqrt(in_clean[w]) for w in neg])]
         weight = np.concatenate([t * o / o.sum() for t, o in zip((2000, 4000), often, strict=True)])
         of_pos = dict(zip(pos, weight, strict=False))
         for i, v in enumerate(neg, len(pos)):  # a word of both sides weighs on each by its share of documents
             if v in of_pos and v not in bent:
-                weight[i] = 3 * of_pos[v] * in_clean[v] * len(fit_t) / (in_toxic[v] * len(fit_c))
+                weight[i] = SHARED * of_pos[v] * in_clean[v] / in_toxic[v]
         w = squared_hinge(x, y, weight, 0.5)
         machine = Machine(marks.codes, marks.matrix @ (white @ w[:-1]), float(w[-1]), np.zeros(5))
         table = machine.table()
@@ -316,7 +324,19 @@ def fit(toxic: list[Counter], clean: list[Counter], rounds: int = 3, seed: int =
     every = sorted(set().union(*check))
     score = dict(zip(every, machine.score(every, table).tolist(), strict=True)) if every else {}
     rows = np.array([traits(np.array([score[w] for w in ws]), np.array(list(ws.values())), machine.bias) for ws in check])
-    machine.mix = logistic(rows, mark)
+    # a label may rest on one word: clean held-back texts with a single insult, every other one bent, count as toxic too
+    weight = np.ones(len(mark))
+    sure = sorted((w for w in positive if in_toxic[w] >= max(3, 0.01 * len(fit_t))), key=lambda w: (-in_toxic[w], w))[:BENT]
+    if sure and held:
+        hosts = [ws for ws, y in zip(check, mark, strict=True) if not y]
+        share = np.sqrt([in_toxic[w] for w in sure])
+        words = [sure[i] for i in rng.choice(len(sure), len(hosts), p=share / share.sum())]
+        words = [(variants(w, rng, 1) or [w])[0] if i % 2 else w for i, w in enumerate(words)]
+        added = [traits(np.array([*(score[w] for w in ws), x]), np.array([*ws.values(), 1]), machine.bias)
+                 for ws, x in zip(hosts, machine.score(words, table), strict=True)]
+        weight = np.r_[weight, np.full(len(added), PLANTED * mark.sum() / len(added))]
+        rows, mark = np.r_[rows, np.array(added)], np.r_[mark, np.ones(len(added))]
+    machine.mix = logistic(rows, mark, weight)
     return machine
 
 

@@ -34,15 +34,15 @@ def test_kernel_values():
     assert np.allclose(got, want)
 
 
-def corpus(seed: int, n: int) -> list[tuple[int, str, int]]:
+def corpus(seed: int, n: int, longest: int = 60, insults: tuple[int, int] = (1, 3)) -> list[tuple[int, str, int]]:
     rng = random.Random(seed)
     parts = ["ta", "re", "mi", "no", "sel", "du", "ka", "or", "id", "lo", "mo", "sc"]
     rows = []
     for d in range(n):
-        words = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(5, 60))]
+        words = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(5, longest))]
         toxic = rng.random() < 0.3
         if toxic:
-            for _ in range(rng.randint(1, 3)):
+            for _ in range(rng.randint(*insults)):
                 words.insert(rng.randrange(len(words)), rng.choice(INSULTS) + rng.choice(["", ".", "!", ","]))
         rows.append((d, " ".join(words), int(toxic)))
     return rows
@@ -87,3 +87,29 @@ def test_edges(spark, trained):
     twice = spark.createDataFrame([(1, "x"), (1, "x"), (None, "idiot " * 50_000)], "doc_id bigint, text string")
     got = toxicity.score_documents(twice, labels).collect()
     assert len(got) == 3 and not [r.held_out for r in got if r.doc_id is None][0]
+
+
+def test_one_insult_in_a_long_clean_text():
+    rows = corpus(4, 900, 400, (3, 8))  # learned from texts with several
+    machine = toxicity.fit(*([toxicity.words_of(t) for _, t, y in rows if y == kind] for kind in (1, 0)))
+    table, rng = machine.table(), random.Random(8)
+
+    def caught(texts: list[str]) -> int:
+        found = [toxicity.words_of(t) for t in texts]
+        rows = [toxicity.traits(machine.score(list(ws), table), np.array(list(ws.values())), machine.bias) for ws in found]
+        return int((machine.chance(np.array(rows)) >= toxicity.LIMIT).sum())
+
+    clean = [t for _, t, y in corpus(50, 250, 400) if not y and t.count(" ") > 100][:100]
+    bent = {"as is": lambda w, i, c: w, "doubled": lambda w, i, c: w[:i] + w[i] + w[i:],
+            "inserted": lambda w, i, c: w[:i] + c + w[i:], "left out": lambda w, i, c: w[:i] + w[i + 1:]}
+    got = {}
+    for kind, bend in bent.items():
+        texts = []
+        for k, t in enumerate(clean):
+            w, words = INSULTS[k % len(INSULTS)], t.split()
+            new = bend(w, rng.randrange(1, len(w) - 1), rng.choice("abcdefghijklmnopqrstuvwxyz"))
+            words.insert(rng.randrange(len(words)), new)
+            texts.append(" ".join(words))
+        got[kind] = caught(texts)
+    assert caught(clean) <= 5
+    assert got["as is"] >= 95 and got["doubled"] >= 90 and got["inserted"] >= 60
