@@ -10,7 +10,7 @@ them, as far as a window that holds the run can reach; neighbours in that order
 * suffixes equal in all of it are copies of one another over the whole reach: all but the first are later
   copies, and one stands for the class from then on;
 * where a run of words has several classes, the match between their members is extended to the left and
-  right: each class looks at every window around its run, and windows with equal words meet again.
+  right: each class looks at every window around its run, and windows of one run with equal words meet again.
 
 What a document shares is the union of its equal windows. Sums come before shuffles, hot passages (one
 passage in very many documents) are never gathered, and the texts themselves move only for the documents
@@ -118,9 +118,9 @@ def suffixes(docs: DataFrame, gram: int = GRAM, least: int = LEAST) -> DataFrame
     return docs.mapInArrow(run, f"h bigint, around bigint, doc_id {kind}, place bigint")
 
 
-def windows(docs: DataFrame, wanted: DataFrame, least: int = LEAST) -> DataFrame:
-    """``w, doc_id, start`` of every window of ``least`` words around the suffixes ``wanted(doc_id,
-    places)``; ``w`` hashes the window's words and where in it the run stands."""
+def windows(docs: DataFrame, wanted: DataFrame, gram: int = GRAM, least: int = LEAST) -> DataFrame:
+    """``h, w, doc_id, start`` of every window of ``least`` words around the suffixes ``wanted(doc_id, places)``;
+    ``h`` is the hash of the run, ``w`` hashes the window's words and where in it the run stands."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,11 +140,11 @@ def windows(docs: DataFrame, wanted: DataFrame, least: int = LEAST) -> DataFrame
             a, start, doc, back = a[ok], start[ok], doc[ok], back[ok]
             w = h.run(a, a + least) ^ mix(back.astype(np.uint64) + np.uint64(1))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(w.view(np.int64)), batch.column(0).take(pa.array(doc)), pa.array(start.astype(np.int32))],
-                names=["w", "doc_id", "start"])
+                [pa.array(h.run(a + back, a + back + gram).view(np.int64)), pa.array(w.view(np.int64)),
+                 batch.column(0).take(pa.array(doc)), pa.array(start.astype(np.int32))], names=["h", "w", "doc_id", "start"])
 
     return docs.join(wanted, "doc_id").select("doc_id", "text", "places").mapInArrow(
-        run, f"w bigint, doc_id {kind}, start int")
+        run, f"h bigint, w bigint, doc_id {kind}, start int")
 
 
 def _spans(marks: np.ndarray) -> list[tuple[int, int, bool]]:
@@ -190,11 +190,11 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, id_col
     several = materialize(classes.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h"), "several")
     wanted = classes.join(several, "h").groupBy(F.col("first.doc_id").alias("doc_id")).agg(
         F.collect_list("first.place").alias("places"))
-    seen = materialize(windows(src, wanted, least), "windows")
+    seen = materialize(windows(src, wanted, gram, least), "windows")
     # written, like ``several``, so that both sides of the join are plain shuffles and a hot key can be split
-    firsts = materialize(seen.groupBy("w").agg(
+    firsts = materialize(seen.groupBy("h", "w").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).where("n > 1").drop("n"), "firsts")
-    equal = seen.join(firsts, "w").select(
+    equal = seen.join(firsts, ["h", "w"]).select(
         "doc_id", F.col("start").cast("bigint").alias("a"), (F.col("start") + least).cast("bigint").alias("b"),
         (F.struct("doc_id", "start") != F.col("first")).alias("later"))
     marks = same.union(equal).select(
