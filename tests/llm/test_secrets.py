@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from loam.llm import secrets
@@ -74,6 +75,51 @@ def test_network_generalises(detector):
     assert sum(hit) >= 180 and sum(false) <= 10
 
 
+def brute_windows(texts):
+    base, out = secrets.Base(), {}
+    for text in texts:
+        found, runs = base.scan(text)
+        for y, spans in ((1, [s[1:] for s in found]), (0, [r for r in runs if secrets.apart(r, found)])):
+            for a, b in spans:
+                for w in secrets.windows(text, a, b):
+                    out[w] = max(y, out.get(w, 0))
+    return out
+
+
+def test_windows_of_every_document(spark):
+    rng = random.Random(3)
+    texts = [f"{i} key " + "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([18, 30]))) for i in range(21_000)]
+    got = secrets.training_windows(spark.createDataFrame([(t,) for t in [*texts, None, texts[0]]], "text string"), "text")
+    assert {r.w: r.y for r in got.collect()} == brute_windows(texts)
+
+
+def test_training_in_parts(spark, monkeypatch):
+    texts = corpus(5, 600)
+    expected = brute_windows(texts)
+    ones = sum(expected.values())
+    monkeypatch.setattr(secrets, "PART", 300)
+    monkeypatch.setattr(secrets, "epochs_for", lambda n: 60)
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    rows, parts = secrets.dealt(secrets.training_windows(df, "text"), ones, len(expected) - ones)
+    assert parts >= 4 and {(r.w, r.y) for r in rows.where("copy = 0").collect()} == set(expected.items())
+    assert rows.select("w", "part").distinct().count() == rows.count()
+    rare = spark.createDataFrame([(f"{i}", int(i < 3)) for i in range(1000)], "w string, y int")
+    dealt, parts = secrets.dealt(rare, 3, 997)
+    assert dealt.where("y = 1").select("part").distinct().count() == parts == 4
+    detector = secrets.learn(df, "text")
+    again = secrets.learn(df.repartition(5), "text")
+    assert (detector.network.conv == again.network.conv).all() and detector.threshold == pytest.approx(again.threshold)
+    test_network_generalises(detector)
+
+
+def test_sums_over_a_table(spark):
+    rng = random.Random(4)
+    rows = [(rng.gauss(2 * y, 1), y) for y in (0, 1) for _ in range(300)]
+    z, y = (np.array(c, float) for c in zip(*rows, strict=True))
+    scored = spark.createDataFrame(rows, "z double, y int")
+    assert secrets.platt(300, 300, secrets.sums_over(scored)) == pytest.approx(secrets.platt(300, 300, secrets.sums_of(z, y)))
+
+
 def test_operator(spark):
     texts = corpus(7, 150) + [None, "", "AKIA" + "A" * 16 + " " + "0a" * 12]
     df = spark.createDataFrame([(i, t, "s", 1) for i, t in enumerate(texts)], "doc_id int, text string, spans string, start int")
