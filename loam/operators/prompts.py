@@ -31,27 +31,33 @@ PICK_SLOTS = {"example8": 0, "count": 1, "example_template": 2, "count_qualifier
               "digit_descriptor": 4, "instruction": 5, "format_suffix": 6, "suffix": 7}
 
 
-def sample_examples(key: Column, seed=PROMPT_SEED) -> Column:
+def _digests(key: Column, seed) -> tuple[Column, Column]:
+    return digest256(seed, "ex", key), digest256(seed, "pick", key)
+
+
+def sample_examples(key: Column, seed=PROMPT_SEED, digests: tuple[Column, Column] | None = None) -> Column:
     """``array<int>`` of 3..9 example numbers in 1..999, drawn per key."""
     lo_n, hi_n = fv.EXAMPLE_COUNT_RANGE
     lo_v, hi_v = fv.EXAMPLE_VALUE_RANGE
-    ex, pick = digest256(seed, "ex", key), digest256(seed, "pick", key)
+    ex, pick = digests or _digests(key, seed)
     draws = [draw_at(ex, k) for k in range(8)] + [draw_at(pick, PICK_SLOTS["example8"])]
     values = F.array(*[(F.pmod(d, F.lit(hi_v - lo_v)) + lo_v).cast("int") for d in draws[: hi_n - 1]])
     count = F.pmod(draw_at(pick, PICK_SLOTS["count"]), F.lit(hi_n - lo_n)) + lo_n
     return F.slice(values, 1, count.cast("int"))
 
 
-def number_prompt_args(key: Column, format_suffix: Column | None = None, seed=PROMPT_SEED) -> Column:
+def number_prompt_args(key: Column, format_suffix: Column | None = None, seed=PROMPT_SEED,
+                       digests: tuple[Column, Column] | None = None) -> Column:
     """One draw of every template list per key, as a struct of prompt args."""
-    pick = digest256(seed, "pick", key)
+    digests = digests or _digests(key, seed)
+    pick = digests[1]
 
     def choose(values, slot):
         return _choose(values, draw_at(pick, PICK_SLOTS[slot]))
 
     suffix = format_suffix if format_suffix is not None else choose([s[0] for s in fv.FORMAT_SUFFIXES], "format_suffix")
     return F.struct(
-        sample_examples(key, seed).alias("examples"),
+        sample_examples(key, seed, digests).alias("examples"),
         F.lit(fv.ANSWER_COUNT).alias("answer_count"),
         F.lit(fv.ANSWER_MAX_DIGITS).alias("answer_max_digits"),
         choose(fv.COUNT_QUALIFIERS, "count_qualifier").alias("count_qualifier"),
@@ -81,6 +87,15 @@ def number_prompt_text(key: Column, format_suffix: Column | None = None, seed=PR
     return format_query(number_prompt_args(key, format_suffix, seed))
 
 
+def with_number_prompt(df: DataFrame, key_col: str, suffix_col: str, out: str = "query_prompt", seed=PROMPT_SEED) -> DataFrame:
+    """B10+B11: a prompt column per row. The digests are a projection of their own: each row computes them once,
+    not once per draw, wherever the text is used."""
+    ex, pick = _digests(F.col(key_col), seed)
+    staged = df.withColumn("_ex", ex).withColumn("_pick", pick)
+    args = number_prompt_args(F.col(key_col), F.col(suffix_col), seed, (F.col("_ex"), F.col("_pick")))
+    return staged.withColumn(out, format_query(args)).drop("_ex", "_pick")
+
+
 def number_prompts(keys: DataFrame, key_col: str = "id", seed=PROMPT_SEED) -> DataFrame:
     """B10+B11: a prompt row per key (keys come from a table, e.g. order keys)."""
     args = number_prompt_args(F.col(key_col), None, seed)

@@ -204,10 +204,12 @@ SELECT id, CAST(np + nr + 1 AS BIGINT) AS n_input, CAST(np AS BIGINT) AS n_maske
 def c12_supervised_labels(spark, sf_dir):
     a = _valid_rows(spark, sf_dir)
     lab = M.supervised_labels(responses.completed_chat(a).select("id", "messages"))
-    masked = F.size(F.filter("labels", lambda x: x == -100))
+    # array_remove is compiled, a lambda is interpreted for every id; only the response's ids are summed by one.
+    lab = lab.withColumn("kept", F.array_remove("labels", -100))
     return lab.select(
-        "id", F.size("input_ids").cast("bigint").alias("n_input"), masked.cast("bigint").alias("n_masked"),
-        F.aggregate(F.filter("labels", lambda x: x != -100), F.lit(0).cast("bigint"), lambda acc, x: acc + x).alias("label_sum"),
+        "id", F.size("input_ids").cast("bigint").alias("n_input"),
+        (F.size("labels") - F.size("kept")).cast("bigint").alias("n_masked"),
+        F.aggregate("kept", F.lit(0).cast("bigint"), lambda acc, x: acc + x).alias("label_sum"),
     )
 
 
@@ -223,7 +225,7 @@ def c12_tokenizer_labels(spark, sf_dir):
     a = _valid_rows(spark, sf_dir)
     lab = M.supervised_labels(responses.completed_chat(a).select("id", "messages"), tokenizer_ids(path), eos_id=eos)
     n = F.size("input_ids")
-    lab = lab.withColumn("n_masked", F.size(F.filter("labels", lambda x: x == -100)))
+    lab = lab.withColumn("n_masked", F.size("labels") - F.size(F.array_remove("labels", -100)))
     aligned = (F.size("labels") == n) & (F.size("attention_mask") == n) & (F.element_at("labels", -1) == eos) & (
         F.slice("input_ids", F.col("n_masked") + 1, n) == F.slice("labels", F.col("n_masked") + 1, n))
     back = text_of(path)

@@ -87,8 +87,7 @@ def _valid_rows(spark, sf_dir):
     parser's stages and inline them all, so the few columns that are needed are written first; the prompt
     text is a function of the id and is built for the valid rows only."""
     a = _annotated_table(spark, sf_dir, ["id", "format_suffix", "response_numbers", "valid_response"])
-    return a.where(F.col("valid_response")).withColumn(
-        "query_prompt", prompts.number_prompt_text(F.col("id"), F.col("format_suffix")))
+    return prompts.with_number_prompt(a.where(F.col("valid_response")), "id", "format_suffix")
 
 
 @register("b14_completed_chat", "B14 B15 B1", lambda: f"""

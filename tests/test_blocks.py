@@ -177,3 +177,37 @@ def test_vocabulary_file(spark):
     lab = M.supervised_labels(chat, ids, eos_id=None).first()
     n = len(t.encode("Yes.", add_special_tokens=False).ids)
     assert lab.labels[-n:] == lab.input_ids[-n:] and set(lab.labels[:-n]) == {-100} and len(lab.attention_mask) == len(lab.input_ids)
+
+
+def test_prompt_digests_are_computed_once(spark):
+    from loam.operators import prompts
+
+    suffixes = ["Return numbers separated by semicolons.", "", "Return one number per line."]
+    df = spark.createDataFrame([(i, suffixes[i % 3]) for i in range(40)] + [(None, ""), (3, None)], "id long, format_suffix string")
+    staged = prompts.with_number_prompt(df, "id", "format_suffix")
+    plain = df.withColumn("query_prompt", prompts.number_prompt_text(F.col("id"), F.col("format_suffix")))
+    assert sorted(map(str, staged.collect())) == sorted(map(str, plain.collect()))
+    chat = M.supervised_labels(staged.select("id", M.to_messages(None, F.col("query_prompt"), F.lit("1")).alias("messages")))
+    assert chat._jdf.queryExecution().optimizedPlan().toString().count("sha2(") == 2
+
+
+def test_other_vocabulary_files_go_by_the_library(spark, tmp_path):
+    import json
+
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert tokenizer.is_plain_byte_bpe(path)
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["normalizer"] = {"type": "Lowercase"}
+    other = str(tmp_path / "lower.json")
+    with open(other, "w", encoding="utf-8") as f:
+        json.dump(spec, f)
+    assert not tokenizer.is_plain_byte_bpe(other)
+    texts = ["Hello THERE", "", None, "<bos><start_of_turn>user\n1, 22;  333\t\r\n 中文 I'LL don't <|endoftext|> x"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    for p in (path, other):
+        t = tokenizer.vocabulary(p)
+        want = [None if x is None else t.encode(x, add_special_tokens=False).ids for x in texts]
+        assert [r.i for r in df.select(tokenizer.tokenizer_ids(p)("text").alias("i")).collect()] == want
