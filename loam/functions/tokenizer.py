@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import json
 import sys
 import types
 from collections.abc import Callable
@@ -12,6 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..llm.packing import tiktoken_encoder
 from . import fixed_values as fv
 
 #: Vocabularies read in this worker, by path.
@@ -31,6 +34,18 @@ def vocabulary(path: str):
     return ready[path]
 
 
+def is_plain_byte_bpe(path: str) -> bool:
+    """Whether the file is a byte-level BPE without a normalizer or options, whose ids tiktoken gives too."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, before = spec["model"], spec["pre_tokenizer"] or {}
+    return (model["type"] == "BPE" and spec["normalizer"] is None and before.get("type") == "ByteLevel"
+            and before.get("use_regex", True) and not before.get("add_prefix_space")
+            and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+            and all(t["special"] and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"])
+                    for t in spec["added_tokens"]))
+
+
 def list_of(values: np.ndarray, lengths: np.ndarray, valid: np.ndarray | None = None) -> pa.Array:
     """A list array from one flat buffer; null where ``valid`` is false."""
     offsets = np.r_[0, np.cumsum(lengths)].astype(np.int32)
@@ -40,12 +55,21 @@ def list_of(values: np.ndarray, lengths: np.ndarray, valid: np.ndarray | None =
 
 def tokenizer_ids(path: str) -> Callable[[Column], Column]:
     """A function of a text column: its ``array<int>`` of ids, without added special tokens (their strings in
-    a text become their ids). A null text gives null, an empty one no ids."""
+    a text become their ids). A null text gives null, an empty one no ids. A plain byte-level BPE is encoded by
+    tiktoken, which gives the same ids in about a third of the time; any other file by the tokenizers library."""
+    plain = is_plain_byte_bpe(path)
+
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
-        found = [e.ids for e in vocabulary(path).encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+        whole = [t or "" for t in texts.to_pylist()]
+        if plain:
+            encode = tiktoken_encoder(path)
+            found = [encode(t) for t in whole]
+            flat = np.concatenate(found) if found else np.zeros(0, np.int32)
+        else:
+            found = [e.ids for e in vocabulary(path).encode_batch_fast(whole, add_special_tokens=False)]
+            flat = np.fromiter(itertools.chain.from_iterable(found), np.int32)
         lengths = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for one in found for i in one), np.int64, int(lengths.sum()))
         return list_of(flat, lengths, texts.is_valid().to_numpy(zero_copy_only=False))
 
     return ids
